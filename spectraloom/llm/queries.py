@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import bpe
+from spectraloom.llm import bpe, licenses, quality
 from spectraloom.session import table
 
 
@@ -21,5 +21,28 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op9_byte_bpe,)}
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.license_scan(docs)
+    labels = F.array_sort(F.array_distinct(F.col("places.label")))
+    every = F.array_sort(F.array_distinct(F.concat("places.label", "notices.label")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("bigint").alias("n_base"),
+        F.array_min("places.word").alias("first_word"),
+        F.array_max("places.word").alias("last_word"),
+        F.array_join(labels, ",").alias("base_labels"),
+        F.array_join(every, ",").alias("labels"),
+        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("notices.likeness"), F.lit(0.0))).alias("score"),
+        F.to_json("notices").alias("notices"),
+    )
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return kept.select("doc_id", *quality.STATS, "base_failed", "kept", "anomaly")
+
+
+QUERIES = {f.__name__: f for f in (op7_license_scan, op8_quality_rules, op9_byte_bpe)}
 ORACLES: dict[str, str] = {}

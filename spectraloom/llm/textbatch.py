@@ -69,14 +69,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 BYTE_KEYS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 BASE = np.uint64(0xD6E8FEB86659FD93)
-POWERS = np.ones(64, np.uint64)
-for _i in range(1, 64):
-    POWERS[_i] = POWERS[_i - 1] * BASE
 
 
 def _powers(n: int) -> np.ndarray:
-    if n <= len(POWERS):
-        return POWERS
     out = np.full(n, BASE)
     out[0] = 1
     return np.multiply.accumulate(out)
