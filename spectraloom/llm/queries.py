@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import bpe, licenses, quality
+from spectraloom.llm import bpe, credentials, licenses, pii, quality
+
+#: The key of the registered queries; a user passes their own.
+KEY = "registered-queries"
 from spectraloom.session import table
 
 
@@ -21,6 +24,20 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(line(F.filter("spans", lambda s: s["kind"] != "grammar")), 256).alias("base_sha256"),
+        line("spans").alias("spans"),
+    )
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = licenses.license_scan(docs)
@@ -44,5 +61,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", *quality.STATS, "base_failed", "kept", "anomaly")
 
 
-QUERIES = {f.__name__: f for f in (op7_license_scan, op8_quality_rules, op9_byte_bpe)}
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+
+
+QUERIES = {f.__name__: f for f in (op3_secret_scan, op7_license_scan, op8_quality_rules, op9_byte_bpe, op10_pii_pseudonyms)}
 ORACLES: dict[str, str] = {}
