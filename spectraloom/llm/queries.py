@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import bpe, credentials, licenses, pii, quality
+from spectraloom.llm import bpe, credentials, editembed, language, licenses, mixing, pii, quality
 
 #: The key of the registered queries; a user passes their own.
 KEY = "registered-queries"
@@ -24,6 +24,14 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editembed.neighbour_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = credentials.secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
@@ -38,6 +46,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs)
+    return language.identify(docs.select("doc_id", language.held_out("doc_id").alias("held_out"), "text"), model).drop("text")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = licenses.license_scan(docs)
@@ -65,5 +79,5 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op7_license_scan, op8_quality_rules, op9_byte_bpe, op10_pii_pseudonyms)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_edit_fingerprints, op2_source_mix, op3_secret_scan, op5_language_id, op7_license_scan, op8_quality_rules, op9_byte_bpe, op10_pii_pseudonyms)}
+ORACLES: dict[str, str] = {"op2_source_mix": mixing.MIX_SQL}
