@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import bpe, credentials, editembed, language, licenses, mixing, pii, quality
+from spectraloom.llm import bpe, credentials, editembed, language, licenses, minhash, mixing, pii, quality
 
 #: The key of the registered queries; a user passes their own.
 KEY = "registered-queries"
@@ -46,6 +46,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs)
@@ -79,5 +83,5 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
 
 
-QUERIES = {f.__name__: f for f in (op1_edit_fingerprints, op2_source_mix, op3_secret_scan, op5_language_id, op7_license_scan, op8_quality_rules, op9_byte_bpe, op10_pii_pseudonyms)}
-ORACLES: dict[str, str] = {"op2_source_mix": mixing.MIX_SQL}
+QUERIES = {f.__name__: f for f in (op1_edit_fingerprints, op2_source_mix, op3_secret_scan, op4_minhash_near_dedup, op5_language_id, op7_license_scan, op8_quality_rules, op9_byte_bpe, op10_pii_pseudonyms)}
+ORACLES: dict[str, str] = {"op4_minhash_near_dedup": minhash.near_sql(3, 85), "op2_source_mix": mixing.MIX_SQL}
