@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import bpe, credentials, editembed, language, licenses, minhash, mixing, pii, quality
+from spectraloom.llm import bpe, chat, credentials, editembed, language, licenses, minhash, mixing, pii, quality
 
 #: The key of the registered queries; a user passes their own.
 KEY = "registered-queries"
@@ -56,6 +56,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", language.held_out("doc_id").alias("held_out"), "text"), model).drop("text")
 
 
+def op6_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.rendered(chat.repaired(table(spark, sf_dir, "conversations")))
+    return turns.select("conv_id", "turn", "role", "action", "new_role", "cost", F.array_join("inserted", ",").alias("inserted"), F.array_join("appended", ",").alias("appended"), "fragment")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = licenses.license_scan(docs)
@@ -83,5 +88,5 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
 
 
-QUERIES = {f.__name__: f for f in (op1_edit_fingerprints, op2_source_mix, op3_secret_scan, op4_minhash_near_dedup, op5_language_id, op7_license_scan, op8_quality_rules, op9_byte_bpe, op10_pii_pseudonyms)}
+QUERIES = {f.__name__: f for f in (op1_edit_fingerprints, op2_source_mix, op3_secret_scan, op4_minhash_near_dedup, op5_language_id, op6_chat_repair, op7_license_scan, op8_quality_rules, op9_byte_bpe, op10_pii_pseudonyms)}
 ORACLES: dict[str, str] = {"op4_minhash_near_dedup": minhash.near_sql(3, 85), "op2_source_mix": mixing.MIX_SQL}
