@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from spectraloom.plans import scalar_queries  # noqa: F401
+from spectraloom.plans.registry import ORACLES, QUERIES  # noqa: F401
