@@ -118,9 +118,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", sample: int = 2000, items: int
     Of each language and size the most frequent words and n-grams are kept, `items` over all of them.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col(f"`{id_col}`").isNotNull() & ~held_out(id_col))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("__id"), "__id")
+    # two ranks: first inside slices of a language, so that no task ranks all of a frequent one
+    order = lambda *keys: Window.partitionBy("lang", *keys).orderBy(F.xxhash64("__id"), "__id")
+    first = F.row_number().over(order(F.pmod(F.xxhash64("__id"), F.lit(64))))
     # ids first: their rank needs no text; then the few texts
-    chosen = labelled.select("lang", F.col(f"`{id_col}`").alias("__id")).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= sample).select("__id").distinct()
+    chosen = labelled.select("lang", F.col(f"`{id_col}`").alias("__id")).withColumn("__r", first).where(F.col("__r") <= -(-sample // 16))
+    chosen = chosen.withColumn("__r", F.row_number().over(order())).where(F.col("__r") <= sample).select("__id").distinct()
     texts = labelled.select(F.col(f"`{id_col}`").alias("__id"), "lang", "text").join(chosen, "__id", "left_semi")
     counted = count_items(texts)
     group = Window.partitionBy("lang", "n")
