@@ -8,13 +8,15 @@ which enumerates the allowed errors. So all pairs within the radius share a key.
 confirmed on the full sets.
 
 Pairs inside a key's group are not all made: the members are first compared with one of
-them; linked documents need no more comparison; only documents of one group that are still
-in different components, alike in size and signature, are then compared with each other.
+them; linked documents need no more comparison. Only documents of one group that are still
+in different components are then compared with each other, and a pair is made only if sizes,
+signatures and sketches of SKETCH_BITS bits leave it a chance, at the first key it shares.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,8 @@ def tail_radius(differ: float, n: int = COMPONENTS, miss: float = MISS) -> int:
     share, r = 1.0, -1
     while share > miss:
         r += 1
-        share -= math.comb(n, r) * differ**r * (1 - differ) ** (n - r)
+        chosen = math.lgamma(n + 1) - math.lgamma(r + 1) - math.lgamma(n - r + 1)
+        share -= math.exp(chosen + r * math.log(differ) + (n - r) * math.log1p(-differ))
     return r
 
 
@@ -60,10 +63,10 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
         if high - low >= width:
             out.append(np.unique(rolled[low : high - width + 1]))
         elif high > low:
-            one = _seed + np.uint64(high - low)
+            one = np.array([_seed]) + np.uint64(high - low)
             for w in words[low:high]:
-                one = mixed(np.array([one + w]))[0]
-            out.append(np.array([one], np.uint64))
+                one = mixed(one + w)
+            out.append(one)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -123,11 +126,53 @@ def _distance() -> object:
     return F.arrow_udf(distance, "int")
 
 
-def low_bits(signature: str) -> Column:
-    """The lowest bit of each component, as one bigint, by built-in functions."""
-    digits = F.hex(signature)
-    odd = F.translate(digits, "0123456789ABCDEF", "0101010101010101")
-    return F.conv(F.regexp_replace(odd, "[01]([01])", "$1"), 2, -10).cast("bigint")
+def planes(signature: str, n: int = 8) -> list[Column]:
+    """The first n bits of each component, each as one bigint with component 0 at the highest bit, by built-in functions."""
+    digits, out = F.hex(signature), []
+    for k in range(n):
+        bits = F.translate(digits, "0123456789ABCDEF", "".join(str(v >> k % 4 & 1) for v in range(16)))
+        kept = F.regexp_replace(bits, "[01]([01])" if k < 4 else "([01])[01]", "$1")
+        out.append(F.conv(kept, 2, -10).cast("bigint"))
+    return out
+
+
+def differing(n: int = 8) -> Column:
+    """The components in whose first n bits the rows x and y differ, as a bitmap."""
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.col(f"p{k}_x").bitwiseXOR(F.col(f"p{k}_y")) for k in range(n)])
+
+
+def _signed(mask: int) -> Column:
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("bigint")
+
+
+def first_shared(radius: int, d: Column, slot: Column) -> Column:
+    """Whether `slot` (the component left out) is the first key that two signatures of difference `d` share."""
+    parts = chunks(radius)
+    bit = [1 << (COMPONENTS - 1 - c) for c in range(COMPONENTS)]
+    masks = [sum(bit[low:high]) for low, high in parts]
+    chunk = None
+    for i, m in enumerate(masks):
+        chunk = (F.when if chunk is None else chunk.when)(F.bit_count(d.bitwiseAND(_signed(m))) <= 1, F.lit(i))
+    of_slot = [next(i for i, (low, high) in enumerate(parts) if low <= c < high) for c in range(COMPONENTS)]
+    pick = lambda values: F.element_at(F.array(*values), slot + 1)
+    inside = d.bitwiseAND(pick([_signed(masks[of_slot[c]]) for c in range(COMPONENTS)]))
+    lowest = pick([F.lit(parts[of_slot[c]][0] == c) for c in range(COMPONENTS)])
+    own = inside == pick([_signed(bit[c]) for c in range(COMPONENTS)])
+    return (chunk == pick([F.lit(i) for i in of_slot])) & (((inside == 0) & lowest) | own)
+
+
+#: Bits of the sketch that pairs must pass before they are made; one bit of a minimum each.
+SKETCH_BITS = 2048
+_more = mixed(np.arange(1000, 1000 + SKETCH_BITS, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+
+
+def bit_sketch(shingles: np.ndarray) -> np.ndarray:
+    """The lowest bit of the mixed minimum under each of SKETCH_BITS hashes, packed into longs."""
+    low = np.asarray(shingles).astype(np.uint32)
+    least = np.full(SKETCH_BITS, np.uint32(0xFFFFFFFF))
+    for at in range(0, len(low), 64):
+        np.minimum(least, (low[at : at + 64, None] * _more[None, :]).min(axis=0), out=least)
+    return np.packbits((mixed(least.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
 
 def _linked(percent: int):
@@ -185,6 +230,46 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def node_sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
+    """(node, shingles): the full sets of the needed nodes. An id that repeats with other texts is stood for by one of its sets."""
+
+    def shingled(texts: pa.Array) -> list:
+        return [[x.view(np.int64) for x in shingle_sets(texts, width)]]
+
+    udf = struct_udf(T.StructType([T.StructField("shingles", T.ArrayType(T.LongType()))]), shingled)
+    sets = spread(only_ids(docs, "doc_id", needed), F.col("text"), "__s", udf).select(F.col("doc_id").alias("node"), "shingles")
+    return sets.join(needed, "node", "left_semi").groupBy("node").agg(F.max_by("shingles", F.xxhash64("shingles")).alias("shingles"))
+
+
+def torn_pairs(held: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, radius: int) -> DataFrame:
+    """(a, b): all pairs of `held` (key, slot, node, component, n_shingles, p0…p3) in one key and different components that may link.
+
+    First only rows with such a partner stay (a semi-join: no pair is made); their nodes get
+    a long sketch, and pairs are made, once each, where it too is near.
+    """
+    sides = lambda df: [df.select(*[F.col(c).alias(f"{c}_{s}") for c in df.columns]) for s in "xy"]
+    apart = (F.col("key_x") == F.col("key_y")) & (F.col("component_x") != F.col("component_y"))
+    apart &= 100 * F.least("n_shingles_x", "n_shingles_y") >= percent * F.greatest("n_shingles_x", "n_shingles_y")
+    x, y = sides(held)
+    rows = checkpointed(x.join(y, apart & (F.bit_count(differing(4)) <= radius), "left_semi").select(*[F.col(f"{c}_x").alias(c) for c in ("key", "slot", "node", "component", "n_shingles")]))
+
+    def sketched(shingles: pa.Array) -> pa.Array:
+        return pa.array([bit_sketch(v.values.to_numpy(zero_copy_only=False)) for v in shingles], pa.list_(pa.int64()))
+
+    sketched.__annotations__ = {"shingles": pa.Array, "return": pa.Array}
+    longs = SKETCH_BITS // 64
+    nodes = rows.select("node").distinct()
+    sketches = node_sets(docs, nodes, width).select("node", F.arrow_udf(sketched, "array<bigint>")("shingles").alias("s"))
+    signed = classes.join(nodes, "node", "left_semi").select("node", *[p.alias(f"p{k}") for k, p in enumerate(planes("signature"))])
+    facts = checkpointed(sketches.join(signed, "node").select("node", *[f"p{k}" for k in range(8)], *[F.col("s")[k].alias(f"s{k}") for k in range(longs)]))
+    x, y = sides(rows.join(facts, "node"))
+    far = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"s{k}_x").bitwiseXOR(F.col(f"s{k}_y"))) for k in range(longs)])
+    near = F.bit_count(differing()) <= radius
+    few = far <= tail_radius((1 - percent / 100) / 2, SKETCH_BITS)
+    pairs = x.join(y, apart & (F.col("node_x") < F.col("node_y")) & near & few & first_shared(radius, differing(), F.col("slot_x")))
+    return pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, radius: int) -> DataFrame:
     """The pairs (a, b) of nodes that link: near by size and signature, then confirmed on the full sets of `docs` (doc_id, text)."""
     facts = classes.select("node", "n_shingles", "signature")
@@ -196,15 +281,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
         .select("a", "b")
     )
     near = checkpointed(near)
-    needed = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-
-    def shingled(texts: pa.Array) -> list:
-        return [[s.view(np.int64) for s in shingle_sets(texts, width)]]
-
-    udf = struct_udf(T.StructType([T.StructField("shingles", T.ArrayType(T.LongType()))]), shingled)
-    sets = spread(only_ids(docs, "doc_id", needed), F.col("text"), "__s", udf).select(F.col("doc_id").alias("node"), "shingles")
-    # an id that repeats with other texts is stood for by one of its sets
-    sets = checkpointed(sets.join(needed, "node", "left_semi").groupBy("node").agg(F.max_by("shingles", F.xxhash64("shingles")).alias("shingles")))
+    sets = checkpointed(node_sets(docs, near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), width))
     # a node compared with very many others is copied, so that its pairs spread over tasks
     busy = near.groupBy("a").agg(F.ceil(F.count("*") / 500).cast("int").alias("salts"))
     left = sets.toDF("a", "set_a").join(busy, "a").select("a", "set_a", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
@@ -227,25 +304,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = checkpointed(
         sketched.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")).where("node is not null")
     )
-    keyed = classes.select("node", F.explode(_keys_udf(radius)("signature")).alias("key"))
+    keyed = classes.select("node", F.posexplode(_keys_udf(radius)("signature")).alias("slot", "key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = checkpointed(keyed.join(shared, "key"))
 
     tried = checkpointed(groups.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
     links = checkpointed(confirmed(tried, classes, docs, width, percent, radius))
     labels = components(links)
-    for step in ("one", "all"):
-        held = groups.select("key", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        torn = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("node", F.struct(F.xxhash64("node", F.lit(7)), "node")).alias("lead")).where("low <> high").select("key", "lead")
-        held = checkpointed(held.join(torn, "key").join(classes.select("node", "n_shingles", low_bits("signature").alias("bits")), "node"))
-        x, y = (held.select(*[F.col(c).alias(f"{c}_{s}") for c in held.columns]) for s in "xy")
-        apart = (F.col("component_x") != F.col("component_y")) & (100 * F.least("n_shingles_x", "n_shingles_y") >= percent * F.greatest("n_shingles_x", "n_shingles_y"))
-        apart &= F.bit_count(F.col("bits_x").bitwiseXOR(F.col("bits_y"))) <= radius
-        if step == "one":
-            x = x.where("node_x = lead_x")
+    facts = classes.select("node", "n_shingles", *[p.alias(f"p{k}") for k, p in enumerate(planes("signature", 4))])
+    for step in ("leaders", "all"):
+        held = groups.select("key", "slot", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        torn = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("node", F.struct(F.xxhash64("node", "key"), "node")).alias("lead")).where("low <> high").select("key", "lead")
+        held = checkpointed(held.join(torn, "key").join(facts, "node"))
+        if step == "leaders":  # another member of each key is compared with the rest: different keys, different leaders
+            lead = held.where("node = lead").select(*[F.col(c).alias(f"{c}_x") for c in held.columns])
+            rest = held.select(*[F.col(c).alias(f"{c}_y") for c in held.columns])
+            apart = (F.col("key_x") == F.col("key_y")) & (F.col("component_x") != F.col("component_y")) & (F.bit_count(differing(4)) <= radius)
+            pairs = lead.join(rest, apart).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
         else:
-            apart &= F.col("node_x") < F.col("node_y")
-        pairs = x.join(y, (F.col("key_x") == F.col("key_y")) & apart).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+            pairs = torn_pairs(held.drop("lead"), classes, docs, width, percent, radius)
         fresh = checkpointed(pairs.join(tried, ["a", "b"], "left_anti"))
         if fresh.limit(1).count():
             more = checkpointed(confirmed(fresh, classes, docs, width, percent, radius))

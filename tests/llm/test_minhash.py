@@ -80,7 +80,47 @@ def test_every_pair_within_the_radius_shares_a_key():
         assert set(x) & set(y)
 
 
-def test_low_bits(spark):
-    raw = bytes(range(100, 164))
-    row = spark.createDataFrame([(raw,)], "s binary").select(minhash.low_bits("s").alias("b"), F.bit_count(minhash.low_bits("s")).alias("n")).first()
-    assert row.n == sum(x & 1 for x in raw) and row.b & (2**64 - 1) == int("".join(str(x & 1) for x in raw), 2)
+def test_planes_and_first_shared_key(spark):
+    rng = np.random.default_rng(4)
+    radius = minhash.tail_radius(0.15)
+    keys = minhash._keys_udf(radius).func
+    rows, want = [], set()
+    for i in range(60):
+        a = rng.integers(0, 256, minhash.COMPONENTS).astype(np.uint8)
+        b = a.copy()
+        at = rng.choice(minhash.COMPONENTS, rng.integers(0, 40), replace=False)
+        b[at] ^= rng.integers(1, 256, len(at)).astype(np.uint8)
+        x, y = keys(pa.array([a.tobytes(), b.tobytes()])).to_pylist()
+        same = [k for k in range(minhash.COMPONENTS) if x[k] == y[k]]
+        rows.append((i, bytearray(a.tobytes()), bytearray(b.tobytes()), len(at)))
+        want |= {(i, same[0])} if same else set()
+    df = spark.createDataFrame(rows, "i int, a binary, b binary, n int").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(minhash.COMPONENTS - 1))))
+    df = df.select("i", "n", "slot", *[p.alias(f"p{k}_x") for k, p in enumerate(minhash.planes("a"))], *[p.alias(f"p{k}_y") for k, p in enumerate(minhash.planes("b"))])
+    assert df.where(F.bit_count(minhash.differing()) != F.col("n")).count() == 0
+    got = df.where(minhash.first_shared(radius, minhash.differing(), F.col("slot"))).select("i", "slot").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_sketch_distance_follows_the_similarity():
+    rng = np.random.default_rng(2)
+    for share in (0.85, 0.5):
+        n = 1000
+        both = rng.integers(0, 2**63, int(2 * n * share / (1 + share)))
+        a, b = (np.concatenate([both, rng.integers(0, 2**63, n - len(both))]) for _ in range(2))
+        far = sum(int(v & (2**64 - 1)).bit_count() for v in (minhash.bit_sketch(a) ^ minhash.bit_sketch(b)).tolist())
+        assert abs(far / minhash.SKETCH_BITS - (1 - share) / 2) < 0.04
+
+
+def test_large_group_of_mutated_copies(spark):
+    """Variants of one text, from near to far: no pair of different components may be lost."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    out = []
+    for i in range(300):
+        copy = list(base)
+        for _ in range(rng.randint(0, 14)):
+            copy[rng.randrange(120)] = f"n{rng.randint(0, 9999)}"
+        out.append((i, " ".join(copy)))
+    df = spark.createDataFrame(out, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, width=3, percent=85).collect()}
+    assert got == brute(out, 3, 85)
