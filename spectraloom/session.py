@@ -62,3 +62,16 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     starts = counts.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
     ranked = ranged.withColumn("__rank", F.row_number().over(inside) - 1)
     return ranked.join(F.broadcast(starts), "__part").withColumn(name, F.col("__rank") + F.col("__start")).drop("__part", "__rank", "__start")
+
+
+def running(df: DataFrame, by: list[str], order: list[str], amount: str, name: str) -> DataFrame:
+    """Adds the sum of `amount` over the rows before, within `by` and in ascending `order`, without one task holding a group.
+
+    (by, order) must tell rows apart. Only one sum for each range and group in it is ranked in a window.
+    """
+    ranged = checkpointed(df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
+    inside = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*by, "__part").agg(F.sum(amount).alias("__sum"))
+    starts = sums.select(*by, "__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    return ranged.withColumn("__own", F.coalesce(F.sum(amount).over(inside), F.lit(0))).join(starts, [*by, "__part"]).withColumn(name, F.col("__own") + F.col("__start")).drop("__part", "__own", "__start")
