@@ -126,41 +126,36 @@ def _distance() -> object:
     return F.arrow_udf(distance, "int")
 
 
-def planes(signature: str, n: int = 8) -> list[Column]:
-    """The first n bits of each component, each as one bigint with component 0 at the highest bit, by built-in functions."""
+def planes(signature: str, n: int = 4) -> list[Column]:
+    """The lowest n (up to 4) bits of each component, each as one bigint with component 0 at the highest bit, by built-in functions."""
     digits, out = F.hex(signature), []
     for k in range(n):
-        bits = F.translate(digits, "0123456789ABCDEF", "".join(str(v >> k % 4 & 1) for v in range(16)))
-        kept = F.regexp_replace(bits, "[01]([01])" if k < 4 else "([01])[01]", "$1")
-        out.append(F.conv(kept, 2, -10).cast("bigint"))
+        bits = F.translate(digits, "0123456789ABCDEF", "".join(str(v >> k & 1) for v in range(16)))
+        out.append(F.conv(F.regexp_replace(bits, "[01]([01])", "$1"), 2, -10).cast("bigint"))
     return out
 
 
-def differing(n: int = 8) -> Column:
-    """The components in whose first n bits the rows x and y differ, as a bitmap."""
+def differing(n: int = 4) -> Column:
+    """The components in whose lowest n bits the rows x and y differ, as a bitmap."""
     return reduce(lambda a, b: a.bitwiseOR(b), [F.col(f"p{k}_x").bitwiseXOR(F.col(f"p{k}_y")) for k in range(n)])
 
 
-def _signed(mask: int) -> Column:
-    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("bigint")
-
-
-def first_shared(radius: int, d: Column, slot: Column) -> Column:
-    """Whether `slot` (the component left out) is the first key that two signatures of difference `d` share."""
+def first_shared(differ: np.ndarray, radius: int) -> np.ndarray:
+    """The first key (the component left out) that each pair of signatures shares, -1 for none; `differ` has a row a pair."""
     parts = chunks(radius)
-    bit = [1 << (COMPONENTS - 1 - c) for c in range(COMPONENTS)]
-    masks = [sum(bit[low:high]) for low, high in parts]
-    chunk = None
-    for i, m in enumerate(masks):
-        chunk = (F.when if chunk is None else chunk.when)(F.bit_count(d.bitwiseAND(_signed(m))) <= 1, F.lit(i))
-    of_slot = [next(i for i, (low, high) in enumerate(parts) if low <= c < high) for c in range(COMPONENTS)]
-    pick = lambda values: F.element_at(F.array(*values), slot + 1)
-    inside = d.bitwiseAND(pick([_signed(masks[of_slot[c]]) for c in range(COMPONENTS)]))
-    lowest = pick([F.lit(parts[of_slot[c]][0] == c) for c in range(COMPONENTS)])
-    own = inside == pick([_signed(bit[c]) for c in range(COMPONENTS)])
-    return (chunk == pick([F.lit(i) for i in of_slot])) & (((inside == 0) & lowest) | own)
+    lows = np.array([low for low, _ in parts])
+    errors = np.add.reduceat(differ.astype(np.int64), lows, axis=1)
+    found = (errors <= 1).any(axis=1)
+    chunk = (errors <= 1).argmax(axis=1)
+    out = np.full(len(differ), -1)
+    for c, (low, high) in enumerate(parts):
+        here = found & (chunk == c)
+        out[here] = np.where(errors[here, c] == 0, low, low + differ[here, low:high].argmax(axis=1))
+    return out
 
 
+#: Members of a key that are compared in one go.
+BLOCK = 4096
 #: Bits of the sketch that pairs must pass before they are made; one bit of a minimum each.
 SKETCH_BITS = 2048
 _more = mixed(np.arange(1000, 1000 + SKETCH_BITS, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
@@ -245,29 +240,75 @@ def torn_pairs(held: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     """(a, b): all pairs of `held` (key, slot, node, component, n_shingles, p0…p3) in one key and different components that may link.
 
     First only rows with such a partner stay (a semi-join: no pair is made); their nodes get
-    a long sketch, and pairs are made, once each, where it too is near.
+    a long sketch, and the members of a key are compared by it in vectorised blocks, which
+    return a pair once, and only where it too is near.
     """
     sides = lambda df: [df.select(*[F.col(c).alias(f"{c}_{s}") for c in df.columns]) for s in "xy"]
     apart = (F.col("key_x") == F.col("key_y")) & (F.col("component_x") != F.col("component_y"))
     apart &= 100 * F.least("n_shingles_x", "n_shingles_y") >= percent * F.greatest("n_shingles_x", "n_shingles_y")
     x, y = sides(held)
-    rows = checkpointed(x.join(y, apart & (F.bit_count(differing(4)) <= radius), "left_semi").select(*[F.col(f"{c}_x").alias(c) for c in ("key", "slot", "node", "component", "n_shingles")]))
+    rows = checkpointed(x.join(y, apart & (F.bit_count(differing()) <= radius), "left_semi").select(*[F.col(f"{c}_x").alias(c) for c in ("key", "slot", "node", "component", "n_shingles")]))
 
     def sketched(shingles: pa.Array) -> pa.Array:
-        return pa.array([bit_sketch(v.values.to_numpy(zero_copy_only=False)) for v in shingles], pa.list_(pa.int64()))
+        return pa.array([bit_sketch(v.values.to_numpy(zero_copy_only=False)).tobytes() for v in shingles], pa.binary())
 
     sketched.__annotations__ = {"shingles": pa.Array, "return": pa.Array}
-    longs = SKETCH_BITS // 64
     nodes = rows.select("node").distinct()
-    sketches = node_sets(docs, nodes, width).select("node", F.arrow_udf(sketched, "array<bigint>")("shingles").alias("s"))
-    signed = classes.join(nodes, "node", "left_semi").select("node", *[p.alias(f"p{k}") for k, p in enumerate(planes("signature"))])
-    facts = checkpointed(sketches.join(signed, "node").select("node", *[f"p{k}" for k in range(8)], *[F.col("s")[k].alias(f"s{k}") for k in range(longs)]))
-    x, y = sides(rows.join(facts, "node"))
-    far = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"s{k}_x").bitwiseXOR(F.col(f"s{k}_y"))) for k in range(longs)])
-    near = F.bit_count(differing()) <= radius
-    few = far <= tail_radius((1 - percent / 100) / 2, SKETCH_BITS)
-    pairs = x.join(y, apart & (F.col("node_x") < F.col("node_y")) & near & few & first_shared(radius, differing(), F.col("slot_x")))
-    return pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    sketches = node_sets(docs, nodes, width).select("node", F.arrow_udf(sketched, "binary")("shingles").alias("sketch"))
+    facts = checkpointed(sketches.join(classes.select("node", "signature"), "node"))
+    # the members of a key meet in one task, of a large key in blocks of BLOCK against each other
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    met = rows.join(blocks, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = met.join(facts, "node").select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "slot", "node", "component", "n_shingles", "signature", "sketch")
+    together = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    limit = tail_radius((1 - percent / 100) / 2, SKETCH_BITS)
+
+    def compare(batches):
+        held = []
+        for batch in batches:
+            marks = [batch.column(i).to_numpy() for i in range(3)]
+            turns = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
+            for low, high in zip([0, *turns.tolist()], [*turns.tolist(), batch.num_rows], strict=True):
+                if low == high:
+                    continue
+                part = batch.slice(low, high - low)
+                if held and any(held[-1].column(i)[0] != part.column(i)[0] for i in range(3)):
+                    yield _group_pairs(pa.Table.from_batches(held), percent, radius, limit)
+                    held = []
+                held.append(part)
+        if held:
+            yield _group_pairs(pa.Table.from_batches(held), percent, radius, limit)
+
+    return together.mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def _group_pairs(group: pa.Table, percent: int, radius: int, limit: int) -> pa.RecordBatch:
+    """The pairs of one key's block pair that are near by size, sketch and signature and share no earlier key."""
+    get = lambda name: group.column(name).to_numpy()
+    node, component, size, own = get("node"), get("component"), get("n_shingles"), get("own")
+    raw = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind).reshape(len(node), -1)
+    sketch, signature, slot = raw("sketch", np.uint64), raw("signature", np.uint8), get("slot")[0]
+    across = group.column("low")[0] != group.column("high")[0]
+    out = [np.zeros((0, 2), np.int64)]
+    for at in range(0, len(node), 64):
+        rows = slice(at, at + 64)
+        may = component[rows, None] != component[None, :]
+        may &= node[rows, None] < node[None, :]
+        if across:
+            may &= own[rows, None] != own[None, :]
+        may &= 100 * np.minimum(size[rows, None], size[None, :]) >= percent * np.maximum(size[rows, None], size[None, :])
+        i, j = np.nonzero(may)
+        i += at
+        for part in range(0, len(i), 1 << 16):
+            p, q = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
+            near = np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1, dtype=np.int64) <= limit
+            p, q = p[near], q[near]
+            differ = signature[p] != signature[q]
+            keep = (differ.sum(axis=1) <= radius) & (first_shared(differ, radius) == slot)
+            out.append(np.column_stack([node[p[keep]], node[q[keep]]]))
+    pairs = np.concatenate(out)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, radius: int) -> DataFrame:
@@ -311,7 +352,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tried = checkpointed(groups.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
     links = checkpointed(confirmed(tried, classes, docs, width, percent, radius))
     labels = components(links)
-    facts = classes.select("node", "n_shingles", *[p.alias(f"p{k}") for k, p in enumerate(planes("signature", 4))])
+    facts = classes.select("node", "n_shingles", *[p.alias(f"p{k}") for k, p in enumerate(planes("signature"))])
     for step in ("leaders", "all"):
         held = groups.select("key", "slot", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         torn = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("node", F.struct(F.xxhash64("node", "key"), "node")).alias("lead")).where("low <> high").select("key", "lead")
@@ -319,7 +360,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if step == "leaders":  # another member of each key is compared with the rest: different keys, different leaders
             lead = held.where("node = lead").select(*[F.col(c).alias(f"{c}_x") for c in held.columns])
             rest = held.select(*[F.col(c).alias(f"{c}_y") for c in held.columns])
-            apart = (F.col("key_x") == F.col("key_y")) & (F.col("component_x") != F.col("component_y")) & (F.bit_count(differing(4)) <= radius)
+            apart = (F.col("key_x") == F.col("key_y")) & (F.col("component_x") != F.col("component_y")) & (F.bit_count(differing()) <= radius)
             pairs = lead.join(rest, apart).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
         else:
             pairs = torn_pairs(held.drop("lead"), classes, docs, width, percent, radius)

@@ -80,25 +80,25 @@ def test_every_pair_within_the_radius_shares_a_key():
         assert set(x) & set(y)
 
 
-def test_planes_and_first_shared_key(spark):
+def test_first_shared_key():
     rng = np.random.default_rng(4)
     radius = minhash.tail_radius(0.15)
     keys = minhash._keys_udf(radius).func
-    rows, want = [], set()
-    for i in range(60):
+    for _ in range(60):
         a = rng.integers(0, 256, minhash.COMPONENTS).astype(np.uint8)
         b = a.copy()
         at = rng.choice(minhash.COMPONENTS, rng.integers(0, 40), replace=False)
         b[at] ^= rng.integers(1, 256, len(at)).astype(np.uint8)
         x, y = keys(pa.array([a.tobytes(), b.tobytes()])).to_pylist()
         same = [k for k in range(minhash.COMPONENTS) if x[k] == y[k]]
-        rows.append((i, bytearray(a.tobytes()), bytearray(b.tobytes()), len(at)))
-        want |= {(i, same[0])} if same else set()
-    df = spark.createDataFrame(rows, "i int, a binary, b binary, n int").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(minhash.COMPONENTS - 1))))
-    df = df.select("i", "n", "slot", *[p.alias(f"p{k}_x") for k, p in enumerate(minhash.planes("a"))], *[p.alias(f"p{k}_y") for k, p in enumerate(minhash.planes("b"))])
-    assert df.where(F.bit_count(minhash.differing()) != F.col("n")).count() == 0
-    got = df.where(minhash.first_shared(radius, minhash.differing(), F.col("slot"))).select("i", "slot").collect()
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+        assert minhash.first_shared((a != b)[None, :], radius)[0] == (same[0] if same else -1)
+
+
+def test_planes(spark):
+    raw = bytes(range(100, 164))
+    row = spark.createDataFrame([(bytearray(raw),)], "s binary").select(*minhash.planes("s")).first()
+    for k in range(4):
+        assert row[k] & (2**64 - 1) == int("".join(str(x >> k & 1) for x in raw), 2)
 
 
 def test_sketch_distance_follows_the_similarity():
@@ -111,8 +111,10 @@ def test_sketch_distance_follows_the_similarity():
         assert abs(far / minhash.SKETCH_BITS - (1 - share) / 2) < 0.04
 
 
-def test_large_group_of_mutated_copies(spark):
+@pytest.mark.parametrize("block", [4096, 40])
+def test_large_group_of_mutated_copies(spark, monkeypatch, block):
     """Variants of one text, from near to far: no pair of different components may be lost."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(11)
     base = [f"w{i}" for i in range(120)]
     out = []
