@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spectraloom.llm.textbatch import spread, struct_udf
+from spectraloom.llm.textbatch import spread, steps, struct_udf
 
 _word = re.compile(r"[^\W\d_]+")
 #: Sizes of the n-grams that unseen words fall back to, in this order.
@@ -35,18 +35,20 @@ def count_items(sample: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, texts in _by_lang(batch):
-                words: Counter = Counter()
-                for text in texts:
-                    words.update(_word.findall(text.lower()))
-                counts = {0: words}
-                for n in SIZES:
-                    counts[n] = Counter()
-                    for word, times in words.items():
-                        for g in grams(word, n):
-                            counts[n][g] += times
-                for n, items in counts.items():
-                    yield pa.RecordBatch.from_pydict({"lang": [lang] * len(items), "n": [n] * len(items), "item": list(items), "count": list(items.values())}, schema=_COUNTS)
+            low = 0
+            for part in steps(batch.column(1)):  # the counts of a megabyte of text at a time: a task's memory stays small
+                for lang, texts in _by_lang(batch.slice(low, len(part))):
+                    words: Counter = Counter()
+                    for text in texts:
+                        words.update(_word.findall(text.lower()))
+                    for n in (0, *SIZES):
+                        items = words if n == 0 else Counter()
+                        if n:
+                            for word, times in words.items():
+                                for g in grams(word, n):
+                                    items[g] += times
+                        yield pa.RecordBatch.from_pydict({"lang": [lang] * len(items), "n": [n] * len(items), "item": list(items), "count": list(items.values())}, schema=_COUNTS)
+                low += len(part)
 
     partial = sample.select("lang", "text").mapInArrow(run, "lang string, n int, item string, count bigint")
     return partial.groupBy("lang", "n", "item").agg(F.sum("count").alias("count"))
@@ -73,7 +75,7 @@ class Model:
         for lang, n, item, count, total in counts:
             kept[n].setdefault(item, np.zeros(len(at)))[at[lang]] = count
             totals.setdefault(n, np.ones(len(at)))[at[lang]] = total
-        self.tables = {n: {item: np.log(c + 0.5) - np.log(totals[n]) for item, c in items.items()} for n, items in kept.items() if items}
+        self.tables = {n: {item: (np.log(c + 0.5) - np.log(totals[n])).astype(np.float32) for item, c in items.items()} for n, items in kept.items() if items}
         self.cache: dict[str, np.ndarray | None] = {}
 
     def __getstate__(self):
@@ -97,7 +99,7 @@ class Model:
         total, n = np.zeros(len(self.langs)), 0
         for word, times in Counter(_word.findall(text.lower())).items():
             if word not in self.cache:
-                if len(self.cache) >= 200_000:
+                if len(self.cache) >= 50_000:
                     self.cache.clear()
                 self.cache[word] = self.word(word)
             logs = self.cache[word]
