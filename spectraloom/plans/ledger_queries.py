@@ -236,7 +236,7 @@ def r01_assembled_by_stream(spark, sf_dir):
     """The stream's complete answers; the incomplete ones only time out when time passes."""
     at = _stream_folder(spark, chunks(spark, sf_dir), "chunks")
     stream = spark.readStream.schema(chunks(spark, sf_dir).schema).parquet(f"{at}/in")
-    run = jobs.assemble_stream(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).outputMode("append").start()
+    run = jobs.assemble_stream(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(once=True).outputMode("append").start()
     run.awaitTermination()
     return spark.read.schema(jobs.DONE).parquet(f"{at}/out").where("status = 'complete'")
 
