@@ -67,47 +67,61 @@ def _by_lang(batch: pa.RecordBatch) -> list[tuple[str, list[str]]]:
 class Model:
     """Log frequencies by language of words and n-grams; `counts` holds rows (lang, n, item, count, total of that lang and n)."""
 
+    #: Words whose rows a task remembers: the first it meets, so the frequent ones.
+    REMEMBERED = 100_000
+
     def __init__(self, counts: list[tuple[str, int, str, int, int]]):
         self.langs = sorted({r[0] for r in counts})
         at = {x: i for i, x in enumerate(self.langs)}
-        totals: dict[int, np.ndarray] = {}
-        kept: dict[int, dict[str, np.ndarray]] = {n: {} for n in (0, *SIZES)}
+        totals = {n: np.ones(len(at)) for n in (0, *SIZES)}
+        self.rows: dict[int, dict[str, int]] = {n: {} for n in (0, *SIZES)}
+        sizes, seen = [], []
         for lang, n, item, count, total in counts:
-            kept[n].setdefault(item, np.zeros(len(at)))[at[lang]] = count
-            totals.setdefault(n, np.ones(len(at)))[at[lang]] = total
-        self.tables = {n: {item: (np.log(c + 0.5) - np.log(totals[n])).astype(np.float32) for item, c in items.items()} for n, items in kept.items() if items}
-        self.cache: dict[str, np.ndarray | None] = {}
+            row = self.rows[n].setdefault(item, len(sizes))
+            if row == len(sizes):
+                sizes.append(n)
+                seen.append(np.full(len(at), 0.5))
+            seen[row][at[lang]] += count
+            totals[n][at[lang]] = total
+        self.logs = np.log(np.array(seen).reshape(len(sizes), len(at))) - np.log(np.array([totals[n] for n in sizes]).reshape(len(sizes), len(at)))
+        self.cache: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self):
-        return {"langs": self.langs, "tables": self.tables, "cache": {}}
-
-    def word(self, word: str) -> np.ndarray | None:
-        """The word's log frequencies; for an unseen word the mean of its longest n-grams that were seen; None without any."""
-        known = self.tables.get(0, {}).get(word)
-        if known is not None:
-            return known
+        return self.__dict__ | {"cache": {}}
+
+    def found(self, word: str) -> tuple[int, ...]:
+        """The rows that score a word: its own, or for an unseen word those of its longest n-grams that were seen; none if none were."""
+        own = self.rows[0].get(word)
+        if own is not None:
+            return (own,)
+        padded = f"^{word}$"
         for n in SIZES:
-            table = self.tables.get(n, {})
-            found = [table[g] for g in grams(word, n) if g in table]
-            if found:
-                return np.mean(found, axis=0)
-        return None
+            known = self.rows[n]
+            text = padded if n > 1 else word
+            rows = tuple([known[g] for i in range(len(text) - n + 1) if (g := text[i : i + n]) in known])
+            if rows:
+                return rows
+        return ()
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.langs or not text or not any(map(str.isalpha, text)):
             return "und", 0.0
-        total, n = np.zeros(len(self.langs)), 0
+        rows: list[int] = []
+        weights: list[float] = []
+        n = 0
         for word, times in Counter(_word.findall(text.lower())).items():
-            if word not in self.cache:
-                if len(self.cache) >= 50_000:
-                    self.cache.clear()
-                self.cache[word] = self.word(word)
-            logs = self.cache[word]
-            if logs is not None:
-                total += times * logs
+            found = self.cache.get(word)
+            if found is None:
+                found = self.found(word)
+                if len(self.cache) < self.REMEMBERED:
+                    self.cache[word] = found
+            if found:
+                rows += found
+                weights += [times / len(found)] * len(found)  # a word's n-grams share its weight
                 n += times
         if not n:
             return self.langs[0], 1 / len(self.langs)
+        total = np.array(weights) @ self.logs[rows]
         mean = (total - total.max()) / n * min(n, 20)
         share = np.exp(mean) / np.exp(mean).sum()
         best = int(share.argmax())

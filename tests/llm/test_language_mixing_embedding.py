@@ -45,10 +45,10 @@ def test_language_held_out_accuracy(spark, sf):
 
 def test_backoff_takes_the_longest_seen_gram():
     model = language.Model([("a", 0, "word", 5, 10), ("b", 2, "wo", 3, 10), ("b", 5, "^wort", 3, 10), ("a", 1, "x", 1, 10)])
-    assert model.word("word") is model.tables[0]["word"]
-    assert np.allclose(model.word("wort"), model.tables[5]["^wort"])
-    assert np.allclose(model.word("woq"), model.tables[2]["wo"])
-    assert np.allclose(model.word("xy"), model.tables[1]["x"]) and model.word("q") is None
+    row = {n: {item: (r,) for item, r in items.items()} for n, items in model.rows.items()}
+    assert model.found("word") == row[0]["word"] and model.found("wort") == row[5]["^wort"]
+    assert model.found("woq") == row[2]["wo"] and model.found("xy") == row[1]["x"] and model.found("q") == ()
+    assert np.allclose(model.logs[row[2]["wo"][0]], np.log([0.5, 3.5]) - np.log([1, 10]))
 
 
 def mix_rows():
