@@ -287,3 +287,46 @@ def sign_flip(deltas: DataFrame, exact: int = 15, draws: int = 10_000, seed: int
     hits = flipped.select("mean_delta", (total(signed) >= total(F.col("d")) - 1e-12).alias("hit")).groupBy("mean_delta").agg(F.count_if("hit").alias("hits"), F.count("*").alias("all"))
     share = F.col("hits") / F.col("all") if n <= exact else (F.col("hits") + 1) / (F.col("all") + 1)
     return hits.select(F.lit(n).alias("n"), "mean_delta", share.alias("p_value"))
+
+
+# Relationship tasks, the roles of their predictors and of their target.
+TASKS = {
+    "preparation_to_xps": (("preparation",), "xps"),
+    "preparation_xps_to_structure": (("preparation", "xps"), "structure"),
+    "xps_to_structure": (("xps",), "structure"),
+    "xps_to_performance": (("xps",), "performance"),
+    "structure_to_performance": (("structure",), "performance"),
+    "chain_to_performance": (("preparation", "xps", "structure"), "performance"),
+}
+#: Predictors of a study, at most.
+MOST_PREDICTORS = 40
+
+
+def check_study(task: str, target: str, groups: dict[str, list[str]], controls: list[str], roles_of: dict[str, str]) -> None:
+    """Raises unless the columns suit the task: the target's role, each predictor's, test conditions as controls, no column twice, none too many."""
+    inputs, output = TASKS[task]
+    if roles_of.get(target) != output:
+        raise ValueError(f"the target must be a column of role {output}")
+    if set(groups) - set(inputs) or not any(groups.values()):
+        raise ValueError(f"predictors must be of the roles {inputs}")
+    if wrong := [c for role, columns in groups.items() for c in columns if roles_of.get(c) != role] + [c for c in controls if roles_of.get(c) != "test_condition"]:
+        raise ValueError(f"columns of another role: {wrong}")
+    chosen = [c for columns in groups.values() for c in columns] + controls
+    if len(set(chosen)) != len(chosen) or target in chosen:
+        raise ValueError("a column is chosen twice")
+    if len(chosen) > MOST_PREDICTORS:
+        raise ValueError("too many predictors")
+
+
+def feature_sets(groups: dict[str, list[str]], controls: list[str], derived: list[str] | None = None) -> dict[str, list[str]]:
+    """Named predictor lists that are compared on the same rows: the controls alone (or the training mean), each role with them, all together, and, with derived columns among them, the measured ones alone."""
+    sets = {"controls" if controls else "training_mean": list(controls)}
+    filled = {role: columns for role, columns in groups.items() if columns}
+    for role, columns in filled.items():
+        sets[role] = [*controls, *columns]
+    every = [*controls, *(c for columns in filled.values() for c in columns)]
+    if len(filled) > 1:
+        sets["combined"] = every
+    if derived and set(derived) & set(every):
+        sets["measured_only"] = [c for c in every if c not in derived]
+    return sets

@@ -248,3 +248,14 @@ def test_files(spark, tmp_path):
     (tmp_path / "j" / "b.json").write_text("{broken")
     (tmp_path / "j" / "c.json").write_text('{"status": "x"}')
     assert [r.task_id for r in files.journals(spark, str(tmp_path / "j")).collect()] == ["a"]
+
+
+def test_relationship_studies():
+    roles_of = {"m": "preparation", "n": "xps", "d": "xps", "t": "structure", "p": "test_condition", "f": "performance"}
+    groups = {"preparation": ["m"], "xps": ["n", "d"]}
+    validation.check_study("preparation_xps_to_structure", "t", groups, ["p"], roles_of)
+    for task, target, chosen, controls in (("xps_to_structure", "f", {"xps": ["n"]}, []), ("xps_to_structure", "t", {"preparation": ["m"]}, []), ("xps_to_structure", "t", {"xps": ["m"]}, []), ("xps_to_structure", "t", {"xps": ["n", "n"]}, []), ("xps_to_structure", "t", {"xps": ["n"]}, ["m"])):
+        with pytest.raises(ValueError):
+            validation.check_study(task, target, chosen, controls, roles_of)
+    assert validation.feature_sets(groups, ["p"], ["d"]) == {"controls": ["p"], "preparation": ["p", "m"], "xps": ["p", "n", "d"], "combined": ["p", "m", "n", "d"], "measured_only": ["p", "m", "n"]}
+    assert validation.feature_sets({"xps": ["n"]}, []) == {"training_mean": [], "xps": ["n"]}
