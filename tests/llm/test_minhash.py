@@ -4,7 +4,6 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from spectraloom.llm import minhash
 
