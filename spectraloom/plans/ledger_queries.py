@@ -15,7 +15,7 @@ from spectraloom.session import shared_dir, table
 from spectraloom.streaming import jobs
 
 
-@query("SELECT event_type AS model, CASE WHEN event_id % 3 = 0 THEN 'cache_hit' ELSE 'succeeded' END AS status, count(*) AS requests, sum(event_id % 100) AS input_tokens, sum(user_id) AS output_tokens FROM events GROUP BY ALL")
+@query("SELECT event_type AS model, CASE WHEN event_id % 3 = 0 THEN 'cache_hit' ELSE 'succeeded' END AS status, count(*) AS requests, CAST(sum(event_id % 100) AS BIGINT) AS input_tokens, CAST(sum(user_id) AS BIGINT) AS output_tokens FROM events GROUP BY ALL")
 def a02_ledger_usage(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), F.when(F.col("event_id") % 3 == 0, "cache_hit").otherwise("succeeded").alias("status"), (F.col("event_id") % 100).alias("input_tokens"), F.col("user_id").alias("output_tokens"))
     return ledger.usage(rows)
@@ -70,7 +70,7 @@ def a18_conversation_listing(spark, sf_dir):
     return ledger.listing(convs(spark, sf_dir), turns(spark, sf_dir), False)
 
 
-@query("SELECT conv_id AS conversation_id, string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS markdown, sum(length(text)) AS chars FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id AS conversation_id, string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS markdown, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")
 def s08_exported_conversations(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("seq"), "role", "text")
     read = F.from_json("json", "array<struct<role:string, text:string>>")
@@ -284,7 +284,7 @@ def s03_file_inventory(spark, sf_dir):
     return counted.crossJoin(spark.read.parquet(at).agg(F.count("*").alias("rows")))
 
 
-@query("SELECT 'part' AS sheet, count(*) AS n, sum(p_size) AS total FROM part UNION ALL SELECT 'supplier', count(*), NULL FROM supplier")
+@query("SELECT 'part' AS sheet, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS total FROM part UNION ALL SELECT 'supplier', count(*), NULL FROM supplier")
 def s07_exported_sheets(spark, sf_dir):
     at = f"{shared_dir(spark)}/sheets-{uuid.uuid4().hex}"
     files.export_sheets({("book", "part"): table(spark, sf_dir, "part"), ("book", "supplier"): table(spark, sf_dir, "supplier")}, at)

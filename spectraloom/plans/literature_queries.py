@@ -81,7 +81,7 @@ def _work(c):
     return F.to_json(F.struct(F.when(c % 4 != 0, F.concat(F.lit("https://doi.org/10.1234/W."), c % 300)).alias("doi"), F.when(c % 8 != 0, F.concat(F.lit("Work "), c)).alias("title"), (1990 + c % 30).cast("int").alias("publication_year"), F.concat(F.lit("https://o.org/W"), c % 300).alias("id"), location.alias("best_oa_location")))  # noqa: E501
 
 
-WORKS_SQL = """(SELECT doc_id AS seq, CASE WHEN doc_id % 4 <> 0 THEN '10.1234/w.' || (doc_id % 300) END AS doi, CASE WHEN doc_id % 8 <> 0 THEN 'Work ' || doc_id ELSE 'Untitled' END AS title, 1990 + doc_id % 30 AS year, 'W' || (doc_id % 300) AS external_id,
+WORKS_SQL = """(SELECT doc_id AS seq, CASE WHEN doc_id % 4 <> 0 THEN '10.1234/w.' || (doc_id % 300) END AS doi, CASE WHEN doc_id % 8 <> 0 THEN 'Work ' || doc_id ELSE 'Untitled' END AS title, CAST(1990 + doc_id % 30 AS INT) AS year, 'W' || (doc_id % 300) AS external_id,
   CASE WHEN doc_id % 2 = 0 THEN 'http://pdf/' || doc_id END AS pdf_url, CASE WHEN doc_id % 3 = 0 THEN 'http://page/' || doc_id ELSE 'https://o.org/W' || (doc_id % 300) END AS landing_url,
   CASE WHEN doc_id % 4 <> 0 THEN 'doi:10.1234/w.' || (doc_id % 300) ELSE 'id:W' || (doc_id % 300) END AS doc_key FROM documents)"""
 
@@ -96,7 +96,7 @@ def s04_works_to_documents(spark, sf_dir):
 
 
 @query(f"""
-SELECT batch, doc_key, seq, row_number() OVER (PARTITION BY batch ORDER BY seq) AS position FROM (SELECT seq // 400 AS batch, doc_key, min(seq) AS seq FROM {WORKS_SQL} GROUP BY ALL)""")
+SELECT batch, doc_key, seq, CAST(row_number() OVER (PARTITION BY batch ORDER BY seq) AS INT) AS position FROM (SELECT seq // 400 AS batch, doc_key, min(seq) AS seq FROM {WORKS_SQL} GROUP BY ALL)""")
 def w02_first_hits_of_a_batch(spark, sf_dir):
     made = hits(spark, sf_dir).select(F.floor(F.col("seq") / 400).alias("batch"), "doc_key", "seq")
     return literature.batch_hits(made, ["doc_key"], "batch", "seq")
@@ -144,7 +144,7 @@ def j08_queue_selection(spark, sf_dir):
 
 
 PAGES_SQL = f"(SELECT doc_key, page, image_count, CAST({TERMS_SQL} AS BIGINT) AS score, doc_id FROM (SELECT *, lower(claim) AS t FROM {CLAIMS_SQL}))"
-PLAN_SQL = f"(SELECT doc_key, page, row_number() OVER (PARTITION BY doc_key ORDER BY score DESC, image_count > 0 DESC, page) AS rank FROM {PAGES_SQL} WHERE score >= 4 QUALIFY rank <= 4)"
+PLAN_SQL = f"(SELECT doc_key, page, CAST(row_number() OVER (PARTITION BY doc_key ORDER BY score DESC, image_count > 0 DESC, page) AS INT) AS rank FROM {PAGES_SQL} WHERE score >= 4 QUALIFY rank <= 4)"
 
 
 def plan(spark, sf_dir):
@@ -162,7 +162,7 @@ def a17_planned_pages(spark, sf_dir):
     return literature.plan_list(plan(spark, sf_dir))
 
 
-@query(f"SELECT count(*) AS documents, sum(n) AS pages, (SELECT count(*) FROM documents) - count(*) AS without_pages FROM (SELECT doc_key, count(*) AS n FROM {PLAN_SQL} GROUP BY doc_key)")
+@query(f"SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS pages, (SELECT count(*) FROM documents) - count(*) AS without_pages FROM (SELECT doc_key, count(*) AS n FROM {PLAN_SQL} GROUP BY doc_key)")
 def a17_plan_totals(spark, sf_dir):
     made = literature.plan_list(plan(spark, sf_dir)).agg(F.count("*").alias("documents"), F.sum("n").alias("pages"))
     return made.crossJoin(table(spark, sf_dir, "documents").agg(F.count("*").alias("all"))).select("documents", "pages", (F.col("all") - F.col("documents")).alias("without_pages"))
@@ -187,7 +187,7 @@ def j09_pages_to_resume(spark, sf_dir):
 
 
 @query(f"""
-SELECT count(DISTINCT doc_key) AS documents, count(*) AS pages, sum(evidence_count) AS evidence, count(DISTINCT doc_key) FILTER (status = 'failed') AS failed_documents, count(*) FILTER (from_checkpoint) AS checkpoint_hits, count(*) FILTER (status = 'failed') AS errors FROM {RUNS_SQL}""")
+SELECT count(DISTINCT doc_key) AS documents, count(*) AS pages, CAST(sum(evidence_count) AS BIGINT) AS evidence, count(DISTINCT doc_key) FILTER (status = 'failed') AS failed_documents, count(*) FILTER (from_checkpoint) AS checkpoint_hits, count(*) FILTER (status = 'failed') AS errors FROM {RUNS_SQL}""")
 def a22_extraction_totals(spark, sf_dir):
     return literature.extraction_totals(runs(spark, sf_dir))
 
@@ -270,14 +270,14 @@ def i05_checkpoint_upsert(spark, sf_dir):
 
 
 @query(f"""
-SELECT kind, evidence_id, place FROM (SELECT kind, evidence_id, row_number() OVER (PARTITION BY kind ORDER BY confidence DESC NULLS LAST, created_at DESC, evidence_id) AS place FROM {CLAIMS_SQL} WHERE kind <> 'other') WHERE place <= 20""")
+SELECT kind, evidence_id, place FROM (SELECT kind, evidence_id, CAST(row_number() OVER (PARTITION BY kind ORDER BY confidence DESC NULLS LAST, created_at DESC, evidence_id) AS INT) AS place FROM {CLAIMS_SQL} WHERE kind <> 'other') WHERE place <= 20""")
 def w03_context_evidence(spark, sf_dir):
     """Twenty a kind are the feature."""
     return literature.context_evidence(claims(spark, sf_dir)).select("kind", "evidence_id", "place")
 
 
 @query(f"""
-SELECT lang, source, place FROM (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY n DESC, source) AS place FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL)) WHERE place <= 4""")
+SELECT lang, source, place FROM (SELECT lang, source, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, source) AS INT) AS place FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL)) WHERE place <= 4""")
 def w05_top_fields_of_a_role(spark, sf_dir):
     """Four a role are the feature; languages stand for roles, sources for fields."""
     counts = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))

@@ -139,7 +139,7 @@ def c13_c14_numeric_columns(spark, sf_dir):
     return made.select("column", F.round(share, 9).alias("numeric_fraction"), F.when(roles.is_quality("column"), "quality").otherwise("shape").alias("kind"))
 
 
-@query(f"""SELECT "column", row_number() OVER (ORDER BY coverage DESC, "column") AS place FROM {CATALOG_SQL} WHERE numeric_count >= 3""")
+@query(f"""SELECT "column", CAST(row_number() OVER (ORDER BY coverage DESC, "column") AS INT) AS place FROM {CATALOG_SQL} WHERE numeric_count >= 3""")
 def c16_candidate_columns(spark, sf_dir):
     """The catalog has one row a column: ranking it in one task is bounded by the table's width."""
     from pyspark.sql import Window

@@ -137,7 +137,7 @@ def c15_spectrum_columns(spark, sf_dir):
     summary_sql(REGULAR_SQL)
     + """, l AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) AS sample FROM lineitem),
 j AS (SELECT l.*, f.centroid, sqrt(greatest(f.variance, 0)) AS spread FROM l JOIN f ON f.spectrum_id = l.l_partkey AND f.reason IS NULL)
-SELECT l_suppkey AS reference, count(*) AS n_records, max(sample) AS last_sample, round(avg(spread), 6) AS mean_spread, round(quantile_cont(l_extendedprice, 0.1), 6) AS target_p10,
+SELECT l_suppkey AS reference, count(*) AS n_records, CAST(max(sample) AS INT) AS last_sample, round(avg(spread), 6) AS mean_spread, round(quantile_cont(l_extendedprice, 0.1), 6) AS target_p10,
   round(quantile_cont(l_extendedprice, 0.5), 6) AS target_p50, round(quantile_cont(l_extendedprice, 0.9), 6) AS target_p90, round(corr(spread, l_extendedprice), 6) AS spread_target_corr FROM j GROUP BY l_suppkey"""
 )
 def flagship_broad_spectra(spark, sf_dir):

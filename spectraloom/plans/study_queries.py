@@ -206,7 +206,7 @@ def m06_train_only_statistics(spark, sf_dir):
 @query(f"""
 WITH o AS (SELECT DISTINCT fold AS "outer" FROM {FOLDS_SQL}), r AS (SELECT * FROM {GAPS_SQL}),
 m AS (SELECT "outer", median(q) AS mq FROM r JOIN o ON fold <> "outer" GROUP BY "outer"),
-f AS (SELECT r.*, o."outer", fold <> o."outer" AS is_train, coalesce(q, mq) AS fq, CASE WHEN q IS NULL THEN 1.0 ELSE 0.0 END AS miss_q FROM r, o JOIN m ON m."outer" = o."outer"),
+f AS (SELECT r.*, o."outer", fold <> o."outer" AS is_train, coalesce(q, mq) AS fq, CASE WHEN q IS NULL THEN 1.0::DOUBLE ELSE 0.0 END AS miss_q FROM r, o JOIN m ON m."outer" = o."outer"),
 s AS (SELECT "outer", avg(fq) AS mu, stddev_pop(fq) AS sd FROM f WHERE is_train GROUP BY "outer")
 SELECT f."outer", is_train, count(*) AS n, round(sum(miss_q), 6) AS miss_q, round(sum((fq - mu) / sd), 3) + 0.0 AS z_q, count(*) FILTER (l_returnflag = 'A') AS is_a FROM f JOIN s ON s."outer" = f."outer" GROUP BY f."outer", is_train""")
 def m06_prepared_rows(spark, sf_dir):
