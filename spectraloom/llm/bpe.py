@@ -20,6 +20,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spectraloom.llm.textbatch import small_batches
+
 #: Code points of a chunk without its overlap, and of the overlap.
 CHUNK, OVERLAP = 32768, 1024
 
@@ -93,6 +95,7 @@ def encode(
     encoded where it is read; only longer texts are shuffled.
     """
     spark = df.sparkSession
+    small_batches(spark)
     encoded = _encode_udf(spark, ranks_file(ranks), pattern)
     df = df.drop(ids_col)
     kept = [F.col(f"`{c}`") for c in df.columns]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.llm.textbatch import mixed
+from spectraloom.llm.textbatch import mixed, small_batches
 from spectraloom.session import shuffle_width
 
 PHASES, BLOCK, SAMPLES = 128, 2048, 32
@@ -155,6 +155,7 @@ def in_order(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     One shuffle of the texts: ranges are cut at ids that occur in the data, and the rows of
     those ids go to the range before them too (those of the smallest id to the last range).
     """
+    small_batches(df.sparkSession)
     width = shuffle_width(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     cuts = F.percentile_approx("id", F.array(*[F.lit(i / width) for i in range(1, width)]), F.lit(20 * width)) if width > 1 else F.array()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spectraloom.llm.textbatch import spread, steps, struct_udf
+from spectraloom.llm.textbatch import small_batches, spread, steps, struct_udf
 
 _word = re.compile(r"[^\W\d_]+")
 #: Sizes of the n-grams that unseen words fall back to, in this order.
@@ -133,6 +133,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", sample: int = 2000, items: int
 
     Of each language and size the most frequent words and n-grams are kept, `items` over all of them.
     """
+    small_batches(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col(f"`{id_col}`").isNotNull() & ~held_out(id_col))
     # two ranks: first inside slices of a language, so that no task ranks all of a frequent one
     order = lambda *keys: Window.partitionBy("lang", *keys).orderBy(F.xxhash64("__id"), "__id")

@@ -111,8 +111,21 @@ def struct_udf(schema: StructType, work: Callable[[pa.Array], list[pa.Array]], m
     return F.arrow_udf(run, schema)
 
 
+#: Rows of an Arrow batch: whole texts are long, and both sides hold a batch several times.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS where they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def spread(df, column, name: str, udf):
     """`df` with the fields of `udf(column)` after its columns; a column of the same name is replaced."""
+    small_batches(df.sparkSession)
     fields = udf.returnType.fieldNames()
     kept = [c for c in df.columns if c.lower() not in {f.lower() for f in fields}]
     held = df.select(*[F.col(f"`{c}`") for c in kept], udf(column).alias(name))
