@@ -11,6 +11,7 @@ import datetime
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -31,7 +32,8 @@ _patterns = (
     ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)\x20?[0-9]{3,4}[\x20.-]?[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[\x20.-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])"),
 )
 _any = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _patterns))
-_trace = re.compile(r"[0-9]{3}|@|[0-9]\.[0-9]|[0-9]/[0-9]|[A-Z]{2}[0-9]{2}")
+# Every match of a pattern holds one of these.
+_trace = re.compile(r"[0-9]{3}|@|[0-9][\x20./-][0-9]|\+[0-9]|[A-Z]{2}[0-9]{2}")
 RESULT = T.StructType([T.StructField("pseudonymised", T.StringType()), T.StructField("spans", T.StringType()), *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS]])
 
 
@@ -194,28 +196,34 @@ def replaced(key: bytes, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         return text, []
     out, spans, done, at = [], [], 0, 0
     while m := _any.search(text, at):
-        kind = m.lastgroup
-        new = pseudonym(key, kind, m[0])
+        start = m.start()
+        # not valid: a shorter match or the next pattern that begins here may be
+        for kind in KINDS[KINDS.index(m.lastgroup) :]:
+            end, new = next(((e, made) for e in _ends(kind, text, start) if (made := pseudonym(key, kind, text[start:e])) is not None), (0, None))
+            if new is not None:
+                break
         if new is None:
-            # not valid: the next pattern that begins here may be
-            order = [k for k, _ in _patterns]
-            for other in order[order.index(kind) + 1 :]:
-                n = _single[other].match(text, m.start())
-                if n and (new := pseudonym(key, other, n[0])) is not None:
-                    kind, m = other, n
-                    break
-        if new is None:
-            at = m.start() + 1
+            at = start + 1
             continue
-        out += [text[done : m.start()], new]
-        spans.append((kind, m.start(), m.end()))
-        done = at = m.end()
+        out += [text[done:start], new]
+        spans.append((kind, start, end))
+        done = at = end
     return "".join(out) + text[done:], spans
 
 
 _single = {k: re.compile(p) for k, p in _patterns}
 
 
+def _ends(kind: str, text: str, start: int) -> Iterator[int]:
+    """Ends of the kind's matches that begin at `start`: the longest first, then those before a separator in it, as a value may have taken in the number or word that follows."""
+    m = _single[kind].match(text, start)
+    if m:
+        yield m.end()
+        for end in [x.start() for x in re.finditer(r"[\x20.-]", m[0])][::-1]:
+            if _single[kind].fullmatch(text, start, start + end):
+                yield start + end
+
+
 def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """Replaces the text by its pseudonymised form and adds spans (kind:start:end, comma-joined, in the old text) and n_<kind>.
 

@@ -73,3 +73,31 @@ def test_distinct_values_stay_distinct():
     cards = {c + pii.luhn_digit(c) for c in (str(rng.randrange(10**14, 10**15)) for _ in range(500))}
     made = {pii.pseudonym(b"key", "card", c) for c in cards}
     assert len(made) == len(cards) and all(pii.luhn_digit(c[:-1]) == c[-1] for c in made)
+
+
+@pytest.mark.parametrize("value", ["+33 12 34 56 78", "+49 30 12 34 56", "41 11 11 11 11 11 11 11"])
+def test_values_without_long_digit_runs_are_linked(value):
+    alone, spans = pii.replaced(b"key", f"call {value}, ok")
+    beside, _ = pii.replaced(b"key", f"call {value}, ok 1234")
+    assert len(spans) == 1 and value not in alone and beside == alone + " 1234"
+
+
+@pytest.mark.parametrize(
+    ("kind", "value", "after"),
+    [("card", "4111 1111 1111 1111", " 12/27"), ("card", "4111-1111-1111-1111", " 737"), ("card", "4111 1111 1111 1111", " 2"), ("iban", "AT61 1904 3002 3457 3201", " EUR"), ("iban", "AT611904300234573201", " BIC")],
+)
+def test_values_before_other_digits_or_words_are_linked(kind, value, after):
+    alone, _ = pii.replaced(b"key", f"pay {value}")
+    made, spans = pii.replaced(b"key", f"pay {value}{after}")
+    assert made == alone + after and value not in made and spans == [(kind, 4, 4 + len(value))]
+
+
+def test_every_pattern_shows_a_trace():
+    rng = random.Random(3)
+    seen = set()
+    for _ in range(60000):
+        text = "".join(rng.choice(["+", "1", "23", "456", "7890", "(", ")", " ", "-", ".", "/", "@", "AB", "c"]) for _ in range(rng.randint(3, 16)))
+        if m := pii._any.search(text):
+            seen.add(m.lastgroup)
+            assert pii._trace.search(text), text
+    assert {"card", "phone", "email"} <= seen
