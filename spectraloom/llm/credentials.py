@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spectraloom.llm.textbatch import LOWER, spread, struct_udf, text_bytes
+from spectraloom.llm.textbatch import LOWER, spread, struct_udf, text_bytes, word_spans
 from spectraloom.session import checkpointed
 
 KINDS = ("assign", "access", "hex", "grammar")
@@ -53,10 +53,10 @@ def candidates(text: str, taken: list[tuple[str, int, int, str]]) -> list[tuple[
     return out
 
 
-def _runs(mask: np.ndarray, least: int) -> np.ndarray:
-    """Starts of the runs of `least` or more."""
-    edges = np.flatnonzero(np.diff(mask, prepend=False, append=False))
-    return edges[::2][(edges[1::2] - edges[::2]) >= least]
+def _runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, least: int) -> np.ndarray:
+    """Starts of the runs of `least` or more, cut at text ends."""
+    starts, ends, _ = word_spans(data, offsets, inside[data])
+    return starts[ends - starts >= least]
 
 
 def _scan(texts: pa.Array) -> list:
@@ -64,7 +64,7 @@ def _scan(texts: pa.Array) -> list:
     data, offsets = text_bytes(texts)
     lower = LOWER[data].tobytes()
     raw = data.tobytes()
-    hits = [_runs(_is_hex[data], 24), _runs(_is_token[data], 16)]
+    hits = [_runs(data, offsets, _is_hex, 24), _runs(data, offsets, _is_token, 16)]
     for where, words in ((raw, (b"AKIA",)), (lower, _keywords)):
         for word in words:
             at, found = where.find(word), []
@@ -73,8 +73,6 @@ def _scan(texts: pa.Array) -> list:
                 at = where.find(word, at + 1)
             hits.append(np.array(found, np.int64))
     marked = set((np.searchsorted(offsets, np.concatenate(hits), "right") - 1).tolist())
-    # a run may begin in the text before
-    marked |= {i + 1 for i in marked if i + 1 < len(texts)}
     base, rest = [[] for _ in range(len(texts))], [[] for _ in range(len(texts))]
     for i in marked:
         text = raw[offsets[i] : offsets[i + 1]].decode()

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from spectraloom.llm import credentials, pii
@@ -101,3 +102,14 @@ def test_every_pattern_shows_a_trace():
             seen.add(m.lastgroup)
             assert pii._trace.search(text), text
     assert {"card", "phone", "email"} <= seen
+
+
+@pytest.mark.parametrize("make", [lambda k: ["the surface", "", None, k(26)], lambda k: [k(32)] * 6, lambda k: [k(24) + " x", "", k(5), k(30), "", "z" + k(40)], lambda k: [k(10).upper() + "+/" + k(9).upper()] * 4])
+def test_scan_is_that_of_each_text_alone(make):
+    rng = random.Random(4)
+    texts = make(lambda n: "".join(rng.choice(HEX) for _ in range(n)))
+    base, rest = credentials._scan(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        want = credentials.base_spans(t or "")
+        assert [(s["kind"], s["start"], s["end"]) for s in base[i]] == brute_base(t), texts
+        assert [s["value"] for s in rest[i]] == [c[3] for c in credentials.candidates(t or "", want)], texts
