@@ -20,9 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from spectraloom.llm.minhash import components
 from spectraloom.llm.textbatch import mixed, small_batches
-from spectraloom.session import shuffle_width
+from spectraloom.session import checkpointed, shuffle_width
 
 PHASES, BLOCK, SAMPLES = 128, 2048, 32
 #: Octaves of the walk that are sampled: enough for 2^45 steps.
@@ -217,21 +219,22 @@ def neighbour_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return ordered.mapInArrow(run, ddl).withColumnRenamed("id", id_col)
 
 
-#: Bands of a fingerprint's octave and sampled digits of each.
-BANDS, DIGITS = 12, 5
+#: Digits of a band: every run of so many samples in an octave, as edits spoil runs of samples too. A key has 2^32 values.
+DIGITS = 8
+#: Members of a key whose texts meet in one task.
+MEMBERS = 128
 
 
 def band_keys(print_col: str) -> Column:
-    """Keys of bit-sampled bands over the three highest full octaves: near copies share one, whichever octave their ends fall in."""
+    """Keys of bands over the three highest full octaves: near copies share one, whichever octave their ends fall in."""
     octaves = F.col(print_col)
     last = (F.length(octaves) / SAMPLES - 1).cast("int")
     keys = []
     for down in range(3):
         at = last - down
         part = F.substring(octaves, at * SAMPLES + 1, F.lit(SAMPLES))
-        for b in range(BANDS):
-            picks = (mixed(np.arange(DIGITS, dtype=np.uint64) + np.uint64(97 * b + 1)) % np.uint64(SAMPLES)).tolist()
-            keys.append(F.when((at >= 0) & ((down > 0) | (last == 0) | ~part.contains(".")), F.concat_ws(":", at, F.lit(b), *[F.substring(part, int(p) + 1, 1) for p in picks])))
+        for b in range(SAMPLES - DIGITS + 1):
+            keys.append(F.when((at >= 0) & ((down > 0) | (last == 0) | ~part.contains(".")), F.concat_ws(":", at, F.lit(b), F.substring(part, b + 1, DIGITS))))
     return F.array_compact(F.array(*keys))
 
 
@@ -255,12 +258,18 @@ def edits(a: str, b: str, most: int) -> int | None:
 
 
 def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 20) -> DataFrame:
-    """(id_a, id_b, edits): documents whose texts are at most `most` edits apart, each with the smallest id of a band they share.
+    """(id_a, id_b, edits), id_a < id_b: documents whose texts are at most `most` edits apart, as many pairs as connect all that are so near and share a text or a band.
 
-    A band's documents are compared with its first alone, so rows grow with the documents, not with their pairs.
+    Equal texts go with their smallest id. A band's other documents are compared with its
+    first; where that leaves a band in several components, those are compared with each
+    other, in memory. Rows that repeat an id count as one document.
     """
-    prints = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("print", fingerprint("text"))
-    keyed = prints.select("id", F.explode(band_keys("print")).alias("key"))
+    small_batches(df.sparkSession)
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).where("id is not null").groupBy("id").agg(F.min("text").alias("text"))
+    marked = checkpointed(docs.withColumn("print", fingerprint("text")).select("id", F.sha2("text", 256).alias("digest"), band_keys("print").alias("keys")))
+    own = marked.groupBy("digest").agg(F.min("id").alias("id_a"))
+    copies = marked.join(own, "digest").where("id_a < id").select("id_a", F.col("id").alias("id_b"), F.lit(0).alias("edits"))
+    keyed = checkpointed(marked.join(own.select(F.col("id_a").alias("id")), "id", "left_semi").select("id", F.explode("keys").alias("key")))
     firsts = keyed.groupBy("key").agg(F.min("id").alias("id_a"), F.count("*").alias("n")).where("n > 1").drop("n")
     pairs = keyed.join(firsts, "key").where("id_a < id").select("id_a", F.col("id").alias("id_b")).distinct()
 
@@ -268,6 +277,52 @@ def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
         return pa.array([edits(x, y, most) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
 
     check.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
-    texts = prints.select("id", "text").dropDuplicates(["id"])
-    both = pairs.join(texts.toDF("id_a", "text_a"), "id_a").join(texts.toDF("id_b", "text_b"), "id_b")
-    return both.select("id_a", "id_b", F.arrow_udf(check, "int")("text_a", "text_b").alias("edits")).where("edits is not null")
+    both = pairs.join(docs.toDF("id_a", "text_a"), "id_a").join(docs.toDF("id_b", "text_b"), "id_b")
+    links = checkpointed(both.select("id_a", "id_b", F.arrow_udf(check, "int")("text_a", "text_b").alias("edits")).where("edits is not null"))
+    return copies.union(links).union(_torn_pairs(keyed, links, docs, most))
+
+
+def _torn_pairs(keyed: DataFrame, links: DataFrame, docs: DataFrame, most: int) -> DataFrame:
+    """(id_a, id_b, edits) that connect near documents of one key which `links` leaves in different components."""
+    parts = components(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).withColumnRenamed("node", "id")
+    rows = keyed.join(parts, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
+    torn = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks")).where("x < y")
+    met = rows.join(torn.drop("x", "y"), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "component").join(docs, "id")
+    together = dealt.select("key", "low", "high", "own", "id", "component", "text").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            for key, low, high, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and group != (key, low, high):
+                    yield pa.RecordBatch.from_pylist(_joined(held, group[1] != group[2], most), schema)
+                    held = []
+                group = (key, low, high)
+                held.append(row)
+        if held:
+            yield pa.RecordBatch.from_pylist(_joined(held, group[1] != group[2], most), schema)
+
+    kind = docs.schema["id"].dataType
+    schema = pa.schema([("id_a", to_arrow_type(kind)), ("id_b", to_arrow_type(kind)), ("edits", pa.int32())])
+    return together.mapInArrow(compare, f"id_a {kind.simpleString()}, id_b {kind.simpleString()}, edits int").dropDuplicates(["id_a", "id_b"])
+
+
+def _joined(members: list, across: bool, most: int) -> list[dict]:
+    """Pairs of (block, id, component, text), by ascending id, that join two components; `across`: of different blocks only."""
+    up = {}
+
+    def top(x):
+        while x in up:
+            x = up[x]
+        return x
+
+    out = []
+    for j, (own, b, right, y) in enumerate(members):
+        for block, a, left, x in members[:j]:
+            if (across and block == own) or abs(len(x) - len(y)) > most or top(left) == top(right):
+                continue
+            if (d := edits(x, y, most)) is not None:
+                out.append({"id_a": a, "id_b": b, "edits": d})
+                up[top(right)] = top(left)
+    return out

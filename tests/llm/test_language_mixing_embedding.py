@@ -161,3 +161,60 @@ def test_near_pairs_finds_planted_copies(spark):
     rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t[:50] + "Q" + t[50:200] + t[203:]) for i, t in enumerate(texts)] + [(999, None)]
     got = {(r.id_a, r.id_b): r.edits for r in editembed.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(got) <= {(i, 100 + i) for i in range(30)} and len(got) >= 27 and set(got.values()) == {4}
+
+
+def shared_keys(spark, texts):
+    """Whether two texts share a band key."""
+    prints = spark.createDataFrame(list(enumerate(editembed.fingerprints(texts))), "id long, print string")
+    keys = {r[0]: set(r[1]) for r in prints.select("id", editembed.band_keys("print")).collect()}
+    return lambda a, b: bool(keys[a] & keys[b])
+
+
+def test_near_pairs_behind_an_unrelated_first(spark):
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choice("abcdefghijkl mnop") for _ in range(n))
+    # in each family the first is 25 edits from the others, which are 2 apart: they share its bands
+    rows = []
+    for i in range(0, 400, 4):
+        t = text(1500)
+        other = t[:700] + "Q" * 25 + t[725:]
+        rows += [(i, t), (i + 1, other), (i + 2, other[:100] + "XY" + other[102:]), (i + 3, text(1500))]
+    rows += [(1000 + i, "" if i % 2 else None) for i in range(4)]
+    got = {(r.id_a, r.id_b): r.edits for r in editembed.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    share = shared_keys(spark, [t or "" for _, t in rows])
+    near = {(i + 1, i + 2): 2 for i in range(0, 400, 4) if share(i + 1, i + 2)}
+    assert len(near) >= 90 and sum(share(i, i + 1) and share(i, i + 2) for i in range(0, 400, 4)) >= 50
+    assert {k: v for k, v in got.items() if k[0] < 1000} == near
+    assert {k: v for k, v in got.items() if k[0] >= 1000} == {(1000, 1000 + i): 0 for i in range(1, 4)}
+
+
+def test_near_pairs_connect_chains(spark):
+    rng = random.Random(14)
+    t = "".join(rng.choice("abcdefghijkl mnop") for _ in range(3000))
+    rows = []
+    for i in range(12):  # each is 15 edits from the one before, and 30 and more from all others
+        rows.append(((i * 5) % 12, t))
+        at = 200 * i + 100
+        t = t[:at] + "Q" * 15 + t[at + 15 :]
+    got = editembed.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.id_a, r.id_b) for r in got} == {tuple(sorted((a[0], b[0]))) for a, b in zip(rows, rows[1:], strict=False)} and {r.edits for r in got} == {15}
+
+
+@pytest.mark.parametrize("members", [3, 1000])
+def test_near_pairs_in_blocks(spark, monkeypatch, members):
+    monkeypatch.setattr(editembed, "MEMBERS", members)
+    rng = random.Random(15)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(3, 12))) for _ in range(40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    share = shared_keys(spark, texts)
+    pairs = [(r.id_a, r.id_b) for r in editembed.near_pairs(frame, most=2).collect()]
+    parts = {i: {i} for i in range(40)}
+    for a, b in pairs:
+        assert a < b and editembed.edits(texts[a], texts[b], 2) is not None
+        parts[a] |= parts[b]
+        for x in parts[a]:
+            parts[x] = parts[a]
+    for a in range(40):
+        for b in range(a):
+            if editembed.edits(texts[a], texts[b], 2) is not None and share(a, b):
+                assert b in parts[a], (texts[a], texts[b])
