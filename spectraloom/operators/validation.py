@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from operator import and_
 
@@ -14,13 +15,16 @@ from pyspark.sql.types import IntegerType
 
 from spectraloom.functions import scalars
 from spectraloom.operators import descriptors
-from spectraloom.session import numbered, running
+from spectraloom.session import checkpointed, numbered, running
 
 # Texts that name no group.
 NO_GROUP = ("", "nan", "none", "nat", "inf", "-inf")
 #: Fewest rows and groups of a study.
 LEAST_ROWS, LEAST_GROUPS = 12, 3
+#: Candidates of the linear models (kind, alpha, l1) and of the forest (depth, least rows of a leaf); depth 30 is the learner's deepest, for no limit.
 RIDGE = (1.0, 10.0)
+LINEAR = [("ridge", a, 0.0) for a in RIDGE] + [("net", a, r) for a in (0.001, 0.01, 0.1, 1.0, 10.0) for r in (0.05, 0.25, 0.5, 0.75, 0.95)]
+FOREST, TREES = [(d, leaf) for d in (30, 4, 8) for leaf in (1, 2, 4)], 400
 
 
 def valid_group(c: Column) -> Column:
@@ -199,7 +203,7 @@ def linear_study(rows: DataFrame, folds: DataFrame, nested: DataFrame, group: st
     (kind, alpha, l1); the first with the smallest inner error wins, each validation group
     weighing alike.
     """
-    grid = grid or [("ridge", a, 0.0) for a in RIDGE] + [("net", a, r) for a in (0.01, 0.1, 1.0) for r in (0.2, 0.8)]
+    grid = grid or LINEAR
     fit = lambda g, c: ridge(g, c[1]) if c[0] == "ridge" else elastic_net(g, c[1], c[2])
     held = rows.join(folds.select(group, "fold"), group)
     n = len(features) + 2
@@ -207,35 +211,59 @@ def linear_study(rows: DataFrame, folds: DataFrame, nested: DataFrame, group: st
     by_fold = {int(r["fold"]): gram_matrix(r, n) for _, r in own.iterrows()}
     total = sum(by_fold.values())
     cells = grams(rows.join(nested, group), ["outer", "inner"], features, target)
-    models, trials = {}, []
+    models, trials = {}, {}
     for outer, held_out in sorted(by_fold.items()):
         train = total - held_out
         for _, r in cells[cells["outer"] == outer].sort_values("inner").iterrows():
-            for i, c in enumerate(grid):
-                trials.append((outer, int(r["inner"]), i, [float(x) for x in fit(train - gram_matrix(r, n), c)]))
+            for c in grid:
+                trials.setdefault((outer, int(r["inner"])), []).append([float(x) for x in fit(train - gram_matrix(r, n), c)])
         models[outer] = train
     spark = rows.sparkSession
-    tried = spark.createDataFrame(trials, "outer int, inner int, candidate int, weights array<double>")
+    tried = spark.createDataFrame([(*k, w) for k, w in trials.items()], "outer int, inner int, weights array<array<double>>")
     x = F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features])
     dot = lambda w: F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    errors = rows.join(nested, group).join(F.broadcast(tried), ["outer", "inner"]).withColumn("miss", F.abs(F.col(target) - dot(F.col("weights"))))
-    scores = errors.groupBy("outer", "inner", "candidate", group).agg(F.avg("miss").alias("mae")).groupBy("outer", "inner", "candidate").agg(F.avg("mae").alias("mae")).groupBy("outer", "candidate").agg(F.avg("mae").alias("mae"))
-    best = {r["outer"]: r["candidate"] for r in scores.groupBy("outer").agg(F.min_by("candidate", F.struct("mae", "candidate")).alias("candidate")).collect()}
+    # an aggregate a candidate: rows aren't copied
+    miss = [F.avg(F.abs(F.col(target) - dot(F.col("weights")[i]))).alias(f"mae_{i}") for i in range(len(grid))]
+    errors = rows.join(nested, group).join(F.broadcast(tried), ["outer", "inner"]).groupBy("outer", "inner", group).agg(*miss)
+    mean = lambda df, *by: df.groupBy(*by).agg(*[F.avg(f"mae_{i}").alias(f"mae_{i}") for i in range(len(grid))])
+    best = {r["outer"]: min(range(len(grid)), key=lambda i: r[f"mae_{i}"]) for r in mean(mean(errors, "outer", "inner"), "outer").collect()}
     chosen = [(outer, *grid[best[outer]], [float(v) for v in fit(models[outer], grid[best[outer]])]) for outer in sorted(models)]
     final = spark.createDataFrame([(c[0], c[-1]) for c in chosen], "fold int, weights array<double>")
     return held.join(F.broadcast(final), "fold").withColumn("predicted", dot(F.col("weights"))).drop("weights"), chosen
 
 
-def forest_study(rows: DataFrame, folds: DataFrame, group: str, features: list[str], target: str, trees: int = 20, depth: int = 5, seed: int = 7) -> DataFrame:
-    """Out-of-fold predictions of a random forest a fold, by the distributed learner."""
+def forest_study(rows: DataFrame, folds: DataFrame, group: str, features: list[str], target: str, trees: int = TREES, depth: int = 5, seed: int = 7, nested: DataFrame | None = None, grid: list[tuple[int, int]] | None = None) -> DataFrame:
+    """Out-of-fold predictions (row columns, fold, predicted, depth, leaf) of a random forest a fold, by the distributed learner.
+
+    With `nested`, inner folds choose among the grid (FOREST): the first candidate with the
+    smallest inner error wins, each validation group weighing alike. Without, `depth` holds.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    held = VectorAssembler(inputCols=features, outputCol="__x").transform(rows.join(folds.select(group, "fold"), group))
+    grid = (grid or FOREST) if nested is not None else [(depth, 1)]
+    ready = checkpointed(VectorAssembler(inputCols=features, outputCol="__x").transform(rows.join(folds.select(group, "fold"), group)))
+    inner_of = checkpointed(ready.join(nested, group)) if len(grid) > 1 else None
+
+    def fitted(train: DataFrame, c: tuple[int, int]):
+        return RandomForestRegressor(featuresCol="__x", labelCol=target, predictionCol="predicted", numTrees=trees, maxDepth=c[0], minInstancesPerNode=c[1], featureSubsetStrategy="sqrt" if nested is not None else "auto", seed=seed).fit(train)
+
+    def inner_error(train: DataFrame, inner: int, c: tuple[int, int]) -> float:
+        made = fitted(train.where(F.col("inner") != inner), c).transform(train.where(F.col("inner") == inner))
+        return made.groupBy(group).agg(F.avg(F.abs(F.col(target) - F.col("predicted"))).alias("mae")).agg(F.avg("mae")).first()[0]
+
     out = []
     for (f,) in sorted(folds.select("fold").distinct().collect()):
-        model = RandomForestRegressor(featuresCol="__x", labelCol=target, predictionCol="predicted", numTrees=trees, maxDepth=depth, seed=seed).fit(held.where(F.col("fold") != f))
-        out.append(model.transform(held.where(F.col("fold") == f)).drop("__x"))
+        best = grid[0]
+        if len(grid) > 1:
+            train = inner_of.where(F.col("outer") == f)
+            inners = sorted(r[0] for r in train.select("inner").distinct().collect())
+            jobs = [(i, k) for i in range(len(grid)) for k in inners]
+            with ThreadPoolExecutor(4) as pool:  # small jobs: their overheads overlap
+                errors = dict(zip(jobs, pool.map(lambda j: inner_error(train, j[1], grid[j[0]]), jobs), strict=True))
+            best = grid[min(range(len(grid)), key=lambda i: sum(errors[i, k] for k in inners))]
+        model = fitted(ready.where(F.col("fold") != f), best)
+        out.append(model.transform(ready.where(F.col("fold") == f)).drop("__x").withColumns({"depth": F.lit(best[0]), "leaf": F.lit(best[1])}))
     return reduce(lambda a, b: a.unionByName(b), out)
 
 

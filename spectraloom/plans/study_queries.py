@@ -320,7 +320,8 @@ def m08_m10_linear_study(spark, sf_dir):
 def m09_random_forest(spark, sf_dir):
     """Random splits have no SQL: tests check the cover and the gain over the mean."""
     rows = table(spark, sf_dir, "lineitem").select(*KEYS, "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
-    made = validation.forest_study(rows, folds(spark, sf_dir), "l_suppkey", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    assigned = folds(spark, sf_dir)
+    made = validation.forest_study(rows, assigned, "l_suppkey", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", nested=validation.nested_folds(assigned, "l_suppkey", 3))
     return made.select(*KEYS, "fold", F.round("predicted", 4).alias("predicted"))
 
 

@@ -259,3 +259,44 @@ def test_relationship_studies():
             validation.check_study(task, target, chosen, controls, roles_of)
     assert validation.feature_sets(groups, ["p"], ["d"]) == {"controls": ["p"], "preparation": ["p", "m"], "xps": ["p", "n", "d"], "combined": ["p", "m", "n", "d"], "measured_only": ["p", "m", "n"]}
     assert validation.feature_sets({"xps": ["n"]}, []) == {"training_mean": [], "xps": ["n"]}
+
+
+def test_linear_grid_is_the_surveys(spark):
+    assert len(validation.LINEAR) == 27 and {c[1] for c in validation.LINEAR if c[0] == "net"} == {0.001, 0.01, 0.1, 1.0, 10.0} and {c[2] for c in validation.LINEAR if c[0] == "net"} == {0.05, 0.25, 0.5, 0.75, 0.95}
+    # the true weights are small and the target is noise besides: only the strongest penalty shrinks enough
+    rng = np.random.default_rng(3)
+    rows = [(i, i // 8, float(rng.normal()), float(rng.normal()), float(rng.normal())) for i in range(64)]
+    df = spark.createDataFrame(rows, "i int, paper int, a double, c double, y double")
+    folds = validation.rank_folds(df, "paper", 4)
+    nested = validation.nested_folds(folds, "paper", 2)
+    _, chosen = validation.linear_study(df, folds, nested, "paper", ["a", "c"], "y")
+    # brute force over rows
+    fold, inner = {r.paper: r.fold for r in folds.collect()}, {(r.outer, r.paper): r.inner for r in nested.collect()}
+
+    def fit(part, c):
+        held = np.array([(1.0, *r[2:]) for r in part])
+        gram = held.T @ held
+        return validation.ridge(gram, c[1]) if c[0] == "ridge" else validation.elastic_net(gram, c[1], c[2])
+
+    for outer, *best, _ in chosen:
+        train = [r for r in rows if fold[r[1]] != outer]
+        errors = []
+        for c in validation.LINEAR:
+            each = []
+            for k in sorted({inner[outer, r[1]] for r in train}):
+                w = fit([r for r in train if inner[outer, r[1]] != k], c)
+                test = [r for r in train if inner[outer, r[1]] == k]
+                each.append(np.mean([np.mean([abs(r[4] - w @ [1, r[2], r[3]]) for r in test if r[1] == g]) for g in {r[1] for r in test}]))
+            errors.append(np.mean(each))
+        assert errors[validation.LINEAR.index(tuple(best))] <= min(errors) + 1e-9
+
+
+def test_forest_chooses_over_inner_folds(spark):
+    rng = np.random.default_rng(5)
+    # a fine step function: a shallow forest or large leaves can't follow it
+    rows = [(i, i % 12, float(x), float(np.sign(np.sin(20 * x)) * 5)) for i, x in enumerate(rng.uniform(0, 3, 360))]
+    df = spark.createDataFrame(rows, "i int, paper int, a double, y double")
+    folds = validation.rank_folds(df, "paper", 2)
+    made = validation.forest_study(df, folds, "paper", ["a"], "y", trees=3, nested=validation.nested_folds(folds, "paper", 2), grid=[(1, 40), (8, 1)]).collect()
+    assert sorted(r.i for r in made) == list(range(360)) and {(r.depth, r.leaf) for r in made} == {(8, 1)}
+    assert len(validation.FOREST) == 9
