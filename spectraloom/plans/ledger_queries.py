@@ -234,11 +234,16 @@ def _stream_folder(spark, df, kind: str) -> str:
 @query(f"SELECT request_id, 'complete' AS status, coalesce(string_agg(content, '' ORDER BY seq), '') AS content, count(*) AS n_chunks FROM {CHUNKS_SQL} GROUP BY request_id HAVING count(finish_reason) > 0")
 def r01_assembled_by_stream(spark, sf_dir):
     """The stream's complete answers; the incomplete ones only time out when time passes."""
-    at = _stream_folder(spark, chunks(spark, sf_dir), "chunks")
-    stream = spark.readStream.schema(chunks(spark, sf_dir).schema).parquet(f"{at}/in")
-    run = jobs.assemble_stream(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(once=True).outputMode("append").start()
-    run.awaitTermination()
-    return spark.read.schema(jobs.DONE).parquet(f"{at}/out").where("status = 'complete'")
+    at = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    rows = chunks(spark, sf_dir)
+    # in parts, a batch each, so that requests span batches; availableNow doesn't end where processing time may time out
+    for part in range(3):
+        rows.where(F.floor(F.col("seq") / 1500) % 3 == part).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+        # no request may time out between two batches
+        run = jobs.assemble_stream(stream, timeout_ms=86_400_000).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(once=True).outputMode("append").start()
+        run.awaitTermination()
+    return jobs.newest_answers(spark.read.schema(jobs.DONE).parquet(f"{at}/out")).where("status = 'complete'").select("request_id", "status", "content", "n_chunks")
 
 
 @query(f"SELECT task_id, max(seq) AS seq, arg_max(stage, seq) FILTER (seq = m) AS stage FROM (SELECT *, max(seq) OVER (PARTITION BY task_id) AS m FROM {UPDATES_SQL}) WHERE seq = m GROUP BY task_id")

@@ -13,41 +13,61 @@ from spectraloom.operators.ledger import assembled
 from spectraloom.operators.tables import latest
 
 CHUNK = "request_id bigint, seq bigint, content string, reasoning string, tool_index int, tool_id string, fn_name string, fn_args string, finish_reason string, prompt_tokens bigint, completion_tokens bigint"
-DONE = "request_id bigint, status string, content string, n_chunks bigint"
+DONE = "request_id bigint, status string, content string, reasoning string, calls array<struct<tool_index: int, id: string, name: string, arguments: string>>, finish_reason string, prompt_tokens bigint, completion_tokens bigint, n_chunks bigint"
+#: A chunk's columns but its key, as the state holds them.
+HELD = CHUNK.split(", ", 1)[1]
 
 
 def assemble_stream(chunks: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
-    """A row a request of a chunk stream (CHUNK): complete with its content once the finish marker is there, incomplete without content after `timeout_ms` of silence.
+    """Rows (DONE) of a chunk stream (CHUNK): a request's answer whenever new fragments come once its finish marker is there, incomplete without content after `timeout_ms` of silence without one.
 
-    State is each open request's fragments; late fragments of a closed request start anew and time out.
+    A row with more chunks replaces the request's earlier ones (newest_answers), so the last
+    is that of all fragments, in whatever order batches brought them. State is each open
+    request's fragments, until `timeout_ms` of silence; later ones start anew.
     """
+    names = [c.split()[0] for c in HELD.split(", ")]
+    clean = lambda v: None if v is None or v != v else v
+
+    def row(key: tuple, held: list[dict], done: bool) -> pd.DataFrame:
+        held = sorted(held, key=lambda r: r["seq"])
+        known = lambda c, rows=held: [r[c] for r in rows if r[c] is not None]
+        last = lambda c: (known(c) or [None])[-1]
+        calls = []
+        for index in sorted(set(known("tool_index"))):
+            own = [r for r in held if r["tool_index"] == index]
+            calls.append({"tool_index": int(index), "id": (known("tool_id", own) or [None])[0], "name": "".join(known("fn_name", own)), "arguments": "".join(known("fn_args", own))})
+        made = {"request_id": key[0], "status": "complete" if done else "incomplete", "content": "".join(known("content")) if done else None, "reasoning": "".join(known("reasoning")) if done else None, "calls": calls if done and calls else None}
+        made |= {"finish_reason": last("finish_reason"), "prompt_tokens": last("prompt_tokens"), "completion_tokens": last("completion_tokens"), "n_chunks": len(held)}
+        return pd.DataFrame({k: pd.Series([v], dtype="Int64" if k.endswith("tokens") else None if k in ("request_id", "n_chunks") else object) for k, v in made.items()})
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = [dict(zip(names, r, strict=True)) for r in zip(*state.get, strict=True)] if state.exists else []
         if state.hasTimedOut:
-            seqs = state.get[0]
             state.remove()
-            yield pd.DataFrame({"request_id": [key[0]], "status": ["incomplete"], "content": [None], "n_chunks": [len(seqs)]})
+            if not any(r["finish_reason"] is not None for r in held):
+                yield row(key, held, False)
             return
-        seqs, parts, finished = (list(x) if isinstance(x, (list, tuple)) else x for x in state.get) if state.exists else ([], [], False)
         for pdf in batches:
-            seqs += pdf["seq"].tolist()
-            parts += ["" if v is None or v != v else v for v in pdf["content"]]
-            finished = finished or bool(pdf["finish_reason"].notna().any())
-        if finished:
-            content = "".join(p for _, p in sorted(zip(seqs, parts, strict=True)))
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"request_id": [key[0]], "status": ["complete"], "content": [content], "n_chunks": [len(seqs)]})
-        else:
-            state.update((seqs, parts, finished))
-            state.setTimeoutDuration(timeout_ms)
+            for values in zip(*[pdf[c].tolist() for c in names], strict=True):
+                r = {c: clean(v) for c, v in zip(names, values, strict=True)}
+                held.append({c: int(v) if v is not None and c in ("seq", "tool_index", "prompt_tokens", "completion_tokens") else v for c, v in r.items()})
+        state.update(tuple([r[c] for r in held] for c in names))
+        state.setTimeoutDuration(timeout_ms)
+        if any(r["finish_reason"] is not None for r in held):
+            yield row(key, held, True)
 
-    return chunks.groupBy("request_id").applyInPandasWithState(step, DONE, "seqs array<bigint>, parts array<string>, finished boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    kept = ", ".join(f"{c.split()[0]} array<{c.split()[1]}>" for c in HELD.split(", "))
+    return chunks.select("request_id", *names).groupBy("request_id").applyInPandasWithState(step, DONE, kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def newest_answers(rows: DataFrame) -> DataFrame:
+    """The last row (DONE) of each request that assemble_stream has given."""
+    return latest(rows, ["request_id"], ["n_chunks"])
 
 
 def assemble_batch(chunks: DataFrame) -> DataFrame:
     counts = chunks.groupBy("request_id").agg(F.count("*").alias("n_chunks"))
-    return assembled(chunks).join(counts, "request_id").select("request_id", "status", "content", "n_chunks")
+    return assembled(chunks).join(counts, "request_id").select("request_id", "status", "content", "reasoning", "calls", "finish_reason", "prompt_tokens", "completion_tokens", "n_chunks")
 
 
 def latest_progress(updates: DataFrame, path: str, checkpoint: str):

@@ -300,3 +300,22 @@ def test_forest_chooses_over_inner_folds(spark):
     made = validation.forest_study(df, folds, "paper", ["a"], "y", trees=3, nested=validation.nested_folds(folds, "paper", 2), grid=[(1, 40), (8, 1)]).collect()
     assert sorted(r.i for r in made) == list(range(360)) and {(r.depth, r.leaf) for r in made} == {(8, 1)}
     assert len(validation.FOREST) == 9
+
+
+def test_stream_over_batches_equals_batch(spark, tmp_path):
+    rows = [
+        (1, 3, "c", "r3", None, None, None, None, "stop", None, None), (1, 2, "b", None, 0, None, "f", "{1", None, None, None), (2, 1, "x", None, None, None, None, None, None, 1, 1),
+        (1, 1, "a", "r1", 0, "t0", None, None, None, 5, None), (1, 4, None, None, 1, "t1", "g", "{}", None, None, None),
+        (1, 5, None, None, 0, None, None, "}", None, 7, 9), (3, 1, "alone", None, None, None, None, None, "stop", None, None),
+    ]
+    # the finish marker comes in the first batch, earlier fragments and the usage later
+    for n, part in enumerate((rows[:3], rows[3:5], rows[5:])):
+        spark.createDataFrame(part, jobs.CHUNK).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(jobs.CHUNK).parquet(str(tmp_path / "in"))
+        run = jobs.assemble_stream(stream, timeout_ms=3_600_000).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(once=True).outputMode("append").start()
+        run.awaitTermination()
+    got = jobs.newest_answers(spark.read.schema(jobs.DONE).parquet(str(tmp_path / "out"))).collect()
+    want = jobs.assemble_batch(spark.createDataFrame(rows, jobs.CHUNK)).where("status = 'complete'").select(*got[0].__fields__).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    one = next(r for r in got if r.request_id == 1)
+    assert (one.content, one.reasoning, one.prompt_tokens, one.n_chunks, [c.arguments for c in one.calls]) == ("abc", "r1r3", 7, 5, ["{1}", "{}"])
