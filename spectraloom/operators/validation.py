@@ -137,10 +137,12 @@ def train_medians(df: DataFrame, fold: str, columns: list[str], k: int) -> DataF
     return copies.groupBy(F.col("outer").alias(fold)).agg(*[F.percentile(c, F.lit(0.5)).alias(f"median_{c}") for c in columns])
 
 
-def prepared(df: DataFrame, fold: str, numeric: list[str], categorical: list[str], k: int, levels: int = 100) -> DataFrame:
-    """Rows × outer folds (outer) with imputed and standardised numerics (z_c), missing indicators (miss_c) and one-hot columns (is_c_level); all learned from training rows.
+def prepared(df: DataFrame, fold: str, numeric: list[str], categorical: list[str], k: int) -> DataFrame:
+    """Rows × outer folds (outer) with imputed and standardised numerics (z_c), missing indicators (miss_c) and one-hot categoricals; all learned from training rows.
 
-    `levels` most frequent training levels a column are encoded; unseen ones are zeros everywhere.
+    A categorical's one-hot row is sparse, as its levels have no limit: hot_c is the place of
+    its only 1 among the fold's width_c training levels, by name, NULL for a level unseen in
+    training (zeros everywhere). A null is the level 'missing'.
     """
     copies = df.withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("is_train", F.col("outer") != F.col(fold))
     medians = train_medians(df, fold, numeric, k).withColumnRenamed(fold, "outer")
@@ -148,11 +150,12 @@ def prepared(df: DataFrame, fold: str, numeric: list[str], categorical: list[str
     scale = filled.where("is_train").groupBy("outer").agg(*[e for c in numeric for e in (F.avg(f"f_{c}").alias(f"a_{c}"), F.stddev_pop(f"f_{c}").alias(f"d_{c}"))])
     scaled = filled.join(F.broadcast(scale), "outer").withColumns({f"z_{c}": F.coalesce((F.col(f"f_{c}") - F.col(f"a_{c}")) / F.nullif(F.col(f"d_{c}"), F.lit(0.0)), F.lit(0.0)) for c in numeric})
     for c in categorical:
-        top = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(levels).collect()
-        for i, r in enumerate(top):
-            # a level counts only where the fold's training rows have it
-            seen = scaled.where("is_train").groupBy("outer").agg(F.bool_or(F.col(c).eqNullSafe(F.lit(r[c]))).alias(f"seen_{i}"))
-            scaled = scaled.join(F.broadcast(seen), "outer").withColumn(f"is_{c}_{i}", (F.col(f"seen_{i}") & F.col(c).eqNullSafe(F.lit(r[c]))).cast("double")).drop(f"seen_{i}")
+        level = F.coalesce(F.col(c).cast("string"), F.lit("missing"))
+        # a level counts only where the fold's training rows have it
+        seen = numbered(copies.where("is_train").select("outer", level.alias("__level")).distinct(), [F.col("outer"), F.col("__level")], "__at")
+        spans = seen.groupBy("outer").agg(F.min("__at").alias("__first"), F.count("*").alias(f"width_{c}"))
+        places = seen.join(F.broadcast(spans.drop(f"width_{c}")), "outer").select("outer", "__level", (F.col("__at") - F.col("__first")).alias(f"hot_{c}"))
+        scaled = scaled.withColumn("__level", level).join(places, ["outer", "__level"], "left").join(F.broadcast(spans.drop("__first")), "outer", "left").drop("__level")
     return scaled.drop(*[f"{p}_{c}" for c in numeric for p in ("f", "a", "d", "median")])
 
 

@@ -211,8 +211,7 @@ s AS (SELECT "outer", avg(fq) AS mu, stddev_pop(fq) AS sd FROM f WHERE is_train
 SELECT f."outer", is_train, count(*) AS n, round(sum(miss_q), 6) AS miss_q, round(sum((fq - mu) / sd), 3) + 0.0 AS z_q, count(*) FILTER (l_returnflag = 'A') AS is_a FROM f JOIN s ON s."outer" = f."outer" GROUP BY f."outer", is_train""")
 def m06_prepared_rows(spark, sf_dir):
     made = validation.prepared(gaps(spark, sf_dir), "fold", ["q"], ["l_returnflag"], K)
-    flags_of = [c for c in made.columns if c.startswith("is_l_returnflag_")]
-    hot = F.when(F.col("l_returnflag") == "A", sum(F.col(c) for c in flags_of))
+    hot = F.when(F.col("l_returnflag") == "A", F.col("hot_l_returnflag").isNotNull().cast("int"))
     return made.groupBy("outer", "is_train").agg(F.count("*").alias("n"), F.round(F.sum("miss_q"), 6).alias("miss_q"), (F.round(F.sum("z_q"), 3) + 0.0).alias("z_q"), F.sum(hot).cast("bigint").alias("is_a"))
 
 

@@ -319,3 +319,15 @@ def test_stream_over_batches_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
     one = next(r for r in got if r.request_id == 1)
     assert (one.content, one.reasoning, one.prompt_tokens, one.n_chunks, [c.arguments for c in one.calls]) == ("abc", "r1r3", 7, 5, ["{1}", "{}"])
+
+
+def test_prepared_encodes_every_training_level(spark):
+    rows = [(i, i % 2, float(i), f"v{i // 4:03}") for i in range(600)] + [(600, 0, 1.0, None), (601, 1, 1.0, None), (602, 1, 1.0, "rare")]
+    df = spark.createDataFrame(rows, "i int, fold int, x double, c string")
+    made = {(r.outer, r.i): r for r in validation.prepared(df, "fold", ["x"], ["c"], 2).collect()}
+    assert len(made) == 2 * len(rows)
+    for outer in (0, 1):
+        levels = sorted({r[3] or "missing" for r in rows if r[1] != outer})
+        for i, _, _, c in rows:
+            got, name = made[outer, i], c or "missing"
+            assert got.width_c == len(levels) and got.hot_c == (levels.index(name) if name in levels else None)
