@@ -70,10 +70,25 @@ def split_groups(df: DataFrame, doi: str, group: str) -> DataFrame:
     return named.groupBy(doi).agg(F.count_distinct(group).alias("groups")).where("groups > 1")
 
 
-def guards(df: DataFrame, group: str) -> DataFrame:
-    """One row: rows, groups, and the reason to reject the cohort, if any."""
-    one = df.agg(F.count("*").alias("rows"), F.count_distinct(group).alias("groups"))
-    return one.withColumn("reason", F.when(F.col("groups") < LEAST_GROUPS, "too few groups").when(F.col("rows") < LEAST_ROWS, "too few rows"))
+def guards(df: DataFrame, group: str, by: tuple[str, ...] = (), fold: str | None = None, features: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each `by` (one row without): rows, groups, and the reason to reject the cohort, if any.
+
+    With `fold`, also a feature of `features` that has no value in the training rows of some fold.
+    """
+    made = df.groupBy(*by).agg(F.count("*").alias("rows"), F.count_distinct(group).alias("groups"))
+    empty = F.lit(None).cast("string")
+    if fold and features:
+        own = df.groupBy(*by, fold).agg(*[F.count(c).alias(f"__{i}") for i, c in enumerate(features)])
+        # a fold's training values: the total less its own
+        most = own.groupBy(*by).agg(*[(F.sum(f"__{i}") == F.max(f"__{i}")).alias(f"__none_{i}") for i in range(len(features))])
+        if by:
+            keyed = most.withColumnsRenamed({c: f"__by_{c}" for c in by})
+            made = made.join(keyed, reduce(and_, [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]), "left").drop(*[f"__by_{c}" for c in by])
+        else:
+            made = made.crossJoin(most)
+        empty = F.coalesce(*[F.when(F.col(f"__none_{i}"), F.lit(f"no training values: {c}")) for i, c in enumerate(features)])
+    reason = F.when(F.col("groups") < LEAST_GROUPS, "too few groups").when(F.col("rows") < LEAST_ROWS, "too few rows").otherwise(empty)
+    return made.select(*by, "rows", "groups", reason.alias("reason"))
 
 
 def rank_folds(df: DataFrame, group: str, k: int, name: str = "fold") -> DataFrame:

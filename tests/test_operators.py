@@ -331,3 +331,12 @@ def test_prepared_encodes_every_training_level(spark):
         for i, _, _, c in rows:
             got, name = made[outer, i], c or "missing"
             assert got.width_c == len(levels) and got.hot_c == (levels.index(name) if name in levels else None)
+
+
+def test_guards_of_every_dataset(spark):
+    rows = [("big", g, g % 3, 1.0, float(g) if g % 3 == 1 else None) for g in range(12)] + [("few", g, g, 1.0, 1.0) for g in range(3)] + [("two", g % 2, g % 2, 1.0, 1.0) for g in range(20)] + [(None, g, g % 3, 1.0, 1.0) for g in range(12)]
+    df = spark.createDataFrame(rows, "d string, g int, fold int, a double, b double")
+    assert {r.d: r.reason for r in validation.guards(df, "g", ("d",)).collect()} == {"big": None, "few": "too few rows", "two": "too few groups", None: None}
+    # b has values in fold 1 alone, so fold 1's training rows have none
+    assert {r.d: r.reason for r in validation.guards(df, "g", ("d",), "fold", ("a", "b")).collect()} == {"big": "no training values: b", "few": "too few rows", "two": "too few groups", None: None}
+    assert validation.guards(df.where("d = 'big'"), "g", (), "fold", ("a", "b")).first().reason == "no training values: b"
