@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from operator import and_
@@ -11,7 +10,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from spectraloom.functions import scalars
 from spectraloom.operators import descriptors
@@ -100,19 +98,43 @@ def rank_folds(df: DataFrame, group: str, k: int, name: str = "fold") -> DataFra
     return ranked.select(group, "rows", F.when(turn % 2 == 0, place).otherwise(n - 1 - place).cast("int").alias(name))
 
 
-def greedy_folds(df: DataFrame, group: str, k: int, most: int = 1_000_000) -> DataFrame:
-    """(group, rows, fold): the largest group to the lightest fold, over and over; ties by name. Sequential: for up to `most` groups, beyond use rank_folds."""
+def _turns(loads: list[tuple[int, int]], size: int, count: int) -> list[tuple[int, list[int]]]:
+    """Deals `count` groups of one size to the lightest of `loads` (load, fold), which it updates: (first place, folds that take turns from there)."""
+    out, done = [], 0
+    while done < count:
+        loads.sort()
+        low, first = loads[0]
+        # these are all dealt to before the first is again, until the next fold is light enough
+        n = sum(x < (low + size, first) for x in loads)
+        take = count - done
+        if n < len(loads):
+            rounds = (loads[n][0] - low) // size
+            rounds -= loads[n] < (low + rounds * size, first)
+            take = min(take, rounds * n)
+        out.append((done, [f for _, f in loads[:n]]))
+        loads[:n] = [(load + (take // n + (i < take % n)) * size, f) for i, (load, f) in enumerate(loads[:n])]
+        done += take
+    return out
+
+
+def greedy_folds(df: DataFrame, group: str, k: int) -> DataFrame:
+    """(group, rows, fold): the largest group to the lightest fold, over and over; ties by name.
+
+    The driver sees the distinct sizes with their counts alone: which folds take turns is the
+    same for all groups of a size, whose places are ranked by Spark.
+    """
     counts = df.groupBy(group).agg(F.count("*").alias("rows"))
-    rows = counts.orderBy(F.desc("rows"), group).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("too many groups for the greedy assignment")
-    loads = [(0, f) for f in range(min(k, max(1, len(rows))))]
-    out = []
-    for r in rows:
-        load, f = heapq.heappop(loads)
-        out.append((r[group], r["rows"], f))
-        heapq.heappush(loads, (load + r["rows"], f))
-    return df.sparkSession.createDataFrame(out, counts.select(group, "rows").schema.add("fold", IntegerType()))
+    ranked = checkpointed(numbered(counts, [F.desc("rows"), F.col(group)], "__n"))
+    sizes = ranked.groupBy("rows").agg(F.count("*").alias("groups")).orderBy(F.desc("rows")).collect()
+    loads = [(0, f) for f in range(min(k, max(1, sum(r["groups"] for r in sizes))))]
+    turns, before = [], 0
+    for r in sizes:
+        turns.append((r["rows"], [(before + at, folds) for at, folds in _turns(loads, r["rows"], r["groups"])]))
+        before += r["groups"]
+    dealt = df.sparkSession.createDataFrame(turns, "rows bigint, __turns array<struct<at: bigint, folds: array<int>>>")
+    own = F.element_at(F.filter("__turns", lambda t: t["at"] <= F.col("__n")), -1)
+    fold = own["folds"][F.pmod(F.col("__n") - own["at"], F.size(own["folds"])).cast("int")]
+    return ranked.join(dealt, "rows").select(group, "rows", fold.alias("fold"))
 
 
 def nested_folds(groups: DataFrame, group: str, inner: int) -> DataFrame:

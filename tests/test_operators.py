@@ -340,3 +340,22 @@ def test_guards_of_every_dataset(spark):
     # b has values in fold 1 alone, so fold 1's training rows have none
     assert {r.d: r.reason for r in validation.guards(df, "g", ("d",), "fold", ("a", "b")).collect()} == {"big": "no training values: b", "few": "too few rows", "two": "too few groups", None: None}
     assert validation.guards(df.where("d = 'big'"), "g", (), "fold", ("a", "b")).first().reason == "no training values: b"
+
+
+@pytest.mark.parametrize(("k", "seed"), [(5, 1), (3, 2), (7, 3), (40, 4)])
+def test_greedy_folds_follow_the_rule(spark, k, seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([1, 1, 1, 2, 3, 17, 60]) for _ in range(30)]
+    df = spark.createDataFrame([(g,) for g, n in enumerate(sizes) for _ in range(n)], "g int")
+    loads, want = [[0, f] for f in range(min(k, 30))], {}
+    for g in sorted(range(30), key=lambda g: (-sizes[g], g)):
+        at = min(loads)
+        want[g] = at[1]
+        at[0] += sizes[g]
+    assert {r.g: r.fold for r in validation.greedy_folds(df, "g", k).collect()} == want
+
+
+def test_greedy_folds_send_the_driver_sizes_alone():
+    loads = [(0, 0), (10**7, 1), (3, 2)]
+    made = validation._turns(loads, 1, 30 * 10**6)
+    assert len(made) < 10 and sum(x for x, _ in loads) == 10**7 + 3 + 30 * 10**6 and max(loads)[0] - min(loads)[0] <= 1
