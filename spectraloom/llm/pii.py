@@ -31,7 +31,10 @@ _patterns = (
     ("card", r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z])"),
     ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)\x20?[0-9]{3,4}[\x20.-]?[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[\x20.-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])"),
 )
-_any = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _patterns))
+# E-mail addresses are found from their @, so that long runs of letters and digits are read once.
+_others = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _patterns if k != "email"))
+_local = re.compile(r"[\w.%+-]*")
+_domain = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}")
 # Every match of a pattern holds one of these.
 _trace = re.compile(r"[0-9]{3}|@|[0-9][\x20./-][0-9]|\+[0-9]|[A-Z]{2}[0-9]{2}")
 RESULT = T.StructType([T.StructField("pseudonymised", T.StringType()), T.StructField("spans", T.StringType()), *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS]])
@@ -78,9 +81,17 @@ def _block(c: str) -> tuple[int, int]:
     return (o & ~31, 32) if o >= 0x100 else (o, 0)
 
 
+#: Characters of a local part that are one number; a longer one is cut, so that numbers stay small.
+LOCAL = 64
+
+
 def _email(key: bytes, value: str) -> str:
-    """The local part's letters and digits, as one number in mixed radix."""
+    """The local part's letters and digits, as one number in mixed radix for each LOCAL characters."""
     local, _, domain = value.rpartition("@")
+    return "".join(_local_part(key, local[i : i + LOCAL], domain + f"|{i}" * (i > 0)) for i in range(0, len(local), LOCAL)) + "@" + domain
+
+
+def _local_part(key: bytes, local: str, domain: str) -> str:
     blocks = [_block(c) for c in local]
     size, number = 1, 0
     for c, (low, n) in zip(local, blocks, strict=True):
@@ -93,7 +104,7 @@ def _email(key: bytes, value: str) -> str:
             number, r = divmod(number, n)
             c = chr(low + r)
         out.append(c)
-    return "".join(reversed(out)) + "@" + domain
+    return "".join(reversed(out))
 
 
 _FIRST = datetime.date(1900, 1, 1).toordinal()
@@ -195,22 +206,38 @@ def replaced(key: bytes, text: str) -> tuple[str, list[tuple[str, int, int]]]:
     if not _trace.search(text):
         return text, []
     out, spans, done, at = [], [], 0, 0
-    while m := _any.search(text, at):
-        start = m.start()
+    email, other = _next_email(text, 0, 0), _others.search(text)
+    while email or other:
+        kind, start = ("email", email[0]) if email and (not other or email[0] <= other.start()) else (other.lastgroup, other.start())
         # not valid: a shorter match or the next pattern that begins here may be
-        for kind in KINDS[KINDS.index(m.lastgroup) :]:
+        for kind in KINDS[KINDS.index(kind) :]:
             end, new = next(((e, made) for e in _ends(kind, text, start) if (made := pseudonym(key, kind, text[start:e])) is not None), (0, None))
             if new is not None:
                 break
         if new is None:
             at = start + 1
-            continue
-        out += [text[done:start], new]
-        spans.append((kind, start, end))
-        done = at = end
+        else:
+            out += [text[done:start], new]
+            spans.append((kind, start, end))
+            done = at = end
+        if email and email[0] < at:
+            email = _next_email(text, at, email[1])
+        if other and other.start() < at:
+            other = _others.search(text, at)
     return "".join(out) + text[done:], spans
 
 
+def _next_email(text: str, at: int, sign: int) -> tuple[int, int] | None:
+    """Start of the first address from `at` on, and its @; `sign` is where the search for that begins."""
+    before = text.rfind("@", at, sign)
+    while (sign := text.find("@", max(sign, at))) >= 0:
+        n = _local.match(text[max(at, before + 1) : sign][::-1]).end()
+        if n and _domain.match(text, sign + 1):
+            return sign - n, sign
+        before, sign = sign, sign + 1
+    return None
+
+
 _single = {k: re.compile(p) for k, p in _patterns}
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -96,9 +97,10 @@ def test_values_before_other_digits_or_words_are_linked(kind, value, after):
 def test_every_pattern_shows_a_trace():
     rng = random.Random(3)
     seen = set()
+    patterns = re.compile("|".join(f"(?P<{k}>{p})" for k, p in pii._patterns))
     for _ in range(60000):
         text = "".join(rng.choice(["+", "1", "23", "456", "7890", "(", ")", " ", "-", ".", "/", "@", "AB", "c"]) for _ in range(rng.randint(3, 16)))
-        if m := pii._any.search(text):
+        if m := patterns.search(text):
             seen.add(m.lastgroup)
             assert pii._trace.search(text), text
     assert {"card", "phone", "email"} <= seen
@@ -113,3 +115,48 @@ def test_scan_is_that_of_each_text_alone(make):
         want = credentials.base_spans(t or "")
         assert [(s["kind"], s["start"], s["end"]) for s in base[i]] == brute_base(t), texts
         assert [s["value"] for s in rest[i]] == [c[3] for c in credentials.candidates(t or "", want)], texts
+
+
+def plain_search(key, text):
+    """Detection by one alternation of all patterns, leftmost first, without any short cut."""
+    patterns = re.compile("|".join(f"(?P<{k}>{p})" for k, p in pii._patterns))
+    out, spans, done, at = [], [], 0, 0
+    while m := patterns.search(text, at):
+        for kind in pii.KINDS[pii.KINDS.index(m.lastgroup) :]:
+            end, new = next(((e, made) for e in pii._ends(kind, text, m.start()) if (made := pii.pseudonym(key, kind, text[m.start() : e])) is not None), (0, None))
+            if new is not None:
+                break
+        at = m.start() + 1
+        if new is not None:
+            out += [text[done : m.start()], new]
+            spans.append((kind, m.start(), end))
+            done = at = end
+    return "".join(out) + text[done:], spans
+
+
+def test_detection_matches_the_plain_search():
+    rng = random.Random(8)
+    parts = ["+", "1", "23", "456", "7890", "(", ")", " ", "-", ".", "/", "@", "AB", "c", "é", "_", "4111 1111 1111 1111", "1.2.3.4", "2023-02-28", "bob@x.org", "a.b@mail.example.com", "DE89 3704 0044 0532 0130 00", "555-123-4567", "123-45-6789"]
+    found = 0
+    for _ in range(15000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        want = plain_search(b"k", text)
+        assert pii.replaced(b"k", text) == want, text
+        found += len(want[1])
+    assert found > 10000
+
+
+@pytest.mark.parametrize(("unit", "n_values"), [("ab", 0), ("1234567890", 0), ("aB3+/x9", 0), ("a@", 0), ("@", 0), ("1.2.3.4 ", 125_000), ("ab", 1)])
+def test_long_runs_take_linear_time(unit, n_values):
+    text = unit * (1_000_000 // len(unit)) + ("@x.org" if n_values == 1 else "")
+    began = time.process_time()
+    made, spans = pii.replaced(b"key", text)
+    assert len(spans) == n_values and len(made) >= 500_000 and (n_values or made == text)
+    assert time.process_time() - began < 20  # a quadratic search takes hours
+
+
+def test_pii_empty_table_and_clashing_columns(spark):
+    schema = "doc_id int, text string, spans int, n_email string, Pseudonymised int"
+    assert pii.pseudonymise(spark.createDataFrame([], schema), "key").count() == 0
+    rows = pii.pseudonymise(spark.createDataFrame([(1, "to bob@x.org", 7, "z", 9), (1, "to bob@x.org", 7, "z", 9), (None, None, None, None, None)], schema), "key").collect()
+    assert len(rows) == 3 and [r.n_email for r in rows if r.text] == [1, 1] and rows[0].text == rows[1].text != "to bob@x.org"
