@@ -2,8 +2,8 @@
 
 Base matches label credentials. From a bounded sample of them, a prefix tree of
 character classes is built for each kind and its statistically compatible states are
-merged into a probabilistic automaton. Every other candidate token is then scored by
-how likely an automaton writes its format, against ordinary words.
+merged into a probabilistic automaton. Every other token is then scored by how much
+likelier an automaton writes it, its length included, than the corpus's ordinary tokens are.
 """
 
 from __future__ import annotations
@@ -11,29 +11,30 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spectraloom.llm.textbatch import LOWER, spread, struct_udf, text_bytes, word_spans
-from spectraloom.session import checkpointed
+from spectraloom.llm.textbatch import LOWER, small_batches, spread, steps, struct_udf, text_bytes, word_hashes, word_spans
 
 KINDS = ("assign", "access", "hex", "grammar")
 _assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _access = re.compile(r"AKIA[A-Z0-9]+")
 _hex = re.compile(r"[0-9a-f]{24,}")  # a leftmost longest run of 24 or more is a whole run
-_token = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _keywords = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _is_hex = np.zeros(256, bool)
 _is_hex[list(b"0123456789abcdef")] = True
+#: Tokens that are scored: maximal runs of these characters, of so many or more.
+TOKEN, LEAST = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 8
 _is_token = np.zeros(256, bool)
-_is_token[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
+_is_token[list(TOKEN)] = True
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("value", T.StringType())])
-FOUND = T.StructType([T.StructField("base", T.ArrayType(SPAN)), T.StructField("candidates", T.ArrayType(SPAN))])
+FOUND = T.StructType([T.StructField("spans", T.ArrayType(SPAN))])
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -43,48 +44,37 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return out + [("hex", m.start(), m.end(), m[0]) for m in _hex.finditer(text)]
 
 
-def candidates(text: str, taken: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
-    """Tokens of 16 or more characters with a letter and a digit, clear of the base spans."""
-    out = []
-    for m in _token.finditer(text):
-        token = m[0]
-        if re.search("[0-9]", token) and re.search("[A-Za-z]", token) and not any(a < m.end() and m.start() < b for _, a, b, _ in taken):
-            out.append(("grammar", m.start(), m.end(), token))
-    return out
-
-
-def _runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, least: int) -> np.ndarray:
-    """Starts of the runs of `least` or more, cut at text ends."""
+def runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of `least` or more, cut at text ends."""
     starts, ends, _ = word_spans(data, offsets, inside[data])
-    return starts[ends - starts >= least]
+    long = ends - starts >= least
+    return starts[long], ends[long]
 
 
-def _scan(texts: pa.Array) -> list:
-    """Only texts that show a trace of a match, found over the bytes, are searched as text."""
-    data, offsets = text_bytes(texts)
-    lower = LOWER[data].tobytes()
-    raw = data.tobytes()
-    hits = [_runs(data, offsets, _is_hex, 24), _runs(data, offsets, _is_token, 16)]
-    for where, words in ((raw, (b"AKIA",)), (lower, _keywords)):
+def marked(data: np.ndarray, offsets: np.ndarray) -> set[int]:
+    """The texts that show a trace of a base match, found over the bytes."""
+    hits = [runs(data, offsets, _is_hex, 24)[0]]
+    for where, words in ((data.tobytes(), (b"AKIA",)), (LOWER[data].tobytes(), _keywords)):
         for word in words:
             at, found = where.find(word), []
             while at >= 0:
                 found.append(at)
                 at = where.find(word, at + 1)
             hits.append(np.array(found, np.int64))
-    marked = set((np.searchsorted(offsets, np.concatenate(hits), "right") - 1).tolist())
-    base, rest = [[] for _ in range(len(texts))], [[] for _ in range(len(texts))]
-    for i in marked:
-        text = raw[offsets[i] : offsets[i + 1]].decode()
-        spans = sorted(base_spans(text), key=lambda x: (x[1], KINDS.index(x[0])))
-        base[i] = [dict(zip(SPAN.names, x, strict=True)) for x in spans]
-        rest[i] = [dict(zip(SPAN.names, x, strict=True)) for x in candidates(text, spans)]
-    return [base, rest]
+    return set((np.searchsorted(offsets, np.concatenate(hits), "right") - 1).tolist())
 
 
-# Character classes: what a format fixes; a symbol is a class of its own.
+# Character classes, what a format fixes; any other character of a credential is a class of its own.
 CLASSES = {"d": "0123456789", "h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "H": "ABCDEF", "L": "GHIJKLMNOPQRSTUVWXYZ"}
 _class = {c: k for k, chars in CLASSES.items() for c in chars}
+#: The classes by number; the last one is for bytes that no token has.
+NAMES = (*CLASSES, *"+/_-.=", "")
+_number = np.full(256, len(NAMES) - 1, np.uint8)
+for _i, _name in enumerate(NAMES[:-1]):
+    _number[list(CLASSES.get(_name, _name).encode())] = _i
+SIZES = np.array([len(CLASSES.get(x, " ")) for x in NAMES], float)
+#: The weight of what was never seen, in observations.
+UNSEEN = 0.05
 
 
 def classes(token: str) -> str:
@@ -92,9 +82,14 @@ def classes(token: str) -> str:
 
 
 class Automaton:
-    """A probabilistic automaton inferred from words by merging compatible prefix-tree states."""
+    """A probabilistic automaton inferred from words by merging compatible prefix-tree states.
 
-    def __init__(self, words: list[str], alpha: float = 0.05):
+    States of one depth are merged first, which gathers the few words of each deep state to a
+    number that tells something; then states of different depths, which makes loops. For that
+    both must have been passed by `least` words, as anything is compatible with a rare state.
+    """
+
+    def __init__(self, words: list[str], alpha: float = 0.05, least: int = 30):
         self.next: list[dict[str, int]] = [{}]
         self.through: list[Counter] = [Counter()]
         self.ends: list[int] = [0]
@@ -108,7 +103,17 @@ class Automaton:
                 at = self.next[at][c]
             self.ends[at] += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
-        self._merge()
+        self.same = list(range(len(self.next)))
+        self._merge_levels()
+        self._merge_loops(least)
+        self._renumber()
+
+    def top(self, state: int) -> int:
+        """The state that a state was merged into."""
+        while self.same[state] != state:
+            self.same[state] = self.same[self.same[state]]
+            state = self.same[state]
+        return state
 
     def total(self, state: int) -> int:
         return self.ends[state] + sum(self.through[state].values())
@@ -118,9 +123,12 @@ class Automaton:
 
     def _compatible(self, red: int, blue: int) -> bool:
         """Hoeffding's bound on the shares of endings and of each character, here and below."""
-        todo = [(red, blue)]
+        todo, met = [(red, blue)], set()
         while todo:
-            p, q = todo.pop()
+            p, q = pair = todo.pop()
+            if p == q or pair in met:
+                continue
+            met.add(pair)
             n, m = self.total(p), self.total(q)
             if self._differ(self.ends[p], n, self.ends[q], m):
                 return False
@@ -128,13 +136,16 @@ class Automaton:
                 if self._differ(self.through[p][c], n, self.through[q][c], m):
                     return False
                 if c in self.next[p] and c in self.next[q]:
-                    todo.append((self.next[p][c], self.next[q][c]))
+                    todo.append((self.top(self.next[p][c]), self.top(self.next[q][c])))
         return True
 
     def _fold(self, red: int, blue: int) -> None:
         todo = [(red, blue)]
         while todo:
-            p, q = todo.pop()
+            p, q = map(self.top, todo.pop())
+            if p == q:
+                continue
+            self.same[q] = p
             self.ends[p] += self.ends[q]
             for c, n in self.through[q].items():
                 self.through[p][c] += n
@@ -143,75 +154,229 @@ class Automaton:
                 else:
                     self.next[p][c] = self.next[q][c]
 
-    def _merge(self) -> None:
-        reds = [0]
-        while blues := [(p, c) for p in reds for c in self.next[p] if self.next[p][c] not in reds]:
-            p, c = min(blues, key=lambda x: self.next[x[0]][x[1]])
-            blue = self.next[p][c]
-            match = next((r for r in reds if self._compatible(r, blue)), None)
+    def _merge_levels(self) -> None:
+        level = [0]
+        while level:
+            below = dict.fromkeys(self.top(s) for p in level for s in self.next[p].values())
+            kept: list[int] = []
+            for state in sorted(below, key=self.total, reverse=True):
+                match = next((r for r in kept if self._compatible(r, state)), None)
+                if match is None:
+                    kept.append(state)
+                else:
+                    self._fold(match, state)
+            level = kept
+
+    def _merge_loops(self, least: int) -> None:
+        reds = {0: None}  # in order
+        while (blue := next((b for p in reds for c in sorted(self.next[p]) if (b := self.top(self.next[p][c])) not in reds), None)) is not None:
+            match = next((r for r in reds if self.total(r) >= least and self._compatible(r, blue)), None) if self.total(blue) >= least else None
             if match is None:
-                reds.append(blue)
+                reds[blue] = None
             else:
-                self.next[p][c] = match
                 self._fold(match, blue)
-        at = {r: i for i, r in enumerate(reds)}
-        self.next = [{c: at[s] for c, s in self.next[r].items()} for r in reds]
-        self.through, self.ends = [self.through[r] for r in reds], [self.ends[r] for r in reds]
+                reds = dict.fromkeys(map(self.top, reds))
 
-    def likelihood(self, token: str) -> float:
-        """Mean natural-log likelihood a character, with a character's share of its class; rare moves are smoothed."""
-        at, total = 0, 0.0
-        for ch in token:
-            c = _class.get(ch, ch)
-            n = self.total(at)
-            total += math.log((self.through[at][c] + 0.01) / (n + 0.1)) - math.log(len(CLASSES.get(c, c)))
-            at = self.next[at].get(c, 0)
-        return total / max(len(token), 1)
+    def _renumber(self) -> None:
+        order = {0: 0}
+        todo = [0]
+        while todo:
+            state = todo.pop()
+            for c in sorted(self.next[state]):
+                if (s := self.top(self.next[state][c])) not in order:
+                    order[s] = len(order)
+                    todo.append(s)
+        self.next = [{c: order[self.top(s)] for c, s in self.next[r].items()} for r in order]
+        self.through, self.ends = [self.through[r] for r in order], [self.ends[r] for r in order]
+        self.same = list(range(len(order)))
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """By state (the last: outside) and class: the next state, the log likelihood of the move and whether it is a known one; by state: that of ending.
+
+        A move that was never seen costs its small share once and leads outside, where all is as in ordinary tokens.
+        """
+        n, k = len(self.next), len(NAMES)
+        after, log, known, end = np.full((n + 1, k), n, np.int64), np.zeros((n + 1, k)), np.zeros((n + 1, k)), np.zeros(n + 1)
+        for s in range(n):
+            total = self.total(s) + UNSEEN
+            log[s] = math.log(UNSEEN / total)
+            end[s] = math.log((self.ends[s] + UNSEEN * (self.ends[s] == 0)) / total)
+            for c, to in self.next[s].items():
+                i = NAMES.index(c)
+                after[s, i], known[s, i], log[s, i] = to, 1, math.log(self.through[s][c] / total / SIZES[i])
+        return after, log, known, end
 
 
 class Formats:
-    """The automata of all kinds and their limits."""
-
-    def __init__(self, labelled: dict[str, list[str]], low: float = 0.05):
-        self.automata = [Automaton([classes(v) for v in values]) for _, values in sorted(labelled.items()) if len(values) >= 3]
-        self.limits = []
-        for automaton, values in zip(self.automata, [v for _, v in sorted(labelled.items()) if len(v) >= 3], strict=True):
-            own = sorted(automaton.likelihood(v) for v in values)
-            self.limits.append(own[int(low * len(own))])
+    """The automata of all kinds, the ordinary tokens they are held against, and their limits."""
+
+    #: Tokens longer than this are scored one by one.
+    LONG = 1024
+
+    def __init__(self, labelled: dict[str, list[str]], ordinary: np.ndarray | None = None, low: float = 0.05):
+        """labelled: credentials by kind; ordinary: how often each class (and then the end) follows each class (and first the start) in the corpus's tokens.
+
+        A kind's limit is what all but a share `low` of its credentials reach, and at least the logarithm of
+        the number of tokens: by Markov's inequality, ordinary ones then reach it less than once in the corpus.
+        """
+        k = len(NAMES)
+        counts = np.zeros((k + 1, k + 1)) if ordinary is None else ordinary
+        share = np.log((counts + UNSEEN) / (counts.sum(axis=1, keepdims=True) + UNSEEN * (k + 1)))
+        self.usual, self.usual_end = share[:, :k] - np.log(SIZES), share[:, k]
+        self.automata = {kind: Automaton([classes(v) for v in values]) for kind, values in sorted(labelled.items()) if len(values) >= 3}
+        self.tables = [a.tables() for a in self.automata.values()]
+        self.limits = np.zeros(len(self.tables))
+        for i, kind in enumerate(self.automata):
+            own = np.sort(self.gains(*_joined(labelled[kind]))[i])
+            self.limits[i] = max(own[int(low * len(own))], math.log(max(counts[-1].sum(), 1)))
+
+    def gains(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """By automaton and token: the log likelihood of its format less that of an ordinary token."""
+        number = _number[data]
+        order = np.argsort(starts - ends, kind="stable")  # longest first
+        lengths = (ends - starts)[order]
+        begin = starts[order]
+        out = np.zeros((len(self.tables), len(starts)))
+        state = np.zeros((len(self.tables), len(starts)), np.int64)
+        last = np.full(len(starts), len(NAMES))
+        long = int(np.searchsorted(-lengths, -self.LONG, "left"))
+        for i in range(long):
+            out[:, i], state[:, i], last[i] = self._walk(number[begin[i] : begin[i] + lengths[i]].tolist())
+        for p in range(int(lengths[long]) if long < len(lengths) else 0):
+            live = slice(long, int(np.searchsorted(-lengths, -p, "left")))
+            c = number[begin[live] + p]
+            usual = self.usual[last[live], c]
+            for i, (after, log, known, _) in enumerate(self.tables):
+                s = state[i, live]
+                out[i, live] += log[s, c] - known[s, c] * usual
+                state[i, live] = after[s, c]
+            last[live] = c
+        for i, (after, _, _, end) in enumerate(self.tables):
+            out[i] += end[state[i]] - (state[i] < len(after) - 1) * self.usual_end[last]
+        return out[:, np.argsort(order)]
+
+    def _walk(self, token: list[int]) -> tuple[list[float], list[int], int]:
+        usual = self.usual.tolist()
+        sums, states = [], []
+        for after, log, known, _ in self.tables:
+            moves, logs, seen = after.tolist(), log.tolist(), known.tolist()
+            s, total, last = 0, 0.0, len(NAMES)
+            for c in token:
+                total += logs[s][c] - (usual[last][c] if seen[s][c] else 0.0)
+                s, last = moves[s][c], c
+                if s == len(moves) - 1:
+                    break  # outside: the rest is as in ordinary tokens
+            sums.append(total), states.append(s)
+        return sums, states, token[-1]
+
+    def margin(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """By token, how far it lies above the limit of the kind it fits best; a token that occurs more than once is scored once."""
+        if not len(self.tables) or not len(starts):
+            return np.full(len(starts), -np.inf)
+        _, first, where = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        return (self.gains(data, starts[first], ends[first]) - self.limits[:, None]).max(axis=0)[where]
 
     def score(self, token: str) -> float:
-        """1 and more: as likely as nearly all labelled credentials of some kind."""
-        gaps = [math.exp(a.likelihood(token) - limit) for a, limit in zip(self.automata, self.limits, strict=True)]
-        return max(gaps, default=0.0)
-
-
-def fit_formats(found: DataFrame, sample: int = 400, seed: int = 5) -> Formats:
-    """Learns from at most `sample` distinct labelled credentials of each kind (those of smallest hash)."""
-    spans = found.select(F.explode("base").alias("s")).select("s.kind", "s.value").distinct()
-    labelled = {}
-    for kind in KINDS[:3]:
-        rows = spans.where(F.col("kind") == kind).orderBy(F.xxhash64("value", F.lit(seed)), "value").limit(sample).collect()
-        labelled[kind] = [r["value"] for r in rows]
-    return Formats(labelled)
+        """The margin of one token: 0 and more is as likely a credential as nearly all labelled ones of some kind."""
+        return float(self.margin(*_joined([token]))[0])
+
+
+def _joined(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data, offsets = text_bytes(pa.array(tokens, pa.string()))
+    return data, offsets[:-1], offsets[1:]
+
+
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, value, n): the labelled credentials of each batch, and under kind `pair` how often each class follows each other in its tokens clear of those."""
+    for batch in batches:
+        seen: Counter = Counter()
+        pairs = np.zeros((len(NAMES) + 1) ** 2, np.int64)
+        for texts in steps(batch.column(0)):
+            data, offsets = text_bytes(texts)
+            raw = data.tobytes()
+            taken = np.zeros(len(data) + 1, np.int64)
+            for i in marked(data, offsets):
+                text = raw[offsets[i] : offsets[i + 1]].decode()
+                for kind, start, end, value in base_spans(text):
+                    seen[kind, value] += 1
+                    at = offsets[i] + len(text[:start].encode())
+                    taken[at + 1 : at + 1 + end - start] = 1  # matches are of ASCII characters
+            starts, ends = runs(data, offsets, _is_token, LEAST)
+            taken = np.cumsum(taken)
+            clear = taken[starts] == taken[ends]
+            pairs += token_pairs(data, starts[clear], ends[clear])
+        rows = [(kind, value, n) for (kind, value), n in seen.items()] + [("pair", str(i), n) for i, n in enumerate(pairs.tolist()) if n]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ([], [], []), (pa.string(), pa.string(), pa.int64()), strict=True)], ["kind", "value", "n"])
+
+
+def token_pairs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Counts by class before (or start) and class after (or end), flat."""
+    k = len(NAMES)
+    number = _number[data].astype(np.int64)
+    held = np.zeros(len(data) + 1, np.int64)
+    held[starts] += 1
+    np.subtract.at(held, ends, 1)
+    inside = np.cumsum(held)[:-1] > 0
+    inside[starts] = False  # a token's first character follows the start, not the character before
+    at = np.flatnonzero(inside)
+    keys = np.concatenate([k * (k + 1) + number[starts], number[at - 1] * (k + 1) + number[at], number[ends - 1] * (k + 1) + k])
+    return np.bincount(keys, minlength=(k + 1) ** 2)
+
+
+def fit_formats(texts: DataFrame, text_col: str = "text", sample: int = 400, longest: int = 256, seed: int = 5) -> Formats:
+    """Learns from at most `sample` distinct labelled credentials of each kind (those of smallest hash) of up to `longest` characters; ordinary tokens are counted over all texts."""
+    small_batches(texts.sparkSession)
+    found = texts.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(_learned, "kind string, value string, n bigint").groupBy("kind", "value").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("kind").orderBy(F.xxhash64("value", F.lit(seed)), "value")
+    pair = F.col("kind") == "pair"
+    # at most (classes + 1)^2 pairs, and `sample` credentials a kind
+    rows = found.where(pair | (F.char_length("value") <= longest)).withColumn("r", F.row_number().over(order)).where(pair | (F.col("r") <= sample)).collect()
+    k = len(NAMES)
+    ordinary = np.zeros((k + 1) ** 2)
+    labelled: dict[str, list[str]] = {}
+    for r in sorted(rows, key=lambda r: (r["kind"], r["r"])):
+        if r["kind"] == "pair":
+            ordinary[int(r["value"])] = r["n"]
+        else:
+            labelled.setdefault(r["kind"], []).append(r["value"])
+    return Formats(labelled, ordinary.reshape(k + 1, k + 1))
+
+
+def scan(texts: pa.Array, formats: Formats, threshold: float = 0.0) -> list[list[dict]]:
+    """Each text's base spans, and as kind `grammar` its tokens of a margin of `threshold` or more that are clear of them, by start then kind."""
+    data, offsets = text_bytes(texts)
+    raw = data.tobytes()
+    starts, ends = runs(data, offsets, _is_token, LEAST)
+    likely = formats.margin(data, starts, ends) >= threshold
+    tokens: dict[int, list[tuple[int, int]]] = {}
+    for a, b in zip(starts[likely].tolist(), ends[likely].tolist(), strict=True):
+        tokens.setdefault(int(np.searchsorted(offsets, a, "right")) - 1, []).append((a, b))
+    out: list[list[dict]] = [[] for _ in range(len(texts))]
+    for i in marked(data, offsets) | tokens.keys():
+        own = raw[offsets[i] : offsets[i + 1]]
+        spans = base_spans(own.decode())
+        taken = sorted((a, b) for _, a, b, _ in spans)
+        for a, b in tokens.get(i, ()):
+            start = len(raw[offsets[i] : a].decode())
+            if not any(x < start + b - a and start < y for x, y in taken):
+                spans.append(("grammar", start, start + b - a, raw[a:b].decode()))
+        spans.sort(key=lambda x: (x[1], KINDS.index(x[0])))
+        out[i] = [dict(zip(SPAN.names, x, strict=True)) for x in spans]
+    return out
 
 
-def secret_scan(df: DataFrame, text_col: str = "text", sample: int = 400, threshold: float = 1.0) -> DataFrame:
+def secret_scan(df: DataFrame, text_col: str = "text", sample: int = 400, threshold: float = 0.0) -> DataFrame:
     """`df` without its text, with `spans`: array of (kind, start, end, value), code points, end exclusive, by start then kind.
 
-    Base spans always stay; kind `grammar` is added for candidates that score `threshold`
-    or more. Null and empty texts have none. Without labelled credentials nothing is
-    added. Repeated rows stay; an input column `spans` is replaced.
+    Base spans always stay; kind `grammar` is added for tokens whose margin is `threshold`
+    or more. Null and empty texts have none. Without labelled credentials (three of a kind)
+    nothing is added. Repeated rows stay; an input column `spans` is replaced. The texts are
+    read twice, to learn and to scan; nothing is shuffled but the distinct credentials.
     """
-    found = checkpointed(spread(df, F.col(f"`{text_col}`"), "__found", struct_udf(FOUND, _scan)).drop(text_col))
-    formats = df.sparkSession.sparkContext.broadcast(fit_formats(found, sample))
-
-    def pick(found: pa.Array) -> pa.Array:
-        out = [[c for c in (x or []) if formats.value.score(c["value"]) >= threshold] for x in found.to_pylist()]
-        return pa.array(out, found.type)
-
-    pick.__annotations__ = {"found": pa.Array, "return": pa.Array}
-    picked = F.when(F.size("candidates") > 0, F.arrow_udf(pick, T.ArrayType(SPAN))("candidates")).otherwise(F.col("candidates"))
-    rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
-    keyed = F.transform(F.concat("base", picked), lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
-    plain = F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    return found.withColumn("spans", plain).drop("base", "candidates")
+    sent = df.sparkSession.sparkContext.broadcast(fit_formats(df, text_col, sample))
+
+    def make():
+        formats = sent.value
+        return lambda texts: [scan(texts, formats, threshold)]
+
+    return spread(df, F.col(f"`{text_col}`"), "__found", struct_udf(FOUND, None, make=make)).drop(text_col)

@@ -2,6 +2,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -24,7 +25,9 @@ def texts():
     made = [f'é token = "{key(40)}" und PassWord:{key(5)} secret=\'{key(6)}' for _ in range(30)]
     made += [f"{key(24)} x {key(23)} AKIA{key(16).upper()} AKIA12 api_key= abc.def-{rng.randint(0, 9)} tokenſ=abcdefgh" for _ in range(10)]
     made += [None, "", " ", "token = ", "AKIA", key(100), "deadbeef", "Versicherungsgesellschaft2024 ok", f"lone {key(22)}", key(12), key(12), "toKen:abcdef"]
-    return made + ["lorem ipsum " * 5000 + f" token={key(30)}"]
+    made += ["lorem ipsum " * 5000 + f" token={key(30)}"]
+    word = lambda: "".join(rng.choice("aeiourstlnmpg") for _ in range(rng.randint(3, 14)))
+    return made + [" ".join(word() for _ in range(200)) for _ in range(20)]  # what ordinary tokens look like
 
 
 def test_base_spans_match_brute_force(spark):
@@ -110,11 +113,107 @@ def test_every_pattern_shows_a_trace():
 def test_scan_is_that_of_each_text_alone(make):
     rng = random.Random(4)
     texts = make(lambda n: "".join(rng.choice(HEX) for _ in range(n)))
-    base, rest = credentials._scan(pa.array(texts, pa.string()))
+    every = credentials.Formats({"hex": ["a1b2" * 8, "b1c2" * 8, "1122" * 8]})
+    found = credentials.scan(pa.array(texts, pa.string()), every, -1e9)
     for i, t in enumerate(texts):
-        want = credentials.base_spans(t or "")
-        assert [(s["kind"], s["start"], s["end"]) for s in base[i]] == brute_base(t), texts
-        assert [s["value"] for s in rest[i]] == [c[3] for c in credentials.candidates(t or "", want)], texts
+        assert [(s["kind"], s["start"], s["end"]) for s in found[i] if s["kind"] != "grammar"] == brute_base(t), texts
+        assert found[i] == credentials.scan(pa.array([t], pa.string()), every, -1e9)[0]
+
+
+def test_scan_of_random_neighbours():
+    rng = random.Random(21)
+    hexes = lambda n: "".join(rng.choice(HEX) for _ in range(n))
+    for _ in range(400):
+        texts = [rng.choice([None, "", "a", "f", "é", hexes(24), hexes(30) + " x", "note a", "AKIA" + "A1" * 8, "token=" + hexes(8), "tok", "en=abcdefgh", "A" * 20]) for _ in range(rng.randint(1, 7))]
+        found = credentials.scan(pa.array(texts, pa.string()), credentials.Formats({}))
+        assert [[(s["kind"], s["start"], s["end"]) for s in spans] for spans in found] == [brute_base(t) for t in texts], texts
+
+
+ALNUM = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+def credential(rng, kind):
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    return {"hex": lambda: draw(HEX, 40), "access": lambda: "AKIA" + draw(UPPER, 16), "prefixed": lambda: "ghp_" + draw(ALNUM, 36), "short": lambda: draw(HEX, 18), "free": lambda: draw(ALNUM, rng.randint(20, 40))}[kind]()
+
+
+def ordinary(rng):
+    word = lambda: "".join(rng.choice("aaeeeiioounnrrsttlldhcmpgbfwk") for _ in range(rng.randint(2, 14)))
+    return rng.choice([word, word, word, word, word, lambda: word().title() + "-" + word(), lambda: f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: f"https://{word()}.org/{word()}/{word()}_{rng.randint(1, 99)}", lambda: f"{word()}{rng.randint(2000, 2030)}", lambda: str(rng.randint(10**7, 10**13)), lambda: f"ISBN-978-{rng.randint(10**8, 10**9)}"])()
+
+
+def test_automata_know_lengths_and_prefixes():
+    rng = random.Random(31)
+    labelled = {kind: [credential(rng, kind) for _ in range(300)] for kind in ("hex", "access", "prefixed")}
+    tokens = " ".join(ordinary(rng) for _ in range(20000)).encode()
+    data = np.frombuffer(tokens, np.uint8)
+    pairs = credentials.token_pairs(data, *credentials.runs(data, np.array([0, len(data)]), credentials._is_token, credentials.LEAST))
+    formats = credentials.Formats(labelled, pairs.reshape(len(credentials.NAMES) + 1, -1).astype(float))
+    assert {k: len(a.next) for k, a in formats.automata.items()} == {"hex": 41, "access": 21, "prefixed": 41}
+    hexes = lambda n: "".join(rng.choice(HEX) for _ in range(n))
+    own, short, long = ([formats.score(hexes(n)) for _ in range(60)] for n in (40, 10, 400))
+    assert np.mean([x >= 0 for x in own]) > 0.85 and max(short) < 0 and np.mean(long) < np.mean(own) - 5
+    assert np.mean([formats.score(credential(rng, "prefixed")) >= 0 for _ in range(60)]) > 0.85
+    # a format of variable length makes loops: fewer states than the longest value has characters
+    assert len(credentials.Automaton([credentials.classes("".join(rng.choice(HEX) for _ in range(1 + int(rng.expovariate(0.08))))) for _ in range(400)]).next) < 30
+
+
+def slow_margin(formats, token):
+    """Character by character on the automata's own counts."""
+    best, k = -np.inf, len(credentials.NAMES)
+    for automaton, limit in zip(formats.automata.values(), formats.limits, strict=True):
+        state, total, last, outside = 0, 0.0, k, False
+        for ch in token:
+            c = credentials._class.get(ch, ch)
+            i = credentials.NAMES.index(c)
+            if not outside:
+                n = automaton.total(state) + credentials.UNSEEN
+                if c in automaton.next[state]:
+                    total += np.log(automaton.through[state][c] / n / credentials.SIZES[i]) - formats.usual[last, i]
+                    state = automaton.next[state][c]
+                else:
+                    total, outside = total + np.log(credentials.UNSEEN / n), True
+            last = i
+        if not outside:
+            total += np.log((automaton.ends[state] or credentials.UNSEEN) / (automaton.total(state) + credentials.UNSEEN)) - formats.usual_end[last]
+        best = max(best, total - limit)
+    return best
+
+
+def test_planted_formats_are_found_and_words_left_alone(spark):
+    rng = random.Random(32)
+    kinds = ("hex", "prefixed", "short", "free", "access")
+    rows, planted = [], {}
+    for i in range(1500):
+        words = [ordinary(rng) for _ in range(80)]
+        if i % 3 == 0:
+            words.insert(rng.randrange(80), f"token = {credential(rng, kinds[i // 3 % 4])}")
+        if i % 3 == 1:  # nothing but the format tells it
+            planted[i] = credential(rng, ("prefixed", "short", "free")[i // 3 % 3])
+            words.insert(rng.randrange(80), planted[i])
+        if i % 30 == 2:
+            words.insert(3, credential(rng, "access"))
+        rows.append((i, "é " * (i % 3) + " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    added = {r.doc_id: [s.value for s in r.spans if s.kind == "grammar"] for r in credentials.secret_scan(df).collect()}
+    hit = sum(added[i].count(v) for i, v in planted.items())
+    every = sum(map(len, added.values()))
+    assert hit >= 0.9 * len(planted) and hit >= 0.95 * every, (hit, every, len(planted))
+    formats = credentials.fit_formats(df)
+    for i, text in rows[:60]:
+        taken = [(a, b) for _, a, b in brute_base(text)]
+        tokens = [m for m in re.finditer("[A-Za-z0-9+/_-]{8,}", text) if not any(a < m.end() and m.start() < b for a, b in taken)]
+        assert added[i] == [m[0] for m in tokens if slow_margin(formats, m[0]) >= 0]
+
+
+def test_very_long_tokens_score_alike():
+    rng = random.Random(33)
+    formats = credentials.Formats({"free": [credential(rng, "free") for _ in range(100)]})
+    tokens = ["".join(rng.choice(ALNUM) for _ in range(n)) for n in (8, 30, 1500, 3000)] + ["a" * 2000]
+    assert np.allclose([formats.score(t) for t in tokens], [slow_margin(formats, t) for t in tokens])
+    data = credentials._joined([*tokens, "x" * 1025])
+    assert np.allclose(formats.margin(*data)[: len(tokens)], [slow_margin(formats, t) for t in tokens])
 
 
 def plain_search(key, text):
