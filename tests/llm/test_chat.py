@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from spectraloom.llm import chat
@@ -37,7 +38,7 @@ def brute(kinds):
 
 @pytest.mark.parametrize("span,fan", [(128, 64), (2, 2), (3, 100)])
 def test_repairs_are_legal_and_cheapest(spark, monkeypatch, span, fan):
-    monkeypatch.setattr(chat, "SPAN", span)
+    monkeypatch.setattr(chat, "RANGE_BYTES", span * 200)  # so that ranges cut conversations
     monkeypatch.setattr(chat, "FAN", fan)
     rng = random.Random(5)
     names = ["system", "USER ", "assistant", "human", "tool", None]
@@ -73,3 +74,48 @@ def test_legal_conversations_stay_and_odd_rows_are_defined(spark):
     assert len(rows) == 5 and all(r.action == "keep" and not r.inserted and not r.appended for r in rows if r.conv_id == 1)
     assert sorted(r.action for r in rows if r.conv_id == 2) == ["keep", "merge"]
     assert chat.repaired(df.limit(0)).count() == 0
+
+
+def test_long_runs_cost_what_single_steps_do():
+    rng = random.Random(6)
+    for n in (1, 255, 256, 257, 1000, 5000):
+        kinds = np.array([rng.randrange(4) for _ in range(n)])
+        want = np.where(np.eye(chat.STATES) > 0, 0.0, np.inf)
+        for k in kinds:
+            want = (want[:, :, None] + chat.COSTS[k][None, :, :]).min(axis=1)
+        assert (chat.run_total(kinds) == want).all()
+        states = chat.solved(kinds, np.array([0]), np.array([n]), np.array([0]), chat.END_COSTS[None, :])
+        paid = sum(chat.COSTS[k, a, b] for k, a, b in zip(kinds, [0, *states[:-1]], states, strict=True)) + chat.END_COSTS[states[-1]]
+        assert paid == (want[0] + chat.END_COSTS).min()
+
+
+def test_hot_and_named_conversations_in_many_ranges(spark, monkeypatch):
+    """Half of all turns in one conversation, ids that are text or null, texts of a megabyte, clashing columns."""
+    monkeypatch.setattr(chat, "RANGE_BYTES", 4000)
+    rng = random.Random(7)
+    rows = [("hot", t, rng.choice(["user", "assistant", "system", None, "tool"]), f"t{t}", 1) for t in range(1500)]
+    rows += [(f"c{c}", t, rng.choice(["user", "assistant"]), "x" * (1 << 20) if c == 3 and t == 1 else f"{c}", 2) for c in range(300) for t in range(rng.randint(1, 6))]
+    rows += [(None, t, "user", None, 3) for t in range(20)]
+    df = spark.createDataFrame(rows, "id string, turn int, role string, text string, segment int")
+    turns = chat.rendered(chat.repaired(df, conv="id"))
+    got = turns.collect()
+    assert len(got) == len(rows) and turns.schema["conv_id"].dataType.simpleString() == "string"
+    by = {}
+    for r in sorted(got, key=lambda r: (r.segment, r.place)):
+        by.setdefault(r.conv_id, []).append(r)
+    assert len(by) == 302
+    for conv, of in by.items():
+        assert [r.turn for r in of] == sorted(r.turn for r in of)
+        out = []
+        for r in of:
+            out += [NUMBER[x] for x in r.inserted] + ([] if r.action == "merge" else [NUMBER[r.new_role]]) + [NUMBER[x] for x in r.appended]
+        assert legal(out) and sum(r.opens for r in of) <= len(of) and [r.closes for r in of] == [False] * (len(of) - 1) + [True]
+        kinds = np.array([NUMBER.get(r.role, 3) for r in of])
+        paid = sum(r.cost for r in of) + chat.INSERT * sum(len(r.appended) for r in of)
+        assert paid == (chat.run_total(kinds)[0] + chat.END_COSTS).min(), conv
+    whole = {r.conv_id: r.text for r in chat.conversations(turns).collect()}
+    assert whole == {c: "".join(r.fragment for r in of) for c, of in by.items()}
+    cut = {}
+    for r in sorted(chat.conversations(turns, most=5000).collect(), key=lambda r: r.part):
+        cut[r.conv_id] = cut.get(r.conv_id, "") + r.text
+    assert cut == whole and chat.conversations(turns, most=5000).where("part > 0").count() > 0
