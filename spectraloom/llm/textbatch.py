@@ -111,16 +111,22 @@ def struct_udf(schema: StructType, work: Callable[[pa.Array], list[pa.Array]], m
     return F.arrow_udf(run, schema)
 
 
-#: Rows of an Arrow batch: whole texts are long, and both sides hold a batch several times.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: whole texts are long, and both sides hold a batch several times.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark) -> None:
-    """Lowers the session's Arrow batches to BATCH_ROWS where they are larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lowers the session's Arrow batches to BATCH_ROWS and BATCH_BYTES where they are larger.
+
+    They stay so: a DataFrame is planned when it is used, after this has returned. It changes
+    how large the pieces are that Python is sent, and no result.
+    """
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    now = spark.conf.get(size).rstrip("b")
+    if not (now.isdigit() and int(now) <= BATCH_BYTES):
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def spread(df, column, name: str, udf):
