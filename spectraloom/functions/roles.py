@@ -21,6 +21,7 @@ COARSE = (
 )
 # Columns that describe a spectrum's quality, not its shape.
 QUALITY = ("point_count", "energy_min_eV", "energy_max_eV", "duplicate_energy_points", "energy_step_cv", "zero_intensity_fraction", "integrated_area_arb_eV")
+# The scientific roles' rules, as above.
 SCIENTIFIC = (
     ("identity", "starts", ("_",)),
     ("identity", "is", ("record_id", "dataset", "sheet", "source_row", "reference_number", "doi_group", "validation_group", "source_excel_row", "source_file", "sequence_number")),

@@ -79,16 +79,16 @@ SECRETS = ["api_key=K{}&x", "Access-Token : t{}, then", "authorization: Bearer a
 
 
 @query(rf"""
-SELECT user_id, event_id, substr(regexp_replace(regexp_replace(e, '(?i)(api[_-]?key|access[_-]?token|insttoken|authorization)(\s*[=:]\s*)[^\s&,;]+', '\1\2[REDACTED]', 'g'), '(?i)Bearer\s+[A-Za-z0-9._-]+', 'Bearer [REDACTED]', 'g'), 1, 40) AS error
+SELECT user_id, event_id, substr(regexp_replace(regexp_replace(e, '{scalars.CREDENTIAL}', '\1\2[REDACTED]', 'g'), '{scalars.BEARER}', 'Bearer [REDACTED]', 'g'), 1, 40) AS error
 FROM (SELECT user_id, event_id, replace({pick_sql(SECRETS, "event_id")}, '{{}}', CAST(event_id AS VARCHAR)) AS e FROM events)""")
 def f10_redacted_errors(spark, sf_dir):
     raw = F.replace(pick(SECRETS, F.col("event_id")), F.lit("{}"), F.col("event_id").cast("string"))
     return table(spark, sf_dir, "events").select("user_id", "event_id", scalars.redacted(raw, 40).alias("error"))
 
 
-@query(r"""
+@query(rf"""
 SELECT grp, count(*) AS n_rows FROM (
-  SELECT regexp_replace(lower(trim(g)), '^(10\.1073/pnas\.[a-z0-9.]+?)/-/dcsupplemental.*$', '\1') AS grp FROM (
+  SELECT regexp_replace(lower(trim(g)), '{scalars.SUPPLEMENT}', '\1') AS grp FROM (
     SELECT '10.1073/PNAS.' || (l_suppkey % 9) || CASE WHEN l_linenumber = 2 THEN '/-/DCSupplemental/s1.pdf' WHEN l_linenumber = 3 THEN '/other' ELSE '' END AS g FROM lineitem))
 GROUP BY grp""")
 def f11_supplements_join_their_article(spark, sf_dir):
@@ -127,7 +127,7 @@ CLAIMS = ["{} % rejection", "{}.5 LMH flux", "at {} bar⁻¹", "{} L m-2 h", "{}
 
 
 @query(rf"""
-SELECT p_partkey, claim, regexp_matches(claim, '(?i)[0-9]([0-9.,]*[0-9])?\s*(%|％|LMH|L\s*[·/]?\s*m[-−⁻]?[²2]|mL|bar[-−⁻]?[¹1])') AS uncalibrated
+SELECT p_partkey, claim, regexp_matches(claim, '{scalars.UNCALIBRATED}') AS uncalibrated
 FROM (SELECT p_partkey, replace({pick_sql(CLAIMS, "p_partkey")}, '{{}}', CAST(p_size AS VARCHAR)) AS claim FROM part)""")
 def f15_uncalibrated_claims(spark, sf_dir):
     claim = F.replace(pick(CLAIMS, F.col("p_partkey")), F.lit("{}"), F.col("p_size").cast("string"))
