@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spectraloom.session import running
+
 
 def top_rows(df: DataFrame, by: list[str], order: list[Column], k: int, slices: int = 32, salt: list[str] | None = None) -> DataFrame:
     """The first k rows of each group, with their `place`.
@@ -35,3 +37,34 @@ def replaced(stored: DataFrame, incoming: DataFrame, keys: list[str], order: lis
     """Stored rows whose key no incoming row has, and the last incoming row of each key."""
     last = latest(incoming, keys, order)
     return stored.join(last.select(*keys), keys, "left_anti").unionByName(last, allowMissingColumns=True)
+
+
+def distinct_in_order(df: DataFrame, by: list[str], value: str, order: list[str], name: str) -> DataFrame:
+    """(by…, name): each group's distinct values as a list, in the order of their first rows. Repeats are dropped before values are gathered."""
+    firsts = df.groupBy(*by, value).agg(F.min(F.struct(*order)).alias("__first"))
+    listed = F.array_sort(F.collect_list(F.struct("__first", value)))
+    return firsts.groupBy(*by).agg(F.transform(listed, lambda r: r[value]).alias(name))
+
+
+def value_counts(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """(by…, field, value, n): how often each value of each column occurs; nulls don't count."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns]))
+    return df.select(*by, each.alias("__x")).select(*by, "__x.*").where("value is not null").groupBy(*by, "field", "value").agg(F.count("*").alias("n"))
+
+
+def quantiles(counts: DataFrame, by: list[str], shares: list[float]) -> DataFrame:
+    """(by…, n, q) of value counts (by…, value, n): exact quantiles, linearly interpolated, however many values a group has.
+
+    Values are placed by running sums over ranges, so no task holds a group. Groups with a null key are left out.
+    """
+    placed = running(counts, by, ["value"], "n", "__before")
+    total = counts.groupBy(*by).agg(F.sum("n").alias("__total"))
+    both = placed.join(total, by)
+    ends = []
+    for i, share in enumerate(shares):
+        place = (F.col("__total") - 1) * F.lit(float(share))
+        for end, at in (("low", F.floor(place)), ("high", F.ceil(place))):
+            ends.append(F.max(F.when((F.col("__before") <= at) & (at < F.col("__before") + F.col("n")), F.col("value"))).alias(f"__{end}_{i}"))
+    each = both.groupBy(*by).agg(F.max("__total").alias("__n"), *ends)
+    cut = lambda i, share: F.col(f"__low_{i}") + (F.col(f"__high_{i}") - F.col(f"__low_{i}")) * ((F.col("__n") - 1) * F.lit(float(share)) - F.floor((F.col("__n") - 1) * F.lit(float(share))))
+    return each.select(*by, F.col("__n").alias("n"), F.array(*[cut(i, share) for i, share in enumerate(shares)]).alias("q"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.functions import scalars
 from spectraloom.operators import descriptors
+from spectraloom.operators.tables import quantiles, value_counts
 from spectraloom.session import checkpointed, numbered, running
 
 # Texts that name no group.
@@ -169,9 +170,12 @@ def train_means(df: DataFrame, fold: str, columns: list[str]) -> DataFrame:
 
 
 def train_medians(df: DataFrame, fold: str, columns: list[str], k: int) -> DataFrame:
-    """(fold, median_c …) over each fold's training rows: exact medians don't subtract, so rows are copied k - 1 times."""
-    copies = df.select(fold, *columns).withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(F.col("outer") != F.col(fold))
-    return copies.groupBy(F.col("outer").alias(fold)).agg(*[F.percentile(c, F.lit(0.5)).alias(f"median_{c}") for c in columns])
+    """(fold, median_c …) over each fold's training rows, exact: the counts of distinct values are copied k - 1 times, not the rows."""
+    own = value_counts(df, [fold], columns)
+    copies = own.withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(F.col("outer") != F.col(fold))
+    train = copies.groupBy(F.col("outer").alias(fold), "field", "value").agg(F.sum("n").alias("n"))
+    cuts = quantiles(train, [fold, "field"], [0.5])
+    return cuts.groupBy(fold).agg(*[F.max(F.when(F.col("field") == c, F.col("q")[0])).alias(f"median_{c}") for c in columns])
 
 
 def prepared(df: DataFrame, fold: str, numeric: list[str], categorical: list[str], k: int) -> DataFrame:
@@ -322,6 +326,7 @@ def metrics(df: DataFrame, by: list[str], observed: str = "observed", predicted:
     )
     if not rank:
         return made
+    df = checkpointed(df)  # the predictions are read four times more
     ranked = df.join(average_ranks(df, by, observed, "__a"), [*by, observed]).join(average_ranks(df, by, predicted, "__b"), [*by, predicted])
     # a constant side has no spread: NULL, not a division by zero
     correlation = F.covar_pop("__a", "__b") / F.nullif(F.stddev_pop("__a") * F.stddev_pop("__b"), F.lit(0.0))

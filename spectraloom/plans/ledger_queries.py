@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from spectraloom.operators import ledger
-from spectraloom.plans.registry import query
+from spectraloom.operators import ledger, tables
+from spectraloom.plans.registry import pick, pick_sql, query
 from spectraloom.plans.scalar_queries import SECRETS
-from spectraloom.plans.registry import pick, pick_sql
+from spectraloom.session import scratch, table
 from spectraloom.sources import files
-from spectraloom.session import shared_dir, table
 from spectraloom.streaming import jobs
 
 
@@ -123,10 +120,13 @@ def t03_running_first(spark, sf_dir):
     return table(spark, sf_dir, "orders").orderBy(F.desc(running), F.desc("o_orderdate"), "o_orderkey").limit(200).select("o_orderkey", running.alias("running"))
 
 
-@query("SELECT conv_id, list(DISTINCT w ORDER BY w) AS words FROM (SELECT conv_id, unnest(string_split(lower(text), ' ')) AS w FROM conversations WHERE turn < 2) WHERE length(w) > 9 GROUP BY conv_id")
+@query("""
+SELECT conv_id, list(w ORDER BY first) AS words FROM (
+  SELECT conv_id, w, min((turn, i)) AS first FROM (SELECT conv_id, turn, unnest(string_split(lower(text), ' ')) AS w, generate_subscripts(string_split(lower(text), ' '), 1) AS i FROM conversations) WHERE length(w) > 9 GROUP BY ALL) GROUP BY conv_id""")
 def u04_distinct_words(spark, sf_dir):
-    words = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) > 9)))))
-    return table(spark, sf_dir, "conversations").where("turn < 2").groupBy("conv_id").agg(words.alias("words")).where(F.size("words") > 0)
+    """All turns' long words, once each, in the order of their first use; words are told apart before they are gathered."""
+    placed = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.lower("text"), " ")).alias("i", "w")).where(F.length("w") > 9)
+    return tables.distinct_in_order(placed, ["conv_id"], "w", ["turn", "i"], "words")
 
 
 RULES_SQL = """
@@ -226,15 +226,18 @@ def r01_assembled_answers(spark, sf_dir):
 
 def _stream_folder(spark, df, kind: str) -> str:
     """The rows as files of the shared folder, for a file stream to read."""
-    at = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    at = scratch(spark, kind)
     df.write.parquet(f"{at}/in")
     return at
 
 
-@query(f"SELECT request_id, 'complete' AS status, coalesce(string_agg(content, '' ORDER BY seq), '') AS content, count(*) AS n_chunks FROM {CHUNKS_SQL} GROUP BY request_id HAVING count(finish_reason) > 0")
+@query(f"""
+WITH c AS ({CHUNKS_SQL[1:-1]}), t AS (SELECT request_id, string_agg(tool_index || '=' || a, ';' ORDER BY tool_index) AS calls FROM (SELECT request_id, tool_index, string_agg(fn_args, '' ORDER BY seq) AS a FROM c WHERE tool_index IS NOT NULL GROUP BY ALL) GROUP BY ALL)
+SELECT request_id, 'complete' AS status, coalesce(string_agg(content, '' ORDER BY seq), '') AS content, coalesce(string_agg(reasoning, '' ORDER BY seq), '') AS reasoning, any_value(calls) AS calls, arg_max(prompt_tokens, seq) FILTER (prompt_tokens IS NOT NULL) AS prompt_tokens, count(*) AS n_chunks
+FROM c LEFT JOIN t USING (request_id) GROUP BY request_id HAVING count(finish_reason) > 0""")
 def r01_assembled_by_stream(spark, sf_dir):
     """The stream's complete answers; the incomplete ones only time out when time passes."""
-    at = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    at = scratch(spark, "chunks")
     rows = chunks(spark, sf_dir)
     # in parts, a batch each, so that requests span batches; availableNow doesn't end where processing time may time out
     for part in range(3):
@@ -243,17 +246,22 @@ def r01_assembled_by_stream(spark, sf_dir):
         # no request may time out between two batches
         run = jobs.assemble_stream(stream, timeout_ms=86_400_000).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(once=True).outputMode("append").start()
         run.awaitTermination()
-    return jobs.newest_answers(spark.read.schema(jobs.DONE).parquet(f"{at}/out")).where("status = 'complete'").select("request_id", "status", "content", "n_chunks")
+    calls = F.array_join(F.transform("calls", lambda c: F.concat_ws("=", c["tool_index"].cast("string"), c["arguments"])), ";")
+    return jobs.newest_answers(spark.read.schema(jobs.DONE).parquet(f"{at}/out")).where("status = 'complete'").select("request_id", "status", "content", "reasoning", calls.alias("calls"), "prompt_tokens", "n_chunks")
 
 
-@query(f"SELECT task_id, max(seq) AS seq, arg_max(stage, seq) FILTER (seq = m) AS stage FROM (SELECT *, max(seq) OVER (PARTITION BY task_id) AS m FROM {UPDATES_SQL}) WHERE seq = m GROUP BY task_id")
+@query(f"""
+SELECT task_id, seq, stage, CASE WHEN status = 'running' AND ts < (SELECT max(ts) FROM events) - INTERVAL 6 HOUR THEN 'interrupted' ELSE status END AS shown
+FROM (SELECT u.*, e.ts, CASE e.event_type WHEN 'error' THEN 'failed' ELSE 'running' END AS status FROM {UPDATES_SQL} u JOIN events e ON e.event_id = u.seq QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY seq DESC) = 1)""")
 def r02_latest_progress_by_stream(spark, sf_dir):
-    at = _stream_folder(spark, updates(spark, sf_dir).select("task_id", "seq", "stage"), "progress")
-    stream = spark.readStream.schema("task_id bigint, seq bigint, stage string").option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
-    run = jobs.latest_progress(stream, f"{at}/out", f"{at}/state").start()
+    rows = updates(spark, sf_dir).select("task_id", "seq", "stage")
+    facts = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "error", "failed").otherwise("running").alias("status"))
+    at = _stream_folder(spark, rows.join(facts, "seq").select("task_id", "seq", "stage", "ts", "status"), "progress")
+    stream = spark.readStream.schema("task_id bigint, seq bigint, stage string, ts timestamp, status string").option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    run = jobs.latest_progress(stream, f"{at}/out", f"{at}/state", stale="6 HOURS").start()
     run.awaitTermination()
     newest = spark.read.parquet(f"{at}/out").agg(F.max("batch")).first()[0]
-    return spark.read.parquet(f"{at}/out/batch={newest}")
+    return spark.read.parquet(f"{at}/out/batch={newest}").select("task_id", "seq", "stage", "shown")
 
 
 @query(f"SELECT DISTINCT request_id FROM {REQUESTS_SQL}")
@@ -270,39 +278,41 @@ def r03_requests_admitted_once_by_stream(spark, sf_dir):
 @query("SELECT CAST(user_id AS VARCHAR) AS spectrum_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def s02_s06_spectra_through_files(spark, sf_dir):
     """Events of each user written as a delimited table by user, read back as lines, and summed."""
-    at = f"{shared_dir(spark)}/spectra-{uuid.uuid4().hex}"
+    at = scratch(spark, "spectra")
     rows = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("x"), F.col("value").alias("y"))
     files.write_table(rows.repartition("user_id"), at, "csv", ["user_id"])
     lines = files.spectra_files(spark, at).withColumn("path", F.regexp_extract("path", r"user_id=([0-9]+)", 1))
     return files.spectrum_points(lines).groupBy("spectrum_id").agg(F.count("*").alias("n"), F.round(F.sum("y"), 4).alias("total"))
 
 
-@query("SELECT count(*) > 0 AS found, CAST(2 AS BIGINT) AS missing, (SELECT count(*) FROM supplier) AS rows FROM supplier")
+@query("""
+SELECT CAST(s_suppkey AS VARCHAR) AS stem, CAST(length(s_name) + 1 AS BIGINT) AS bytes, sha256(s_name || chr(10)) AS sha256, CASE WHEN s_suppkey % 2 = 0 THEN 'NF' ELSE 'RO' END AS dataset, CASE WHEN s_suppkey % 3 = 0 THEN 'N' ELSE 'O' END AS element, CAST(NULL AS VARCHAR) AS error FROM supplier
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), NULL, NULL, NULL, NULL, 'missing' FROM supplier WHERE s_suppkey % 10 = 7""")
 def s03_file_inventory(spark, sf_dir):
-    """Suppliers written as a table; its files inventoried, two that aren't there reported, and the rows read back."""
-    at = f"{shared_dir(spark)}/inventory-{uuid.uuid4().hex}"
-    files.write_table(table(spark, sf_dir, "supplier"), at)
-    found = files.inventory(spark, at, "*.parquet")
-    expected = found.select("path").unionByName(spark.createDataFrame([("gone/NF-N/a.csv",), ("gone/b.csv",)], "path string"))
-    every = files.with_missing(found, expected)
-    counted = every.agg((F.count("sha256") > 0).alias("found"), F.count("error").alias("missing"))
-    return counted.crossJoin(spark.read.parquet(at).agg(F.count("*").alias("rows")))
+    """A file of each supplier, in a folder of its dataset and element; the files inventoried, and some that aren't there reported."""
+    at = scratch(spark, "inventory")
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(k, F.concat(F.when(k % 2 == 0, "NF").otherwise("RO"), F.when(k % 3 == 0, "-N").otherwise("-O")).alias("tag"), F.col("s_name").alias("value"))
+    rows.repartition("s_suppkey").write.partitionBy("s_suppkey", "tag").option("compression", "none").text(f"{at}/in")
+    found = files.inventory(spark, f"{at}/in", "*.txt")
+    gone = table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 7").select(F.concat(F.lit("s_suppkey="), k, F.lit("/gone.csv")).alias("path"))
+    every = files.with_missing(found, found.select("path").unionByName(gone))
+    stem = F.regexp_extract("path", "s_suppkey=([^/]*)", 1)
+    return every.select(stem.alias("stem"), "bytes", "sha256", "dataset", "element", "error")
 
 
 @query("SELECT 'part' AS sheet, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS total FROM part UNION ALL SELECT 'supplier', count(*), NULL FROM supplier")
 def s07_exported_sheets(spark, sf_dir):
-    at = f"{shared_dir(spark)}/sheets-{uuid.uuid4().hex}"
+    at = scratch(spark, "sheets")
     files.export_sheets({("book", "part"): table(spark, sf_dir, "part"), ("book", "supplier"): table(spark, sf_dir, "supplier")}, at)
     return spark.read.parquet(at).groupBy(F.col("_source_sheet").alias("sheet")).agg(F.count("*").alias("n"), F.sum("p_size").alias("total"))
 
 
 @query("SELECT 't' || s_suppkey AS task_id, s_suppkey % 9 AS done FROM supplier WHERE s_suppkey % 10 NOT IN (0, 5)")
 def s05_task_journals(spark, sf_dir):
-    """A journal of each supplier as JSON files; some broken, some without a key."""
-    at = f"{shared_dir(spark)}/journals-{uuid.uuid4().hex}"
+    """A journal of each supplier, a JSON file each; some broken, some without a key."""
+    at = scratch(spark, "journals")
     k = F.col("s_suppkey")
     text = F.when(k % 10 == 0, "{broken").when(k % 10 == 5, '{"status": "running"}').otherwise(F.concat(F.lit('{"task_id": "t'), k, F.lit('", "progress": {"done": '), k % 9, F.lit("}}")))
-    # a file each: the rows are partitioned by their own number
-    table(spark, sf_dir, "supplier").select(k, text.alias("value")).repartition("s_suppkey").write.partitionBy("s_suppkey").option("compression", "none").text(f"{at}")
-    read = spark.read.schema(files.JOURNAL).option("multiLine", True).option("recursiveFileLookup", True).json(at)
-    return read.where("_corrupt_record is null and task_id is not null").select("task_id", F.col("progress")["done"].cast("bigint").alias("done"))
+    table(spark, sf_dir, "supplier").select(k, text.alias("value")).repartition("s_suppkey").write.partitionBy("s_suppkey").option("compression", "none").text(f"{at}/in")
+    return files.journals(spark, f"{at}/in", "*.txt").select("task_id", F.col("progress")["done"].cast("bigint").alias("done"))

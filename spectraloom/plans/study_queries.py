@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spectraloom.functions import roles
-from spectraloom.operators import descriptors, validation
+from spectraloom.operators import descriptors, study, validation
 from spectraloom.operators.descriptors import Spec
 from spectraloom.plans.registry import pick, pick_sql, query
 from spectraloom.plans.scalar_queries import HEADERS
@@ -130,12 +130,26 @@ def a20_split_dois(spark, sf_dir):
     return validation.split_groups(cohort(spark, sf_dir), "doi", "g")
 
 
+# a feature of dataset A that has values in one fold alone
+PATCHY_SQL = f"(SELECT *, CAST(l_suppkey % 5 AS INT) AS f, CASE WHEN dataset <> 'A' OR l_suppkey % 5 = 1 THEN c END AS z FROM {FLAGS_SQL})"
+
+
 @query(f"""
-SELECT dataset, rows, groups, CASE WHEN groups < 3 THEN 'too few groups' WHEN rows < 12 THEN 'too few rows' END AS reason FROM (
-  SELECT dataset, count(*) AS rows, count(DISTINCT g) AS groups FROM {FLAGS_SQL} WHERE l_suppkey % 50 < 3 GROUP BY dataset)""")
+SELECT dataset, rows, groups, CASE WHEN groups < 3 THEN 'too few groups' WHEN rows < 12 THEN 'too few rows' WHEN none THEN 'no training values: z' END AS reason FROM (
+  SELECT dataset, count(*) AS rows, count(DISTINCT g) AS groups FROM {PATCHY_SQL} GROUP BY dataset)
+JOIN (SELECT dataset, sum(n) = max(n) AS none FROM (SELECT dataset, f, count(z) AS n FROM {PATCHY_SQL} GROUP BY ALL) GROUP BY dataset) USING (dataset)""")
 def m12_guards(spark, sf_dir):
-    rows = cohort(spark, sf_dir).where("l_suppkey % 50 < 3")
-    return validation.guards(rows, "g", ("dataset",))
+    fold = (F.col("l_suppkey") % 5).cast("int")
+    rows = cohort(spark, sf_dir).withColumns({"f": fold, "z": F.when((F.col("dataset") != "A") | (fold == 1), F.col("c"))})
+    return validation.guards(rows, "g", ("dataset",), "f", ("c", "z"))
+
+
+@query(f"""
+SELECT {', '.join(KEYS)}, coalesce(CASE WHEN trim(doi) <> '' THEN doi END, CASE WHEN v THEN g END) AS study_group FROM {FLAGS_SQL} WHERE t AND s AND m AND (trim(doi) <> '' OR v)""")
+def m02_relationship_cohort(spark, sf_dir):
+    """Checked for its task, with the supplier as the group where no DOI is known."""
+    roles_of = {"c": "xps", "l_tax": "test_condition", "y": "performance"}
+    return study.cohort(cohort(spark, sf_dir), "xps_to_performance", "y", {"xps": ["c"]}, ["l_tax"], roles_of, ["A", "R"], fallback="g").select(*KEYS, "study_group")
 
 
 # --- folds
@@ -222,17 +236,11 @@ PREDICTED_SQL = f"""(
 
 
 def predictions(spark, sf_dir):
-    rows = folded(spark, sf_dir).withColumn("xy", F.col("l_quantity") * F.col("l_extendedprice")).withColumn("xx", F.col("l_quantity") ** 2)
-    own = rows.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("l_quantity", "l_extendedprice", "xy", "xx")])
-    total = own.agg(*[F.sum(c).alias(f"t_{c}") for c in own.columns if c != "fold"])
-    n, x, y, xy, xx = (F.col(f"t_{c}") - F.col(c) for c in ("n", "l_quantity", "l_extendedprice", "xy", "xx"))
-    slope = (n * xy - x * y) / (n * xx - x * x)
-    lines_of = own.crossJoin(total).select("fold", (y / n).alias("mean"), slope.alias("slope"), ((y - slope * x) / n).alias("base"))
-    each = rows.join(F.broadcast(lines_of), "fold")
-    keep = [*KEYS, "l_suppkey", "fold"]
-    first = each.select(*keep, F.lit("baseline").alias("feature_set"), F.col("l_extendedprice").alias("observed"), F.round("mean", 4).alias("predicted"))
-    second = each.select(*keep, F.lit("augmented").alias("feature_set"), F.col("l_extendedprice").alias("observed"), F.round(F.col("base") + F.col("slope") * F.col("l_quantity"), 4).alias("predicted"))
-    return first.unionByName(second)
+    """The study's own table: without a penalty, ridge is the least-squares line."""
+    sets = validation.feature_sets({"xps": ["l_quantity"]}, [])
+    named = {"baseline": sets["training_mean"], "augmented": sets["xps"]}
+    made = study.compared(table(spark, sf_dir, "lineitem"), named, "l_suppkey", "l_extendedprice", K, grid=[("ridge", 0.0, 0.0)])[0]
+    return made.select(*KEYS, "l_suppkey", "fold", "feature_set", "observed", F.round("predicted", 4).alias("predicted"))
 
 
 @query(f"SELECT {', '.join(KEYS)}, fold, feature_set, round(observed, 2) AS observed, round(predicted, 2) AS predicted FROM {PREDICTED_SQL}")
@@ -288,7 +296,7 @@ def a13_paired_deltas(spark, sf_dir):
     return validation.paired_delta(by_fold(spark, sf_dir), "r2", "baseline", "augmented").withColumn("delta", F.round("delta", 5))
 
 
-DELTAS_SQL = "(SELECT l_returnflag || l_linenumber AS k, round(avg(l_discount) - 0.05, 5) AS delta FROM lineitem WHERE l_returnflag < 'R' AND l_linenumber < 7 GROUP BY ALL)"
+DELTAS_SQL = "(SELECT l_linestatus || l_linenumber AS k, round(avg(l_discount) - 0.05, 5) AS delta FROM lineitem GROUP BY ALL)"
 
 
 @query(f"""
@@ -296,8 +304,7 @@ WITH d AS (SELECT delta, row_number() OVER (ORDER BY delta, k) - 1 AS i FROM {DE
 v AS (SELECT v, sum(CASE WHEN (v >> i) & 1 = 1 THEN delta ELSE -delta END) AS s FROM (SELECT unnest(range(CAST(2 ** (SELECT n FROM n) AS BIGINT))) AS v), d GROUP BY v)
 SELECT any_value(n) AS n, round(any_value(mean), 6) AS mean_delta, round(count(*) FILTER (s >= total - 1e-12) / count(*), 6) AS p_value FROM v, n""")
 def a14_sign_flip_p_value(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_returnflag < 'R' and l_linenumber < 7")
-    deltas = rows.groupBy("l_returnflag", "l_linenumber").agg(F.round(F.avg("l_discount") - 0.05, 5).alias("delta"))
+    deltas = table(spark, sf_dir, "lineitem").groupBy("l_linestatus", "l_linenumber").agg(F.round(F.avg("l_discount") - 0.05, 5).alias("delta"))
     return validation.sign_flip(deltas).select(F.col("n").cast("bigint").alias("n"), F.round("mean_delta", 6).alias("mean_delta"), F.round("p_value", 6).alias("p_value"))
 
 
@@ -306,14 +313,51 @@ def w09_average_ranks(spark, sf_dir):
     return validation.average_ranks(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", "rk")
 
 
+RIDGE_SQL = f"""
+WITH r AS (SELECT * FROM {GAPS_SQL}), n AS (SELECT * FROM {NESTED_SQL}),
+c AS (SELECT r.*, o.fold AS "outer", f.j, CASE WHEN r.fold = o.fold THEN 'test' WHEN n."inner" = f.j THEN 'valid' ELSE 'train' END AS part
+  FROM r CROSS JOIN (SELECT DISTINCT fold FROM r) o CROSS JOIN (SELECT unnest([-1, 0, 1, 2]) AS j) f LEFT JOIN n ON n."outer" = o.fold AND n.l_suppkey = r.l_suppkey WHERE r.fold <> o.fold OR f.j = -1),
+i AS (SELECT "outer", j, median(q) AS mid, avg(l_extendedprice) AS base FROM c WHERE part = 'train' GROUP BY ALL),
+f AS (SELECT c.*, base, coalesce(q, mid) AS fq, CASE WHEN q IS NULL THEN 1.0::DOUBLE ELSE 0.0 END AS miss FROM c JOIN i USING ("outer", j)),
+s AS (SELECT "outer", j, avg(fq) AS mu, stddev_pop(fq) AS sd FROM f WHERE part = 'train' GROUP BY ALL),
+z AS (SELECT f.*, (fq - mu) / sd AS z, l_extendedprice - base AS y FROM f JOIN s USING ("outer", j)),
+g AS (SELECT "outer", j, count(*) AS n, sum(z * z) AS zz, sum(z * miss) AS zm, sum(miss) AS m, sum(z) AS sz, sum(z * y) AS zy, sum(miss * y) AS my, sum(y) AS sy FROM z WHERE part = 'train' GROUP BY ALL),
+h AS (SELECT "outer", j, a, n, zz - sz * sz / n + a AS p, zm - sz * m / n AS q, m - m * m / n + a AS r, zy - sz * sy / n AS u, my - m * sy / n AS v, sz, m, sy FROM g, (SELECT unnest([1.0, 10.0]) AS a)),
+w AS (SELECT "outer", j, a, (r * u - q * v) / (p * r - q * q) AS wz, (p * v - q * u) / (p * r - q * q) AS wm, n, sz, m, sy FROM h),
+k AS (SELECT *, (sy - wz * sz - wm * m) / n AS b FROM w),
+e AS (SELECT "outer", a, avg(mae) AS mae FROM (SELECT "outer", j, a, avg(mae) AS mae FROM (SELECT z."outer", z.j, a, l_suppkey, avg(abs(y - b - wz * z - wm * miss)) AS mae FROM z JOIN k USING ("outer", j) WHERE part = 'valid' GROUP BY ALL) GROUP BY ALL) GROUP BY ALL),
+t AS (SELECT "outer", arg_min(a, struct_pack(m := mae, a := a)) AS a FROM e GROUP BY ALL)
+SELECT {', '.join(KEYS)}, fold, a AS alpha, round(base + b + wz * z + wm * miss, 3) AS predicted FROM z JOIN t USING ("outer") JOIN k USING ("outer", j, a) WHERE part = 'test'"""
+
+
+@query(RIDGE_SQL)
+def m08_m10_ridge_study(spark, sf_dir):
+    """Imputed, standardised and solved inside each fold; the penalty is chosen over inner folds, each group alike."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("q", F.when(F.col("l_partkey") % 7 != 0, F.col("l_quantity")))
+    made, _, chosen = study.compared(rows, {"xps": ["q"]}, "l_suppkey", "l_extendedprice", K, 3, [("ridge", a, 0.0) for a in validation.RIDGE])
+    alpha = pick_value({outer: c[1] for outer, *c in chosen["xps"]}, F.col("fold"))
+    return made.select(*KEYS, "fold", alpha.alias("alpha"), F.round("predicted", 3).alias("predicted"))
+
+
+def pick_value(values: dict, key):
+    """A value of a fold, from few."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
+
+
 def m08_m10_linear_study(spark, sf_dir):
-    """Nested selection among ridge and elastic-net candidates; solved from sums, so it has no SQL: tests check it by hand-solved cases."""
-    assigned = folds(spark, sf_dir)
-    rows = table(spark, sf_dir, "lineitem").select(*KEYS, "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
-    made, _ = validation.linear_study(rows, assigned, validation.nested_folds(assigned, "l_suppkey", 3), "l_suppkey", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    """Nested selection among all ridge and elastic-net candidates over prepared columns; coordinate descent has no SQL: tests hold it against brute force."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("q", F.when(F.col("l_partkey") % 7 != 0, F.col("l_quantity")))
+    made = study.compared(rows, {"combined": ["q", "l_discount", "l_tax", "l_returnflag"]}, "l_suppkey", "l_extendedprice", K, 3)[0]
     return made.select(*KEYS, "fold", F.round("predicted", 4).alias("predicted"))
 
 
+@query(f"""
+SELECT fold AS "outer", 'test' AS part, NULL AS "inner", l_suppkey FROM {FOLDS_SQL} UNION ALL SELECT "outer", 'train', "inner", l_suppkey FROM {NESTED_SQL}""")
+def m05_split_manifest(spark, sf_dir):
+    assigned = folds(spark, sf_dir)
+    return study.manifest(assigned, validation.nested_folds(assigned, "l_suppkey", 3), "l_suppkey")
+
+
 def m09_random_forest(spark, sf_dir):
     """Random splits have no SQL: tests check the cover and the gain over the mean."""
     rows = table(spark, sf_dir, "lineitem").select(*KEYS, "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ def local_session(cores: str = "8", memory: str = "16g", name: str = "spectraloo
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -24,16 +26,42 @@ def local_session(cores: str = "8", memory: str = "16g", name: str = "spectraloo
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. One of our own is made where that is unset on one machine; a cluster must name it."""
     context = spark.sparkContext
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-spectraloom-"))
+    if not named:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="spark-spectraloom-")
+        _until_the_end(spark, named)
+    context.setCheckpointDir(named)
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def _until_the_end(spark: SparkSession, path: str) -> None:
+    """The folder is made, and removed when the driver ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared one, for what a query writes and reads again; it goes when the driver ends, as results are read lazily."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _until_the_end(spark, path)
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder that no later job reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder: later jobs reread them, also after an executor is lost."""
     shared_dir(df.sparkSession)

@@ -39,9 +39,9 @@ def with_missing(found: DataFrame, expected: DataFrame) -> DataFrame:
 JOURNAL = "task_id string, label string, kind string, status string, created_at string, finished_at string, progress map<string,string>, events array<map<string,string>>, _corrupt_record string"
 
 
-def journals(spark: SparkSession, path: str) -> DataFrame:
+def journals(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """Task journals, one JSON file each, newest first; broken ones and those without a key are left out."""
-    read = spark.read.schema(JOURNAL).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+    read = spark.read.schema(JOURNAL).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(path)
     kept = read.select("*", F.col("_metadata.file_modification_time").alias("modified")).where("_corrupt_record is null and task_id is not null and task_id <> ''")
     return kept.drop("_corrupt_record").orderBy(F.desc("modified"), "task_id")
 

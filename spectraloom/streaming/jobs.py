@@ -70,16 +70,22 @@ def assemble_batch(chunks: DataFrame) -> DataFrame:
     return assembled(chunks).join(counts, "request_id").select("request_id", "status", "content", "reasoning", "calls", "finish_reason", "prompt_tokens", "completion_tokens", "n_chunks")
 
 
-def latest_progress(updates: DataFrame, path: str, checkpoint: str):
+def latest_progress(updates: DataFrame, path: str, checkpoint: str, stale: str | None = None, status: str = "status", at: str = "ts"):
     """Keeps the last update of each task (task_id, seq, …) in `path`, one folder a batch with its merged state: start() it; the newest folder is the state.
 
     A batch that is run again after a failure overwrites its own folder from the one before, so it takes effect once.
+    With `stale`, an interval, each state has `shown` too: a running task whose last update is older than that, against the newest of all, is shown as interrupted, until another comes.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         merged = batch if number == 0 else spark.read.schema(batch.schema).parquet(f"{path}/batch={number - 1}").unionByName(batch)
-        latest(merged, ["task_id"], ["seq"]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last = latest(merged, ["task_id"], ["seq"])
+        if stale:
+            newest = merged.agg(F.max(at).alias("__newest"))  # one row
+            old = (F.col(status) == "running") & (F.col(at) < F.col("__newest") - F.expr(f"INTERVAL {stale}"))
+            last = last.crossJoin(newest).withColumn("shown", F.when(old, "interrupted").otherwise(F.col(status))).drop("__newest")
+        last.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spectraloom.functions import answers, roles, scalars
-from spectraloom.operators import descriptors, ledger, literature, records, spectra, tables, validation
+from spectraloom.operators import descriptors, ledger, literature, records, spectra, study, tables, validation
 from spectraloom.operators.descriptors import Spec
 from spectraloom.session import numbered, running
 from spectraloom.sources import files
@@ -359,3 +359,104 @@ def test_greedy_folds_send_the_driver_sizes_alone():
     loads = [(0, 0), (10**7, 1), (3, 2)]
     made = validation._turns(loads, 1, 30 * 10**6)
     assert len(made) < 10 and sum(x for x, _ in loads) == 10**7 + 3 + 30 * 10**6 and max(loads)[0] - min(loads)[0] <= 1
+
+
+def study_rows():
+    rng = np.random.default_rng(17)
+    rows = []
+    for i in range(160):
+        a, b = rng.normal(), rng.normal()
+        kind = ("p", "q", "r", None)[int(rng.integers(4))]
+        rows.append((i, f"g{i % 16:02}", None if i % 7 == 0 else float(a), str(round(b, 3)) if i % 11 else "n/a", kind, float(1000 + 3 * a - b + (2 if kind == "q" else 0) + 0.1 * rng.normal())))
+    return rows
+
+
+def slow_design(rows, train, at):
+    """Median imputing with indicators, standard scaling and one-hot levels of training rows, for one row."""
+    out = [1.0]
+    number = lambda r, c: None if r[c] in (None, "n/a") else float(r[c])
+    filled = {c: [number(r, c) if number(r, c) is not None else np.median([number(t, c) for t in train if number(t, c) is not None]) for r in (*train, at)] for c in (2, 3)}
+    out += [(filled[c][-1] - np.mean(filled[c][:-1])) / np.std(filled[c][:-1]) for c in (2, 3)]
+    out += [float(number(at, c) is None) for c in (2, 3)]
+    levels = {r[4] or "missing" for r in train}
+    return out + [float((at[4] or "missing") == x and x in levels) for x in sorted({r[4] or "missing" for r in rows})]
+
+
+def test_study_matches_brute_force(spark):
+    rows = study_rows()
+    df = spark.createDataFrame(rows, "i int, g string, a double, b string, c string, y double")
+    grid = [("ridge", 1.0, 0.0), ("ridge", 10.0, 0.0), ("net", 0.01, 0.5), ("net", 1.0, 0.95)]
+    made, manifest, chosen = study.compared(df, {"training_mean": [], "all": ["a", "b", "c"], "b": ["b"]}, "g", "y", k=4, inner=2, grid=grid)
+    got = {(r.feature_set, r.i): r for r in made.collect()}
+    assert len(got) == 3 * len(rows) and {r.model for r in got.values()} == {"linear", "training_mean"}
+    fold, inner = {}, {}
+    for r in manifest.collect():
+        if r.part == "test":
+            fold[r.g] = r.outer
+        else:
+            inner[r.outer, r.g] = r.inner
+    assert len(fold) == 16 and len(inner) == 16 * 3
+
+    def fit(train, c):
+        x = np.array([slow_design(rows, train, r) for r in train])
+        y = np.array([r[5] for r in train])
+        held = np.column_stack([x, y - y.mean()])
+        gram = held.T @ held
+        w = validation.ridge(gram, c[1]) if c[0] == "ridge" else validation.elastic_net(gram, c[1], c[2])
+        return lambda r: y.mean() + w @ slow_design(rows, train, r)
+
+    for outer, *best in chosen["all"]:
+        train = [r for r in rows if fold[r[1]] != outer]
+        errors = []
+        for c in grid:
+            each = []
+            for k in (0, 1):
+                predict = fit([r for r in train if inner[outer, r[1]] != k], c)
+                missed = {}
+                for r in train:
+                    if inner[outer, r[1]] == k:
+                        missed.setdefault(r[1], []).append(abs(r[5] - predict(r)))
+                each.append(np.mean([np.mean(v) for v in missed.values()]))
+            errors.append(np.mean(each))
+        assert grid.index(tuple(best)) == int(np.argmin(errors)), (errors, best)
+        predict = fit(train, tuple(best))
+        for r in rows:
+            if fold[r[1]] == outer:
+                assert got["all", r[0]].predicted == pytest.approx(predict(r), abs=1e-6)
+                assert got["training_mean", r[0]].predicted == pytest.approx(np.mean([t[5] for t in train]))
+    miss = {s: np.mean([abs(r.observed - r.predicted) for (name, _), r in got.items() if name == s]) for s in ("training_mean", "all", "b")}
+    assert miss["all"] < miss["b"] < miss["training_mean"]
+
+
+def test_study_rejects_what_it_cannot_fit(spark):
+    df = spark.createDataFrame(study_rows(), "i int, g string, a double, b string, c string, y double")
+    for bad, words in ((df.where("g < 'g02'"), "too few groups"), (df.where("i < 11"), "too few rows"), (df.withColumn("a", F.when(F.col("g") == "g00", F.col("a"))), "no training values")):
+        with pytest.raises(ValueError, match=words):
+            study.compared(bad, {"all": ["a"]}, "g", "y", k=4, inner=2)
+    held, n = study.designed(df.withColumns({"outer": F.lit(0), "fit": F.lit(-1), "part": F.lit("train")}), ["a"], ["c"], "y")
+    assert n == 1 + 2 + 4 and {len(r.x) for r in held.select("x").collect()} == {n}
+    with pytest.raises(ValueError, match="levels"):
+        study.designed(held.drop("x", "base"), [], ["i"], "y", most=100)
+
+
+def test_relationship_cohort(spark):
+    rows = [(1, "NF", "10.1/A", "r1", 1.0, 2.0, 3.0), (2, "NF", None, "r2", 1.0, 2.0, 3.0), (3, "NF", "nan", " ", 1.0, 2.0, 3.0), (4, "RO", "10.1/b", "r4", 1.0, 2.0, 3.0), (5, "NF", "10.1073/PNAS.5/-/DCSupplemental/x", "r5", None, 2.0, 3.0), (6, "NF", "10.1073/pnas.5", "r6", 1.0, None, 3.0), (7, "NF", "10.1/a", "r7", 1.0, 2.0, None)]
+    df = spark.createDataFrame(rows, "i int, dataset string, doi string, ref string, x double, s double, y double")
+    roles_of = {"x": "xps", "s": "structure", "y": "performance"}
+    pick = lambda **more: {r.i: r.study_group for r in study.cohort(df, "xps_to_performance", "y", {"xps": ["x"]}, [], roles_of, ["NF"], **more).collect()}
+    assert pick() == {1: "10.1/a", 6: "10.1073/pnas.5"}
+    assert pick(fallback="ref") == {1: "10.1/a", 2: "r2", 6: "10.1073/pnas.5"}
+    assert pick(measured=False) == {1: "10.1/a", 5: "10.1073/pnas.5", 6: "10.1073/pnas.5"}
+    with pytest.raises(ValueError):
+        study.cohort(df, "xps_to_structure", "y", {"xps": ["x"]}, [], roles_of, ["NF"])
+
+
+def test_quantiles_match_numpy(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 1000)) for v in rng.integers(-40, 40, n)] + [("d", None), ("e", 5.0)] + [("c", 7.0)] * 500
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in tables.quantiles(tables.value_counts(df, ["g"], ["v"]).drop("field"), ["g"], [0.0, 0.1, 0.5, 0.9, 1.0]).collect()}
+    for g in "abce":
+        own = [v for k, v in rows if k == g]
+        assert got[g].n == len(own) and np.allclose(got[g].q, np.quantile(own, [0.0, 0.1, 0.5, 0.9, 1.0]))
+    assert set(got) == set("abce")
