@@ -68,6 +68,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A checkpointed table in no more partitions than its rows need, so that jobs over a small one start few tasks."""
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
