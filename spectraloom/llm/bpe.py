@@ -131,10 +131,11 @@ def encode(
         )
         .select("__key", "__piece", "__row", encoded("__part").alias("__ids"))
     )
-    joined = F.transform(F.array_sort(F.collect_list(F.struct("__piece", "__ids"))), lambda x: x["__ids"])
+    # bytes joined as they are, in one go: adding piece after piece would copy the start of a long text again and again
+    joined = F.transform(F.array_sort(F.collect_list(F.struct("__piece", "__ids"))), lambda x: F.hex(x["__ids"]))
     whole = pieces.groupBy("__key").agg(
         F.first("__row", ignorenulls=True).alias("__row"),
-        F.aggregate(joined, F.lit(b""), lambda a, x: F.concat(a, x)).alias(ids_col),
+        F.unhex(F.array_join(joined, "")).alias(ids_col),
     )
     return short.unionByName(whole.select("__row.*", ids_col))
 

@@ -31,3 +31,10 @@ def test_empty_table_and_unpacked(spark):
     assert bpe.encode(df).columns == ["doc_id", "text", "ids"] and bpe.encode(df).count() == 0
     one = bpe.encode(spark.createDataFrame([("Hello there",), (None,)], "text string")).select("text", bpe.unpacked("ids").alias("n")).collect()
     assert {r.text: r.n for r in one} == {"Hello there": brute("Hello there"), None: []}
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choice("abcdefgh é中") for _ in range(rng.randint(1, 12))) for _ in range(400_000))
+    (row,) = bpe.encode(spark.createDataFrame([(1, text)], "doc_id int, text string")).select("ids", bpe.decode("ids", spark).alias("raw")).collect()
+    assert np.frombuffer(row.ids, "<u4").tolist() == brute(text) and bytes(row.raw) == text.encode()
