@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectraloom.llm import bpe, language, minhash, mixing, pii
-from spectraloom.session import shared_dir, table
+from spectraloom.session import removed, scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The pseudonyms' key; a user sets their own.
@@ -21,6 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those of no clear language; the model learns from the stage's own documents.
 
     Without one labelled document nothing can be told apart: then only texts without a letter go.
+    Null and empty texts have no letter. Repeated rows stay or go alike; an empty table stays empty.
     """
     model = language.fit(docs)
     if not model.langs:
@@ -48,17 +47,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become pseudonyms; n_chars follows the new text."""
+    """Personal data become pseudonyms; n_chars follows the new text.
+
+    No document goes. A null text stays null, and so does its n_chars; equal texts get equal
+    pseudonyms; an empty table stays empty.
+    """
     return pii.pseudonymise(docs.select(*COLUMNS), KEY).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as its source's rate says."""
+    """Each document as many times as its source's rate says, so rows may repeat.
+
+    A null source is one of its own. Texts without a word weigh nothing, and their documents
+    are drawn like others. Rows of one id are drawn alike; an empty table stays empty.
+    """
     return mixing.emitted(mixing.mixed(docs.select(*COLUMNS))).select(*COLUMNS)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text and a check that they decode to it."""
+    """Token ids of each text and a check that they decode to it.
+
+    A null text counts as empty: no ids, and n_tokens 0. Repeated rows stay; an empty table stays empty.
+    """
     ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
     whole = F.coalesce("text", F.lit("")).cast("binary") == bpe.decode("ids", spark)
     return ids.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", whole.alias("round_trip"))
@@ -72,9 +82,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written to the shared folder and read again as the next one's input."""
-    at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    at = scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
         docs = spark.read.parquet(f"{at}/{k}-{name}")
+        if k:  # no later stage reads it
+            removed(spark, f"{at}/{k - 1}-{STAGES[k - 1][0]}")
     return docs

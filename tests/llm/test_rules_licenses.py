@@ -71,3 +71,16 @@ def test_judged_keeps_good_and_handles_missing_labels(spark):
     assert all(kept[i] for i, _, _ in good) and not any(kept[i] for i, _, _ in bad) and not kept[500] and not kept[501]
     alone = quality.judged(docs, labels.limit(0)).collect()
     assert len(alone) == 68 and all(r.kept == (not r.base_failed) for r in alone)
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    schema = "doc_id int, text string, places int, notices string, Places string, kept string, anomaly int, n_words string"
+    docs = spark.createDataFrame([], schema.replace(", Places string", ""))
+    assert licenses.license_scan(docs).count() == 0
+    assert quality.judged(docs, spark.createDataFrame([], "doc_id int, quality int")).count() == 0
+    assert quality.judged(docs, spark.createDataFrame([(1, 1), (None, 0)], "doc_id int, quality int")).count() == 0
+    row = (1, "all rights reserved", 5, "n", "k", 7, "w")
+    rows = licenses.license_scan(spark.createDataFrame([row, row, (None, None, None, None, None, None, None)], schema.replace(", Places string", ""))).collect()
+    assert sorted(len(r.places) for r in rows) == [0, 1, 1] and all(r.kept in ("k", None) for r in rows)
+    alone = quality.judged(spark.createDataFrame([row], schema.replace(", Places string", "")), spark.createDataFrame([(1, 0), (1, 1)], "doc_id int, quality int")).collect()
+    assert [r.kept for r in alone] == [False]
