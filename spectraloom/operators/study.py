@@ -1,30 +1,34 @@
 """Studies of a relationship: feature sets compared on the same rows and folds, prepared from training rows alone, with models chosen over inner folds.
 
 A fit is an outer fold with one of its inner folds, or with none (-1): what is trained on all
-rows of the other outer folds. Every row is copied once a fit that uses it.
+rows of the other outer folds. Rows are not copied for it: a row lies in one cell, its fold
+with its inner fold in each other one, and a fit's training rows are some of the few cells.
+Imputing and scaling are affine, so a fit's matrix follows from its cells' raw ones.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from spectraloom.functions import scalars
 from spectraloom.operators import descriptors, validation
-from spectraloom.operators.tables import quantiles, value_counts
-from spectraloom.session import checkpointed, numbered
+from spectraloom.operators.tables import long_values, quantiles
+from spectraloom.session import checkpointed
 
-FIT = ["outer", "fit"]
 #: Columns of a design matrix, at most: their products fit a row many times over. More levels call for fewer or grouped ones.
 MOST_COLUMNS = 512
+#: Cells, at most: folds times inner folds, and more only where groups' inner folds differ by outer fold.
+MOST_CELLS = 4096
 
 
 def typed(df: DataFrame, columns: list[str]) -> tuple[list[str], list[str]]:
@@ -49,57 +53,99 @@ def cohort(df: DataFrame, task: str, target: str, groups: dict[str, list[str]],
     return flags.where("eligible").select(*df.columns, "study_group")
 
 
-def copies(rows: DataFrame, folds: DataFrame, nested: DataFrame, group: str, choose: bool = True) -> DataFrame:
-    """Rows × fits that use them: outer, fit and part (train, valid or test). Without anything to choose, inner folds aren't fitted."""
-    inner = nested.select(F.col("outer").alias("__o"), F.col(group).alias("__g"), F.col("inner").alias("__inner"))
-    held = rows.join(folds.select(group, "fold"), group)
-    outers = [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]  # folds are few
-    inners = [r[0] for r in nested.select("inner").distinct().orderBy("inner").collect()] if choose else []
-    each = held.withColumn("outer", F.explode(F.array(*map(F.lit, outers)))).join(inner, (F.col("outer") == F.col("__o")) & (F.col(group) == F.col("__g")), "left").drop("__o", "__g")
-    each = each.withColumn("fit", F.explode(F.when(F.col("fold") == F.col("outer"), F.array(F.lit(-1))).otherwise(F.array(*map(F.lit, [-1, *inners])))))
-    part = F.when(F.col("fold") == F.col("outer"), "test").when(F.col("fit") == F.col("__inner"), "valid").otherwise("train")
-    return each.withColumn("part", part).drop("__inner")
-
-
-def designed(held: DataFrame, numeric: list[str], categorical: list[str], target: str, most: int = MOST_COLUMNS) -> tuple[DataFrame, int]:
-    """`held` with `x`, the fit's design row (1, imputed and standardised numerics, missing indicators, one-hot levels), and base, the mean target; and the length of x.
-
-    Medians, means, spreads and levels are those of the fit's training rows. A null level is
-    'missing'; a level that training doesn't have is zeros. Raises above `most` columns, or
-    where a numeric has no value in a fit's training rows.
-    """
-    train = held.where("part = 'train'")
-    facts = train.groupBy(*FIT).agg(F.avg(F.col(target).cast("double")).alias("base"), *[F.count(c).alias(f"__n_{i}") for i, c in enumerate(numeric)])
-    if numeric:
-        empty = facts.agg(*[F.min(f"__n_{i}").alias(c) for i, c in enumerate(numeric)]).first()
-        if absent := [c for c in numeric if empty[c] == 0]:
-            raise ValueError(f"no training values: {absent}")
-        medians = quantiles(value_counts(train, FIT, numeric), [*FIT, "field"], [0.5])
-        facts = facts.join(medians.groupBy(*FIT).agg(*[F.max(F.when(F.col("field") == c, F.col("q")[0])).alias(f"__m_{i}") for i, c in enumerate(numeric)]), FIT)
-    facts = checkpointed(facts)  # a row a fit
-    filled = held.join(F.broadcast(facts), FIT).withColumns({f"__f_{i}": F.coalesce(F.col(c).cast("double"), f"__m_{i}") for i, c in enumerate(numeric)})
-    cells = [F.lit(1.0)]
-    if numeric:
-        scale = filled.where("part = 'train'").groupBy(*FIT).agg(*[e for i in range(len(numeric)) for e in (F.avg(f"__f_{i}").alias(f"__a_{i}"), F.stddev_pop(f"__f_{i}").alias(f"__d_{i}"))])
-        filled = filled.join(F.broadcast(checkpointed(scale)), FIT)
-        cells += [F.coalesce((F.col(f"__f_{i}") - F.col(f"__a_{i}")) / F.nullif(F.col(f"__d_{i}"), F.lit(0.0)), F.lit(0.0)) for i in range(len(numeric))]
-        cells += [F.col(c).isNull().cast("double") for c in numeric]
-    for j, c in enumerate(categorical):
-        level = F.coalesce(F.col(c).cast("string"), F.lit("missing"))
-        known = numbered(train.select(level.alias("__level")).distinct(), [F.col("__level")], "__at")
-        n = known.count()
-        if len(cells) + n > most:
-            raise ValueError(f"{c} has {n} levels: the design would pass {most} columns")
-        # at most `most` levels: a level counts only in the fits whose training rows have it
-        seen = train.select(*FIT, level.alias("__level")).distinct().join(known, "__level").withColumnRenamed("__at", f"__hot_{j}")
-        filled = filled.withColumn("__level", level).join(F.broadcast(checkpointed(seen)), [*FIT, "__level"], "left").drop("__level")
-        cells += [F.coalesce((F.col(f"__hot_{j}") == at).cast("double"), F.lit(0.0)) for at in range(n)]
-    kept = [c for c in held.columns if c != "base"]
-    return filled.select(*kept, "base", F.array(*cells).alias("x")), len(cells)
-
-
-def _sums(df: DataFrame, keys: list[str], values, n: int) -> pd.DataFrame:
-    """The sum over each key's rows of arrays of n doubles, which `values` makes of (key, rows of the batch as arrays): one row a key reaches the driver."""
+class Splits:
+    """The fits of folds (group, fold) and nested folds (outer, group, inner), the cells, and the cell of each group."""
+
+    def __init__(self, folds: DataFrame, nested: DataFrame, group: str, choose: bool = True):
+        """Without anything to `choose`, inner folds aren't fitted."""
+        inners = nested.groupBy(group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("outer", "inner")))).alias("inners"))  # one a fold
+        named = folds.select(group, "fold").join(inners, group, "left").withColumn("__key", F.to_json("inners"))
+        found = named.select("fold", "__key").distinct().orderBy("fold", "__key").limit(MOST_CELLS + 1).collect()
+        if len(found) > MOST_CELLS:
+            raise ValueError("too many cells: deal inner folds alike in all outer folds")
+        self.cells = [(r["fold"], {int(o): i for o, i in json.loads(r["__key"] or "{}").items()}) for r in found]
+        outers = sorted({fold for fold, _ in self.cells})
+        self.fits = [(o, j) for o in outers for j in [-1, *(sorted({c[1][o] for c in self.cells if o in c[1]}) if choose else [])]]
+        small = folds.sparkSession.createDataFrame([(r["fold"], r["__key"], i) for i, r in enumerate(found)], "fold int, __key string, cell int")
+        keyed = small.withColumnRenamed("fold", "__fold").withColumnRenamed("__key", "__other")
+        self.groups = named.join(F.broadcast(keyed), (F.col("fold") == F.col("__fold")) & F.col("__key").eqNullSafe(F.col("__other"))).select(group, "fold", "cell")
+
+    def train(self, fit: tuple[int, int]) -> list[int]:
+        """The cells of a fit's training rows."""
+        outer, inner = fit
+        return [i for i, (fold, inners) in enumerate(self.cells) if fold != outer and (inner < 0 or inners[outer] != inner)]
+
+    def validated(self, cell: int) -> list[tuple[int, int]]:
+        """The fits that a cell's rows validate."""
+        return [(o, j) for o, j in self.fits if j >= 0 and self.cells[cell][1].get(o) == j]
+
+
+class Design:
+    """The raw columns of a row, whatever the fit: 1, numerics less a constant (0 where missing), missing indicators, one-hot levels."""
+
+    def __init__(self, rows: DataFrame, numeric: list[str], categorical: list[str], target: str, most: int = MOST_COLUMNS):
+        """Raises above `most` columns. A null level is 'missing'. The constants, means of all rows, only keep digits: they cancel in every fit."""
+        self.numeric, self.categorical, self.target = numeric, categorical, target
+        means = rows.agg(F.avg(F.col(target).cast("double")).alias("__y"), *[F.avg(F.col(c).cast("double")).alias(c) for c in numeric]).first()
+        self.shift, self.base = {c: means[c] or 0.0 for c in numeric}, means["__y"] or 0.0
+        at = 1 + len(numeric)
+        self.places = {c: [1 + i, at + i] for i, c in enumerate(numeric)}
+        self.levels, at = {}, at + len(numeric)
+        for c in categorical:
+            found = rows.select(self._level(c).alias("v")).distinct().limit(most + 1).collect()
+            if at + len(found) > most:
+                raise ValueError(f"{c} has too many levels: the design would pass {most} columns")
+            self.levels[c] = sorted(r["v"] for r in found)
+            self.places[c] = list(range(at, at + len(found)))
+            at += len(found)
+        self.width = at
+
+    @staticmethod
+    def _level(c: str) -> Column:
+        return F.coalesce(F.col(c).cast("string"), F.lit("missing"))
+
+    def row(self) -> Column:
+        value = lambda c: F.col(c).cast("double")
+        return F.array(
+            F.lit(1.0), *[F.coalesce(value(c) - self.shift[c], F.lit(0.0)) for c in self.numeric], *[value(c).isNull().cast("double") for c in self.numeric],
+            *[(self._level(c) == v).cast("double") for c in self.categorical for v in self.levels[c]],
+        )
+
+    def prepared(self, gram: np.ndarray, medians: dict[str, float], features: list[str]) -> np.ndarray:
+        """Rows that take raw columns and the shifted target to those of a fit: 1, imputed and standardised numerics, indicators, levels; last the target less its training mean."""
+        n = gram[0, 0]
+        places = [p for c in features for p in self.places[c]]
+        out = np.zeros((2 + len(places), self.width + 1))
+        out[0, 0] = 1
+        for r, p in enumerate(places, 1):
+            out[r, p] = 1
+        for c in [c for c in features if c in self.shift]:
+            value, missing = self.places[c]
+            fill = medians[c] - self.shift[c]
+            mean = (gram[0, value] + fill * gram[0, missing]) / n
+            spread = math.sqrt(max((gram[value, value] + fill * fill * gram[missing, missing]) / n - mean * mean, 0.0))
+            row = out[1 + places.index(value)]
+            row[:] = 0
+            if spread > 1e-12 * (abs(mean) + 1e-300):
+                row[[0, value, missing]] = -mean / spread, 1 / spread, fill / spread
+        out[-1, -1], out[-1, 0] = 1, -gram[0, -1] / n
+        return out
+
+
+def fit_medians(rows: DataFrame, splits: Splits, numeric: list[str]) -> list[dict[str, float]]:
+    """For each fit, the exact medians of its training rows, from one pass over counted values. Raises where there are none."""
+    if not numeric:
+        return [{} for _ in splits.fits]
+    names = [f"n_{i}" for i in range(len(splits.fits))]
+    counts = long_values(rows, ["cell"], numeric).groupBy("field", "value").agg(*[F.count_if(F.col("cell").isin(splits.train(fit))).alias(n) for fit, n in zip(splits.fits, names, strict=True)])
+    found = {r["field"]: [r[f"q_{n}"][0] for n in names] for r in quantiles(counts, ["field"], [0.5], names).collect()}
+    if absent := [c for c in numeric if c not in found or None in found[c]]:
+        raise ValueError(f"no training values: {absent}")
+    return [{c: found[c][i] for c in numeric} for i in range(len(names))]
+
+
+def _sums(df: DataFrame, keys: list[str], values) -> DataFrame:
+    """(keys…, v): the sum over each key's rows of the arrays that `values` makes of (key, x, y) of the rows it is given."""
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,67 +155,38 @@ def _sums(df: DataFrame, keys: list[str], values, n: int) -> pd.DataFrame:
                 continue
             column = lambda c, batch=batch: batch.column(names.index(c))
             codes, unique = pd.MultiIndex.from_arrays([column(k).to_pandas() for k in keys]).factorize()
-            x = column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
-            y, base = column("y").to_numpy(), column("base").to_numpy()
-            for i, key in enumerate(unique):
-                rows = codes == i
-                held[key] = held.get(key, 0) + values(key, x[rows], y[rows], base[rows])
-        for key, total in held.items():
-            yield pa.RecordBatch.from_pylist([{**dict(zip(keys, map(_plain, key), strict=True)), "v": total.tolist()}], schema)
+            x, y = column("x").flatten().to_numpy().reshape(batch.num_rows, -1), column("y").to_numpy()
+            order = np.argsort(codes, kind="stable")
+            ends = np.cumsum(np.bincount(codes, minlength=len(unique)))
+            for key, low, high in zip(unique, [0, *ends[:-1]], ends, strict=True):
+                own = order[low:high]
+                held[key] = held.get(key, 0) + values(key, x[own], y[own])
+        plain = lambda v: v.item() if isinstance(v, np.generic) else v
+        rows = [{**dict(zip(keys, map(plain, key), strict=True)), "v": total.tolist()} for key, total in held.items()]
+        yield pa.RecordBatch.from_pylist(rows, schema)
 
     kinds = df.select(*keys).schema
     schema = to_arrow_schema(StructType(kinds.fields)).append(pa.field("v", pa.list_(pa.float64())))
     partial = df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "v array<double>"]))
-    long = partial.select(*keys, F.posexplode("v").alias("at", "v")).groupBy(*keys, "at").agg(F.sum("v").alias("v"))
-    return long.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda e: e["v"]).alias("v"))  # n a key
-
+    return partial.select(*keys, F.posexplode("v").alias("at", "v")).groupBy(*keys, "at").agg(F.sum("v").alias("v"))
 
-def _plain(v):
-    return v.item() if isinstance(v, np.generic) else v
 
-
-def _gram(key, x: np.ndarray, y: np.ndarray, base: np.ndarray) -> np.ndarray:
-    held = np.column_stack([x, y - base])
+def _gram(key, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    held = np.column_stack([x, y])
     return (held.T @ held).ravel()
 
 
-def linear(held: DataFrame, n: int, group: str, target: str, grid: list[tuple[str, float, float]] | None = None) -> tuple[DataFrame, list[tuple]]:
-    """(held's test rows with predicted) of the linear model that inner folds choose in each outer fold, and (outer, kind, alpha, l1) chosen.
-
-    `held` is designed(). Targets are taken less their training mean, so sums keep their
-    digits. Each validation group weighs alike; the first candidate of the smallest mean error wins.
-    """
-    grid = grid or validation.LINEAR
-    fit = lambda g, c: validation.ridge(g, c[1]) if c[0] == "ridge" else validation.elastic_net(g, c[1], c[2])
-    rows = held.select(*FIT, "part", group, "x", F.col(target).cast("double").alias("y"), "base")
-    sums = _sums(rows.where("part = 'train'").select(*FIT, "x", "y", "base"), FIT, _gram, (n + 1) ** 2).collect()  # a matrix a fit
-    solved = {(r["outer"], r["fit"]): np.array([fit(np.array(r["v"]).reshape(n + 1, n + 1), c) for c in grid]) for r in sums}
-    sent = held.sparkSession.sparkContext.broadcast(solved)
-
-    def errors(key, x, y, base):
-        missed = np.abs(x @ sent.value[key[0], key[1]].T + base[:, None] - y[:, None])
-        return np.append(missed.sum(axis=0), len(y))
-
-    each = _sums(rows.where("part = 'valid'").select(*FIT, group, "x", "y", "base"), [*FIT, group], errors, len(grid) + 1)
-    by_group = each.select(*FIT, *[(F.col("v")[i] / F.col("v")[len(grid)]).alias(f"e_{i}") for i in range(len(grid))])
-    mean = lambda df, *by: df.groupBy(*by).agg(*[F.avg(f"e_{i}").alias(f"e_{i}") for i in range(len(grid))])
-    if len(grid) == 1:
-        best = {outer: 0 for outer, fit in solved if fit == -1}
-    else:
-        best = {r["outer"]: min(range(len(grid)), key=lambda i: r[f"e_{i}"]) for r in mean(mean(by_group, *FIT), "outer").collect()}
-    chosen = [(outer, *grid[i]) for outer, i in sorted(best.items())]
-    weights = held.sparkSession.createDataFrame([(outer, solved[outer, -1][i].tolist()) for outer, i in sorted(best.items())], "outer int, __w array<double>")
-    dot = F.aggregate(F.zip_with("x", "__w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    tested = held.where("part = 'test'").join(F.broadcast(weights), "outer").withColumn("predicted", F.col("base") + dot)
-    return tested.drop("__w", "x", "base", "part", "fit", "outer"), chosen
-
-
 def compared(rows: DataFrame, sets: dict[str, list[str]], group: str, target: str, k: int = 5, inner: int = 3, grid: list[tuple[str, float, float]] | None = None) -> tuple[DataFrame, DataFrame, dict[str, list[tuple]]]:
-    """Out-of-fold predictions in long form (row columns, fold, feature_set, model, observed, predicted), the split manifest and what was chosen in each set.
-
-    All sets see the same rows and folds. A set without features is the training mean.
-    Raises where rows or groups are too few, or a feature has no training values in a fold.
+    """Out-of-fold predictions in long form (row columns, fold, feature_set, model, observed, predicted), the split manifest and what was chosen: (outer, kind, alpha, l1) by set.
+
+    All sets see the same rows and folds; a set without features is the training mean. Each
+    fit imputes medians with indicators, standardises and encodes from its own training rows;
+    a null level is 'missing', one that training lacks is zeros. Each validation group
+    weighs alike; the first candidate of the smallest mean error over inner folds wins. Raises where rows
+    or groups are too few, or a feature has no training values in a fit. Rows are read three times.
+    Input columns named like the added ones are replaced.
     """
+    grid = grid or validation.LINEAR
     every = list(dict.fromkeys(c for features in sets.values() for c in features))
     numeric, categorical = typed(rows, every)
     rows = checkpointed(rows.withColumns({c: descriptors.numeric(rows, c) for c in numeric} | {c: scalars.clean_marker(c) for c in categorical if dict(rows.dtypes)[c] == "string"}))
@@ -177,17 +194,71 @@ def compared(rows: DataFrame, sets: dict[str, list[str]], group: str, target: st
         raise ValueError(reason)
     folds = checkpointed(validation.rank_folds(rows, group, k))
     nested = checkpointed(validation.nested_folds(folds, group, inner))
-    fits = checkpointed(copies(rows, folds, nested, group, len(grid or validation.LINEAR) > 1))
-    out, chosen = [], {}
-    for name, features in sets.items():
-        held, n = designed(fits, [c for c in features if c in numeric], [c for c in features if c in categorical], target)
-        if features:
-            made, chosen[name] = linear(held, n, group, target, grid)
-            model = "linear"
-        else:
-            made, model = held.where("part = 'test'").withColumn("predicted", F.col("base")).drop("x", "base", "part", "fit", "outer"), "training_mean"
-        out.append(made.withColumns({"feature_set": F.lit(name), "model": F.lit(model), "observed": F.col(target).cast("double")}))
-    return reduce(lambda a, b: a.unionByName(b), out), manifest(folds, nested, group), chosen
+    splits = Splits(folds, nested, group, len(grid) > 1)
+    held = rows.drop("fold", "cell").join(splits.groups, group)
+    medians = fit_medians(held, splits, numeric)
+    design = Design(rows, numeric, categorical, target)
+    arrays = held.select("cell", group, design.row().alias("x"), (F.col(target).cast("double") - design.base).alias("y"))
+    size = design.width + 1
+    grams = np.zeros((len(splits.cells), size * size))
+    for r in _sums(arrays.select("cell", "x", "y"), ["cell"], _gram).collect():  # a matrix a cell
+        grams[r["cell"], r["at"]] = r["v"]
+    weights = _solved(splits, design, grams.reshape(-1, size, size), medians, sets, grid)
+    best = _chosen(arrays, splits, weights, sets, grid, group) if len(grid) > 1 else {(name, o): 0 for name in sets for o, _ in splits.fits}
+    chosen = {name: [(o, *grid[best[name, o]]) for o, j in splits.fits if j < 0] for name, features in sets.items() if features}
+    final = [(o, [[float(v) for v in weights[o, -1][name][best[name, o]]] for name in sets]) for o, j in splits.fits if j < 0]
+    sent = rows.sparkSession.createDataFrame(final, "fold int, __w array<array<double>>")
+    dot = lambda w: F.aggregate(F.zip_with("__x", w, lambda a, b: a * b), F.lit(design.base), lambda s, v: s + v)
+    made = F.array(*[F.struct(F.lit(name).alias("feature_set"), F.lit("linear" if features else "training_mean").alias("model"), dot(F.col("__w")[i]).alias("predicted")) for i, (name, features) in enumerate(sets.items())])
+    tested = held.drop("cell").withColumn("__x", design.row()).join(F.broadcast(sent), "fold").withColumn("__p", F.explode(made))
+    kept = [c for c in rows.columns if c not in ("fold", "cell", "feature_set", "model", "observed", "predicted")]
+    return tested.select(*kept, "fold", "__p.feature_set", "__p.model", F.col(target).cast("double").alias("observed"), "__p.predicted"), manifest(folds, nested, group), chosen
+
+
+def _solved(splits: Splits, design: Design, grams: np.ndarray, medians: list[dict[str, float]], sets: dict[str, list[str]], grid: list[tuple[str, float, float]]) -> dict[tuple[int, int], dict[str, np.ndarray]]:
+    """By fit and set, the weights of raw columns (candidates × columns) that give the prediction less the design's base."""
+    fit = lambda g, c: validation.ridge(g, c[1]) if c[0] == "ridge" else validation.elastic_net(g, c[1], c[2])
+    out: dict = {}
+    for key, own in zip(splits.fits, medians, strict=True):
+        gram = grams[splits.train(key)].sum(axis=0)
+        for name, features in sets.items():
+            to = design.prepared(gram, own, features)
+            mean = np.zeros(design.width)
+            mean[0] = -to[-1, 0]
+            inner = to @ gram @ to.T
+            found = [fit(inner, c) for c in grid] if features else [np.zeros(1)] * len(grid)
+            out.setdefault(key, {})[name] = np.array([mean + w @ to[: len(w), :-1] for w in found])
+    return out
+
+
+def _chosen(arrays: DataFrame, splits: Splits, weights: dict, sets: dict[str, list[str]], grid: list, group: str) -> dict[tuple[str, int], int]:
+    """By set and outer fold, the candidate of the smallest error: the mean over inner folds of the mean over validation groups of the mean over rows."""
+    stacked = {c: np.concatenate([weights[fit][name] for fit in splits.validated(c) for name in sets]).T for c in range(len(splits.cells)) if splits.validated(c)}
+    sent = arrays.sparkSession.sparkContext.broadcast(stacked)  # cells × fits × candidates × columns, whatever the rows
+
+    def errors(key, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        missed = np.abs(x @ sent.value[key[0]] - y[:, None])
+        return np.append(missed.sum(axis=0), len(y))
+
+    keys = ["cell", group]
+    each = _sums(arrays, keys, errors)
+    last = F.element_at(F.create_map(*[F.lit(v) for c, w in stacked.items() for v in (c, w.shape[1])]), F.col("cell"))
+    sizes = each.where(F.col("at") == last).select(*keys, F.col("v").alias("__n"))
+    by_cell = each.where(F.col("at") < last).join(sizes, keys).groupBy("cell", "at").agg(F.sum(F.col("v") / F.col("__n")).alias("sum"), F.count("*").alias("n"))
+    totals: dict = {}
+    for r in by_cell.collect():
+        fit, rest = divmod(r["at"], len(sets) * len(grid))
+        name, candidate = divmod(rest, len(grid))
+        cell = totals.setdefault((list(sets)[name], *splits.validated(r["cell"])[fit], candidate), [0.0, 0])
+        cell[0] += r["sum"]
+        cell[1] += r["n"]
+    best = {}
+    for name in sets:
+        for o in {o for o, _ in splits.fits}:
+            inners = [j for outer, j in splits.fits if outer == o and j >= 0]
+            scores = [np.mean([totals[name, o, j, c][0] / totals[name, o, j, c][1] for j in inners]) for c in range(len(grid))]
+            best[name, o] = int(np.argmin(scores))
+    return best
 
 
 def manifest(folds: DataFrame, nested: DataFrame, group: str) -> DataFrame:

@@ -46,25 +46,38 @@ def distinct_in_order(df: DataFrame, by: list[str], value: str, order: list[str]
     return firsts.groupBy(*by).agg(F.transform(listed, lambda r: r[value]).alias(name))
 
 
-def value_counts(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """(by…, field, value, n): how often each value of each column occurs; nulls don't count."""
+def long_values(df: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
+    """(keep…, field, value): each value of each numeric column as a row; nulls go."""
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns]))
-    return df.select(*by, each.alias("__x")).select(*by, "__x.*").where("value is not null").groupBy(*by, "field", "value").agg(F.count("*").alias("n"))
+    return df.select(*keep, each.alias("__x")).select(*keep, "__x.*").where("value is not null")
+
+
+def value_counts(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """(by…, field, value, n): how often each value of each column occurs."""
+    return long_values(df, by, columns).groupBy(*by, "field", "value").agg(F.count("*").alias("n"))
 
 
-def quantiles(counts: DataFrame, by: list[str], shares: list[float]) -> DataFrame:
+def quantiles(counts: DataFrame, by: list[str], shares: list[float], amounts: list[str] | None = None) -> DataFrame:
     """(by…, n, q) of value counts (by…, value, n): exact quantiles, linearly interpolated, however many values a group has.
 
-    Values are placed by running sums over ranges, so no task holds a group. Groups with a null key are left out.
+    With `amounts`, the names of several count columns, (by…, q_<amount>…): the quantiles under each, NULL where
+    it counts nothing. Values are placed by running sums over ranges, so no task holds a group. Groups with a null key are left out.
     """
-    placed = running(counts, by, ["value"], "n", "__before")
-    total = counts.groupBy(*by).agg(F.sum("n").alias("__total"))
+    named = amounts or ["n"]
+    placed = running(counts, by, ["value"], named, [f"__before_{i}" for i in range(len(named))])
+    total = counts.groupBy(*by).agg(*[F.sum(a).alias(f"__total_{i}") for i, a in enumerate(named)])
     both = placed.join(total, by)
-    ends = []
-    for i, share in enumerate(shares):
-        place = (F.col("__total") - 1) * F.lit(float(share))
-        for end, at in (("low", F.floor(place)), ("high", F.ceil(place))):
-            ends.append(F.max(F.when((F.col("__before") <= at) & (at < F.col("__before") + F.col("n")), F.col("value"))).alias(f"__{end}_{i}"))
-    each = both.groupBy(*by).agg(F.max("__total").alias("__n"), *ends)
-    cut = lambda i, share: F.col(f"__low_{i}") + (F.col(f"__high_{i}") - F.col(f"__low_{i}")) * ((F.col("__n") - 1) * F.lit(float(share)) - F.floor((F.col("__n") - 1) * F.lit(float(share))))
-    return each.select(*by, F.col("__n").alias("n"), F.array(*[cut(i, share) for i, share in enumerate(shares)]).alias("q"))
+    place = lambda i, share: (F.col(f"__total_{i}") - 1) * F.lit(float(share))
+    ends = [F.max(f"__total_{i}").alias(f"__total_{i}") for i in range(len(named))]
+    for i, a in enumerate(named):
+        for j, share in enumerate(shares):
+            for end, at in (("low", F.floor(place(i, share))), ("high", F.ceil(place(i, share)))):
+                here = (F.col(f"__before_{i}") <= at) & (at < F.col(f"__before_{i}") + F.col(a))
+                ends.append(F.max(F.when(here, F.col("value"))).alias(f"__{end}_{i}_{j}"))
+    each = both.groupBy(*by).agg(*ends)
+    part = lambda i, share: place(i, share) - F.floor(place(i, share))
+    cut = lambda i, j, share: F.col(f"__low_{i}_{j}") + (F.col(f"__high_{i}_{j}") - F.col(f"__low_{i}_{j}")) * part(i, share)
+    cuts = [F.array(*[cut(i, j, share) for j, share in enumerate(shares)]) for i in range(len(named))]
+    if amounts is None:
+        return each.select(*by, F.col("__total_0").alias("n"), cuts[0].alias("q"))
+    return each.select(*by, *[c.alias(f"q_{a}") for c, a in zip(cuts, named, strict=True)])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.functions import scalars
 from spectraloom.operators import descriptors
-from spectraloom.operators.tables import quantiles, value_counts
+from spectraloom.operators.tables import long_values, quantiles
 from spectraloom.session import checkpointed, numbered, running
 
 # Texts that name no group.
@@ -170,12 +170,12 @@ def train_means(df: DataFrame, fold: str, columns: list[str]) -> DataFrame:
 
 
 def train_medians(df: DataFrame, fold: str, columns: list[str], k: int) -> DataFrame:
-    """(fold, median_c …) over each fold's training rows, exact: the counts of distinct values are copied k - 1 times, not the rows."""
-    own = value_counts(df, [fold], columns)
-    copies = own.withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(F.col("outer") != F.col(fold))
-    train = copies.groupBy(F.col("outer").alias(fold), "field", "value").agg(F.sum("n").alias("n"))
-    cuts = quantiles(train, [fold, "field"], [0.5])
-    return cuts.groupBy(fold).agg(*[F.max(F.when(F.col("field") == c, F.col("q")[0])).alias(f"median_{c}") for c in columns])
+    """(fold, median_c …) over each fold's training rows, exact: distinct values are counted once for each fold, and no row is copied."""
+    names = [f"n_{o}" for o in range(k)]
+    counts = long_values(df, [fold], columns).groupBy("field", "value").agg(*[F.count_if(F.col(fold) != o).alias(n) for o, n in enumerate(names)])
+    cuts = quantiles(counts, ["field"], [0.5], names)
+    each = cuts.select("field", F.explode(F.array(*[F.struct(F.lit(o).alias("fold"), F.col(f"q_{n}")[0].alias("q")) for o, n in enumerate(names)])).alias("__e")).select("field", "__e.*")
+    return each.groupBy(F.col("fold").alias(fold)).agg(*[F.max(F.when(F.col("field") == c, F.col("q"))).alias(f"median_{c}") for c in columns])
 
 
 def prepared(df: DataFrame, fold: str, numeric: list[str], categorical: list[str], k: int) -> DataFrame:

@@ -433,10 +433,10 @@ def test_study_rejects_what_it_cannot_fit(spark):
     for bad, words in ((df.where("g < 'g02'"), "too few groups"), (df.where("i < 11"), "too few rows"), (df.withColumn("a", F.when(F.col("g") == "g00", F.col("a"))), "no training values")):
         with pytest.raises(ValueError, match=words):
             study.compared(bad, {"all": ["a"]}, "g", "y", k=4, inner=2)
-    held, n = study.designed(df.withColumns({"outer": F.lit(0), "fit": F.lit(-1), "part": F.lit("train")}), ["a"], ["c"], "y")
-    assert n == 1 + 2 + 4 and {len(r.x) for r in held.select("x").collect()} == {n}
+    design = study.Design(df, ["a"], ["c"], "y")
+    assert design.width == 1 + 2 + 4 and {len(r.x) for r in df.select(design.row().alias("x")).collect()} == {design.width}
     with pytest.raises(ValueError, match="levels"):
-        study.designed(held.drop("x", "base"), [], ["i"], "y", most=100)
+        study.Design(df, [], ["i"], "y", most=100)
 
 
 def test_relationship_cohort(spark):
