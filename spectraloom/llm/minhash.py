@@ -10,7 +10,8 @@ confirmed on the full sets.
 Pairs inside a key's group are not all made: the members are first compared with one of
 them; linked documents need no more comparison. Only documents of one group that are still
 in different components are then compared with each other, and a pair is made only if sizes,
-signatures and sketches of SKETCH_BITS bits leave it a chance, at the first key it shares.
+signatures and a bound on the sets' intersection leave it a chance, at the first key it shares.
+That bound never falls below the intersection, so no pair within the radius is lost by it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spectraloom.llm.textbatch import IS_SPACE, LOWER, mixed, spread, struct_udf, text_bytes, word_hashes, word_spans
-from spectraloom.session import checkpointed
+from spectraloom.session import checkpointed, compact
 
 COMPONENTS, MISS = 64, 1e-6
 _odd = mixed(np.arange(1, COMPONENTS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
@@ -115,15 +116,22 @@ def _keys_udf(radius: int):
     return F.arrow_udf(keys, "array<bigint>")
 
 
-def _distance() -> object:
-    """Components in which two signatures differ."""
+def _may_link(percent: int, radius: int):
+    """Whether two nodes are near by size, signature and the bound on their intersection."""
 
-    def distance(a: pa.Array, b: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(-1, COMPONENTS) for s in (a, b))
-        return pa.array((x != y).sum(axis=1), pa.int32())
+    def near(size_x: pa.Array, size_y: pa.Array, signature_x: pa.Array, signature_y: pa.Array, counts_x: pa.Array, counts_y: pa.Array) -> pa.Array:
+        n, m = size_x.to_numpy(), size_y.to_numpy()
+        a, b = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(-1, COMPONENTS) for s in (signature_x, signature_y))
+        out = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((a != b).sum(axis=1) <= radius)
+        for i in np.flatnonzero(out).tolist():
+            x, y = (np.frombuffer(c[i].as_py(), np.uint8).astype(np.uint16)[None, :] for c in (counts_x, counts_y))
+            x, y = folded(x) if x.size > y.size else x, folded(y) if y.size > x.size else y
+            bound = shared_bound(x, y)[0]
+            out[i] = 100 * bound >= percent * (n[i] + m[i] - bound)
+        return pa.array(out)
 
-    distance.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
-    return F.arrow_udf(distance, "int")
+    near.__annotations__ = {**dict.fromkeys(("size_x", "size_y", "signature_x", "signature_y", "counts_x", "counts_y"), pa.Array), "return": pa.Array}
+    return F.arrow_udf(near, "boolean")
 
 
 def planes(signature: str, n: int = 4) -> list[Column]:
@@ -156,18 +164,35 @@ def first_shared(differ: np.ndarray, radius: int) -> np.ndarray:
 
 #: Members of a key that are compared in one go.
 BLOCK = 4096
-#: Bits of the sketch that pairs must pass before they are made; one bit of a minimum each.
-SKETCH_BITS = 2048
-_more = mixed(np.arange(1000, 1000 + SKETCH_BITS, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+#: Pairs that one task may confirm: from so many on, nodes in many pairs are copied to spread them.
+BUSY = 20_000
 
 
-def bit_sketch(shingles: np.ndarray) -> np.ndarray:
-    """The lowest bit of the mixed minimum under each of SKETCH_BITS hashes, packed into longs."""
-    low = np.asarray(shingles).astype(np.uint32)
-    least = np.full(SKETCH_BITS, np.uint32(0xFFFFFFFF))
-    for at in range(0, len(low), 64):
-        np.minimum(least, (low[at : at + 64, None] * _more[None, :]).min(axis=0), out=least)
-    return np.packbits((mixed(least.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+def buckets(n_shingles: int) -> int:
+    """How many buckets a set of so many shingles is counted in: a power of two of half its size or more, so sets of like size have the same number or twice as many."""
+    return 1 << max(6, (max(n_shingles, 1) - 1).bit_length() - 1)
+
+
+def bucket_counts(shingles: np.ndarray) -> bytes:
+    """How many shingles fall in each of buckets() buckets by their lowest bits, a byte each; 255 stands for all from 255 on.
+
+    The smaller counts of two sets, summed up, bound their intersection from above (see `shared_bound`).
+    """
+    m = buckets(len(shingles))
+    low = np.asarray(shingles).astype(np.uint64) & np.uint64(m - 1)
+    return np.minimum(np.bincount(low.astype(np.int64), minlength=m), 255).astype(np.uint8).tobytes()
+
+
+def folded(counts: np.ndarray) -> np.ndarray:
+    """Counts (a row a set) in half as many buckets."""
+    half = counts.shape[1] // 2
+    return counts[:, :half] + counts[:, half:]
+
+
+def shared_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """At least the size of the intersection, row by row; where a bucket of both is full, no bound at all."""
+    full = ((a >= 255) & (b >= 255)).any(axis=1)
+    return np.where(full, np.iinfo(np.int64).max >> 8, np.minimum(a, b).sum(axis=1, dtype=np.int64))
 
 
 def _linked(percent: int):
@@ -183,44 +208,29 @@ def _linked(percent: int):
     return F.arrow_udf(linked, "boolean")
 
 
-#: Bits of the bitmap that spares most unneeded texts the shuffle to the sets: 2 MB, whatever the input.
+#: Bits of the bitmap that spares most unneeded texts the shuffle to the sets: 2^18 rows of 64 at most, whatever the input.
 FILTER_BITS = 1 << 24
 
 
 def only_ids(df: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
     """`df` less most rows whose id isn't in `wanted` (one id column): a bitmap of fixed size over the ids' hashes. A prefilter only."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
-
-    def bits(batches):
-        held = np.zeros(FILTER_BITS // 8, np.uint8)
-        for batch in batches:
-            at = batch.column(0).to_numpy(zero_copy_only=False)
-            np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_pydict({"bits": [held.tobytes()]})
-
-    total = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in wanted.select(place(wanted.columns[0]).alias("at")).distinct().coalesce(4).mapInArrow(bits, "bits binary").toLocalIterator():
-        total |= np.frombuffer(row["bits"], np.uint8)
-    sent = df.sparkSession.sparkContext.broadcast(total.tobytes())
-
-    def known(at: pa.Array) -> pa.Array:
-        held, where = np.frombuffer(sent.value, np.uint8), at.fill_null(0).to_numpy(zero_copy_only=False)
-        return pa.array((held[where >> 3] >> (where & 7)) & 1 == 1, pa.bool_())
-
-    known.__annotations__ = {"at": pa.Array, "return": pa.Array}
-    return df.where(F.arrow_udf(known, "boolean")(place(id_col)))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bit = "shiftleft(1L, cast(__at % 64 as int))"
+    words = wanted.select(place(wanted.columns[0]).alias("__at")).groupBy(F.floor(F.col("__at") / 64).alias("__word")).agg(F.bit_or(F.expr(bit)).alias("__bits"))
+    held = df.withColumn("__at", place(id_col)).withColumn("__word", F.floor(F.col("__at") / 64))
+    return held.join(F.broadcast(words), "__word").where(F.col("__bits").bitwiseAND(F.expr(bit)) != 0).select(*df.columns)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of `links` (a, b): the smallest node reachable, by rounds of label passing and pointer jumps."""
-    edges = checkpointed(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = checkpointed(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
+    edges = compact(checkpointed(links.select("a", "b").union(links.select("b", "a")).distinct()))
+    labels = compact(checkpointed(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component"))))
     while True:
-        near = edges.join(labels.toDF("b", "near"), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        met = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("new"))
-        jump = labels.toDF("new", "beyond")
-        moved = checkpointed(met.join(jump, "new").select("node", F.least("new", "beyond").alias("component"), (F.least("new", "beyond") != F.col("component")).alias("changed")))
-        labels = moved.select("node", "component")
+        near = edges.join(labels.toDF("b", "near"), "b").select(F.col("a").alias("node"), "near", F.lit(None).alias("own"))
+        met = near.union(labels.select("node", "component", "component")).groupBy("node").agg(F.min("near").alias("new"), F.min("own").alias("own"))
+        beyond = F.least("new", "beyond")
+        moved = checkpointed(met.join(labels.toDF("new", "beyond"), "new").select("node", beyond.alias("component"), (beyond != F.col("own")).alias("changed")))
+        labels = compact(moved.select("node", "component"))
         if not moved.where("changed").limit(1).count():
             return labels
 
@@ -236,33 +246,29 @@ def node_sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
     return sets.join(needed, "node", "left_semi").groupBy("node").agg(F.max_by("shingles", F.xxhash64("shingles")).alias("shingles"))
 
 
-def torn_pairs(held: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, radius: int) -> DataFrame:
-    """(a, b): all pairs of `held` (key, slot, node, component, n_shingles, p0…p3) in one key and different components that may link.
+def node_facts(docs: DataFrame, classes: DataFrame, needed: DataFrame, width: int) -> DataFrame:
+    """(node, n_shingles, signature, counts) of the needed nodes."""
 
-    First only rows with such a partner stay (a semi-join: no pair is made); their nodes get
-    a long sketch, and the members of a key are compared by it in vectorised blocks, which
-    return a pair once, and only where it too is near.
+    def counted(shingles: pa.Array) -> pa.Array:
+        return pa.array([bucket_counts(v.values.to_numpy(zero_copy_only=False)) for v in shingles], pa.binary())
+
+    counted.__annotations__ = {"shingles": pa.Array, "return": pa.Array}
+    counts = node_sets(docs, needed, width).select("node", F.arrow_udf(counted, "binary")("shingles").alias("counts"))
+    return counts.join(classes.select("node", "n_shingles", "signature"), "node").select("node", "n_shingles", "signature", "counts")
+
+
+def torn_pairs(held: DataFrame, facts: DataFrame, percent: int, radius: int) -> DataFrame:
+    """(a, b): all pairs of `held` (key, slot, node, component, members of the key) in one key and different components that may link.
+
+    The members of a key are compared in vectorised blocks, which return a pair once, and only
+    where sizes, signatures and bucket counts leave it a chance.
     """
-    sides = lambda df: [df.select(*[F.col(c).alias(f"{c}_{s}") for c in df.columns]) for s in "xy"]
-    apart = (F.col("key_x") == F.col("key_y")) & (F.col("component_x") != F.col("component_y"))
-    apart &= 100 * F.least("n_shingles_x", "n_shingles_y") >= percent * F.greatest("n_shingles_x", "n_shingles_y")
-    x, y = sides(held)
-    rows = checkpointed(x.join(y, apart & (F.bit_count(differing()) <= radius), "left_semi").select(*[F.col(f"{c}_x").alias(c) for c in ("key", "slot", "node", "component", "n_shingles")]))
-
-    def sketched(shingles: pa.Array) -> pa.Array:
-        return pa.array([bit_sketch(v.values.to_numpy(zero_copy_only=False)).tobytes() for v in shingles], pa.binary())
-
-    sketched.__annotations__ = {"shingles": pa.Array, "return": pa.Array}
-    nodes = rows.select("node").distinct()
-    sketches = node_sets(docs, nodes, width).select("node", F.arrow_udf(sketched, "binary")("shingles").alias("sketch"))
-    facts = checkpointed(sketches.join(classes.select("node", "signature"), "node"))
     # the members of a key meet in one task, of a large key in blocks of BLOCK against each other
-    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    met = rows.join(blocks, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = met.join(facts, "node").select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "slot", "node", "component", "n_shingles", "signature", "sketch")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    met = held.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "slot", "node", "component").join(facts, "node")
+    dealt = dealt.select("key", "low", "high", "own", "slot", "node", "component", "n_shingles", "signature", "counts")
     together = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    limit = tail_radius((1 - percent / 100) / 2, SKETCH_BITS)
 
     def compare(batches):
         held = []
@@ -274,21 +280,21 @@ def torn_pairs(held: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
                     continue
                 part = batch.slice(low, high - low)
                 if held and any(held[-1].column(i)[0] != part.column(i)[0] for i in range(3)):
-                    yield _group_pairs(pa.Table.from_batches(held), percent, radius, limit)
+                    yield _group_pairs(pa.Table.from_batches(held), percent, radius)
                     held = []
                 held.append(part)
         if held:
-            yield _group_pairs(pa.Table.from_batches(held), percent, radius, limit)
+            yield _group_pairs(pa.Table.from_batches(held), percent, radius)
 
     return together.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def _group_pairs(group: pa.Table, percent: int, radius: int, limit: int) -> pa.RecordBatch:
-    """The pairs of one key's block pair that are near by size, sketch and signature and share no earlier key."""
+def _group_pairs(group: pa.Table, percent: int, radius: int) -> pa.RecordBatch:
+    """The pairs of one key's block pair that are near by size, signature and the bound on their intersection and share no earlier key."""
     get = lambda name: group.column(name).to_numpy()
     node, component, size, own = get("node"), get("component"), get("n_shingles"), get("own")
-    raw = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind).reshape(len(node), -1)
-    sketch, signature, slot = raw("sketch", np.uint64), raw("signature", np.uint8), get("slot")[0]
+    signature, slot = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(node), -1), get("slot")[0]
+    levels = _levels([np.frombuffer(c, np.uint8) for c in group.column("counts").to_pylist()])
     across = group.column("low")[0] != group.column("high")[0]
     out = [np.zeros((0, 2), np.int64)]
     for at in range(0, len(node), 64):
@@ -300,35 +306,57 @@ def _group_pairs(group: pa.Table, percent: int, radius: int, limit: int) -> pa.R
         may &= 100 * np.minimum(size[rows, None], size[None, :]) >= percent * np.maximum(size[rows, None], size[None, :])
         i, j = np.nonzero(may)
         i += at
-        for part in range(0, len(i), 1 << 16):
-            p, q = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
-            near = np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1, dtype=np.int64) <= limit
-            p, q = p[near], q[near]
+        for part in range(0, len(i), 1 << 14):
+            p, q = i[part : part + (1 << 14)], j[part : part + (1 << 14)]
             differ = signature[p] != signature[q]
-            keep = (differ.sum(axis=1) <= radius) & (first_shared(differ, radius) == slot)
-            out.append(np.column_stack([node[p[keep]], node[q[keep]]]))
+            near = differ.sum(axis=1) <= radius
+            near[near] = first_shared(differ[near], radius) == slot
+            p, q = p[near], q[near]
+            for held, place in levels.values():
+                here = (place[p] >= 0) & (place[q] >= 0)
+                a, b = p[here], q[here]
+                bound = shared_bound(held[place[a]], held[place[b]])
+                linked = 100 * bound >= percent * (size[a] + size[b] - bound)
+                out.append(np.column_stack([node[a[linked]], node[b[linked]]]))
+                p, q = p[~here], q[~here]
     pairs = np.concatenate(out)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, radius: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link: near by size and signature, then confirmed on the full sets of `docs` (doc_id, text)."""
-    facts = classes.select("node", "n_shingles", "signature")
-    near = (
-        pairs.join(facts.toDF("a", "n_a", "sig_a"), "a")
-        .join(facts.toDF("b", "n_b", "sig_b"), "b")
-        .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        .where(_distance()("sig_a", "sig_b") <= radius)
-        .select("a", "b")
-    )
-    near = checkpointed(near)
+def _levels(counts: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By number of buckets, most first: the counts of the sets with so many or, folded, twice as many, and each set's row among them (-1: none)."""
+    own = np.array([len(c) for c in counts])
+    out = {}
+    for m in np.unique(own)[::-1].tolist():
+        same, twice = np.flatnonzero(own == m), np.flatnonzero(own == 2 * m)
+        held = np.array([counts[i] for i in same], np.uint16)
+        if len(twice):
+            held = np.concatenate([held, folded(np.array([counts[i] for i in twice], np.uint16))])
+        place = np.full(len(counts), -1)
+        place[np.concatenate([same, twice])] = np.arange(len(held))
+        out[m] = held, place
+    return out
+
+
+def confirmed(pairs: DataFrame, facts: DataFrame, docs: DataFrame, width: int, percent: int, radius: int) -> DataFrame:
+    """The pairs (a, b) of nodes that link: near by node_facts, then confirmed on the full sets of `docs` (doc_id, text)."""
+    held = pairs.join(facts.toDF("a", "n_a", "sig_a", "counts_a"), "a").join(facts.toDF("b", "n_b", "sig_b", "counts_b"), "b")
+    near = checkpointed(held.where(_may_link(percent, radius)("n_a", "n_b", "sig_a", "sig_b", "counts_a", "counts_b")).select("a", "b"))
+    total = near.count()
+    near = compact(near)
     sets = checkpointed(node_sets(docs, near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), width))
-    # a node compared with very many others is copied, so that its pairs spread over tasks
-    busy = near.groupBy("a").agg(F.ceil(F.count("*") / 500).cast("int").alias("salts"))
-    left = sets.toDF("a", "set_a").join(busy, "a").select("a", "set_a", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    salted = near.join(busy, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-    both = salted.join(sets.toDF("b", "set_b"), "b").join(left.drop("salts"), ["a", "salt"])
-    return both.where(_linked(percent)("set_a", "set_b")).select("a", "b")
+    if total > BUSY:
+        both = with_side(with_side(near, sets, "b", "a"), sets, "a", "b")
+    else:  # then no node is in more pairs than that
+        both = near.join(sets.toDF("b", "own_b"), "b").join(sets.toDF("a", "own_a"), "a")
+    return both.where(_linked(percent)("own_a", "own_b")).select("a", "b")
+
+
+def with_side(pairs: DataFrame, values: DataFrame, side: str, other: str) -> DataFrame:
+    """`pairs` with own_<side>, the value of one side from `values` (node, value); a node that is compared with very many others is copied, so that its pairs spread over tasks."""
+    busy = pairs.groupBy(side).agg(F.ceil(F.count("*") / 500).cast("int").alias("salts"))
+    held = values.toDF(side, f"own_{side}").join(busy, side).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    return pairs.join(busy, side).withColumn("salt", F.pmod(F.xxhash64(other), F.col("salts")).cast("int")).drop("salts").join(held.drop("salts"), [side, "salt"]).drop("salt")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -349,24 +377,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = checkpointed(keyed.join(shared, "key"))
 
-    tried = checkpointed(groups.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    links = checkpointed(confirmed(tried, classes, docs, width, percent, radius))
+    facts = checkpointed(node_facts(docs, classes, groups.select("node").distinct(), width))
+    tried = compact(checkpointed(groups.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()))
+    links = checkpointed(confirmed(tried, facts, docs, width, percent, radius))
     labels = components(links)
-    facts = classes.select("node", "n_shingles", *[p.alias(f"p{k}") for k, p in enumerate(planes("signature"))])
     for step in ("leaders", "all"):
         held = groups.select("key", "slot", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        torn = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("node", F.struct(F.xxhash64("node", "key"), "node")).alias("lead")).where("low <> high").select("key", "lead")
-        held = checkpointed(held.join(torn, "key").join(facts, "node"))
+        torn = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("node", F.struct(F.xxhash64("node", "key"), "node")).alias("lead"), F.count("*").alias("members"))
+        held = held.join(torn.where("low <> high").select("key", "lead", "members"), "key")
         if step == "leaders":  # another member of each key is compared with the rest: different keys, different leaders
+            held = checkpointed(held.join(facts.select("node", *[p.alias(f"p{k}") for k, p in enumerate(planes("signature"))]), "node"))
             lead = held.where("node = lead").select(*[F.col(c).alias(f"{c}_x") for c in held.columns])
             rest = held.select(*[F.col(c).alias(f"{c}_y") for c in held.columns])
             apart = (F.col("key_x") == F.col("key_y")) & (F.col("component_x") != F.col("component_y")) & (F.bit_count(differing()) <= radius)
             pairs = lead.join(rest, apart).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
         else:
-            pairs = torn_pairs(held.drop("lead"), classes, docs, width, percent, radius)
-        fresh = checkpointed(pairs.join(tried, ["a", "b"], "left_anti"))
+            pairs = torn_pairs(held, facts, percent, radius)
+        fresh = compact(checkpointed(pairs.join(tried, ["a", "b"], "left_anti")))
         if fresh.limit(1).count():
-            more = checkpointed(confirmed(fresh, classes, docs, width, percent, radius))
+            more = checkpointed(confirmed(fresh, facts, docs, width, percent, radius))
             tried = tried.unionByName(fresh)
             if more.limit(1).count():
                 links = links.unionByName(more)

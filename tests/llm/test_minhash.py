@@ -100,14 +100,43 @@ def test_planes(spark):
         assert row[k] & (2**64 - 1) == int("".join(str(x >> k & 1) for x in raw), 2)
 
 
-def test_sketch_distance_follows_the_similarity():
+def test_bucket_counts_never_rule_out_a_link():
     rng = np.random.default_rng(2)
-    for share in (0.85, 0.5):
-        n = 1000
-        both = rng.integers(0, 2**63, int(2 * n * share / (1 + share)))
-        a, b = (np.concatenate([both, rng.integers(0, 2**63, n - len(both))]) for _ in range(2))
-        far = sum(int(v & (2**64 - 1)).bit_count() for v in (minhash.bit_sketch(a) ^ minhash.bit_sketch(b)).tolist())
-        assert abs(far / minhash.SKETCH_BITS - (1 - share) / 2) < 0.04
+    for n in (1, 5, 64, 65, 300, 1000, 5000):
+        for share in (0.99, 0.85, 0.6, 0.1):
+            both = rng.integers(0, 2**63, int(2 * n * share / (1 + share)) or 1).astype(np.uint64)
+            a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**63, m).astype(np.uint64)])) for m in (n - len(both) + 1, int(n * rng.uniform(0, 0.15)) + 1))
+            counts = [np.frombuffer(minhash.bucket_counts(x), np.uint8) for x in (a, b)]
+            if not len(counts[0]) // 2 <= len(counts[1]) <= 2 * len(counts[0]):
+                continue
+            held, place = next((h, p) for h, p in minhash._levels(counts).values() if (p >= 0).all())
+            bound, shared = int(minhash.shared_bound(held[place[:1]], held[place[1:]])[0]), len(np.intersect1d(a, b))
+            assert bound >= shared
+            if n >= 300 and share < 0.7:
+                assert bound / (len(a) + len(b) - bound) < 0.85  # and it does rule out what is far
+    same = np.arange(1000, dtype=np.uint64) << np.uint64(40)  # all in one bucket
+    full = np.frombuffer(minhash.bucket_counts(same), np.uint8)[None, :].astype(np.uint16)
+    assert minhash.shared_bound(full, full)[0] > 1000
+
+
+def test_signature_distance_follows_the_binomial():
+    """The radius rests on this: mean and spread of the differing components, at the threshold itself."""
+    rng = np.random.default_rng(3)
+    for share in (0.85, 0.8):
+        far = []
+        for _ in range(3000):
+            n = int(rng.integers(20, 400))
+            shared = max(1, round(2 * n * share / (1 + share)))
+            both = rng.integers(0, 2**63, shared).astype(np.uint64)
+            a, b = (np.concatenate([both, rng.integers(0, 2**63, n - shared).astype(np.uint64)]) for _ in range(2))
+            x, y = (np.frombuffer(minhash._signature(v.astype(np.uint32)), np.uint8) for v in (a, b))
+            far.append([int((x != y).sum()), shared / (2 * n - shared)])
+        far = np.array(far)
+        want = minhash.COMPONENTS * (1 - far[:, 1])
+        spread = np.sqrt(minhash.COMPONENTS * far[:, 1] * (1 - far[:, 1]))
+        z = (far[:, 0] - want) / spread
+        assert abs(z.mean()) < 0.1 and abs(z.std() - 1) < 0.08 and np.mean(z > 3) < 0.005
+        assert far[far[:, 1] >= share, 0].max() <= minhash.tail_radius(1 - share)
 
 
 @pytest.mark.parametrize("block", [4096, 40])
@@ -125,3 +154,16 @@ def test_large_group_of_mutated_copies(spark, monkeypatch, block):
     df = spark.createDataFrame(out, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, width=3, percent=85).collect()}
     assert got == brute(out, 3, 85)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randint(0, 50000)}" for _ in range(120_000)]
+    near, far = list(base), list(base)
+    for at in rng.sample(range(120_000), 3000):
+        near[at] = "n"
+    for at in rng.sample(range(120_000), 15_000):
+        far[at] = "f"
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far)), (4, "a " * 300_000), (5, "a " * 299_999 + "a")]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 5, 80)
