@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from spectraloom.llm.minhash import components
+from spectraloom.llm.minhash import components, with_side
 from spectraloom.llm.textbatch import mixed, small_batches
 from spectraloom.session import checkpointed, shuffle_width
 
@@ -262,11 +262,16 @@ def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
 
     Equal texts go with their smallest id. A band's other documents are compared with its
     first; where that leaves a band in several components, those are compared with each
-    other, in memory. Rows that repeat an id count as one document.
+    other, in memory. Null texts are empty, and empty texts equal; rows whose id is null are
+    left out; rows that repeat an id count as one document, that of the smallest text. An empty
+    table has no pairs. Columns other than the id and the text play no part.
     """
     small_batches(df.sparkSession)
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).where("id is not null").groupBy("id").agg(F.min("text").alias("text"))
-    marked = checkpointed(docs.withColumn("print", fingerprint("text")).select("id", F.sha2("text", 256).alias("digest"), band_keys("print").alias("keys")))
+    # a walk from each end: an edit can leave a walk out of step for long, but only beyond it
+    prints = docs.withColumn("print", fingerprint("text")).withColumn("back", fingerprint(F.reverse("text")))
+    keys = F.concat(band_keys("print"), F.transform(band_keys("back"), lambda k: F.concat(F.lit("-"), k)))
+    marked = checkpointed(prints.select("id", F.sha2("text", 256).alias("digest"), keys.alias("keys")))
     own = marked.groupBy("digest").agg(F.min("id").alias("id_a"))
     copies = marked.join(own, "digest").where("id_a < id").select("id_a", F.col("id").alias("id_b"), F.lit(0).alias("edits"))
     keyed = checkpointed(marked.join(own.select(F.col("id_a").alias("id")), "id", "left_semi").select("id", F.explode("keys").alias("key")))
@@ -277,11 +282,24 @@ def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
         return pa.array([edits(x, y, most) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
 
     check.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
-    both = pairs.join(docs.toDF("id_a", "text_a"), "id_a").join(docs.toDF("id_b", "text_b"), "id_b")
-    links = checkpointed(both.select("id_a", "id_b", F.arrow_udf(check, "int")("text_a", "text_b").alias("edits")).where("edits is not null"))
+    pairs = checkpointed(pairs)
+    both = with_side(with_side(pairs, docs, "id_b", "id_a"), docs, "id_a", "id_b")
+    links = checkpointed(both.select("id_a", "id_b", F.arrow_udf(check, "int")("own_id_a", "own_id_b").alias("edits")).where("edits is not null"))
     return copies.union(links).union(_torn_pairs(keyed, links, docs, most))
 
 
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 20) -> DataFrame:
+    """(id, group_id, kept) of each row: the smallest id reachable over near_pairs, and whether it is the row's own.
+
+    Rows that repeat an id stay, with one group; a row whose id is null is no one's near text: its group_id is null and it is kept.
+    """
+    pairs = checkpointed(near_pairs(df, id_col, text_col, most).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    group = components(pairs).toDF("__node", "__group")
+    ids = df.select(F.col(f"`{id_col}`").alias(id_col)).join(group, F.col(f"`{id_col}`") == F.col("__node"), "left")
+    own = F.coalesce("__group", F.col(f"`{id_col}`"))
+    return ids.select(id_col, own.alias("group_id"), own.eqNullSafe(F.col(f"`{id_col}`")).alias("kept"))
+
+
 def _torn_pairs(keyed: DataFrame, links: DataFrame, docs: DataFrame, most: int) -> DataFrame:
     """(id_a, id_b, edits) that connect near documents of one key which `links` leaves in different components."""
     parts = components(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).withColumnRenamed("node", "id")

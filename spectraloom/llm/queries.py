@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectraloom.llm import bpe, chat, credentials, editembed, language, licenses, minhash, mixing, pii, quality
+from spectraloom.session import table
 
 #: The key of the registered queries; a user passes their own.
 KEY = "registered-queries"
-from spectraloom.session import table
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,5 +88,15 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
 
 
-QUERIES = {f.__name__: f for f in (op1_edit_fingerprints, op2_source_mix, op3_secret_scan, op4_minhash_near_dedup, op5_language_id, op6_chat_repair, op7_license_scan, op8_quality_rules, op9_byte_bpe, op10_pii_pseudonyms)}
+def near_edit_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bands and the verification of operator 1: each document's group of near texts."""
+    return editembed.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def rendered_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6's whole conversations, repaired and rendered."""
+    return chat.conversations(chat.rendered(chat.repaired(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_edit_fingerprints, op2_source_mix, op3_secret_scan, op4_minhash_near_dedup, op5_language_id, op6_chat_repair, op7_license_scan, op8_quality_rules, op9_byte_bpe, op10_pii_pseudonyms, near_edit_groups, rendered_conversations)}
 ORACLES: dict[str, str] = {"op4_minhash_near_dedup": minhash.near_sql(3, 85), "op2_source_mix": mixing.MIX_SQL}

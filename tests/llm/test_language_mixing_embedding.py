@@ -1,6 +1,8 @@
 import hashlib
 import random
+import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -43,12 +45,89 @@ def test_language_held_out_accuracy(spark, sf):
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.9
 
 
+def model_of(counts):
+    """A model of (lang, n, item, count)."""
+    langs = sorted({c[0] for c in counts})
+    column = lambda k, kind: np.array([c[k] for c in counts], kind)
+    return language.Model(langs, np.array([langs.index(c[0]) for c in counts], np.int64), column(1, np.int64), language.hashed([c[2] for c in counts]), column(3, np.int64))
+
+
 def test_backoff_takes_the_longest_seen_gram():
-    model = language.Model([("a", 0, "word", 5, 10), ("b", 2, "wo", 3, 10), ("b", 5, "^wort", 3, 10), ("a", 1, "x", 1, 10)])
-    row = {n: {item: (r,) for item, r in items.items()} for n, items in model.rows.items()}
-    assert model.found("word") == row[0]["word"] and model.found("wort") == row[5]["^wort"]
-    assert model.found("woq") == row[2]["wo"] and model.found("xy") == row[1]["x"] and model.found("q") == ()
-    assert np.allclose(model.logs[row[2]["wo"][0]], np.log([0.5, 3.5]) - np.log([1, 10]))
+    model = model_of([("a", 0, "word", 5), ("a", 0, "other", 5), ("b", 2, "wo", 3), ("b", 2, "zz", 7), ("b", 5, "^wort", 3), ("a", 1, "x", 1)])
+    got = dict(zip(("word", "wort", "woq", "xy", "q"), model.scored(["word", "wort", "woq", "xy", "q"]), strict=True))
+    assert np.allclose(got["word"], [np.log(5.5 / 10), np.log(0.5), 1]) and np.allclose(got["wort"], [np.log(0.5), np.log(3.5 / 3), 1])
+    assert np.allclose(got["woq"], [np.log(0.5), np.log(3.5 / 10), 1]) and np.allclose(got["xy"], [np.log(1.5), np.log(0.5), 1])
+    assert not got["q"].any()
+
+
+class SlowModel:
+    """The same rule on dictionaries of words and n-grams, one word at a time."""
+
+    def __init__(self, texts):
+        self.counts = {}
+        for text, lang in texts:
+            by_size = self.counts.setdefault(lang, {n: Counter() for n in (0, *language.SIZES)})
+            for word in re.findall(r"[^\W\d_]+", text.lower()):
+                by_size[0][word] += 1
+                for n in language.SIZES:
+                    padded = word if n == 1 else f"^{word}$"
+                    by_size[n].update(padded[i : i + n] for i in range(len(padded) - n + 1))
+        self.langs = sorted(self.counts)
+
+    def log(self, lang, n, item):
+        total = sum(self.counts[lang][n].values())
+        return np.log(self.counts[lang][n][item] + 0.5) - np.log(max(total, 1))
+
+    def predict(self, text):
+        if not text or not any(c.isalpha() for c in text):
+            return "und", 0.0
+        total, n_words = np.zeros(len(self.langs)), 0
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            for n in (0, *language.SIZES):
+                padded = word if n < 2 else f"^{word}$"
+                items = [word] if n == 0 else [padded[i : i + n] for i in range(len(padded) - n + 1)]
+                items = [g for g in items if any(self.counts[x][n][g] for x in self.langs)]
+                if items:
+                    total += np.mean([[self.log(x, n, g) for x in self.langs] for g in items], axis=0)
+                    n_words += 1
+                    break
+        if not n_words:
+            return self.langs[0], 1 / len(self.langs)
+        mean = (total - total.max()) / n_words * min(n_words, 20)
+        share = np.exp(mean) / np.exp(mean).sum()
+        return self.langs[int(share.argmax())], float(share.max())
+
+
+def test_predictions_match_brute_force(spark):
+    rng = random.Random(11)
+    letters = {"en": "etaoinshrdlu", "de": "enisratdhulöß", "el": "αβγδεζηθικλμ"}
+    word = lambda lang: "".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 9)))
+    rows = [(i, " ".join(word(lang).title() for _ in range(rng.randint(1, 25))) + rng.choice(["", " 12_x", "\n½"]), lang) for i in range(240) for lang in [("en", "de", "el")[i % 3]]]
+    rows += [(1000, "", "en"), (1001, None, "de"), (1002, "½ 5", None), (1003, "中文", None), (1004, "Wort " * 200_000 + "ende", None), (1005, "x" * 300_000, None), (1006, rows[7][1], None)]
+    docs = spark.createDataFrame(rows + rows[:9], "doc_id long, text string, lang string")
+    slow = SlowModel([(t, lang) for i, t, lang in rows if t is not None and lang and zlib.crc32(str(i).encode()) % 5])
+    for r in language.identify(docs, language.fit(docs)).collect():
+        want = slow.predict(r.text)
+        assert (r.lang_pred, r.score) == (want[0], pytest.approx(want[1], abs=1e-9)), r.text
+
+
+def test_the_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, f"t{i} " * (i % 7), "x" if i % 3 else "y") for i in range(400)] + [(5, "t5 " * 5, "x")] * 300, "doc_id long, text string, lang string")
+    for sample, chars in ((10, 10**6), (1000, 10**6), (1000, 60), (1000, 1)):
+        by = {}
+        for r in language.sampled(docs, "doc_id", sample, chars).collect():
+            by.setdefault(r.lang, []).append(r.text)
+        assert set(by) == {"x", "y"}
+        for lang, texts in by.items():
+            assert 1 <= len(texts) <= sample and (sum(map(len, texts)) <= chars or len(texts) == 1)
+            if sample == 1000 and chars == 10**6:
+                assert len(texts) == sum(1 for i in range(400) if ("x" if i % 3 else "y") == lang and zlib.crc32(str(i).encode()) % 5)
+
+
+def test_language_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    model = language.fit(empty)
+    assert model.langs == [] and language.identify(empty, model).count() == 0
 
 
 def mix_rows():
@@ -165,8 +244,9 @@ def test_near_pairs_finds_planted_copies(spark):
 
 def shared_keys(spark, texts):
     """Whether two texts share a band key."""
-    prints = spark.createDataFrame(list(enumerate(editembed.fingerprints(texts))), "id long, print string")
-    keys = {r[0]: set(r[1]) for r in prints.select("id", editembed.band_keys("print")).collect()}
+    both = list(zip(range(len(texts)), editembed.fingerprints(texts), editembed.fingerprints([t[::-1] for t in texts]), strict=True))
+    prints = spark.createDataFrame(both, "id long, print string, back string")
+    keys = {r[0]: set(r[1]) | {f"-{k}" for k in r[2]} for r in prints.select("id", editembed.band_keys("print"), editembed.band_keys("back")).collect()}
     return lambda a, b: bool(keys[a] & keys[b])
 
 
@@ -218,3 +298,52 @@ def test_near_pairs_in_blocks(spark, monkeypatch, members):
         for b in range(a):
             if editembed.edits(texts[a], texts[b], 2) is not None and share(a, b):
                 assert b in parts[a], (texts[a], texts[b])
+
+
+def test_near_groups_recall_on_the_documents(spark, sf):
+    """Random edits anywhere in whole documents of every length, up to one in 40 characters: at least nine in ten copies are found, and groups hold near texts only."""
+    rng = random.Random(16)
+    texts = {r.doc_id: r.text for r in table(spark, sf, "documents").select("doc_id", "text").collect()}
+    rows, planted = list(texts.items()), {}
+    for k, (i, text) in enumerate(texts.items()):
+        n, copy = (1, 3, 8, 15)[k % 4], text or ""
+        if len(copy) < 40 * n:
+            continue
+        for _ in range(n):
+            at = rng.randrange(len(copy))
+            copy = copy[:at] + rng.choice(["", "Q", copy[at] + "z"]) + copy[at + 1 :]
+        planted[100_000 + i] = (i, n)
+        rows.append((100_000 + i, copy))
+    got = {r.doc_id: r.group_id for r in editembed.near_groups(spark.createDataFrame([*rows, (None, "no id")], "doc_id long, text string")).collect()}
+    assert len(got) == len(rows) + 1 and got[None] is None
+    for edits in (1, 3, 8, 15):
+        assert np.mean([got[c] == got[i] for c, (i, n) in planted.items() if n == edits]) >= 0.9
+    for low, high in ((0, 500), (500, 4000), (4000, 10**7)):
+        found = [got[c] == got[i] for c, (i, _) in planted.items() if low <= len(texts[i]) < high]
+        assert np.mean(found) >= 0.9
+    # nothing is grouped but over near texts: each group's members are connected by pairs within the limit
+    by = {}
+    for i, g in got.items():
+        by.setdefault(g, []).append(i)
+    held = dict(rows)
+    for g, members in by.items():
+        if g is None or len(members) > 12:
+            continue
+        reached, todo = {g}, [g]
+        while todo:
+            a = todo.pop()
+            for b in members:
+                if b not in reached and editembed.edits(held[a] or "", held[b] or "", 20) is not None:
+                    reached.add(b), todo.append(b)
+        assert reached == set(members)
+
+
+def test_near_groups_of_named_documents(spark):
+    """Ids that are text, repeated ids, clashing column names, and an empty table."""
+    rng = random.Random(18)
+    text = "".join(rng.choice("abcdefghijkl mnop") for _ in range(900))
+    rows = [("b", text, 1), ("a", text[:400] + "Q" + text[400:], 2), ("a", text[:400] + "Q" + text[400:], 2), ("c", text[::-1], 3), ("d", None, 4), ("e", "", 5)]
+    schema = "doc_id string, text string, group_id int"
+    got = sorted((r.doc_id, r.group_id, r.kept) for r in editembed.near_groups(spark.createDataFrame(rows, schema)).collect())
+    assert got == [("a", "a", True), ("a", "a", True), ("b", "a", False), ("c", "c", True), ("d", "d", True), ("e", "d", False)]
+    assert editembed.near_groups(spark.createDataFrame([], schema)).count() == 0

@@ -1,6 +1,11 @@
 import random
+import zlib
 
+import duckdb
 import numpy as np
+from test_language_mixing_embedding import SlowModel
+from test_minhash import brute
+from test_secrets_pii import plain_search
 
 import corpus_pipeline as cp
 from spectraloom.llm import bpe, mixing, pii
@@ -54,3 +59,32 @@ def test_empty_input(spark):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, "")
         assert docs.count() == 0
+
+
+def test_whole_pipeline_matches_brute_force(spark, tmp_path):
+    """All five stages against plain Python (and DuckDB for the mix), none of it the library's."""
+    data = [r for r in rows() if r[0] is not None]
+    spark.createDataFrame(data, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.lang, r.source, np.frombuffer(r.ids, "<u4").tolist()) for r in cp.run(spark, str(tmp_path)).collect())
+    # language: words, then ever shorter n-grams
+    slow = SlowModel([(r[1], r[2]) for r in data if r[1] is not None and r[2] and zlib.crc32(str(r[0]).encode()) % 5])
+    told = [(r, slow.predict(r[1])) for r in data]
+    kept = [r for r, (lang, score) in told if lang != "und" and score >= cp.LEAST_SCORE]
+    assert 100 < len(kept) < len(data)
+    # near duplicates: all pairs of whole sets
+    classes = brute([r[:2] for r in kept], 5, 80)
+    kept = [r for r in kept if classes[r[0]][2]]
+    assert len(kept) == 120
+    # personal data: one alternation, leftmost first
+    kept = [(r[0], plain_search(cp.KEY.encode(), r[1])[0], *r[2:4]) for r in kept]
+    # the mix
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", kept)
+    times = "CAST(u.size * least(u.whole + u.drawn, 3) AS BIGINT) AS taken"
+    assert times in mixing.MIX_SQL
+    copies = {r[0]: r[4] for r in con.execute(mixing.MIX_SQL.replace(times, "CAST(least(u.whole + u.drawn, 3) AS BIGINT) AS taken")).fetchall()}
+    # tokens
+    own = bpe.encoding(bpe.ranks_file(), bpe.public_tokenizers.PATTERN)
+    want = sorted((i, lang, source, own.encode_ordinary(text)) for i, text, lang, source in kept for _ in range(copies[i]))
+    assert got == want
