@@ -281,13 +281,26 @@ def forest_study(rows: DataFrame, folds: DataFrame, group: str, features: list[s
 
     With `nested`, inner folds choose among the grid (FOREST): the first candidate with the
     smallest inner error wins, each validation group weighing alike. Without, `depth` holds.
+    Missing features take the median of the outer fold's training rows, and those that have
+    gaps an indicator beside it; a feature without training values raises.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     grid = (grid or FOREST) if nested is not None else [(depth, 1)]
-    ready = checkpointed(VectorAssembler(inputCols=features, outputCol="__x").transform(rows.join(folds.select(group, "fold"), group)))
-    inner_of = checkpointed(ready.join(nested, group)) if len(grid) > 1 else None
+    held = checkpointed(rows.join(folds.select(group, "fold"), group))
+    gaps = held.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in features]).first()
+    open_ = [c for c in features if gaps[c]]
+    k = held.agg(F.max("fold")).first()[0] + 1 if open_ else 0
+    medians = {r["fold"]: r for r in train_medians(held, "fold", open_, k).collect()} if open_ else {}  # a row a fold
+    if absent := [c for c in open_ if any(f not in medians or medians[f][f"median_{c}"] is None for f in range(k))]:
+        raise ValueError(f"no training values: {absent}")
+
+    def assembled(outer: int) -> DataFrame:
+        fill = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(medians[outer][f"median_{c}"])) if c in open_ else F.col(c).cast("double")
+        made = held.withColumns({f"__f_{i}": fill(c) for i, c in enumerate(features)} | {f"__m_{i}": F.col(c).isNull().cast("double") for i, c in enumerate(open_)})
+        inputs = [*(f"__f_{i}" for i in range(len(features))), *(f"__m_{i}" for i in range(len(open_)))]
+        return checkpointed(VectorAssembler(inputCols=inputs, outputCol="__x").transform(made).drop(*inputs))
 
     def fitted(train: DataFrame, c: tuple[int, int]):
         return RandomForestRegressor(featuresCol="__x", labelCol=target, predictionCol="predicted", numTrees=trees, maxDepth=c[0], minInstancesPerNode=c[1], featureSubsetStrategy="sqrt" if nested is not None else "auto", seed=seed).fit(train)
@@ -298,9 +311,9 @@ def forest_study(rows: DataFrame, folds: DataFrame, group: str, features: list[s
 
     out = []
     for (f,) in sorted(folds.select("fold").distinct().collect()):
-        best = grid[0]
+        best, ready = grid[0], assembled(f)
         if len(grid) > 1:
-            train = inner_of.where(F.col("outer") == f)
+            train = ready.join(nested.where(F.col("outer") == f), group)
             inners = sorted(r[0] for r in train.select("inner").distinct().collect())
             jobs = [(i, k) for i in range(len(grid)) for k in inners]
             with ThreadPoolExecutor(4) as pool:  # small jobs: their overheads overlap

@@ -300,6 +300,12 @@ def test_forest_chooses_over_inner_folds(spark):
     made = validation.forest_study(df, folds, "paper", ["a"], "y", trees=3, nested=validation.nested_folds(folds, "paper", 2), grid=[(1, 40), (8, 1)]).collect()
     assert sorted(r.i for r in made) == list(range(360)) and {(r.depth, r.leaf) for r in made} == {(8, 1)}
     assert len(validation.FOREST) == 9
+    # gaps take the training median, with an indicator that tells them apart
+    gone = df.withColumn("a", F.when(F.col("i") % 5 != 0, F.col("a"))).withColumn("y", F.when(F.col("i") % 5 == 0, 50.0).otherwise(F.col("y")))
+    made = validation.forest_study(gone, folds, "paper", ["a"], "y", trees=20, depth=6).collect()
+    assert len(made) == 360 and all(r.predicted > 25 for r in made if r.a is None)
+    with pytest.raises(ValueError, match="no training values"):
+        validation.forest_study(df.join(folds.select("paper", "fold"), "paper").withColumn("a", F.when(F.col("fold") == 0, F.col("a"))).drop("fold"), folds, "paper", ["a"], "y", trees=3)
 
 
 def test_stream_over_batches_equals_batch(spark, tmp_path):
