@@ -217,7 +217,6 @@ def compared(rows: DataFrame, sets: dict[str, list[str]], group: str, target: st
 
 def _solved(splits: Splits, design: Design, grams: np.ndarray, medians: list[dict[str, float]], sets: dict[str, list[str]], grid: list[tuple[str, float, float]]) -> dict[tuple[int, int], dict[str, np.ndarray]]:
     """By fit and set, the weights of raw columns (candidates × columns) that give the prediction less the design's base."""
-    fit = lambda g, c: validation.ridge(g, c[1]) if c[0] == "ridge" else validation.elastic_net(g, c[1], c[2])
     out: dict = {}
     for key, own in zip(splits.fits, medians, strict=True):
         gram = grams[splits.train(key)].sum(axis=0)
@@ -225,9 +224,8 @@ def _solved(splits: Splits, design: Design, grams: np.ndarray, medians: list[dic
             to = design.prepared(gram, own, features)
             mean = np.zeros(design.width)
             mean[0] = -to[-1, 0]
-            inner = to @ gram @ to.T
-            found = [fit(inner, c) for c in grid] if features else [np.zeros(1)] * len(grid)
-            out.setdefault(key, {})[name] = np.array([mean + w @ to[: len(w), :-1] for w in found])
+            found = validation.solved(to @ gram @ to.T, grid) if features else np.zeros((len(grid), 1))
+            out.setdefault(key, {})[name] = mean + found @ to[:-1, :-1]
     return out
 
 

@@ -223,21 +223,38 @@ def ridge(gram: np.ndarray, alpha: float) -> np.ndarray:
     return np.linalg.solve(gram[:-1, :-1] + penalty + np.eye(len(penalty)) * 1e-12, gram[:-1, -1])
 
 
-def elastic_net(gram: np.ndarray, alpha: float, l1: float, rounds: int = 1000, tol: float = 1e-10) -> np.ndarray:
-    """Intercept and weights that minimise ‖y − b − Xw‖²/2n + α·l1·‖w‖₁ + α(1 − l1)‖w‖²/2, by coordinate descent on the sums."""
+def elastic_nets(gram: np.ndarray, alphas: list[float], l1s: list[float], rounds: int = 1000, tol: float = 1e-10) -> np.ndarray:
+    """For each (alpha, l1), intercept and weights that minimise ‖y − b − Xw‖²/2n + α·l1·‖w‖₁ + α(1 − l1)‖w‖²/2: coordinate descent on the sums, all candidates side by side."""
+    alpha, l1 = np.array(alphas), np.array(l1s)
     n = gram[0, 0]
     mean = gram[0, 1:] / n
     centred = gram[1:, 1:] / n - np.outer(mean, mean)
     a, b = centred[:-1, :-1], centred[:-1, -1]
-    w = np.zeros(len(b))
+    w = np.zeros((len(alpha), len(b)))
     for _ in range(rounds):
         old = w.copy()
-        for j in range(len(w)):
-            rest = b[j] - a[j] @ w + a[j, j] * w[j]
-            w[j] = np.sign(rest) * max(abs(rest) - alpha * l1, 0) / max(a[j, j] + alpha * (1 - l1), 1e-300)
+        for j in range(len(b)):
+            rest = b[j] - w @ a[:, j] + a[j, j] * w[:, j]
+            w[:, j] = np.sign(rest) * np.maximum(np.abs(rest) - alpha * l1, 0) / np.maximum(a[j, j] + alpha * (1 - l1), 1e-300)
         if np.abs(w - old).max(initial=0) < tol:
             break
-    return np.concatenate([[mean[-1] - mean[:-1] @ w], w])
+    return np.column_stack([mean[-1] - w @ mean[:-1], w])
+
+
+def elastic_net(gram: np.ndarray, alpha: float, l1: float) -> np.ndarray:
+    return elastic_nets(gram, [alpha], [l1])[0]
+
+
+def solved(gram: np.ndarray, grid: list[tuple[str, float, float]]) -> np.ndarray:
+    """Intercept and weights of each candidate (kind, alpha, l1)."""
+    out = np.zeros((len(grid), len(gram) - 1))
+    nets = [i for i, c in enumerate(grid) if c[0] != "ridge"]
+    if nets:
+        out[nets] = elastic_nets(gram, [grid[i][1] for i in nets], [grid[i][2] for i in nets])
+    for i, c in enumerate(grid):
+        if c[0] == "ridge":
+            out[i] = ridge(gram, c[1])
+    return out
 
 
 def linear_study(rows: DataFrame, folds: DataFrame, nested: DataFrame, group: str, features: list[str], target: str, grid: list[tuple[str, float, float]] | None = None) -> tuple[DataFrame, list[tuple]]:
@@ -248,7 +265,6 @@ def linear_study(rows: DataFrame, folds: DataFrame, nested: DataFrame, group: st
     weighing alike.
     """
     grid = grid or LINEAR
-    fit = lambda g, c: ridge(g, c[1]) if c[0] == "ridge" else elastic_net(g, c[1], c[2])
     held = rows.join(folds.select(group, "fold"), group)
     n = len(features) + 2
     own = grams(held, ["fold"], features, target)
@@ -259,8 +275,7 @@ def linear_study(rows: DataFrame, folds: DataFrame, nested: DataFrame, group: st
     for outer, held_out in sorted(by_fold.items()):
         train = total - held_out
         for _, r in cells[cells["outer"] == outer].sort_values("inner").iterrows():
-            for c in grid:
-                trials.setdefault((outer, int(r["inner"])), []).append([float(x) for x in fit(train - gram_matrix(r, n), c)])
+            trials[outer, int(r["inner"])] = solved(train - gram_matrix(r, n), grid).tolist()
         models[outer] = train
     spark = rows.sparkSession
     tried = spark.createDataFrame([(*k, w) for k, w in trials.items()], "outer int, inner int, weights array<array<double>>")
@@ -271,7 +286,7 @@ def linear_study(rows: DataFrame, folds: DataFrame, nested: DataFrame, group: st
     errors = rows.join(nested, group).join(F.broadcast(tried), ["outer", "inner"]).groupBy("outer", "inner", group).agg(*miss)
     mean = lambda df, *by: df.groupBy(*by).agg(*[F.avg(f"mae_{i}").alias(f"mae_{i}") for i in range(len(grid))])
     best = {r["outer"]: min(range(len(grid)), key=lambda i: r[f"mae_{i}"]) for r in mean(mean(errors, "outer", "inner"), "outer").collect()}
-    chosen = [(outer, *grid[best[outer]], [float(v) for v in fit(models[outer], grid[best[outer]])]) for outer in sorted(models)]
+    chosen = [(outer, *grid[best[outer]], solved(models[outer], [grid[best[outer]]])[0].tolist()) for outer in sorted(models)]
     final = spark.createDataFrame([(c[0], c[-1]) for c in chosen], "fold int, weights array<double>")
     return held.join(F.broadcast(final), "fold").withColumn("predicted", dot(F.col("weights"))).drop("weights"), chosen
 
