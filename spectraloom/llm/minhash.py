@@ -295,6 +295,8 @@ def _group_pairs(group: pa.Table, percent: int, radius: int) -> pa.RecordBatch:
     node, component, size, own = get("node"), get("component"), get("n_shingles"), get("own")
     signature, slot = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(node), -1), get("slot")[0]
     levels = _levels([np.frombuffer(c, np.uint8) for c in group.column("counts").to_pylist()])
+    # the low bits of all components as words: those that differ are no more than the components that do
+    bits = [np.packbits((signature >> k) & 1, axis=1).view(np.uint64)[:, 0] for k in range(4)]
     across = group.column("low")[0] != group.column("high")[0]
     out = [np.zeros((0, 2), np.int64)]
     for at in range(0, len(node), 64):
@@ -304,6 +306,8 @@ def _group_pairs(group: pa.Table, percent: int, radius: int) -> pa.RecordBatch:
         if across:
             may &= own[rows, None] != own[None, :]
         may &= 100 * np.minimum(size[rows, None], size[None, :]) >= percent * np.maximum(size[rows, None], size[None, :])
+        far = reduce(np.bitwise_or, [b[rows, None] ^ b[None, :] for b in bits])
+        may &= np.bitwise_count(far) <= radius
         i, j = np.nonzero(may)
         i += at
         for part in range(0, len(i), 1 << 14):
