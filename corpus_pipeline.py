@@ -69,8 +69,8 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text counts as empty: no ids, and n_tokens 0. Repeated rows stay; an empty table stays empty.
     """
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
-    whole = F.coalesce("text", F.lit("")).cast("binary") == bpe.decode("ids", spark)
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), decoded_col="decoded")
+    whole = F.coalesce("text", F.lit("")).cast("binary") == F.col("decoded")
     return ids.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", whole.alias("round_trip"))
 
 

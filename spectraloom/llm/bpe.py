@@ -46,16 +46,20 @@ def packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-def _encode_udf(spark: SparkSession, raw: bytes, pattern: str):
+def _encode_udf(spark: SparkSession, raw: bytes, pattern: str, decode: bool):
+    """The packed ids of a text, and with `decode` the raw bytes that they decode to, in one pass: a second one would double the workers."""
     sent = spark.sparkContext.broadcast(raw)
+    fields = [pa.field("ids", pa.binary()), *[pa.field("raw", pa.binary())] * decode]
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoding(sent.value, pattern)
         for batch in batches:
-            yield pa.array([packed(own.encode_ordinary(x.as_py() or "")) for x in batch], pa.binary())
+            ids = [packed(own.encode_ordinary(x.as_py() or "")) for x in batch]
+            columns = [ids, [own.decode_bytes(np.frombuffer(v, "<u4").tolist()) for v in ids]] if decode else [ids]
+            yield pa.StructArray.from_arrays([pa.array(c, pa.binary()) for c in columns], fields=fields)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "binary")
+    return F.arrow_udf(run, "ids binary, raw binary" if decode else "ids binary")
 
 
 def _zones_udf(pattern: str, chunk: int, overlap: int):
@@ -87,8 +91,9 @@ def encode(
     pattern: str = public_tokenizers.PATTERN,
     chunk: int = CHUNK,
     overlap: int = OVERLAP,
+    decoded_col: str | None = None,
 ) -> DataFrame:
-    """Adds `ids_col`: the token ids of the whole text as little-endian unsigned 32-bit integers.
+    """Adds `ids_col`: the token ids of the whole text as little-endian unsigned 32-bit integers; and `decoded_col`, if named: the raw bytes the ids decode to.
 
     Null and empty texts give empty ids. Repeated rows stay repeated; an input column
     named like `ids_col` is replaced, any other column stays. A text of one chunk is
@@ -96,11 +101,12 @@ def encode(
     """
     spark = df.sparkSession
     small_batches(spark)
-    encoded = _encode_udf(spark, ranks_file(ranks), pattern)
-    df = df.drop(ids_col)
+    encoded = _encode_udf(spark, ranks_file(ranks), pattern, decoded_col is not None)
+    made = {"ids": ids_col} | ({"raw": decoded_col} if decoded_col else {})
+    df = df.drop(*made.values())
     kept = [F.col(f"`{c}`") for c in df.columns]
     text = F.col(f"`{text_col}`")
-    short = df.where(F.coalesce(F.char_length(text), F.lit(0)) <= chunk).select(*kept, encoded(text).alias(ids_col))
+    short = df.where(F.coalesce(F.char_length(text), F.lit(0)) <= chunk).select(*kept, encoded(text).alias("__e")).select(*kept, *[F.col(f"__e.{c}").alias(name) for c, name in made.items()])
 
     rows = df.where(F.char_length(text) > chunk).select(F.struct(*kept).alias("__row"), F.monotonically_increasing_id().alias("__key"))
     inner = F.col(f"__row.`{text_col}`")
@@ -129,15 +135,12 @@ def encode(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__k", "__part"))), lambda x: x["__part"]), "").alias("__part"),
             F.first("__row", ignorenulls=True).alias("__row"),
         )
-        .select("__key", "__piece", "__row", encoded("__part").alias("__ids"))
+        .select("__key", "__piece", "__row", encoded("__part").alias("__e"))
     )
     # bytes joined as they are, in one go: adding piece after piece would copy the start of a long text again and again
-    joined = F.transform(F.array_sort(F.collect_list(F.struct("__piece", "__ids"))), lambda x: F.hex(x["__ids"]))
-    whole = pieces.groupBy("__key").agg(
-        F.first("__row", ignorenulls=True).alias("__row"),
-        F.unhex(F.array_join(joined, "")).alias(ids_col),
-    )
-    return short.unionByName(whole.select("__row.*", ids_col))
+    joined = lambda c: F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__piece", F.hex(F.col(f"__e.{c}")).alias("__hex")))), lambda x: x["__hex"]), ""))
+    whole = pieces.groupBy("__key").agg(F.first("__row", ignorenulls=True).alias("__row"), *[joined(c).alias(name) for c, name in made.items()])
+    return short.unionByName(whole.select("__row.*", *made.values()))
 
 
 def decode(ids: Column | str, spark: SparkSession, ranks: str | None = None, pattern: str = public_tokenizers.PATTERN) -> Column:

@@ -14,8 +14,7 @@ KEY = "registered-queries"
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs).select("doc_id", "ids")
-    both = ids.select("doc_id", "ids", bpe.decode("ids", spark).alias("decoded"))
+    both = bpe.encode(docs, decoded_col="decoded")
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),

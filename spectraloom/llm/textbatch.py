@@ -112,7 +112,7 @@ def struct_udf(schema: StructType, work: Callable[[pa.Array], list[pa.Array]], m
 
 
 #: Rows and bytes of an Arrow batch: whole texts are long, and both sides hold a batch several times.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 20
 
 
 def small_batches(spark) -> None:

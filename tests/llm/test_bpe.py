@@ -19,11 +19,11 @@ def test_chunks_match_the_library(spark, chunk, overlap):
     texts = ["".join(rng.choice(WORDS) + rng.choice(["", " ", " "]) for _ in range(n)) for n in (0, 1, 5, 40, 200, 400)]
     texts += [None, "", "y" * 1000, " " * 500, "\n \n" * 150, "word " * 100 + "\n\n" + "z" * 300 + " end", texts[3], texts[3]]
     df = spark.createDataFrame([(i % 12, t, "ids?") for i, t in enumerate(texts)], "doc_id int, text string, ids string")
-    rows = bpe.encode(df, chunk=chunk, overlap=overlap).select("doc_id", "text", "ids", bpe.decode("ids", spark).alias("raw")).collect()
+    rows = bpe.encode(df, chunk=chunk, overlap=overlap, decoded_col="own").select("doc_id", "text", "ids", "own", bpe.decode("ids", spark).alias("raw")).collect()
     assert sorted((r.doc_id, r.text or "") for r in rows) == sorted((i % 12, t or "") for i, t in enumerate(texts))
     for r in rows:
         assert np.frombuffer(r.ids, "<u4").tolist() == brute(r.text), r.text
-        assert bytes(r.raw) == (r.text or "").encode()
+        assert bytes(r.raw) == bytes(r.own) == (r.text or "").encode()
 
 
 def test_empty_table_and_unpacked(spark):
