@@ -17,6 +17,7 @@ That bound never falls below the intersection, so no pair within the radius is l
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -257,17 +258,17 @@ def node_facts(docs: DataFrame, classes: DataFrame, needed: DataFrame, width: in
     return counts.join(classes.select("node", "n_shingles", "signature"), "node").select("node", "n_shingles", "signature", "counts")
 
 
-def torn_pairs(held: DataFrame, facts: DataFrame, percent: int, radius: int) -> DataFrame:
+def torn_pairs(held: DataFrame, facts: DataFrame, pairs_of: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
     """(a, b): all pairs of `held` (key, slot, node, component, members of the key) in one key and different components that may link.
 
-    The members of a key are compared in vectorised blocks, which return a pair once, and only
-    where sizes, signatures and bucket counts leave it a chance.
+    The members of a key are compared in vectorised blocks by `pairs_of`, which gets the rows of one
+    block pair with their `facts` and returns those that sizes, signatures or the like leave a chance.
     """
     # the members of a key meet in one task, of a large key in blocks of BLOCK against each other
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     met = held.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "slot", "node", "component").join(facts, "node")
-    dealt = dealt.select("key", "low", "high", "own", "slot", "node", "component", "n_shingles", "signature", "counts")
+    dealt = dealt.select("key", "low", "high", "own", "slot", "node", "component", *[c for c in facts.columns if c != "node"])
     together = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def compare(batches):
@@ -280,11 +281,11 @@ def torn_pairs(held: DataFrame, facts: DataFrame, percent: int, radius: int) ->
                     continue
                 part = batch.slice(low, high - low)
                 if held and any(held[-1].column(i)[0] != part.column(i)[0] for i in range(3)):
-                    yield _group_pairs(pa.Table.from_batches(held), percent, radius)
+                    yield pairs_of(pa.Table.from_batches(held))
                     held = []
                 held.append(part)
         if held:
-            yield _group_pairs(pa.Table.from_batches(held), percent, radius)
+            yield pairs_of(pa.Table.from_batches(held))
 
     return together.mapInArrow(compare, "a bigint, b bigint").distinct()
 
@@ -315,18 +316,25 @@ def _group_pairs(group: pa.Table, percent: int, radius: int) -> pa.RecordBatch:
             differ = signature[p] != signature[q]
             near = differ.sum(axis=1) <= radius
             near[near] = first_shared(differ[near], radius) == slot
-            p, q = p[near], q[near]
-            for held, place in levels.values():
-                here = (place[p] >= 0) & (place[q] >= 0)
-                a, b = p[here], q[here]
-                bound = shared_bound(held[place[a]], held[place[b]])
-                linked = 100 * bound >= percent * (size[a] + size[b] - bound)
-                out.append(np.column_stack([node[a[linked]], node[b[linked]]]))
-                p, q = p[~here], q[~here]
+            p, q = bounded(levels, size, p[near], q[near], percent)
+            out.append(np.column_stack([node[p], node[q]]))
     pairs = np.concatenate(out)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+def bounded(levels: dict, size: np.ndarray, p: np.ndarray, q: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (p, q) those that the bound on their intersection leaves a chance; `levels` as of _levels()."""
+    out = [(p[:0], q[:0])]
+    for held, place in levels.values():
+        here = (place[p] >= 0) & (place[q] >= 0)
+        a, b = p[here], q[here]
+        bound = shared_bound(held[place[a]], held[place[b]])
+        linked = 100 * bound >= percent * (size[a] + size[b] - bound)
+        out.append((a[linked], b[linked]))
+        p, q = p[~here], q[~here]
+    return tuple(np.concatenate(side) for side in zip(*out, strict=True))
+
+
 def _levels(counts: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By number of buckets, most first: the counts of the sets with so many or, folded, twice as many, and each set's row among them (-1: none)."""
     own = np.array([len(c) for c in counts])
@@ -345,7 +353,12 @@ def _levels(counts: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]
 def confirmed(pairs: DataFrame, facts: DataFrame, docs: DataFrame, width: int, percent: int, radius: int) -> DataFrame:
     """The pairs (a, b) of nodes that link: near by node_facts, then confirmed on the full sets of `docs` (doc_id, text)."""
     held = pairs.join(facts.toDF("a", "n_a", "sig_a", "counts_a"), "a").join(facts.toDF("b", "n_b", "sig_b", "counts_b"), "b")
-    near = checkpointed(held.where(_may_link(percent, radius)("n_a", "n_b", "sig_a", "sig_b", "counts_a", "counts_b")).select("a", "b"))
+    return verified(held.where(_may_link(percent, radius)("n_a", "n_b", "sig_a", "sig_b", "counts_a", "counts_b")).select("a", "b"), docs, width, percent)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that link by the full sets of `docs` (doc_id, text)."""
+    near = checkpointed(pairs)
     total = near.count()
     near = compact(near)
     sets = checkpointed(node_sets(docs, near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), width))
@@ -396,7 +409,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             apart = (F.col("key_x") == F.col("key_y")) & (F.col("component_x") != F.col("component_y")) & (F.bit_count(differing()) <= radius)
             pairs = lead.join(rest, apart).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
         else:
-            pairs = torn_pairs(held, facts, percent, radius)
+            pairs = torn_pairs(held, facts, lambda group: _group_pairs(group, percent, radius))
         fresh = compact(checkpointed(pairs.join(tried, ["a", "b"], "left_anti")))
         if fresh.limit(1).count():
             more = checkpointed(confirmed(fresh, facts, docs, width, percent, radius))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import bpe, chat, credentials, editembed, language, licenses, minhash, mixing, pii, quality
+from spectraloom.llm import bpe, chat, credentials, editembed, language, lexical, licenses, minhash, mixing, negatives, orderjoin, pii, quality
 from spectraloom.session import table
 
 #: The key of the registered queries; a user passes their own.
@@ -87,6 +87,21 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderjoin.jaccard_groups(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = table(spark, sf_dir, "embeddings").where(negatives.complete("embedding"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(held.select("vec_id", label.alias("label"), negatives.scaled("embedding").alias("embedding")), F.col("vec_id") % 100 == 0)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of each benchmark item: a top-k report."""
+    return lexical.ranked(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 def near_edit_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bands and the verification of operator 1: each document's group of near texts."""
     return editembed.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -97,5 +112,5 @@ def rendered_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversations(chat.rendered(chat.repaired(table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_edit_fingerprints, op2_source_mix, op3_secret_scan, op4_minhash_near_dedup, op5_language_id, op6_chat_repair, op7_license_scan, op8_quality_rules, op9_byte_bpe, op10_pii_pseudonyms, near_edit_groups, rendered_conversations)}
-ORACLES: dict[str, str] = {"op4_minhash_near_dedup": minhash.near_sql(3, 85), "op2_source_mix": mixing.MIX_SQL}
+QUERIES = {f.__name__: f for f in (op1_edit_fingerprints, op2_source_mix, op3_secret_scan, op4_minhash_near_dedup, op5_language_id, op6_chat_repair, op7_license_scan, op8_quality_rules, op9_byte_bpe, op10_pii_pseudonyms, op11_ngram_jaccard_join, op12_hard_negatives, op13_lexical_search, near_edit_groups, rendered_conversations)}
+ORACLES: dict[str, str] = {"op4_minhash_near_dedup": minhash.near_sql(3, 85), "op2_source_mix": mixing.MIX_SQL, "op11_ngram_jaccard_join": orderjoin.groups_sql(3, 90), "op12_hard_negatives": negatives.NEGATIVES_SQL, "op13_lexical_search": lexical.RANKED_SQL}
