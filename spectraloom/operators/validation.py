@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectraloom.functions import scalars
-from spectraloom.operators import descriptors
+from spectraloom.operators import descriptors, forest
 from spectraloom.operators.tables import long_values, quantiles
 from spectraloom.session import checkpointed, numbered, running
 
@@ -291,21 +291,27 @@ def linear_study(rows: DataFrame, folds: DataFrame, nested: DataFrame, group: st
     return held.join(F.broadcast(final), "fold").withColumn("predicted", dot(F.col("weights"))).drop("weights"), chosen
 
 
-def forest_study(rows: DataFrame, folds: DataFrame, group: str, features: list[str], target: str, trees: int = TREES, depth: int = 5, seed: int = 7, nested: DataFrame | None = None, grid: list[tuple[int, int]] | None = None) -> DataFrame:
+def forest_study(rows: DataFrame, folds: DataFrame, group: str, features: list[str], target: str, trees: int = TREES, depth: int = 5, seed: int = 7, nested: DataFrame | None = None, grid: list[tuple[int, int]] | None = None, bootstrap: bool = True) -> DataFrame:
     """Out-of-fold predictions (row columns, fold, predicted, depth, leaf) of a random forest a fold, by the distributed learner.
 
     With `nested`, inner folds choose among the grid (FOREST): the first candidate with the
     smallest inner error wins, each validation group weighing alike. Without, `depth` holds.
-    Missing features take the median of the outer fold's training rows, and those that have
+    Missing features take the median of the fit's training rows, and those that have
     gaps an indicator beside it; a feature without training values raises.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
 
+    Where a task can hold the rows (forest.MOST_VALUES), trees are grown side by side and those of all depths at once, with
+    all values as thresholds. Larger tables go to Spark's own learner, which bins values and takes the outer fold's medians. A forest tries the square root
+    of the features at a node where inner folds choose; else all of them, or a third in Spark's learner. Trees draw rows with replacement; without `bootstrap`, each takes all. Targets must not be null.
+    """
     grid = (grid or FOREST) if nested is not None else [(depth, 1)]
     held = checkpointed(rows.join(folds.select(group, "fold"), group))
-    gaps = held.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in features]).first()
+    gaps = held.agg(F.count("*").alias("__rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in features]).first()
     open_ = [c for c in features if gaps[c]]
+    if gaps["__rows"] * (len(features) + len(open_)) <= forest.MOST_VALUES:
+        return _shared_forests(held, group, features, open_, target, trees, seed, nested, grid, gaps["__rows"], bootstrap)
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
     k = held.agg(F.max("fold")).first()[0] + 1 if open_ else 0
     medians = {r["fold"]: r for r in train_medians(held, "fold", open_, k).collect()} if open_ else {}  # a row a fold
     if absent := [c for c in open_ if any(f not in medians or medians[f][f"median_{c}"] is None for f in range(k))]:
@@ -318,7 +324,7 @@ def forest_study(rows: DataFrame, folds: DataFrame, group: str, features: list[s
         return checkpointed(VectorAssembler(inputCols=inputs, outputCol="__x").transform(made).drop(*inputs))
 
     def fitted(train: DataFrame, c: tuple[int, int]):
-        return RandomForestRegressor(featuresCol="__x", labelCol=target, predictionCol="predicted", numTrees=trees, maxDepth=c[0], minInstancesPerNode=c[1], featureSubsetStrategy="sqrt" if nested is not None else "auto", seed=seed).fit(train)
+        return RandomForestRegressor(featuresCol="__x", labelCol=target, predictionCol="predicted", numTrees=trees, maxDepth=c[0], minInstancesPerNode=c[1], featureSubsetStrategy="sqrt" if nested is not None else "auto", bootstrap=bootstrap, seed=seed).fit(train)
 
     def inner_error(train: DataFrame, inner: int, c: tuple[int, int]) -> float:
         made = fitted(train.where(F.col("inner") != inner), c).transform(train.where(F.col("inner") == inner))
@@ -339,6 +345,42 @@ def forest_study(rows: DataFrame, folds: DataFrame, group: str, features: list[s
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
+def _shared_forests(held: DataFrame, group: str, features: list[str], gaps: list[str], target: str, trees: int, seed: int, nested: DataFrame | None, grid: list[tuple[int, int]], n: int, bootstrap: bool) -> DataFrame:
+    """forest_study over rows that a task can hold."""
+    outers = sorted(r[0] for r in held.select("fold").distinct().collect())
+    held = checkpointed(held.withColumn("__row", F.monotonically_increasing_id()))  # the ids stay as they are
+    x = F.array(*[F.col(c).cast("double") for c in features])
+    facts = held.select(F.col("__row").alias("row"), F.col(group).alias("__group"), "fold", F.col(target).cast("double").alias("y"), x.alias("x"))
+    every = facts.withColumn("outer", F.explode(F.lit(outers).cast("array<int>")))
+    if nested is None:
+        inner, named = [], every.withColumn("inner", F.lit(-1))
+    else:
+        inner = sorted(tuple(r) for r in nested.select("outer", "inner").distinct().collect())
+        named = every.join(nested.select("outer", F.col(group).alias("__group"), "inner"), ["outer", "__group"], "left").withColumn("inner", F.coalesce("inner", F.lit(-1)))
+    if gaps:
+        own = named.groupBy("outer", "fold", "inner").agg(*[F.sum(F.col("x")[features.index(c)].isNotNull().cast("int")).alias(c) for c in gaps]).collect()
+        for o, j in [*((o, -1) for o in outers), *inner]:
+            rest = [r for r in own if r["outer"] == o != r["fold"] and (j < 0 or r["inner"] != j)]
+            if absent := [c for c in gaps if not sum(r[c] for r in rest)]:
+                raise ValueError(f"no training values: {absent}")
+    named = checkpointed(named)
+    choices = max(1, int((len(features) + len(gaps)) ** 0.5)) if nested is not None else None
+    depths, leaves = list(dict.fromkeys(d for d, _ in grid)), list(dict.fromkeys(leaf for _, leaf in grid))
+    best = dict.fromkeys(outers, grid[0])
+    if len(grid) > 1 and inner:
+        tried = forest.fitted(named, inner, features, gaps, n, dict.fromkeys(inner, leaves), dict.fromkeys(inner, depths), trees, choices, seed, bootstrap)
+        mean = lambda df, *by: df.groupBy(*by).agg(*[F.avg(f"e_{k}").alias(f"e_{k}") for k in range(len(depths))])
+        missed = tried.join(facts.select("row", "__group", "y"), "row").select("*", *[F.abs(F.col("y") - F.col(f"p_{k}")).alias(f"e_{k}") for k in range(len(depths))])
+        scores = {(r["outer"], d, r["leaf"]): r[f"e_{k}"] for r in mean(mean(mean(missed, "outer", "inner", "leaf", "__group"), "outer", "inner", "leaf"), "outer", "leaf").collect() for k, d in enumerate(depths)}
+        best = {o: min(grid, key=lambda c: scores[o, *c]) for o in outers}  # noqa: B023
+    final = [(o, -1) for o in outers]
+    made = forest.fitted(named, final, features, gaps, n, {(o, -1): [best[o][1]] for o in outers}, {(o, -1): [best[o][0]] for o in outers}, trees, choices, seed, bootstrap)
+    depth = F.element_at(F.create_map(*[F.lit(v) for o in outers for v in (o, best[o][0])]), F.col("fold"))
+    found = made.select(F.col("row").alias("__row"), F.col("p_0").alias("predicted"), "leaf")
+    kept = [c for c in held.columns if c not in ("predicted", "depth", "leaf")]
+    return held.select(*kept).join(found, "__row").withColumn("depth", depth).select(*[c for c in kept if c != "__row"], "predicted", "depth", "leaf")
+
+
 def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """(by…, value, name): each distinct value's average rank within `by`, without one task ranking a group."""
     counts = df.groupBy(*by, value).agg(F.count("*").alias("__k"))
