@@ -73,6 +73,11 @@ def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return df.coalesce(max(1, -(-df.count() // rows)))
 
 
+def tidied(spark: SparkSession) -> None:
+    """Has the driver's JVM collect garbage, upon which Spark's cleaner drops the shuffles, checkpoints and generated classes that no table needs: after many jobs, by which a driver grows."""
+    spark._jvm.System.gc()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
