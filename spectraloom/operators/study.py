@@ -21,13 +21,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from spectraloom.functions import scalars
-from spectraloom.operators import descriptors, validation
+from spectraloom.operators import descriptors, validation, wide
 from spectraloom.operators.tables import long_values, quantiles
-from spectraloom.session import checkpointed
+from spectraloom.session import checkpointed, small_batches
 
-#: Columns of a design matrix, at most: their products fit a row many times over. More levels call for fewer or grouped ones.
+#: Columns of a design matrix, at most: their products fit a row many times over. One categorical of more levels is eliminated instead (`wide`).
 MOST_COLUMNS = 512
-#: Cells, at most: folds times inner folds, and more only where groups' inner folds differ by outer fold.
+#: Cells, at most: folds times inner folds, and more only where groups' inner folds differ by outer fold. A row's level holds numbers for each.
 MOST_CELLS = 4096
 
 
@@ -57,7 +57,8 @@ class Splits:
     """The fits of folds (group, fold) and nested folds (outer, group, inner), the cells, and the cell of each group."""
 
     def __init__(self, folds: DataFrame, nested: DataFrame, group: str, choose: bool = True):
-        """Without anything to `choose`, inner folds aren't fitted."""
+        """Without anything to `choose`, inner folds aren't looked at."""
+        nested = nested if choose else folds.select(F.lit(0).alias("outer"), group, F.lit(0).alias("inner")).limit(0)
         inners = nested.groupBy(group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("outer", "inner")))).alias("inners"))  # one a fold
         named = folds.select(group, "fold").join(inners, group, "left").withColumn("__key", F.to_json("inners"))
         found = named.select("fold", "__key").distinct().orderBy("fold", "__key").limit(MOST_CELLS + 1).collect()
@@ -75,6 +76,14 @@ class Splits:
         outer, inner = fit
         return [i for i, (fold, inners) in enumerate(self.cells) if fold != outer and (inner < 0 or inners[outer] != inner)]
 
+    def training(self) -> list[list[int]]:
+        """By cell, the numbers of the fits that train on it."""
+        out: list[list[int]] = [[] for _ in self.cells]
+        for i, fit in enumerate(self.fits):
+            for c in self.train(fit):
+                out[c].append(i)
+        return out
+
     def validated(self, cell: int) -> list[tuple[int, int]]:
         """The fits that a cell's rows validate."""
         return [(o, j) for o, j in self.fits if j >= 0 and self.cells[cell][1].get(o) == j]
@@ -84,20 +93,23 @@ class Design:
     """The raw columns of a row, whatever the fit: 1, numerics less a constant (0 where missing), missing indicators, one-hot levels."""
 
     def __init__(self, rows: DataFrame, numeric: list[str], categorical: list[str], target: str, most: int = MOST_COLUMNS):
-        """Raises above `most` columns. A null level is 'missing'. The constants, means of all rows, only keep digits: they cancel in every fit."""
+        """Above `most` columns, the categorical of the most levels gets none (`wide`); raises where the others are still too many. A null level is 'missing'. The constants, means of all rows, only keep digits: they cancel in every fit."""
         self.numeric, self.categorical, self.target = numeric, categorical, target
         means = rows.agg(F.avg(F.col(target).cast("double")).alias("__y"), *[F.avg(F.col(c).cast("double")).alias(c) for c in numeric]).first()
         self.shift, self.base = {c: means[c] or 0.0 for c in numeric}, means["__y"] or 0.0
         at = 1 + len(numeric)
         self.places = {c: [1 + i, at + i] for i, c in enumerate(numeric)}
         self.levels, at = {}, at + len(numeric)
+        found = {c: [r["v"] for r in rows.select(self._level(c).alias("v")).distinct().limit(most + 1).collect()] for c in categorical}
+        #: the categorical that has no columns, as all levels would be too many
+        self.wide = max(categorical, key=lambda c: len(found[c])) if at + sum(map(len, found.values())) > most else None
         for c in categorical:
-            found = rows.select(self._level(c).alias("v")).distinct().limit(most + 1).collect()
-            if at + len(found) > most:
-                raise ValueError(f"{c} has too many levels: the design would pass {most} columns")
-            self.levels[c] = sorted(r["v"] for r in found)
-            self.places[c] = list(range(at, at + len(found)))
-            at += len(found)
+            if c != self.wide:
+                self.levels[c] = sorted(found[c])
+                self.places[c] = list(range(at, at + len(found[c])))
+                at += len(found[c])
+        if at > most:
+            raise ValueError(f"without {self.wide}, the levels of the others still pass {most} columns")
         self.width = at
 
     @staticmethod
@@ -108,13 +120,13 @@ class Design:
         value = lambda c: F.col(c).cast("double")
         return F.array(
             F.lit(1.0), *[F.coalesce(value(c) - self.shift[c], F.lit(0.0)) for c in self.numeric], *[value(c).isNull().cast("double") for c in self.numeric],
-            *[(self._level(c) == v).cast("double") for c in self.categorical for v in self.levels[c]],
+            *[(self._level(c) == v).cast("double") for c in self.levels for v in self.levels[c]],
         )
 
     def prepared(self, gram: np.ndarray, medians: dict[str, float], features: list[str]) -> np.ndarray:
         """Rows that take raw columns and the shifted target to those of a fit: 1, imputed and standardised numerics, indicators, levels; last the target less its training mean."""
         n = gram[0, 0]
-        places = [p for c in features for p in self.places[c]]
+        places = [p for c in features if c != self.wide for p in self.places[c]]
         out = np.zeros((2 + len(places), self.width + 1))
         out[0, 0] = 1
         for r, p in enumerate(places, 1):
@@ -144,8 +156,11 @@ def fit_medians(rows: DataFrame, splits: Splits, numeric: list[str]) -> list[dic
     return [{c: found[c][i] for c in numeric} for i in range(len(names))]
 
 
-def _sums(df: DataFrame, keys: list[str], values) -> DataFrame:
-    """(keys…, v): the sum over each key's rows of the arrays that `values` makes of (key, x, y) of the rows it is given."""
+def _partial_sums(df: DataFrame, keys: list[str], values, to: list[list[int]] | None = None) -> DataFrame:
+    """(keys…, v): for each task, the sum over each key's rows of the arrays that `values` makes of (key, x, y) of the rows it is given.
+
+    With `to`, each key is a place in it, and its sum goes to all the keys that are listed there.
+    """
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,16 +176,54 @@ def _sums(df: DataFrame, keys: list[str], values) -> DataFrame:
             for key, low, high in zip(unique, [0, *ends[:-1]], ends, strict=True):
                 own = order[low:high]
                 held[key] = held.get(key, 0) + values(key, x[own], y[own])
+        if to is not None:
+            onto: dict[tuple, np.ndarray] = {}
+            for (key,), total in held.items():
+                for k in to[key]:
+                    onto[(k,)] = onto.get((k,), 0) + total
+            held = onto
         plain = lambda v: v.item() if isinstance(v, np.generic) else v
         rows = [{**dict(zip(keys, map(plain, key), strict=True)), "v": total.tolist()} for key, total in held.items()]
         yield pa.RecordBatch.from_pylist(rows, schema)
 
     kinds = df.select(*keys).schema
     schema = to_arrow_schema(StructType(kinds.fields)).append(pa.field("v", pa.list_(pa.float64())))
-    partial = df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "v array<double>"]))
+    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "v array<double>"]))
+
+
+def _total(partial: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys…, at, v): the arrays `v` of each key summed up, a number a row."""
     return partial.select(*keys, F.posexplode("v").alias("at", "v")).groupBy(*keys, "at").agg(F.sum("v").alias("v"))
 
 
+def _sums_of_means(partial: DataFrame, cell: str, group: str) -> DataFrame:
+    """(cell, v): for each task, the sums over groups of each group's means, and last the number of groups. Arrays end with the number of their rows."""
+    names = partial.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        key, total = None, None
+
+        def close() -> None:
+            if key is not None:
+                held[key[0]] = held.get(key[0], 0) + np.append(total[:-1] / total[-1], 1.0)
+
+        for batch in batches:
+            columns = [batch.column(names.index(c)) for c in (cell, group, "v")]
+            for own, (c, g) in enumerate(zip(columns[0].to_pylist(), columns[1].to_pylist(), strict=True)):
+                v = columns[2][own].values.to_numpy()
+                if (c, g) == key:
+                    total = total + v
+                else:
+                    close()
+                    key, total = (c, g), v
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64()))], [cell, "v"])
+
+    # a group's arrays, one a task, meet in order
+    return partial.repartition(cell, group).sortWithinPartitions(cell, group).mapInArrow(run, f"{cell} int, v array<double>")
+
+
 def _gram(key, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     held = np.column_stack([x, y])
     return (held.T @ held).ravel()
@@ -184,7 +237,7 @@ def compared(rows: DataFrame, sets: dict[str, list[str]], group: str, target: st
     a null level is 'missing', one that training lacks is zeros. Each validation group
     weighs alike; the first candidate of the smallest mean error over inner folds wins. Raises where rows
     or groups are too few, or a feature has no training values in a fit. Rows are read three times.
-    Input columns named like the added ones are replaced.
+    Input columns named like the added ones are replaced. A categorical of any number of levels may be among the features (`wide`).
     """
     grid = grid or validation.LINEAR
     every = list(dict.fromkeys(c for features in sets.values() for c in features))
@@ -193,68 +246,102 @@ def compared(rows: DataFrame, sets: dict[str, list[str]], group: str, target: st
     if reason := validation.guards(rows, group).first()["reason"]:
         raise ValueError(reason)
     folds = checkpointed(validation.rank_folds(rows, group, k))
-    nested = checkpointed(validation.nested_folds(folds, group, inner))
+    nested = validation.nested_folds(folds, group, inner)
+    if len(grid) > 1:
+        nested = checkpointed(nested)
     splits = Splits(folds, nested, group, len(grid) > 1)
     held = rows.drop("fold", "cell").join(splits.groups, group)
     medians = fit_medians(held, splits, numeric)
     design = Design(rows, numeric, categorical, target)
-    arrays = held.select("cell", group, design.row().alias("x"), (F.col(target).cast("double") - design.base).alias("y"))
-    size = design.width + 1
-    grams = np.zeros((len(splits.cells), size * size))
-    for r in _sums(arrays.select("cell", "x", "y"), ["cell"], _gram).collect():  # a matrix a cell
+    level = [design._level(design.wide).alias("level")] if design.wide else []
+    arrays = held.select("cell", group, design.row().alias("x"), (F.col(target).cast("double") - design.base).alias("y"), *level)
+    size, cells = design.width + 1, len(splits.cells)
+    grams = np.zeros((len(splits.fits), size * size))
+    for r in _total(_partial_sums(arrays.select("cell", "x", "y"), ["cell"], _gram, splits.training()), ["cell"]).collect():  # a matrix a fit
         grams[r["cell"], r["at"]] = r["v"]
-    weights = _solved(splits, design, grams.reshape(-1, size, size), medians, sets, grid)
-    best = _chosen(arrays, splits, weights, sets, grid, group) if len(grid) > 1 else {(name, o): 0 for name in sets for o, _ in splits.fits}
+    sums = checkpointed(wide.level_sums(arrays, design.width, cells)) if design.wide else None
+    weights, models = _solved(splits, design, grams.reshape(-1, size, size), medians, sets, grid, sums)
+    if len(grid) > 1:
+        if sums is not None:
+            arrays = arrays.join(sums, "level").withColumn("x", wide.flat(F.col("x"), F.col("s")))
+        best = _chosen(arrays.select("cell", group, "x", "y"), splits, weights, models, sets, grid, group, size)
+    else:
+        best = {(name, o): 0 for name in sets for o, _ in splits.fits}
     chosen = {name: [(o, *grid[best[name, o]]) for o, j in splits.fits if j < 0] for name, features in sets.items() if features}
     final = [(o, [[float(v) for v in weights[o, -1][name][best[name, o]]] for name in sets]) for o, j in splits.fits if j < 0]
     sent = rows.sparkSession.createDataFrame(final, "fold int, __w array<array<double>>")
+    tested = held.withColumn("__x", design.row()).join(F.broadcast(sent), "fold")
+    more = F.array(*[F.lit(0.0)] * len(sets))
+    if sums is not None:
+        last = {o: [(models[o, -1][name], weights[o, -1][name, "beta"][[best[name, o]]], np.array([best[name, o]])) if name in models[o, -1] else None for name in sets] for o, j in splits.fits if j < 0}
+        small_batches(rows.sparkSession)
+        tested = tested.withColumn("level", design._level(design.wide)).join(sums, "level").withColumn("__more", wide.added(last, size, cells)("fold", "s")).drop("level", "s")
+        more = F.col("__more")
     dot = lambda w: F.aggregate(F.zip_with("__x", w, lambda a, b: a * b), F.lit(design.base), lambda s, v: s + v)
-    made = F.array(*[F.struct(F.lit(name).alias("feature_set"), F.lit("linear" if features else "training_mean").alias("model"), dot(F.col("__w")[i]).alias("predicted")) for i, (name, features) in enumerate(sets.items())])
-    tested = held.drop("cell").withColumn("__x", design.row()).join(F.broadcast(sent), "fold").withColumn("__p", F.explode(made))
+    made = F.array(*[F.struct(F.lit(name).alias("feature_set"), F.lit("linear" if features else "training_mean").alias("model"), (dot(F.col("__w")[i]) + more[i]).alias("predicted")) for i, (name, features) in enumerate(sets.items())])
+    tested = tested.drop("cell").withColumn("__p", F.explode(made))
     kept = [c for c in rows.columns if c not in ("fold", "cell", "feature_set", "model", "observed", "predicted")]
     return tested.select(*kept, "fold", "__p.feature_set", "__p.model", F.col(target).cast("double").alias("observed"), "__p.predicted"), manifest(folds, nested, group), chosen
 
 
-def _solved(splits: Splits, design: Design, grams: np.ndarray, medians: list[dict[str, float]], sets: dict[str, list[str]], grid: list[tuple[str, float, float]]) -> dict[tuple[int, int], dict[str, np.ndarray]]:
-    """By fit and set, the weights of raw columns (candidates × columns) that give the prediction less the design's base."""
+def _solved(splits: Splits, design: Design, grams: np.ndarray, medians: list[dict[str, float]], sets: dict[str, list[str]], grid: list[tuple[str, float, float]], sums: DataFrame | None) -> tuple[dict, dict]:
+    """By fit and set, the weights of raw columns (candidates × columns) that give the prediction less the design's base; and, of sets with the wide categorical, the `wide.Fit` and its own weights under (set, "beta")."""
     out: dict = {}
-    for key, own in zip(splits.fits, medians, strict=True):
-        gram = grams[splits.train(key)].sum(axis=0)
+    models: dict = {key: {} for key in splits.fits}
+    maps = {(key, name): design.prepared(gram, own, features) for key, own, gram in zip(splits.fits, medians, grams, strict=True) for name, features in sets.items()}
+    by_level = [(key, name) for key, name in maps if design.wide in sets[name]] if design.wide else []
+    fits = [wide.Fit(splits.train(key), maps[key, name], grams[splits.fits.index(key)], grid) for key, name in by_level]
+    found = dict(zip(by_level, wide.solved(sums, fits, grid, design.width + 1, len(splits.cells)) if fits else [], strict=True))
+    for (key, name), fit in zip(by_level, fits, strict=True):
+        models[key][name] = fit
+        out.setdefault(key, {})[name, "beta"] = found[key, name]
+    for key, gram in zip(splits.fits, grams, strict=True):
         for name, features in sets.items():
-            to = design.prepared(gram, own, features)
+            to = maps[key, name]
             mean = np.zeros(design.width)
             mean[0] = -to[-1, 0]
-            found = validation.solved(to @ gram @ to.T, grid) if features else np.zeros((len(grid), 1))
-            out.setdefault(key, {})[name] = mean + found @ to[:-1, :-1]
-    return out
+            own = found[key, name] if (key, name) in found else validation.solved(to @ gram @ to.T, grid) if features else np.zeros((len(grid), 1))
+            out.setdefault(key, {})[name] = mean + own @ to[:-1, :-1]
+    return out, models
 
 
-def _chosen(arrays: DataFrame, splits: Splits, weights: dict, sets: dict[str, list[str]], grid: list, group: str) -> dict[tuple[str, int], int]:
+def _chosen(arrays: DataFrame, splits: Splits, weights: dict, models: dict, sets: dict[str, list[str]], grid: list, group: str, size: int) -> dict[tuple[str, int], int]:
     """By set and outer fold, the candidate of the smallest error: the mean over inner folds of the mean over validation groups of the mean over rows."""
-    stacked = {c: np.concatenate([weights[fit][name] for fit in splits.validated(c) for name in sets]).T for c in range(len(splits.cells)) if splits.validated(c)}
-    sent = arrays.sparkSession.sparkContext.broadcast(stacked)  # cells × fits × candidates × columns, whatever the rows
+    validated = [splits.validated(c) for c in range(len(splits.cells))]
+    stacked = {fit: np.concatenate([weights[fit][name] for name in sets]).T for fit in splits.fits if fit[1] >= 0}
+    betas = {fit: {name: weights[fit][name, "beta"] for name in models[fit]} for fit in stacked}
+    # fits × sets × candidates × columns, whatever the rows and levels
+    sent = arrays.sparkSession.sparkContext.broadcast((stacked, {fit: models[fit] for fit in stacked}, betas))
+    every, n_cells = np.arange(len(grid)), len(splits.cells)
 
     def errors(key, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        missed = np.abs(x @ sent.value[key[0]] - y[:, None])
-        return np.append(missed.sum(axis=0), len(y))
-
-    keys = ["cell", group]
-    each = _sums(arrays, keys, errors)
-    last = F.element_at(F.create_map(*[F.lit(v) for c, w in stacked.items() for v in (c, w.shape[1])]), F.col("cell"))
-    sizes = each.where(F.col("at") == last).select(*keys, F.col("v").alias("__n"))
-    by_cell = each.where(F.col("at") < last).join(sizes, keys).groupBy("cell", "at").agg(F.sum(F.col("v") / F.col("__n")).alias("sum"), F.count("*").alias("n"))
+        stacked, models, betas = sent.value
+        out = []
+        for fit in validated[key[0]]:
+            made = x[:, : size - 1] @ stacked[fit]
+            for name, model in models[fit].items():
+                at = list(sets).index(name) * len(grid)
+                made[:, at : at + len(grid)] += wide.level_weights(model, betas[fit][name], x[:, size - 1 :].reshape(len(x), n_cells, size), every)
+            out.append(np.abs(made - y[:, None]).sum(axis=0))
+        return np.append(np.concatenate(out) if out else np.zeros(0), len(y))
+
+    known = arrays.where(F.col("cell").isin([c for c, fits in enumerate(validated) if fits]))
     totals: dict = {}
-    for r in by_cell.collect():
-        fit, rest = divmod(r["at"], len(sets) * len(grid))
-        name, candidate = divmod(rest, len(grid))
-        cell = totals.setdefault((list(sets)[name], *splits.validated(r["cell"])[fit], candidate), [0.0, 0])
-        cell[0] += r["sum"]
-        cell[1] += r["n"]
+    per_fit = len(sets) * len(grid)
+    for r in _total(_sums_of_means(_partial_sums(known, ["cell", group], errors), "cell", group), ["cell"]).collect():
+        totals.setdefault(r["cell"], {})[r["at"]] = r["v"]
+    scored: dict = {}
+    for cell, sums in totals.items():
+        for f, fit in enumerate(validated[cell]):
+            for i in range(per_fit):
+                own = scored.setdefault((list(sets)[i // len(grid)], *fit, i % len(grid)), [0.0, 0])
+                own[0] += sums[f * per_fit + i]
+                own[1] += sums[len(validated[cell]) * per_fit]
     best = {}
     for name in sets:
         for o in {o for o, _ in splits.fits}:
             inners = [j for outer, j in splits.fits if outer == o and j >= 0]
-            scores = [np.mean([totals[name, o, j, c][0] / totals[name, o, j, c][1] for j in inners]) for c in range(len(grid))]
+            scores = [np.mean([scored[name, o, j, c][0] / scored[name, o, j, c][1] for j in inners]) for c in range(len(grid))]
             best[name, o] = int(np.argmin(scores))
     return best
 

@@ -396,10 +396,17 @@ def metrics(df: DataFrame, by: list[str], observed: str = "observed", predicted:
     )
     if not rank:
         return made
-    df = checkpointed(df)  # the predictions are read four times more
-    ranked = df.join(average_ranks(df, by, observed, "__a"), [*by, observed]).join(average_ranks(df, by, predicted, "__b"), [*by, predicted])
+    made = checkpointed(made)  # a row a group, read twice
+    # equal pairs are one row; both sides are ranked in one go
+    pairs = checkpointed(df.groupBy(*by, F.col(observed).alias("__o"), F.col(predicted).alias("__p")).agg(F.count("*").alias("__k")))
+    sides = F.explode(F.array(*[F.struct(F.lit(side).alias("__side"), F.col(c).alias("__v")) for side, c in enumerate(("__o", "__p"))]))
+    counts = pairs.select(*by, "__k", sides.alias("__s")).groupBy(*by, "__s.__side", "__s.__v").agg(F.sum("__k").alias("__k"))
+    placed = checkpointed(running(counts, [*by, "__side"], ["__v"], "__k", "__before").select(*by, "__side", "__v", (F.col("__before") + (F.col("__k") + 1) / 2).alias("__rank")))
+    side = lambda n, c, name: placed.where(F.col("__side") == n).select(*by, F.col("__v").alias(c), F.col("__rank").alias(name))
+    ranked = pairs.join(side(0, "__o", "__a"), [*by, "__o"]).join(side(1, "__p", "__b"), [*by, "__p"]).join(made.select(*by, ((F.col("n") + 1) / 2).alias("__mid")), by)
+    a, b, k = F.col("__a") - F.col("__mid"), F.col("__b") - F.col("__mid"), F.col("__k")
     # a constant side has no spread: NULL, not a division by zero
-    correlation = F.covar_pop("__a", "__b") / F.nullif(F.stddev_pop("__a") * F.stddev_pop("__b"), F.lit(0.0))
+    correlation = F.sum(k * a * b) / F.nullif(F.sqrt(F.sum(k * a * a) * F.sum(k * b * b)), F.lit(0.0))
     return made.join(ranked.groupBy(*by).agg(correlation.alias("spearman")), by)
 
 

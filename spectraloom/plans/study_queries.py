@@ -351,6 +351,19 @@ def m08_m10_linear_study(spark, sf_dir):
     return made.select(*KEYS, "fold", F.round("predicted", 4).alias("predicted"))
 
 
+@query(f"""
+WITH r AS (SELECT * FROM {ROWS_SQL}), o AS (SELECT DISTINCT fold FROM r),
+t AS (SELECT o.fold, l_partkey, count(*) AS n, sum(l_extendedprice) AS s FROM r JOIN o ON r.fold <> o.fold GROUP BY ALL),
+b AS (SELECT fold, sum(s - n * s / (n + 10.0::DOUBLE)) / sum(n - n * n / (n + 10.0::DOUBLE)) AS b FROM t GROUP BY fold)
+SELECT {', '.join('r.' + k for k in KEYS)}, r.fold, round(b + coalesce((t.s - b * t.n) / (t.n + 10.0::DOUBLE), 0), 3) AS predicted
+FROM r JOIN b ON b.fold = r.fold LEFT JOIN t ON t.fold = r.fold AND t.l_partkey = r.l_partkey""")
+def m08_ridge_over_parts(spark, sf_dir):
+    """Ridge over a categorical of as many levels as there are parts."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("part", F.concat(F.lit("p"), F.col("l_partkey")))
+    made = study.compared(rows, {"preparation": ["part"]}, "l_suppkey", "l_extendedprice", K, grid=[("ridge", 10.0, 0.0)])[0]
+    return made.select(*KEYS, "fold", F.round("predicted", 3).alias("predicted"))
+
+
 @query(f"""
 SELECT fold AS "outer", 'test' AS part, NULL AS "inner", l_suppkey FROM {FOLDS_SQL} UNION ALL SELECT "outer", 'train', "inner", l_suppkey FROM {NESTED_SQL}""")
 def m05_split_manifest(spark, sf_dir):

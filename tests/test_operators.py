@@ -441,8 +441,9 @@ def test_study_rejects_what_it_cannot_fit(spark):
             study.compared(bad, {"all": ["a"]}, "g", "y", k=4, inner=2)
     design = study.Design(df, ["a"], ["c"], "y")
     assert design.width == 1 + 2 + 4 and {len(r.x) for r in df.select(design.row().alias("x")).collect()} == {design.width}
-    with pytest.raises(ValueError, match="levels"):
-        study.Design(df, [], ["i"], "y", most=100)
+    assert (study.Design(df, [], ["i"], "y", most=100).wide, study.Design(df, [], ["i"], "y", most=100).width) == ("i", 1)
+    with pytest.raises(ValueError, match="levels"):  # one may have any number of levels, but not two
+        study.Design(df.withColumn("k", F.col("i") + 1), [], ["i", "k"], "y", most=100)
 
 
 def test_relationship_cohort(spark):
