@@ -7,8 +7,8 @@ with at most one error (pigeonhole); each chunk is indexed once for each compone
 which enumerates the allowed errors. So all pairs within the radius share a key. Links are
 confirmed on the full sets.
 
-Pairs inside a key's group are not all made: the members are first compared with one of
-them; linked documents need no more comparison. Only documents of one group that are still
+Pairs inside a key's group are not all made: each document is first compared with the smallest
+of all that it shares a key with, then with one member of each key; linked documents need no more comparison. Only documents of one group that are still
 in different components are then compared with each other, and a pair is made only if sizes,
 signatures and a bound on the sets' intersection leave it a chance, at the first key it shares.
 That bound never falls below the intersection, so no pair within the radius is lost by it.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spectraloom.llm.textbatch import IS_SPACE, LOWER, mixed, spread, struct_udf, text_bytes, word_hashes, word_spans
-from spectraloom.session import checkpointed, compact
+from spectraloom.session import checkpointed, compact, tidied
 
 COMPONENTS, MISS = 64, 1e-6
 _odd = mixed(np.arange(1, COMPONENTS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
@@ -395,10 +395,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = checkpointed(keyed.join(shared, "key"))
 
     facts = checkpointed(node_facts(docs, classes, groups.select("node").distinct(), width))
-    tried = compact(checkpointed(groups.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()))
+    # a node's smallest first of all its keys will do here: what it doesn't link with is compared below
+    tried = compact(checkpointed(groups.where("node <> first").groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a")).select("a", "b")))
     links = checkpointed(confirmed(tried, facts, docs, width, percent, radius))
     labels = components(links)
     for step in ("leaders", "all"):
+        tidied(df.sparkSession)
         held = groups.select("key", "slot", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         torn = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("node", F.struct(F.xxhash64("node", "key"), "node")).alias("lead"), F.count("*").alias("members"))
         held = held.join(torn.where("low <> high").select("key", "lead", "members"), "key")
