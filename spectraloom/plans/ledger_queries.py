@@ -9,7 +9,7 @@ from spectraloom.plans.registry import pick, pick_sql, query
 from spectraloom.plans.scalar_queries import SECRETS
 from spectraloom.session import scratch, table
 from spectraloom.sources import files
-from spectraloom.streaming import jobs
+from spectraloom.streaming import jobs, keyed
 
 
 @query("SELECT event_type AS model, CASE WHEN event_id % 3 = 0 THEN 'cache_hit' ELSE 'succeeded' END AS status, count(*) AS requests, CAST(sum(event_id % 100) AS BIGINT) AS input_tokens, CAST(sum(user_id) AS BIGINT) AS output_tokens FROM events GROUP BY ALL")
@@ -275,6 +275,65 @@ def r03_requests_admitted_once_by_stream(spark, sf_dir):
     return spark.read.schema(rows.schema).parquet(f"{at}/out").select("request_id")
 
 
+def _sliced(spark, df, by: str, kind: str, clock=None, slices: int = 4) -> str:
+    """The rows as files, written slice by slice in ascending `by` and read two files a batch; a clock's row last."""
+    at = scratch(spark, kind)
+    low, high = df.agg(F.min(by), F.max(by)).first()
+    step = (high - low) / slices if low is not None else 0
+    for i in range(slices):
+        own = (F.col(by) >= F.lit(low + i * step)) & ((F.col(by) < F.lit(low + (i + 1) * step)) if i < slices - 1 else F.lit(True)) if low is not None else F.lit(True)
+        df.where(own).repartition(2).write.mode("append").parquet(f"{at}/in")
+    if clock is not None:
+        clock.coalesce(1).write.mode("append").parquet(f"{at}/in")
+    return at
+
+
+def _through(spark, schema, at: str, job):
+    """What the stream `job` of the files makes, in batches of two files, until all are read."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    made = job(stream)
+    made.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{at}/out")
+
+
+@query(f"""
+WITH c AS ({CHUNKS_SQL[1:-1]}), t AS (SELECT request_id, string_agg(tool_index || '=' || a, ';' ORDER BY tool_index) AS calls FROM (SELECT request_id, tool_index, string_agg(fn_args, '' ORDER BY seq) AS a FROM c WHERE tool_index IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+g AS (SELECT request_id, coalesce(string_agg(content, '' ORDER BY seq), '') AS content, coalesce(string_agg(reasoning, '' ORDER BY seq), '') AS reasoning, count(finish_reason) > 0 AS done, arg_max(prompt_tokens, seq) FILTER (prompt_tokens IS NOT NULL) AS prompt_tokens, count(*) AS n_chunks FROM c GROUP BY ALL)
+SELECT request_id, CASE WHEN done THEN 'complete' ELSE 'incomplete' END AS status, CASE WHEN done THEN content END AS content, CASE WHEN done THEN reasoning END AS reasoning, CASE WHEN done THEN calls END AS calls, prompt_tokens, n_chunks FROM g LEFT JOIN t USING (request_id)""")
+def r01_answers_once_by_stream(spark, sf_dir):
+    """All answers, the incomplete ones too: a request is closed when its event time has been silent. A fragment's time is its number in seconds."""
+    rows = chunks(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.col("seq") + 86_400))
+    n = rows.agg(F.max("seq")).first()[0]
+    clock = spark.range(1).select(*[(F.lit(-1) if c in ("request_id", "seq") else F.timestamp_seconds(F.lit(2 * n + 100_000)) if c == "ts" else F.lit(None)).cast(t).alias(c) for c, t in rows.dtypes])
+    at = _sliced(spark, rows, "seq", "answers", clock)
+    made = _through(spark, rows.schema, at, lambda stream: keyed.answers(stream, "3000 seconds", f"{n // 4 + 1} seconds", "1 hour"))
+    calls = F.array_join(F.transform("calls", lambda c: F.concat_ws("=", c["tool_index"].cast("string"), c["arguments"])), ";")
+    return made.where("request_id >= 0").select("request_id", "status", "content", "reasoning", calls.alias("calls"), "prompt_tokens", "n_chunks")
+
+
+@query(f"""
+SELECT task_id, seq, stage, CASE WHEN status = 'running' AND ts < (SELECT max(ts) FROM events) - INTERVAL 6 HOUR THEN 'interrupted' ELSE status END AS shown
+FROM (SELECT u.*, e.ts, CASE e.event_type WHEN 'error' THEN 'failed' ELSE 'running' END AS status FROM {UPDATES_SQL} u JOIN events e ON e.event_id = u.seq QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY seq DESC) = 1)""")
+def r02_interrupted_by_timer(spark, sf_dir):
+    """Each task's last update, with a timer that interrupts it; read from the change log."""
+    facts = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "error", "failed").otherwise("running").alias("status"))
+    rows = updates(spark, sf_dir).select("task_id", "seq", "stage").join(facts, "seq").select("task_id", "seq", "stage", "ts", "status")
+    at = _sliced(spark, rows, "ts", "progress")
+    log = _through(spark, rows.schema, at, lambda stream: keyed.progress(stream, "6 hours", "6 hours"))
+    return keyed.newest_progress(log).select("task_id", "seq", "stage", "shown")
+
+
+@query(f"""
+SELECT request_id, seq, CASE WHEN seq = f.seq0 THEN 'accepted' WHEN owner = f.o AND payload = f.p THEN 'duplicate' ELSE 'conflict' END AS verdict FROM {REQUESTS_SQL}
+JOIN (SELECT request_id, (min(struct_pack(ts := ts, seq := seq, o := owner, p := payload))).seq AS seq0, (min(struct_pack(ts := ts, seq := seq, o := owner, p := payload))).o AS o, (min(struct_pack(ts := ts, seq := seq, o := owner, p := payload))).p AS p FROM {REQUESTS_SQL} GROUP BY ALL) f USING (request_id)""")
+def r03_labelled_by_stream(spark, sf_dir):
+    """Every request with its verdict, whatever the order of files; the first by event time is accepted."""
+    rows = requests(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts")), "seq").select("request_id", "seq", "owner", "payload", "ts")
+    clock = rows.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("bigint").alias("request_id"), F.lit(-1).cast("bigint").alias("seq"), F.lit("").alias("owner"), F.lit("").alias("payload"), F.expr("ts + INTERVAL 800 DAYS").alias("ts"))
+    at = _sliced(spark, rows, "seq", "admission", clock)
+    return _through(spark, rows.schema, at, lambda stream: keyed.submissions(stream, "400 days")).where("request_id >= 0")
+
+
 @query("SELECT CAST(user_id AS VARCHAR) AS spectrum_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def s02_s06_spectra_through_files(spark, sf_dir):
     """Events of each user written as a delimited table by user, read back as lines, and summed."""
