@@ -8,7 +8,8 @@ from spectraloom.functions import scalars
 from spectraloom.operators import literature, tables
 from spectraloom.plans.registry import query
 from spectraloom.plans.scalar_queries import TERMS, TERMS_SQL
-from spectraloom.session import table
+from spectraloom.session import scratch, table
+from spectraloom.sources import buckets
 
 DOCS_SQL = """(SELECT 'd' || doc_id AS doc_key, substr(text, 1, 40) AS title, CASE WHEN doc_id % 9 <> 0 THEN 1990 + doc_id % 30 END AS year, ['parsed', 'indexed', 'downloaded', 'discovered'][doc_id % 4 + 1] AS status,
   CASE WHEN doc_id % 6 = 0 THEN 'late' END AS reason, CASE WHEN doc_id % 3 = 0 THEN '/pdf/' || doc_id END AS local_path, sha256(text) AS sha256, doc_id FROM documents)"""
@@ -237,17 +238,32 @@ def new_state(spark, sf_dir):
     )
 
 
-@query(f"""
+UPSERT_SQL = f"""
 WITH n AS (SELECT *, min(CASE WHEN local_path IS NOT NULL THEN seq END) OVER (PARTITION BY doc_key) AS f FROM {NEW_SQL}),
 g AS (SELECT doc_key, arg_max(doi, seq) FILTER (doi IS NOT NULL) AS doi, arg_max(year, seq) FILTER (year IS NOT NULL) AS year, arg_max(local_path, seq) FILTER (local_path IS NOT NULL) AS local_path, arg_max(sha256, seq) FILTER (sha256 IS NOT NULL) AS sha256,
   arg_max(title, seq) FILTER (title <> 'Untitled') AS title, arg_max(metadata, seq) AS metadata, arg_max(status, seq) FILTER (seq <= coalesce(f, seq)) AS status, arg_max(reason, seq) FILTER (seq <= coalesce(f, seq)) AS reason, min(stamp) AS created, arg_max(stamp, seq) AS updated FROM n GROUP BY doc_key)
 SELECT doc_key, coalesce(g.doi, o.doi) AS doi, coalesce(g.year, o.year) AS year, coalesce(g.local_path, o.local_path) AS local_path, coalesce(g.sha256, o.sha256) AS sha256, coalesce(g.title, o.title, 'Untitled') AS title,
   CASE WHEN g.updated IS NOT NULL THEN g.metadata ELSE o.metadata END AS metadata, CASE WHEN o.local_path IS NOT NULL OR g.updated IS NULL THEN o.status ELSE g.status END AS status, CASE WHEN o.local_path IS NOT NULL OR g.updated IS NULL THEN o.reason ELSE g.reason END AS reason,
-  coalesce(o.created_at, g.created) AS created_at, coalesce(g.updated, o.updated_at) AS updated_at FROM {OLD_SQL} o FULL JOIN g USING (doc_key)""")
+  coalesce(o.created_at, g.created) AS created_at, coalesce(g.updated, o.updated_at) AS updated_at FROM {OLD_SQL} o FULL JOIN g USING (doc_key)"""
+
+
+@query(UPSERT_SQL)
 def i01_document_upsert(spark, sf_dir):
     return literature.upserted(old_state(spark, sf_dir), new_state(spark, sf_dir))
 
 
+@query(UPSERT_SQL)
+def i01_upsert_in_buckets(spark, sf_dir):
+    """The same upsert into a stored table, of which only the touched buckets are rewritten; the batch comes twice."""
+    at, old, new = scratch(spark, "documents"), old_state(spark, sf_dir), new_state(spark, sf_dir)
+    schema = literature.upserted(old, new).schema
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    buckets.merge(at, old, 0, ["doc_key"], columns, lambda stored, incoming: incoming)
+    for _ in range(2):
+        buckets.merge(at, new, 1, ["doc_key"], columns, literature.upserted)
+    return buckets.read(spark, at, columns)
+
+
 @query(f"""
 SELECT doc_key, coalesce(n.status, q.status) AS status, coalesce(q.attempts, 0) + coalesce(n.n, 0) AS attempts, CASE WHEN n.n IS NOT NULL THEN n.error ELSE q.last_error END AS last_error FROM {QUEUE_SQL} q
 FULL JOIN (SELECT doc_key, arg_max(status, seq) AS status, arg_max(reason, seq) AS error, count(*) AS n FROM (SELECT 'd' || ((seq * 3) % 700) AS doc_key, seq, status, reason FROM {NEW_SQL}) GROUP BY doc_key) n USING (doc_key)""")
@@ -262,13 +278,27 @@ def i04_idempotent_insert(spark, sf_dir):
     return tables.inserted(old_state(spark, sf_dir).select("doc_key", "title"), new_state(spark, sf_dir).select("doc_key", "title", "seq"), ["doc_key"], ["seq"]).select("doc_key", "title")
 
 
-@query(f"""
-SELECT doc_key, slot, title FROM (SELECT doc_key, year % 3 AS slot, title FROM {OLD_SQL} WHERE (doc_key, year % 3) NOT IN (SELECT (doc_key, seq % 3) FROM {NEW_SQL}) UNION ALL SELECT doc_key, seq % 3, arg_max(title, seq) FROM {NEW_SQL} GROUP BY ALL)""")
+CHECKPOINTS_SQL = f"""
+SELECT doc_key, slot, title FROM (SELECT doc_key, year % 3 AS slot, title FROM {OLD_SQL} WHERE (doc_key, year % 3) NOT IN (SELECT (doc_key, seq % 3) FROM {NEW_SQL}) UNION ALL SELECT doc_key, seq % 3, arg_max(title, seq) FROM {NEW_SQL} GROUP BY ALL)"""
+
+
+@query(CHECKPOINTS_SQL)
 def i05_checkpoint_upsert(spark, sf_dir):
     was = old_state(spark, sf_dir).select("doc_key", (F.col("year") % 3).alias("slot"), "title")
     return tables.replaced(was, new_state(spark, sf_dir).select("doc_key", (F.col("seq") % 3).alias("slot"), "title", "seq"), ["doc_key", "slot"], ["seq"]).select("doc_key", "slot", "title")
 
 
+@query(CHECKPOINTS_SQL)
+def i05_checkpoints_in_buckets(spark, sf_dir):
+    """The same by a key of two columns, in buckets."""
+    at, keys, columns = scratch(spark, "checkpoints"), ["doc_key", "slot"], "doc_key string, slot bigint, title string"
+    was = old_state(spark, sf_dir).select("doc_key", (F.col("year") % 3).alias("slot"), "title")
+    buckets.merge(at, was, 0, keys, columns, lambda stored, incoming: incoming)
+    news = new_state(spark, sf_dir).select("doc_key", (F.col("seq") % 3).alias("slot"), "title", "seq")
+    buckets.merge(at, news, 1, keys, columns, lambda stored, incoming: tables.replaced(stored, incoming, keys, ["seq"]))
+    return buckets.read(spark, at, columns)
+
+
 @query(f"""
 SELECT kind, evidence_id, place FROM (SELECT kind, evidence_id, CAST(row_number() OVER (PARTITION BY kind ORDER BY confidence DESC NULLS LAST, created_at DESC, evidence_id) AS INT) AS place FROM {CLAIMS_SQL} WHERE kind <> 'other') WHERE place <= 20""")
 def w03_context_evidence(spark, sf_dir):
