@@ -2,34 +2,38 @@
 
 Two sets as similar as asked share a token among the first |x| - ceil(t |x|) + 1 of each, under any order
 of all tokens. Three orders are used. The first puts rare tokens first, by counts over all documents; its prefix tokens are
-the keys of the join. The others are hash orders: a pair that shares a key must share a token
+the keys of the join, split by bands of set sizes. The others are hash orders: a pair that shares a key must share a token
 of its prefixes under each of them too, and its sizes and a bound on the intersection must leave it a
 chance, before full sets are fetched to confirm it. No pair that links fails any of these tests.
 
-Pairs inside a key aren't all made: the members are first compared with a central one (the member
-whose rarest token is most common: an original rather than an edited copy), linked ones need no more
-comparison, and only members that are still in different components are compared with each other, in
-blocks and in memory.
+Pairs inside a key aren't all made: each document is first compared with the most central of those that it shares
+a key with (the one whose rarest token is most common: an original rather than an edited copy), then with another
+member. Linked ones need no more comparison, and only members of a key that are still in different components are
+compared with each other, in blocks and in memory.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spectraloom.llm import minhash
-from spectraloom.llm.minhash import bucket_counts, components, folded, shared_bound, shingle_sets, torn_pairs, verified, with_side
+from spectraloom.llm.minhash import bucket_counts, components, folded, only_ids, shared_bound, shingle_sets, torn_pairs, verified, with_side
 from spectraloom.llm.textbatch import mixed, small_batches, spread, steps, struct_udf
-from spectraloom.session import checkpointed, compact
+from spectraloom.session import checkpointed, compact, tidied
 
 #: Buckets that tokens are counted in, whatever the input: 4 MB a task, of which each order knows a level of one byte. Slots are summed apart, FAN_IN tasks at a time.
 BUCKETS, SLOTS, FAN_IN = 1 << 20, 64, 64
+#: Bits below the level in a token's place of the first order.
+LEVEL = 57
 SECOND, THIRD = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 #: Stands for no token in a padded prefix.
-PAD = np.uint32(0xFFFFFFFF)
+PAD = np.uint16(0xFFFF)
 
 SKETCH = T.StructType(
     [T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
@@ -57,12 +61,10 @@ def token_levels(docs: DataFrame, width: int) -> np.ndarray:
         total = sum(np.frombuffer(n, np.uint32).astype(np.uint64) for n in group.column("n").to_pylist())
         return pa.table({"slot": group.column("slot").slice(0, 1), "n": [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], "part": group.column("part").slice(0, 1)})
 
-    counts = docs.select("text").mapInArrow(count, "slot int, n binary").withColumn("part", F.spark_partition_id())
-    while True:
-        counts = checkpointed(counts)
-        if counts.groupBy("slot").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] <= 1:
-            break
-        counts = counts.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("slot", "part").applyInArrow(summed, "slot int, n binary, part bigint")
+    counts = docs.select("text").mapInArrow(count, "slot int, n binary").withColumn("part", F.spark_partition_id().cast("bigint"))
+    for many in (FAN_IN, FAN_IN, None):  # a group has as many rows as FAN_IN tasks; the last, one of FAN_IN * FAN_IN tasks
+        part = F.floor(F.col("part") / many) if many else F.lit(0).cast("bigint")
+        counts = counts.withColumn("part", part).groupBy("slot", "part").applyInArrow(summed, "slot int, n binary, part bigint")
     held = {r.slot: np.frombuffer(r.n, np.uint32) for r in counts.collect()}
     each = np.concatenate([held.get(i, np.zeros(BUCKETS // SLOTS, np.uint32)) for i in range(SLOTS)])
     return np.ceil(np.log2(each + 1.0)).astype(np.uint8)
@@ -71,13 +73,24 @@ def token_levels(docs: DataFrame, width: int) -> np.ndarray:
 def rare_first(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """Each token's place in the first order, as a positive 64-bit number that also stands for it."""
     level = levels[(tokens & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64)
-    return (level << np.uint64(57)) | (mixed(tokens) >> np.uint64(7))
+    return (level << np.uint64(LEVEL)) | (mixed(tokens) >> np.uint64(64 - LEVEL))
 
 
 def _first(places: np.ndarray, n: int) -> np.ndarray:
     return np.sort(np.partition(places, n - 1)[:n])
 
 
+def short(places: np.ndarray) -> bytes:
+    """Places of a hash order by their upper 16 bits: tokens that share them count as one, which only weakens the test."""
+    return np.minimum(places >> np.uint64(48), np.uint64(PAD - 1)).astype(np.uint16).tobytes()
+
+
+def coarse_counts(shingles: np.ndarray) -> bytes:
+    """bucket_counts() in half as many buckets: its bound is still far below the thresholds for sets that aren't alike."""
+    counts = np.frombuffer(bucket_counts(shingles), np.uint8).astype(np.uint16)
+    return np.minimum(folded(counts[None, :])[0], 255).astype(np.uint8).tobytes()
+
+
 def _sketcher(width: int, percent: int, levels: np.ndarray):
     def work(texts: pa.Array) -> list:
         sets = shingle_sets(texts, width)
@@ -87,9 +100,9 @@ def _sketcher(width: int, percent: int, levels: np.ndarray):
                 rows.append((None,) * 5)
                 continue
             n = prefix_length(len(s), percent)
-            others = [(_first(mixed(s ^ seed), n) >> np.uint64(32)).astype(np.uint32).tobytes() for seed in (SECOND, THIRD)]
+            others = [short(_first(mixed(s ^ seed), n)) for seed in (SECOND, THIRD)]
             set_id = mixed(s).sum(dtype=np.uint64).tobytes() + mixed(s ^ SECOND).sum(dtype=np.uint64).tobytes()
-            rows.append((set_id, _first(rare_first(s, levels), n).view(np.int64), *others, bucket_counts(s)))
+            rows.append((set_id, _first(rare_first(s, levels), n).view(np.int64), *others, coarse_counts(s)))
         return [[len(s) for s in sets], *map(list, zip(*rows, strict=True))] if rows else [[]] * 6
 
     return struct_udf(SKETCH, work)
@@ -102,8 +115,8 @@ def shares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def padded(prefixes: list[bytes]) -> np.ndarray:
-    """Packed prefixes as rows of equal length. A token within a prefix is there once; equal 32-bit values in one only weaken the test."""
-    each = [np.frombuffer(p, np.uint32) for p in prefixes]
+    """Packed prefixes as rows of equal length, each value once."""
+    each = [np.unique(np.frombuffer(p, np.uint16)) for p in prefixes]
     out = np.full((len(each), max(map(len, each), default=0)), PAD)
     for row, p in zip(out, each, strict=True):
         row[: len(p)] = p
@@ -118,7 +131,7 @@ def _may_link(percent: int):
         out = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
         for x, y in ((second_a, second_b), (third_a, third_b)):
             for i in np.flatnonzero(out).tolist():
-                out[i] = len(np.intersect1d(*(np.frombuffer(p[i].as_py(), np.uint32) for p in (x, y)))) > 0
+                out[i] = len(np.intersect1d(*(np.frombuffer(p[i].as_py(), np.uint16) for p in (x, y)))) > 0
         for i in np.flatnonzero(out).tolist():
             x, y = (np.frombuffer(c[i].as_py(), np.uint8).astype(np.uint16)[None, :] for c in (counts_a, counts_b))
             x, y = folded(x) if x.size > y.size else x, folded(y) if y.size > x.size else y
@@ -159,6 +172,21 @@ def block_pairs(group: pa.Table, percent: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+def bands(key: str, percent: int) -> Column:
+    """The keys of a row (key, size) by bands of sizes: two sets whose sizes allow a link share one, as the smaller stands in all bands up to the largest such size."""
+    width = 3 * math.log(100 / percent)
+    band = lambda n: F.floor(F.log(n) / width)
+    # a little beyond the bound, against rounding
+    return F.transform(F.sequence(band(F.col("size").cast("double")), band(F.col("size") * (100.000001 / percent))), lambda b: F.xxhash64(key, b))
+
+
+def node_facts(sketched: DataFrame, needed: DataFrame) -> DataFrame:
+    """(node, n_shingles, second, third, counts) of the needed nodes."""
+    columns = ("n_shingles", "second", "third", "counts")
+    held = only_ids(sketched.select("doc_id", *columns), "doc_id", needed).withColumnRenamed("doc_id", "node")
+    return held.join(needed, "node", "left_semi").where("second is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in columns])
+
+
 def tested(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that pass all tests by their facts; a node in very many pairs is copied, so that these spread over tasks."""
     packed = facts.select("node", F.struct("n_shingles", "second", "third", "counts").alias("fact"))
@@ -177,30 +205,40 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(df.sparkSession)
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     sketched = checkpointed(spread(docs, F.col("text"), "__m", _sketcher(width, percent, token_levels(docs, width))).drop("text"))
-    rest = [F.first(c).alias(c) for c in ("n_shingles", "keys", "second", "third", "counts")]
-    classes = checkpointed(sketched.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), *rest).where("node is not null"))
-
-    keyed = classes.select("node", F.col("keys")[0].alias("rarest"), F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.max_by("node", F.struct("rarest", -F.col("node"))).alias("central"), F.count("*").alias("n")).where("n > 1").drop("n")
-    groups = checkpointed(keyed.drop("rarest").join(shared, "key"))
-    facts = checkpointed(classes.join(groups.select("node").distinct(), "node", "left_semi").select("node", "n_shingles", "second", "third", "counts"))
-
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tried = compact(checkpointed(groups.where("node <> central").select(*pair("node", "central")).distinct()))
+    classes = checkpointed(
+        sketched.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys")).where("node is not null")
+    )
+    keyed = classes.select("node", "size", F.shiftright(F.col("keys")[0], LEVEL).cast("int").alias("rarest"), F.explode("keys").alias("key"))
+    held_twice = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    banded = checkpointed(keyed.join(held_twice, "key").withColumn("key", F.explode(bands("key", percent))))
+    shared = banded.groupBy("key").agg(F.max(F.struct("rarest", -F.col("node"), "node", "size")).alias("central"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = checkpointed(banded.drop("rarest").join(shared, "key"))
+    facts = checkpointed(node_facts(sketched, groups.select("node").distinct()))
+
+    near = lambda other: 100 * F.least("size", other) >= percent * F.greatest("size", other)
+    pair = lambda other: (F.least("node", other).alias("a"), F.greatest("node", other).alias("b"))
+    # a node is compared with the most central of all that it shares a key with; what it doesn't link with is compared below
+    most = groups.where(near("central.size")).groupBy("node").agg(F.max("central").alias("central")).where("node <> central.node")
+    tried = compact(checkpointed(most.select(*pair("central.node")).distinct()))
     links = checkpointed(verified(tested(tried, facts, percent), docs, width, percent))
     labels = components(links)
     for step in ("leaders", "all"):
-        held = groups.select("key", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        torn = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("node", "component"), F.struct(F.xxhash64("node", "key"), "node")).alias("lead"), F.count("*").alias("members"))
+        tidied(df.sparkSession)
+        held = groups.select("key", "node", "size").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        lead = F.min_by(F.struct("node", "component", "size"), F.struct(F.xxhash64("node", "key"), "node"))
+        torn = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), lead.alias("lead"), F.count("*").alias("members"))
         held = held.join(torn.where("low <> high").select("key", "lead", "members"), "key")
-        if step == "leaders":  # another member of each key is compared with the rest: different keys, different leaders
-            pairs = held.where(F.col("component") != F.col("lead.component")).select(*pair("node", "lead.node")).distinct()
-            fresh = tested(compact(checkpointed(pairs.join(tried, ["a", "b"], "left_anti"))), facts, percent)
+        if step == "leaders":  # another member of its largest key that is still apart
+            apart = held.where((F.col("component") != F.col("lead.component")) & near("lead.size")).groupBy("node").agg(F.max(F.struct("members", "lead")).alias("m"))
+            pairs = apart.select("node", F.col("m.lead.node").alias("lead")).select(*pair("lead")).distinct().join(tried, ["a", "b"], "left_anti")
+            pairs = compact(checkpointed(pairs))
+            fresh, tried = tested(pairs, facts, percent), tried.unionByName(pairs)
         else:
             fresh = torn_pairs(held.withColumn("slot", F.lit(0)), facts, lambda group: block_pairs(group, percent)).join(tried, ["a", "b"], "left_anti")
+        fresh = checkpointed(fresh)
+        if not fresh.limit(1).count():
+            continue
         more = checkpointed(verified(fresh, docs, width, percent))
-        if step == "leaders":
-            tried = tried.unionByName(pairs)
         if more.limit(1).count():
             links = links.unionByName(more)
             labels = components(links)
