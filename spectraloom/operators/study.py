@@ -31,21 +31,34 @@ MOST_COLUMNS = 512
 MOST_CELLS = 4096
 
 
-def typed(df: DataFrame, columns: list[str]) -> tuple[list[str], list[str]]:
-    """Numeric and categorical columns: text is numeric where every value that isn't a null marker reads as a number."""
-    kinds = dict(df.dtypes)
-    text = [c for c in columns if kinds[c] == "string"]
-    odd = df.agg(F.lit(0).alias("__none"), *[F.count_if(scalars.clean_marker(c).isNotNull() & scalars.finite_double(scalars.clean_marker(c)).isNull()).alias(c) for c in text]).first().asDict() if text else {}
-    categorical = [c for c in text if odd[c]]
-    return [c for c in columns if c not in categorical], categorical
+#: The share of a column's values that must read as numbers for it to be numeric.
+NUMERIC_SHARE = 0.8
+
+
+def types(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """numeric or categorical, by column, from one pass over all of them: text is numeric where NUMERIC_SHARE or more of the values that aren't null markers read as numbers. Without values it is categorical."""
+    text = [c for c, kind in df.dtypes if c in columns and kind == "string"]
+    known = lambda c: scalars.clean_marker(c).isNotNull()
+    counts = [e for i, c in enumerate(text) for e in (F.count_if(known(c)).alias(f"k_{i}"), F.count_if(known(c) & scalars.finite_double(scalars.clean_marker(c)).isNotNull()).alias(f"n_{i}"))]
+    found = df.agg(*counts).first() if text else {}
+    enough = {c: found[f"n_{i}"] >= NUMERIC_SHARE * max(1, found[f"k_{i}"]) for i, c in enumerate(text)}
+    return {c: "numeric" if enough.get(c, True) else "categorical" for c in columns}
+
+
+def typed(df: DataFrame, columns: list[str], known: dict[str, str] | None = None) -> tuple[list[str], list[str]]:
+    """Numeric and categorical columns: as `known`, a profile of the whole table kept with it (types()), else by the rows themselves. Text in a numeric column that is no number counts as missing."""
+    kinds = types(df, [c for c in columns if c not in (known or {})]) | (known or {})
+    return [c for c in columns if kinds[c] == "numeric"], [c for c in columns if kinds[c] != "numeric"]
 
 
 def cohort(df: DataFrame, task: str, target: str, groups: dict[str, list[str]], controls: list[str], roles_of: dict[str, str], scope: list[str], dataset: str = "dataset", doi: str = "doi", fallback: str | None = None, measured: bool = True) -> DataFrame:
     """The task's eligible rows, with study_group: the DOI's article, or where none is known the `fallback` group, if one is named.
 
-    Raises where columns don't suit the task. With `measured`, spectra and structure among the predictors must be there.
+    Raises where columns don't suit the task or no dataset is chosen. With `measured`, spectra and structure among the predictors must be there.
     """
     validation.check_study(task, target, groups, controls, roles_of)
+    if not scope:
+        raise ValueError("choose a dataset")
     article = F.when(validation.valid_group(F.col(doi)), scalars.article_group(F.col(doi)))
     other = F.when(validation.valid_group(F.col(fallback)), scalars.stripped(F.col(fallback).cast("string"))) if fallback else F.lit(None).cast("string")
     between = [c for role in ("xps", "structure") for c in groups.get(role, [])] if measured else []
@@ -229,7 +242,7 @@ def _gram(key, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (held.T @ held).ravel()
 
 
-def compared(rows: DataFrame, sets: dict[str, list[str]], group: str, target: str, k: int = 5, inner: int = 3, grid: list[tuple[str, float, float]] | None = None) -> tuple[DataFrame, DataFrame, dict[str, list[tuple]]]:
+def compared(rows: DataFrame, sets: dict[str, list[str]], group: str, target: str, k: int = 5, inner: int = 3, grid: list[tuple[str, float, float]] | None = None, known: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame, dict[str, list[tuple]]]:
     """Out-of-fold predictions in long form (row columns, fold, feature_set, model, observed, predicted), the split manifest and what was chosen: (outer, kind, alpha, l1) by set.
 
     All sets see the same rows and folds; a set without features is the training mean. Each
@@ -237,11 +250,11 @@ def compared(rows: DataFrame, sets: dict[str, list[str]], group: str, target: st
     a null level is 'missing', one that training lacks is zeros. Each validation group
     weighs alike; the first candidate of the smallest mean error over inner folds wins. Raises where rows
     or groups are too few, or a feature has no training values in a fit. Rows are read three times.
-    Input columns named like the added ones are replaced. A categorical of any number of levels may be among the features (`wide`).
+    Columns are numeric or categorical as typed() says. Input columns named like the added ones are replaced. A categorical of any number of levels may be among the features (`wide`).
     """
     grid = grid or validation.LINEAR
     every = list(dict.fromkeys(c for features in sets.values() for c in features))
-    numeric, categorical = typed(rows, every)
+    numeric, categorical = typed(rows, every, known)
     rows = checkpointed(rows.withColumns({c: descriptors.numeric(rows, c) for c in numeric} | {c: scalars.clean_marker(c) for c in categorical if dict(rows.dtypes)[c] == "string"}))
     if reason := validation.guards(rows, group).first()["reason"]:
         raise ValueError(reason)

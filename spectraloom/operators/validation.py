@@ -453,12 +453,14 @@ MOST_PREDICTORS = 40
 
 
 def check_study(task: str, target: str, groups: dict[str, list[str]], controls: list[str], roles_of: dict[str, str]) -> None:
-    """Raises unless the columns suit the task: the target's role, each predictor's, test conditions as controls, no column twice, none too many."""
+    """Raises unless the columns suit the task: the target's role, a predictor of each role and no other, test conditions as controls, no column twice, none too many."""
     inputs, output = TASKS[task]
     if roles_of.get(target) != output:
         raise ValueError(f"the target must be a column of role {output}")
     if set(groups) - set(inputs) or not any(groups.values()):
         raise ValueError(f"predictors must be of the roles {inputs}")
+    if lacking := [role for role in inputs if not groups.get(role)]:
+        raise ValueError(f"a variable of each role is needed: {lacking}")
     if wrong := [c for role, columns in groups.items() for c in columns if roles_of.get(c) != role] + [c for c in controls if roles_of.get(c) != "test_condition"]:
         raise ValueError(f"columns of another role: {wrong}")
     chosen = [c for columns in groups.values() for c in columns] + controls

@@ -458,6 +458,28 @@ def test_relationship_cohort(spark):
         study.cohort(df, "xps_to_structure", "y", {"xps": ["x"]}, [], roles_of, ["NF"])
 
 
+def test_columns_are_numeric_by_their_share_of_numbers(spark):
+    rows = [(i, "odd" if i % 10 == 0 else str(i), "odd" if i % 4 == 0 else str(i), "n/a" if i % 2 else "-", None if i % 3 else "5", float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "i int, one_in_ten string, one_in_four string, markers string, few string, x double")
+    assert study.types(df, df.columns) == {"i": "numeric", "one_in_ten": "numeric", "one_in_four": "categorical", "markers": "categorical", "few": "numeric", "x": "numeric"}
+    assert study.typed(df, ["one_in_ten", "x"], {"one_in_ten": "categorical"}) == (["x"], ["one_in_ten"])
+    # the odd text counts as missing
+    noisy = df.withColumns({"g": F.concat(F.lit("g"), F.col("i") % 8), "y": F.col("i") * 2.0})
+    made, _, _ = study.compared(noisy, {"all": ["one_in_ten"]}, "g", "y", k=4, inner=2, grid=[("ridge", 1e-6, 0.0)])
+    miss = [abs(r.predicted - r.y) for r in made.collect() if r.one_in_ten is not None]
+    assert len(miss) == 36 and max(miss) < 1.0
+
+
+def test_a_study_needs_a_variable_of_each_role_and_a_dataset(spark):
+    roles_of = {"p": "preparation", "x": "xps", "s": "structure", "y": "performance"}
+    with pytest.raises(ValueError, match="each role"):
+        validation.check_study("chain_to_performance", "y", {"preparation": ["p"], "structure": ["s"]}, [], roles_of)
+    validation.check_study("chain_to_performance", "y", {"preparation": ["p"], "xps": ["x"], "structure": ["s"]}, [], roles_of)
+    df = spark.createDataFrame([("NF", "10.1/a", 1.0, 2.0)], "dataset string, doi string, x double, y double")
+    with pytest.raises(ValueError, match="dataset"):
+        study.cohort(df, "xps_to_performance", "y", {"xps": ["x"]}, [], roles_of, [])
+
+
 def test_quantiles_match_numpy(spark):
     rng = np.random.default_rng(4)
     rows = [(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 1000)) for v in rng.integers(-40, 40, n)] + [("d", None), ("e", 5.0)] + [("c", 7.0)] * 500
