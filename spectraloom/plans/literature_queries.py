@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spectraloom.functions import scalars
-from spectraloom.operators import literature, tables
+from spectraloom.operators import literature, search, tables
 from spectraloom.plans.registry import query
 from spectraloom.plans.scalar_queries import TERMS, TERMS_SQL
 from spectraloom.session import scratch, table
@@ -45,12 +45,26 @@ def claims(spark, sf_dir):
     )
 
 
-@query(f"SELECT e.evidence_id, e.doc_key, d.title, e.confidence FROM {CLAIMS_SQL} e JOIN {DOCS_SQL} d USING (doc_key) WHERE e.claim ILIKE '%the%of%' OR d.title ILIKE '%the%of%' ORDER BY e.confidence DESC NULLS LAST, e.evidence_id LIMIT 20")
+SEARCH_SQL = f"SELECT e.evidence_id, e.doc_key, d.title, e.confidence FROM {CLAIMS_SQL} e JOIN {DOCS_SQL} d USING (doc_key) WHERE e.claim ILIKE '%the%of%' OR d.title ILIKE '%the%of%' ORDER BY e.confidence DESC NULLS LAST, e.evidence_id LIMIT 20"
+
+
+@query(SEARCH_SQL)
 def p02_j05_evidence_search(spark, sf_dir):
     """A search page: its limit is the feature."""
     return literature.searched(claims(spark, sf_dir), docs(spark, sf_dir), "the%of").select("evidence_id", "doc_key", "title", "confidence")
 
 
+@query(SEARCH_SQL)
+def p02_search_by_index(spark, sf_dir):
+    """The same page through the trigram index, which is filled in two batches."""
+    at, evidence, documents = scratch(spark, "postings"), claims(spark, sf_dir), docs(spark, sf_dir)
+    texts = evidence.select(F.lit("claim").alias("kind"), F.col("evidence_id").alias("id"), F.col("claim").alias("text"), "doc_id")
+    texts = texts.unionByName(documents.select(F.lit("title").alias("kind"), F.col("doc_key").alias("id"), F.col("title").alias("text"), "doc_id"))
+    for batch in range(2):
+        search.indexed(texts.where(F.col("doc_id") % 2 == batch), at, batch)
+    return search.searched(evidence, documents, at, "the%of").select("evidence_id", "doc_key", "title", "confidence")
+
+
 @query(f"SELECT doc_key, status FROM {DOCS_SQL} WHERE contains(lower(title || ' ' || coalesce(local_path, '')), 'an') AND local_path IS NOT NULL AND status IN ('parsed', 'indexed')")
 def p03_library_filter(spark, sf_dir):
     text = F.lower(F.concat_ws(" ", "title", "local_path"))
