@@ -3,7 +3,7 @@
 Two sets as similar as asked share a token among the first |x| - ceil(t |x|) + 1 of each, under any order
 of all tokens. Three orders are used. The first puts rare tokens first, by counts over all documents; its prefix tokens are
 the keys of the join, split by bands of set sizes. The others are hash orders: a pair that shares a key must share a token
-of its prefixes under each of them too, and its sizes and a bound on the intersection must leave it a
+of its prefixes under each of them too, and its sizes and a bound on the sets' difference must leave it a
 chance, before full sets are fetched to confirm it. No pair that links fails any of these tests.
 
 Pairs inside a key aren't all made: each document is first compared with the most central of those that it shares
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spectraloom.llm import minhash
-from spectraloom.llm.minhash import bucket_counts, components, folded, only_ids, shared_bound, shingle_sets, torn_pairs, verified, with_side
+from spectraloom.llm.minhash import components, only_ids, shingle_sets, torn_pairs, verified, with_side
 from spectraloom.llm.textbatch import mixed, small_batches, spread, steps, struct_udf
 from spectraloom.session import checkpointed, compact, tidied
 
@@ -32,12 +32,12 @@ BUCKETS, SLOTS, FAN_IN = 1 << 20, 64, 64
 #: Bits below the level in a token's place of the first order.
 LEVEL = 57
 SECOND, THIRD = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
-#: Stands for no token in a padded prefix.
-PAD = np.uint16(0xFFFF)
+#: Buckets of a set's profile: a power of two.
+PROFILE = 128
 
 SKETCH = T.StructType(
     [T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
-    + [T.StructField(name, T.BinaryType()) for name in ("second", "third", "counts")]
+    + [T.StructField(name, T.BinaryType()) for name in ("second", "third", "profile")]
 )
 
 
@@ -82,13 +82,18 @@ def _first(places: np.ndarray, n: int) -> np.ndarray:
 
 def short(places: np.ndarray) -> bytes:
     """Places of a hash order by their upper 16 bits: tokens that share them count as one, which only weakens the test."""
-    return np.minimum(places >> np.uint64(48), np.uint64(PAD - 1)).astype(np.uint16).tobytes()
+    return (places >> np.uint64(48)).astype(np.uint16).tobytes()
 
 
-def coarse_counts(shingles: np.ndarray) -> bytes:
-    """bucket_counts() in half as many buckets: its bound is still far below the thresholds for sets that aren't alike."""
-    counts = np.frombuffer(bucket_counts(shingles), np.uint8).astype(np.uint16)
-    return np.minimum(folded(counts[None, :])[0], 255).astype(np.uint8).tobytes()
+def profile(shingles: np.ndarray) -> bytes:
+    """How many shingles fall in each of PROFILE buckets, a byte each; 255 stands for all from 255 on. Two sets differ in at least as many shingles as their profiles do in sum."""
+    return np.minimum(np.bincount((shingles >> np.uint64(64 - PROFILE.bit_length() + 1)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8).tobytes()
+
+
+def may_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes n, m and profiles x, y (a row each) can be near: their difference is no smaller than the profiles'."""
+    apart = np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(axis=1, dtype=np.int64)
+    return 100 * (n + m - apart) >= percent * (n + m + apart)
 
 
 def _sketcher(width: int, percent: int, levels: np.ndarray):
@@ -102,56 +107,38 @@ def _sketcher(width: int, percent: int, levels: np.ndarray):
             n = prefix_length(len(s), percent)
             others = [short(_first(mixed(s ^ seed), n)) for seed in (SECOND, THIRD)]
             set_id = mixed(s).sum(dtype=np.uint64).tobytes() + mixed(s ^ SECOND).sum(dtype=np.uint64).tobytes()
-            rows.append((set_id, _first(rare_first(s, levels), n).view(np.int64), *others, coarse_counts(s)))
+            rows.append((set_id, _first(rare_first(s, levels), n).view(np.int64), *others, profile(s)))
         return [[len(s) for s in sets], *map(list, zip(*rows, strict=True))] if rows else [[]] * 6
 
     return struct_udf(SKETCH, work)
 
 
-def shares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether two padded prefixes (a row each) share a token, row by row."""
-    both = np.sort(np.concatenate([x, y], axis=1), axis=1)
-    return ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] != PAD)).any(axis=1)
-
-
-def padded(prefixes: list[bytes]) -> np.ndarray:
-    """Packed prefixes as rows of equal length, each value once."""
-    each = [np.unique(np.frombuffer(p, np.uint16)) for p in prefixes]
-    out = np.full((len(each), max(map(len, each), default=0)), PAD)
-    for row, p in zip(out, each, strict=True):
-        row[: len(p)] = p
-    return out
+def unpacked(profiles: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(profiles.to_pylist()), np.uint8).reshape(-1, PROFILE)
 
 
 def _may_link(percent: int):
-    """Whether two nodes are near by their sizes, their prefixes under both hash orders and the bound on their intersection."""
+    """Whether two nodes are near by their sizes and profiles and by their prefixes under both hash orders."""
 
-    def near(n_a, n_b, second_a, second_b, third_a, third_b, counts_a, counts_b):
+    def near(n_a, n_b, second_a, second_b, third_a, third_b, profile_a, profile_b):
         n, m = n_a.to_numpy(), n_b.to_numpy()
-        out = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+        out = may_link(n, m, *(unpacked(c) for c in (profile_a, profile_b)), percent)
         for x, y in ((second_a, second_b), (third_a, third_b)):
             for i in np.flatnonzero(out).tolist():
                 out[i] = len(np.intersect1d(*(np.frombuffer(p[i].as_py(), np.uint16) for p in (x, y)))) > 0
-        for i in np.flatnonzero(out).tolist():
-            x, y = (np.frombuffer(c[i].as_py(), np.uint8).astype(np.uint16)[None, :] for c in (counts_a, counts_b))
-            x, y = folded(x) if x.size > y.size else x, folded(y) if y.size > x.size else y
-            bound = shared_bound(x, y)[0]
-            out[i] = 100 * bound >= percent * (n[i] + m[i] - bound)
         return pa.array(out)
 
-    names = [f"{c}_{side}" for c in ("n", "second", "third", "counts") for side in "ab"]
+    names = [f"{c}_{side}" for c in ("n", "second", "third", "profile") for side in "ab"]
     near.__annotations__ = {**dict.fromkeys(names, pa.Array), "return": pa.Array}
     return F.arrow_udf(near, "boolean")
 
 
 def block_pairs(group: pa.Table, percent: int) -> pa.RecordBatch:
-    """The pairs of one key's block pair that pass all orders, by size and by the bound on their intersection."""
+    """The pairs of one key's block pair that may link by their sizes and profiles."""
     get = lambda name: group.column(name).to_numpy()
     node, component, size, own = get("node"), get("component"), get("n_shingles"), get("own")
-    orders = [padded(group.column(c).to_pylist()) for c in ("second", "third")]
-    levels = minhash._levels([np.frombuffer(c, np.uint8) for c in group.column("counts").to_pylist()])
+    profiles = np.frombuffer(b"".join(group.column("profile").to_pylist()), np.uint8).reshape(len(node), -1)
     across = group.column("low")[0] != group.column("high")[0]
-    together = max(1, (1 << 20) // max(1, 2 * orders[0].shape[1]))
     out = [np.zeros((0, 2), np.int64)]
     for at in range(0, len(node), 64):
         rows = slice(at, at + 64)
@@ -161,13 +148,10 @@ def block_pairs(group: pa.Table, percent: int) -> pa.RecordBatch:
         may &= 100 * np.minimum(size[rows, None], size[None, :]) >= percent * np.maximum(size[rows, None], size[None, :])
         i, j = np.nonzero(may)
         i += at
-        for part in range(0, len(i), together):
-            p, q = i[part : part + together], j[part : part + together]
-            for order in orders:
-                near = shares(order[p], order[q])
-                p, q = p[near], q[near]
-            p, q = minhash.bounded(levels, size, p, q, percent)
-            out.append(np.column_stack([node[p], node[q]]))
+        for part in range(0, len(i), 1 << 13):
+            p, q = i[part : part + (1 << 13)], j[part : part + (1 << 13)]
+            near = may_link(size[p], size[q], profiles[p], profiles[q], percent)
+            out.append(np.column_stack([node[p[near]], node[q[near]]]))
     pairs = np.concatenate(out)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -181,17 +165,24 @@ def bands(key: str, percent: int) -> Column:
 
 
 def node_facts(sketched: DataFrame, needed: DataFrame) -> DataFrame:
-    """(node, n_shingles, second, third, counts) of the needed nodes."""
-    columns = ("n_shingles", "second", "third", "counts")
+    """(node, n_shingles, second, third, profile) of the needed nodes."""
+    columns = ("n_shingles", "second", "third", "profile")
     held = only_ids(sketched.select("doc_id", *columns), "doc_id", needed).withColumnRenamed("doc_id", "node")
     return held.join(needed, "node", "left_semi").where("second is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in columns])
 
 
+#: Pairs from which on a node in very many of them is copied, so that they spread over tasks.
+CROWDED = 200_000
+
+
 def tested(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass all tests by their facts; a node in very many pairs is copied, so that these spread over tasks."""
-    packed = facts.select("node", F.struct("n_shingles", "second", "third", "counts").alias("fact"))
-    both = with_side(with_side(pairs, packed, "b", "a"), packed, "a", "b")
-    sides = [f"own_{side}.{c}" for c in ("n_shingles", "second", "third", "counts") for side in "ab"]
+    """The pairs (a, b), a checkpointed table, that pass all tests by their facts."""
+    packed = facts.select("node", F.struct("n_shingles", "second", "third", "profile").alias("fact"))
+    if pairs.count() > CROWDED:
+        both = with_side(with_side(pairs, packed, "b", "a"), packed, "a", "b")
+    else:
+        both = pairs.join(packed.toDF("b", "own_b"), "b").join(packed.toDF("a", "own_a"), "a")
+    sides = [f"own_{side}.{c}" for c in ("n_shingles", "second", "third", "profile") for side in "ab"]
     return both.where(_may_link(percent)(*sides)).select("a", "b")
 
 
@@ -215,6 +206,8 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = checkpointed(banded.drop("rarest").join(shared, "key"))
     facts = checkpointed(node_facts(sketched, groups.select("node").distinct()))
 
+    tidied(df.sparkSession)
+
     near = lambda other: 100 * F.least("size", other) >= percent * F.greatest("size", other)
     pair = lambda other: (F.least("node", other).alias("a"), F.greatest("node", other).alias("b"))
     # a node is compared with the most central of all that it shares a key with; what it doesn't link with is compared below
@@ -234,8 +227,11 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             pairs = compact(checkpointed(pairs))
             fresh, tried = tested(pairs, facts, percent), tried.unionByName(pairs)
         else:
-            fresh = torn_pairs(held.withColumn("slot", F.lit(0)), facts, lambda group: block_pairs(group, percent)).join(tried, ["a", "b"], "left_anti")
+            light = facts.select("node", "n_shingles", "profile")
+            pairs = torn_pairs(held.withColumn("slot", F.lit(0)), light, lambda group: block_pairs(group, percent)).join(tried, ["a", "b"], "left_anti")
+            fresh = tested(compact(checkpointed(pairs)), facts, percent)
         fresh = checkpointed(fresh)
+        tidied(df.sparkSession)
         if not fresh.limit(1).count():
             continue
         more = checkpointed(verified(fresh, docs, width, percent))

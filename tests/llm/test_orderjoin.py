@@ -51,10 +51,18 @@ def test_prefixes_of_similar_sets_meet_under_every_order():
                 assert all(len(np.intersect1d(a, b)) for a, b in firsts)
 
 
-def test_shares_ignores_padding():
-    rows = [np.array(p, np.uint16).tobytes() for p in ([1, 5, 9], [2], [], [9, 10, 11], [3])]
-    x = orderjoin.padded(rows)
-    assert orderjoin.shares(x[[0, 0, 1, 2]], x[[3, 4, 2, 4]]).tolist() == [True, False, False, False]
+def test_profiles_never_rule_out_a_link():
+    rng = np.random.default_rng(9)
+    for n in (1, 3, 40, 3000, 60_000):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        for share in (1.0, 0.97, 0.92, 0.5):
+            y = np.unique(np.r_[x[rng.random(len(x)) < share], rng.integers(0, 1 << 63, max(1, n // 30)).astype(np.uint64)])
+            shared = len(np.intersect1d(x, y))
+            p, q = (np.frombuffer(orderjoin.profile(s), np.uint8)[None, :] for s in (x, y))
+            may = orderjoin.may_link(np.array([len(x)]), np.array([len(y)]), p, q, 90)[0]
+            assert may or 100 * shared < 90 * (len(x) + len(y) - shared)
+    a, b = (np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2)) for _ in range(2))
+    assert not orderjoin.may_link(np.array([len(a)]), np.array([len(b)]), *(np.frombuffer(orderjoin.profile(s), np.uint8)[None, :] for s in (a, b)), 90)[0]
 
 
 def test_levels_count_all_documents_whatever_the_partitions(spark):
