@@ -7,6 +7,10 @@ the regex library's bounded-error matching then verifies the edits and reports t
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Callable
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -69,8 +73,20 @@ def _all(raw: bytes, seed: bytes) -> list[int]:
     return out
 
 
+def _best(notice: str) -> Callable[[bytes], tuple[int, int, int] | None]:
+    """Start, end and errors of the place of a window that is most like the notice; windows that return are remembered."""
+    pattern = regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={allowed(notice)}}}")
+
+    @lru_cache(maxsize=4096)
+    def best(window: bytes) -> tuple[int, int, int] | None:
+        m = pattern.search(window.decode("latin-1"))
+        return m and (m.start(), m.end(), sum(m.fuzzy_counts))
+
+    return best
+
+
 def _scanner():
-    plans = [(n, label, allowed(n), seeds(n), regex.compile(f"(?b)(?:{regex.escape(n)}){{e<={allowed(n)}}}")) for n, label in NOTICES]
+    plans = [(n, label, allowed(n), seeds(n), _best(n)) for n, label in NOTICES]
 
     def work(texts: pa.Array) -> list:
         data, offsets = text_bytes(texts)
@@ -93,7 +109,10 @@ def _scanner():
                 if word + phrase.count(" ") < first[doc + 1]:
                     places[doc].append({"label": label, "word": word - int(first[doc])})
         notices = [[] for _ in range(len(texts))]
-        for notice, label, k, parts, pattern in plans:
+        chars = np.zeros(len(data) + 1, np.int64)  # code points before each byte
+        np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
+        held: dict[tuple[int, str], list[tuple[int, int]]] = {}  # by text and label: places so far, which don't overlap, in order
+        for notice, label, k, parts, best in plans:
             found: dict[int, dict[tuple[int, int], int]] = {}
             tried: set[tuple[int, int]] = set()
             for offset, seed in parts:
@@ -104,22 +123,24 @@ def _scanner():
                     if (low, high) in tried or high - low < len(notice) - k:
                         continue
                     tried.add((low, high))
-                    if m := pattern.search(joined[low:high].decode("latin-1")):
-                        found.setdefault(doc, {})[low + m.start(), low + m.end()] = sum(m.fuzzy_counts)
+                    if place := best(joined[low:high]):
+                        found.setdefault(doc, {})[low + place[0], low + place[1]] = place[2]
             for doc, spans in found.items():
-                end = -1
+                places_held = held.setdefault((doc, label), [])
                 for (a, b), errors in sorted(spans.items(), key=lambda x: (x[1], x[0])):
-                    if any(a < y["_b"] and y["_a"] < b and y["label"] == label for y in notices[doc]):
+                    at = bisect_left(places_held, (a, b))
+                    if (at and places_held[at - 1][1] > a) or (at < len(places_held) and places_held[at][0] < b):
                         continue
+                    places_held.insert(at, (a, b))
                     i = min(int(np.searchsorted(begins, a, "right")) - 1, len(starts) - 1)
                     j = max(i, int(np.searchsorted(begins, b - 1, "right")) - 1)
                     origin = int(starts[i]) + a - int(begins[i])
                     end = min(int(starts[j]) + b - int(begins[j]), int(ends[j]))
-                    chars = lambda x, d=doc: int(np.count_nonzero((data[offsets[d] : x] & 0xC0) != 0x80))
-                    notices[doc].append({"label": label, "start": chars(origin), "end": chars(end), "errors": errors, "likeness": round(1 - errors / len(notice), 4), "_a": a, "_b": b})
+                    first_char = int(chars[offsets[doc]])
+                    notices[doc].append({"label": label, "start": int(chars[origin]) - first_char, "end": int(chars[end]) - first_char, "errors": errors, "likeness": round(1 - errors / len(notice), 4)})
         for found_here in notices:
             found_here.sort(key=lambda x: (x["start"], x["label"]))
-        return [np.diff(first), [sorted(p, key=lambda x: (x["word"], x["label"])) for p in places], [[{k: v for k, v in x.items() if k[0] != "_"} for x in n] for n in notices]]
+        return [np.diff(first), [sorted(p, key=lambda x: (x["word"], x["label"])) for p in places], notices]
 
     return work
 

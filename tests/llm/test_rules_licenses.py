@@ -1,7 +1,11 @@
 import random
 import re
+import time
 from collections import Counter
 
+import pyarrow as pa
+import regex
+
 from spectraloom.llm import licenses, quality
 
 ODD = [None, "", " ", "\n", "one", "a b", "cc", "by", "CC-BY", "cc  by cc by", "#*$%&|<> x", "é è à", "a b c a b c a b c", "x\nx\n\nx\n \n", "ſtrange ALL rights, Reserved.", "all rights reservedé"]
@@ -84,3 +88,36 @@ def test_empty_tables_and_clashing_columns(spark):
     assert sorted(len(r.places) for r in rows) == [0, 1, 1] and all(r.kept in ("k", None) for r in rows)
     alone = quality.judged(spark.createDataFrame([row], schema.replace(", Places string", "")), spark.createDataFrame([(1, 0), (1, 1)], "doc_id int, quality int")).collect()
     assert [r.kept for r in alone] == [False]
+
+
+def test_long_text_full_of_notices_takes_linear_time():
+    work = licenses._scanner()
+    line = "é Released under the MIT Licence. All right reserved {}\n"
+    texts = ["".join(line.format(i % 997) for i in range(n)) for n in (1, 20, 40000)]
+    began = time.monotonic()
+    _, _, notices = work(pa.array(texts))
+    assert time.monotonic() - began < 20
+    for text, found in zip(texts, notices, strict=True):
+        assert [x["label"] for x in found] == ["mit", "reserved"] * text.count("\n")
+        assert all(text[x["start"] : x["end"]].startswith(("Released", "All")) and x["errors"] > 0 for x in found)
+
+
+def test_notices_match_brute_force():
+    """Every notice with edits inside plain words: the places of the regex library over the whole text."""
+    rng = random.Random(17)
+    work = licenses._scanner()
+    for _ in range(60):
+        wanted, text = [], "vorab "
+        for notice, label in rng.sample(licenses.NOTICES, 5):
+            made = list(notice)
+            for _ in range(rng.randint(0, licenses.allowed(notice) + 2)):
+                made[rng.randrange(1, len(made) - 1)] = "q"
+            edits = sum(a != b for a, b in zip(made, notice, strict=True))
+            found = edits <= licenses.allowed(notice)
+            assert found == bool(regex.search(f"(?b)(?:{regex.escape(notice)}){{e<={licenses.allowed(notice)}}}", "".join(made)))
+            if found:
+                wanted.append((label, len(text), edits))
+            text += "".join(made) + " zzé xxxxxx zzzzzzz xxxxxxxx zzé "
+        got = work(pa.array([text]))[2][0]
+        for label, start, edits in wanted:
+            assert any(x["label"] == label and abs(x["start"] - start) <= 2 and x["errors"] <= edits for x in got), (text, label, got)
