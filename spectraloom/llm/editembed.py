@@ -8,7 +8,9 @@ sampled bits find candidates, which the edit distance verifies.
 
 The shared bits repeat after PHASES steps. That lets one long text be walked in many blocks
 at once: blocks start from a guessed phase, and those whose guess proves wrong are walked
-again from the right one, until all agree; the outcome is that of one walk.
+again from the right one. Walks of most texts fall in step within a block, so that two rounds
+do; where they don't (a run of one character), each block is walked from all phases as a map,
+and the maps are composed. The outcome is that of one walk, the work linear whatever the text.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from spectraloom.llm.textbatch import mixed, small_batches
 from spectraloom.session import checkpointed, shuffle_width
 
 PHASES, BLOCK, SAMPLES = 128, 2048, 32
+#: Blocks whose maps are made side by side, and the characters between two looks at which phases have met.
+ABREAST, MEET = 1024, 128
 #: Octaves of the walk that are sampled: enough for 2^45 steps.
 OCTAVES = 41
 _bits = (mixed(np.arange(PHASES * 256, dtype=np.uint64) + np.uint64(0xA5A5)) & np.uint64(1)).reshape(PHASES, 256).astype(bool)
@@ -59,6 +63,39 @@ def _positions() -> tuple[np.ndarray, np.ndarray]:
 POSITIONS, WEIGHTS = _positions()
 
 
+def maps(padded: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """By whole block and phase at its start: the phase at its end. Phases that meet go on as one."""
+    out = np.empty((len(start), PHASES), np.uint8)
+    for low in range(0, len(start), ABREAST):
+        begin = start[low : low + ABREAST]
+        key = np.arange(len(begin) * PHASES)
+        place = key
+        for met in range(0, BLOCK, MEET):
+            block, state = key // PHASES, (key % PHASES * 256).astype(np.uint16)
+            for t in range(met, met + MEET):
+                state = AFTER[state | padded[begin + t].astype(np.uint16)[block]]
+            key = block * PHASES + (state >> 8)
+            seen = np.zeros(len(begin) * PHASES, bool)
+            seen[key] = True
+            place = (np.cumsum(seen) - 1)[key][place]
+            key = np.flatnonzero(seen)
+        out[low : low + ABREAST] = (key % PHASES)[place].reshape(-1, PHASES)
+    return out
+
+
+def _composed(guess: np.ndarray, padded: np.ndarray, start: np.ndarray, number: np.ndarray, text: np.ndarray, wrong: np.ndarray) -> np.ndarray:
+    """The right phase of every block of the texts that a `wrong` block belongs to."""
+    due = guess.copy()
+    mine = np.flatnonzero(np.isin(text, text[wrong]))
+    before = mine[np.append(number[mine[1:]] > 0, False)]  # blocks with a next one are whole
+    ends = dict(zip(before.tolist(), maps(padded, start[before]).tolist(), strict=True))
+    at = 0
+    for b in mine.tolist():
+        at = ends[b - 1][at] if number[b] else 0
+        due[b] = at * 256
+    return due
+
+
 def phases(classes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The phase (times 256) at which the walk of its text reaches each character."""
     lengths = np.diff(offsets)
@@ -69,7 +106,7 @@ def phases(classes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros(len(classes) + BLOCK, np.uint16)
     padded = np.concatenate([classes, np.zeros(BLOCK, np.uint8)])
     guess, end = np.zeros(len(text), np.uint16), np.zeros(len(text), np.uint16)
-    todo = np.arange(len(text))
+    todo, rounds = np.arange(len(text)), 0
     size = np.minimum(offsets[text + 1] - start, BLOCK) if len(text) else start
     while len(todo):
         deep = int(size[todo].max())
@@ -83,6 +120,9 @@ def phases(classes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         for_block = np.arange(deep)[:, None] < size[todo][None, :]
         out[(start[todo][None, :] + np.arange(deep)[:, None])[for_block]] = seen[for_block]
         due = np.where(number > 0, np.roll(end, 1), 0).astype(np.uint16)
+        rounds += 1
+        if rounds == 2 and (due != guess).any():
+            due = _composed(guess, padded, start, number, text, np.flatnonzero(due != guess))
         todo = np.flatnonzero(due != guess)
         guess = due
     return out[: len(classes)]

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -347,3 +348,19 @@ def test_near_groups_of_named_documents(spark):
     got = sorted((r.doc_id, r.group_id, r.kept) for r in editembed.near_groups(spark.createDataFrame(rows, schema)).collect())
     assert got == [("a", "a", True), ("a", "a", True), ("b", "a", False), ("c", "c", True), ("d", "d", True), ("e", "d", False)]
     assert editembed.near_groups(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_periodic_texts_are_walked_as_one_and_in_linear_time():
+    texts = ["a" * 9000, "ab" * 5000, "abc" * 4000 + "x" * 5000, "", "a" * editembed.BLOCK, "a" * (2 * editembed.BLOCK), "a" * 4097 + "b" * 9000]
+    points = [np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64) for t in texts]
+    for t, p in zip(texts, points, strict=True):
+        classes = (editembed.mixed(p) >> np.uint64(11)).astype(np.uint8)
+        at, want = 0, []
+        for c in classes.tolist():
+            want.append(at)
+            at = int(editembed.AFTER[at | c])
+        assert editembed.phases(classes, np.array([0, len(classes)])).tolist() == want, t[:5]
+    assert editembed.fingerprints(texts) == [editembed.fingerprints([t])[0] for t in texts]
+    began = time.monotonic()
+    editembed.fingerprints(["a" * 3_000_000])
+    assert time.monotonic() - began < 15
