@@ -4,6 +4,9 @@ Base matches label credentials. From a bounded sample of them, a prefix tree of
 character classes is built for each kind and its statistically compatible states are
 merged into a probabilistic automaton. Every other token is then scored by how much
 likelier an automaton writes it, its length included, than the corpus's ordinary tokens are.
+What a format never showed costs a small share each time it comes, so that near formats are
+scored by degrees. Tokens are the runs of the characters that credentials may have, and those
+runs without what often only stands beside a credential: dots, padding, a name before `=`.
 """
 
 from __future__ import annotations
@@ -28,10 +31,13 @@ _hex = re.compile(r"[0-9a-f]{24,}")  # a leftmost longest run of 24 or more is a
 _keywords = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _is_hex = np.zeros(256, bool)
 _is_hex[list(b"0123456789abcdef")] = True
-#: Tokens that are scored: maximal runs of these characters, of so many or more.
-TOKEN, LEAST = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 8
+#: Characters inside tokens, and how many a token has at least: those of the assign pattern's value.
+TOKEN, LEAST = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 6
 _is_token = np.zeros(256, bool)
 _is_token[list(TOKEN)] = True
+_is_dotted, _is_wide = _is_token.copy(), _is_token.copy()
+_is_dotted[list(b".")] = True
+_is_wide[list(b".=")] = True
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("value", T.StringType())])
 FOUND = T.StructType([T.StructField("spans", T.ArrayType(SPAN))])
@@ -51,6 +57,34 @@ def runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, least: int)
     return starts[long], ends[long]
 
 
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all tokens, each once: maximal runs of wide characters (with dots and `=`), the same without dots
+    around them and without padding behind, runs with dots (alone, and with the padding that follows), and runs with neither."""
+    place = np.arange(len(data))
+
+    def stripped(starts: np.ndarray, ends: np.ndarray, front: bytes, back: bytes) -> tuple[np.ndarray, np.ndarray]:
+        inner = np.ones(256, bool)
+        inner[list(back)] = False
+        last = np.maximum.accumulate(np.where(inner[data], place, -1))
+        inner[list(front)] = False
+        next_ = np.minimum.accumulate(np.where(inner[data], place, len(data))[::-1])[::-1]
+        return np.minimum(next_[starts], ends), np.maximum(last[ends - 1] + 1, starts)
+
+    wide = runs(data, offsets, _is_wide, LEAST)
+    dotted = runs(data, offsets, _is_dotted, LEAST)
+    families = [wide, runs(data, offsets, _is_token, LEAST)]
+    if len(wide[0]):
+        families += [stripped(*wide, b".=", b"."), stripped(*wide, b".=", b".=")]
+    if len(dotted[0]):
+        families.append(stripped(*dotted, b".", b"."))
+        after = np.append(np.minimum.accumulate(np.where(data != ord("="), place, len(data))[::-1])[::-1], len(data))[dotted[1]]
+        families.append((families[-1][0], np.minimum(after, offsets[np.searchsorted(offsets, dotted[0], "right")])))
+    starts, ends = (np.concatenate(x) for x in zip(*families, strict=True))
+    long = ends - starts >= LEAST
+    key = np.unique(starts[long] * (len(data) + 1) + ends[long])
+    return key // (len(data) + 1), key % (len(data) + 1)
+
+
 def marked(data: np.ndarray, offsets: np.ndarray) -> set[int]:
     """The texts that show a trace of a base match, found over the bytes."""
     hits = [runs(data, offsets, _is_hex, 24)[0]]
@@ -190,21 +224,26 @@ class Automaton:
         self.through, self.ends = [self.through[r] for r in order], [self.ends[r] for r in order]
         self.same = list(range(len(order)))
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """By state (the last: outside) and class: the next state, the log likelihood of the move and whether it is a known one; by state: that of ending.
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By state and class: the next state and the log likelihood of the move; by state: that of ending.
 
-        A move that was never seen costs its small share once and leads outside, where all is as in ordinary tokens.
+        A class that a state never showed costs a small share, is written as in the automaton as a whole, and counts as
+        a substitution: the walk goes on along the state's commonest move, or stays where there is none.
         """
         n, k = len(self.next), len(NAMES)
-        after, log, known, end = np.full((n + 1, k), n, np.int64), np.zeros((n + 1, k)), np.zeros((n + 1, k)), np.zeros(n + 1)
+        whole = sum(self.through, Counter())
+        pool = np.array([whole[x] + UNSEEN for x in NAMES])
+        pool = np.log(pool / pool.sum() / SIZES)
+        after, log, end = np.zeros((n, k), np.int64), np.zeros((n, k)), np.zeros(n)
         for s in range(n):
             total = self.total(s) + UNSEEN
-            log[s] = math.log(UNSEEN / total)
-            end[s] = math.log((self.ends[s] + UNSEEN * (self.ends[s] == 0)) / total)
+            log[s] = math.log(UNSEEN / total) + pool
+            end[s] = math.log((self.ends[s] or UNSEEN) / total)
+            after[s] = self.next[s][max(sorted(self.through[s]), key=self.through[s].__getitem__)] if self.next[s] else s
             for c, to in self.next[s].items():
                 i = NAMES.index(c)
-                after[s, i], known[s, i], log[s, i] = to, 1, math.log(self.through[s][c] / total / SIZES[i])
-        return after, log, known, end
+                after[s, i], log[s, i] = to, math.log(self.through[s][c] / total / SIZES[i])
+        return after, log, end
 
 
 class Formats:
@@ -213,11 +252,11 @@ class Formats:
     #: Tokens longer than this are scored one by one.
     LONG = 1024
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: np.ndarray | None = None, low: float = 0.05):
+    def __init__(self, labelled: dict[str, list[str]], ordinary: np.ndarray | None = None, low: float = 0.05, near: float = 0.7):
         """labelled: credentials by kind; ordinary: how often each class (and then the end) follows each class (and first the start) in the corpus's tokens.
 
-        A kind's limit is what all but a share `low` of its credentials reach, and at least the logarithm of
-        the number of tokens: by Markov's inequality, ordinary ones then reach it less than once in the corpus.
+        A kind's limit is the share `near` of what all but a share `low` of its credentials reach, and at least the logarithm
+        of the number of tokens: by Markov's inequality, ordinary ones then reach it less than once in the corpus.
         """
         k = len(NAMES)
         counts = np.zeros((k + 1, k + 1)) if ordinary is None else ordinary
@@ -228,11 +267,13 @@ class Formats:
         self.limits = np.zeros(len(self.tables))
         for i, kind in enumerate(self.automata):
             own = np.sort(self.gains(*_joined(labelled[kind]))[i])
-            self.limits[i] = max(own[int(low * len(own))], math.log(max(counts[-1].sum(), 1)))
+            reached = own[int(low * len(own))]
+            self.limits[i] = max(near * reached if reached > 0 else reached, math.log(max(counts[-1].sum(), 1)))
 
-    def gains(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """By automaton and token: the log likelihood of its format less that of an ordinary token."""
+    def gains(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, written: np.ndarray | None = None) -> np.ndarray:
+        """By automaton and token: the log likelihood that its format writes it (or, in its place, `written`) less that of an ordinary token."""
         number = _number[data]
+        format_number = number if written is None else _number[written]
         order = np.argsort(starts - ends, kind="stable")  # longest first
         lengths = (ends - starts)[order]
         begin = starts[order]
@@ -241,40 +282,50 @@ class Formats:
         last = np.full(len(starts), len(NAMES))
         long = int(np.searchsorted(-lengths, -self.LONG, "left"))
         for i in range(long):
-            out[:, i], state[:, i], last[i] = self._walk(number[begin[i] : begin[i] + lengths[i]].tolist())
+            place = slice(begin[i], begin[i] + lengths[i])
+            out[:, i], state[:, i], last[i] = self._walk(number[place], format_number[place])
         for p in range(int(lengths[long]) if long < len(lengths) else 0):
             live = slice(long, int(np.searchsorted(-lengths, -p, "left")))
-            c = number[begin[live] + p]
+            c, f = number[begin[live] + p], format_number[begin[live] + p]
             usual = self.usual[last[live], c]
-            for i, (after, log, known, _) in enumerate(self.tables):
+            for i, (after, log, _) in enumerate(self.tables):
                 s = state[i, live]
-                out[i, live] += log[s, c] - known[s, c] * usual
-                state[i, live] = after[s, c]
+                out[i, live] += log[s, f] - usual
+                state[i, live] = after[s, f]
             last[live] = c
-        for i, (after, _, _, end) in enumerate(self.tables):
-            out[i] += end[state[i]] - (state[i] < len(after) - 1) * self.usual_end[last]
+        for i, (_, _, end) in enumerate(self.tables):
+            out[i] += end[state[i]] - self.usual_end[last]
         return out[:, np.argsort(order)]
 
-    def _walk(self, token: list[int]) -> tuple[list[float], list[int], int]:
-        usual = self.usual.tolist()
+    def _walk(self, token: np.ndarray, written: np.ndarray) -> tuple[list[float], list[int], int]:
+        usual = float(self.usual[np.append(len(NAMES), token[:-1]), token].sum())
         sums, states = [], []
-        for after, log, known, _ in self.tables:
-            moves, logs, seen = after.tolist(), log.tolist(), known.tolist()
-            s, total, last = 0, 0.0, len(NAMES)
-            for c in token:
-                total += logs[s][c] - (usual[last][c] if seen[s][c] else 0.0)
-                s, last = moves[s][c], c
-                if s == len(moves) - 1:
-                    break  # outside: the rest is as in ordinary tokens
+        for after, log, _ in self.tables:
+            moves, logs, s, total = after.tolist(), log.tolist(), 0, -usual
+            for c in written.tolist():
+                total += logs[s][c]
+                s = moves[s][c]
             sums.append(total), states.append(s)
-        return sums, states, token[-1]
+        return sums, states, int(token[-1])
 
     def margin(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """By token, how far it lies above the limit of the kind it fits best; a token that occurs more than once is scored once."""
+        """By token, how far it lies above the limit of the kind it fits best; a token that occurs more than once is scored once.
+
+        A token in capitals may also be a format's small letters in capitals, at even odds.
+        """
         if not len(self.tables) or not len(starts):
             return np.full(len(starts), -np.inf)
         _, first, where = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        return (self.gains(data, starts[first], ends[first]) - self.limits[:, None]).max(axis=0)[where]
+        a, b = starts[first], ends[first]
+        best = self._above(self.gains(data, a, b))
+        upper, lower = (np.concatenate([[0], np.cumsum((data >= x) & (data <= y))]) for x, y in (b"AZ", b"az"))
+        capitals = np.flatnonzero((upper[b] > upper[a]) & (lower[b] == lower[a]))
+        if len(capitals):
+            best[capitals] = np.maximum(best[capitals], self._above(self.gains(data, a[capitals], b[capitals], LOWER[data]) - math.log(2)))
+        return best[where]
+
+    def _above(self, gains: np.ndarray) -> np.ndarray:
+        return (gains - self.limits[:, None]).max(axis=0)
 
     def score(self, token: str) -> float:
         """The margin of one token: 0 and more is as likely a credential as nearly all labelled ones of some kind."""
@@ -297,11 +348,11 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             taken = np.zeros(len(data) + 1, np.int64)
             for i in marked(data, offsets):
                 text = raw[offsets[i] : offsets[i + 1]].decode()
-                for kind, start, end, value in base_spans(text):
+                spans = sorted(base_spans(text), key=lambda x: x[1])
+                for (kind, start, end, value), at in zip(spans, byte_places(text, [x[1] for x in spans]), strict=True):
                     seen[kind, value] += 1
-                    at = offsets[i] + len(text[:start].encode())
-                    taken[at + 1 : at + 1 + end - start] = 1  # matches are of ASCII characters
-            starts, ends = runs(data, offsets, _is_token, LEAST)
+                    taken[offsets[i] + at + 1 : offsets[i] + at + 1 + end - start] = 1  # matches are of ASCII characters
+            starts, ends = tokens(data, offsets)
             taken = np.cumsum(taken)
             clear = taken[starts] == taken[ends]
             pairs += token_pairs(data, starts[clear], ends[clear])
@@ -309,18 +360,28 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ([], [], []), (pa.string(), pa.string(), pa.int64()), strict=True)], ["kind", "value", "n"])
 
 
+def byte_places(text: str, places: list[int]) -> list[int]:
+    """The bytes before each of some ascending code points."""
+    out, at, before = [], 0, 0
+    for place in places:
+        before += len(text[at:place].encode())
+        at = place
+        out.append(before)
+    return out
+
+
 def token_pairs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Counts by class before (or start) and class after (or end), flat."""
+    """Counts by class before (or start) and class after (or end), flat; tokens may lie inside others."""
     k = len(NAMES)
     number = _number[data].astype(np.int64)
     held = np.zeros(len(data) + 1, np.int64)
-    held[starts] += 1
+    np.add.at(held, starts + 1, 1)  # a token's first character follows the start, not the character before
     np.subtract.at(held, ends, 1)
-    inside = np.cumsum(held)[:-1] > 0
-    inside[starts] = False  # a token's first character follows the start, not the character before
-    at = np.flatnonzero(inside)
-    keys = np.concatenate([k * (k + 1) + number[starts], number[at - 1] * (k + 1) + number[at], number[ends - 1] * (k + 1) + k])
-    return np.bincount(keys, minlength=(k + 1) ** 2)
+    often = np.cumsum(held)[: len(data)]
+    at = np.flatnonzero(often)
+    out = np.bincount(number[at - 1] * (k + 1) + number[at], often[at], (k + 1) ** 2)
+    edges = np.concatenate([k * (k + 1) + number[starts], number[ends - 1] * (k + 1) + k])
+    return (out + np.bincount(edges, minlength=(k + 1) ** 2)).astype(np.int64)
 
 
 def fit_formats(texts: DataFrame, text_col: str = "text", sample: int = 400, longest: int = 256, seed: int = 5) -> Formats:
@@ -343,23 +404,39 @@ def fit_formats(texts: DataFrame, text_col: str = "text", sample: int = 400, lon
 
 
 def scan(texts: pa.Array, formats: Formats, threshold: float = 0.0) -> list[list[dict]]:
-    """Each text's base spans, and as kind `grammar` its tokens of a margin of `threshold` or more that are clear of them, by start then kind."""
+    """Each text's base spans, and as kind `grammar` its tokens of a margin of `threshold` or more that are clear of them, by start then kind.
+
+    Of tokens that overlap, one without dots around it stands before others, then the one of the highest margin, then the longest.
+    """
     data, offsets = text_bytes(texts)
     raw = data.tobytes()
-    starts, ends = runs(data, offsets, _is_token, LEAST)
-    likely = formats.margin(data, starts, ends) >= threshold
-    tokens: dict[int, list[tuple[int, int]]] = {}
-    for a, b in zip(starts[likely].tolist(), ends[likely].tolist(), strict=True):
-        tokens.setdefault(int(np.searchsorted(offsets, a, "right")) - 1, []).append((a, b))
+    starts, ends = tokens(data, offsets)
+    margins = formats.margin(data, starts, ends)
+    likely = np.flatnonzero(margins >= threshold)
+    edged = ~_is_token[data[starts[likely]]] | (data[ends[likely] - 1] == ord("."))
+    likely = likely[np.lexsort((starts[likely], starts[likely] - ends[likely], -margins[likely].round(6), edged))]
+    owners = np.searchsorted(offsets, starts[likely], "right") - 1
+    mine: dict[int, list[tuple[int, int]]] = {}
+    for i, a, b in zip(owners.tolist(), starts[likely].tolist(), ends[likely].tolist(), strict=True):
+        mine.setdefault(i, []).append((a, b))
+    held = bytearray(len(raw))  # bytes in a span
     out: list[list[dict]] = [[] for _ in range(len(texts))]
-    for i in marked(data, offsets) | tokens.keys():
-        own = raw[offsets[i] : offsets[i + 1]]
-        spans = base_spans(own.decode())
-        taken = sorted((a, b) for _, a, b, _ in spans)
-        for a, b in tokens.get(i, ()):
-            start = len(raw[offsets[i] : a].decode())
-            if not any(x < start + b - a and start < y for x, y in taken):
-                spans.append(("grammar", start, start + b - a, raw[a:b].decode()))
+    for i in marked(data, offsets) | mine.keys():
+        text = raw[offsets[i] : offsets[i + 1]].decode()
+        spans = sorted(base_spans(text), key=lambda x: x[1])
+        for (_, start, end, _), at in zip(spans, byte_places(text, [x[1] for x in spans]), strict=True):
+            at += int(offsets[i])
+            held[at : at + end - start] = b"\1" * (end - start)
+        added = []
+        for a, b in mine.get(i, ()):
+            if held.find(1, a, b) < 0:
+                held[a:b] = b"\1" * (b - a)
+                added.append((a, b))
+        at, place = int(offsets[i]), 0
+        for a, b in sorted(added):
+            place += len(raw[at:a].decode())
+            at = a
+            spans.append(("grammar", place, place + b - a, raw[a:b].decode()))
         spans.sort(key=lambda x: (x[1], KINDS.index(x[0])))
         out[i] = [dict(zip(SPAN.names, x, strict=True)) for x in spans]
     return out

@@ -1,6 +1,7 @@
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -160,25 +161,56 @@ def test_automata_know_lengths_and_prefixes():
 
 
 def slow_margin(formats, token):
-    """Character by character on the automata's own counts."""
-    best, k = -np.inf, len(credentials.NAMES)
-    for automaton, limit in zip(formats.automata.values(), formats.limits, strict=True):
-        state, total, last, outside = 0, 0.0, k, False
-        for ch in token:
-            c = credentials._class.get(ch, ch)
-            i = credentials.NAMES.index(c)
-            if not outside:
-                n = automaton.total(state) + credentials.UNSEEN
-                if c in automaton.next[state]:
-                    total += np.log(automaton.through[state][c] / n / credentials.SIZES[i]) - formats.usual[last, i]
-                    state = automaton.next[state][c]
-                else:
-                    total, outside = total + np.log(credentials.UNSEEN / n), True
+    """Character by character on the automata's own counts; what a state never showed is a substitution."""
+    k = len(credentials.NAMES)
+
+    def above(automaton, limit, written):
+        whole = sum((automaton.through[s] for s in range(len(automaton.next))), Counter())
+        every = sum(whole.values()) + k * credentials.UNSEEN
+        state, total, last = 0, 0.0, k
+        for ch, own in zip(written, token, strict=True):
+            c, n = credentials._class.get(ch, ch), automaton.total(state) + credentials.UNSEEN
+            size = credentials.SIZES[credentials.NAMES.index(c)]
+            if c in automaton.next[state]:
+                total += np.log(automaton.through[state][c] / n / size)
+                state = automaton.next[state][c]
+            else:
+                total += np.log(credentials.UNSEEN / n) + np.log((whole[c] + credentials.UNSEEN) / every / size)
+                most = max(automaton.through[state].values(), default=0)
+                state = next((automaton.next[state][x] for x in sorted(automaton.next[state]) if automaton.through[state][x] == most), state)
+            i = credentials.NAMES.index(credentials._class.get(own, own))
+            total -= formats.usual[last, i]
             last = i
-        if not outside:
-            total += np.log((automaton.ends[state] or credentials.UNSEEN) / (automaton.total(state) + credentials.UNSEEN)) - formats.usual_end[last]
-        best = max(best, total - limit)
-    return best
+        return total + np.log((automaton.ends[state] or credentials.UNSEEN) / (automaton.total(state) + credentials.UNSEEN)) - formats.usual_end[last] - limit
+
+    pairs = list(zip(formats.automata.values(), formats.limits, strict=True))
+    best = [above(*x, token) for x in pairs]
+    if re.search("[A-Z]", token) and not re.search("[a-z]", token):
+        best += [above(*x, token.lower()) - np.log(2) for x in pairs]
+    return max(best)
+
+
+def slow_tokens(text):
+    found = set()
+    for pattern, strips in (("A-Za-z0-9+/_.=-", ((".=", "."), (".=", ".="), ("", ""))), ("A-Za-z0-9+/_.-", ((".", "."),)), ("A-Za-z0-9+/_.-]{6,}[=", ((".", ""),)), ("A-Za-z0-9+/_-", (("", ""),))):
+        for m in re.finditer(f"[{pattern}]*" if "[=" in pattern else f"[{pattern}]{{6,}}", text):
+            for front, back in strips:
+                a = m.end() - len(m[0].lstrip(front)) if front else m.start()
+                b = m.start() + len(m[0].rstrip(back)) if back else m.end()
+                if b - a >= 6:
+                    found.add((a, b))
+    return found
+
+
+def slow_grammar(formats, text):
+    held = [(a, b) for _, a, b in brute_base(text)]
+    free = sorted(slow_tokens(text), key=lambda x: (text[x[0]] in ".=" or text[x[1] - 1] == ".", -round(slow_margin(formats, text[x[0] : x[1]]), 6), x[0] - x[1], x[0]))
+    out = []
+    for a, b in free:
+        if slow_margin(formats, text[a:b]) >= 0 and not any(x < b and a < y for x, y in held):
+            held.append((a, b))
+            out.append((a, b))
+    return sorted(out)
 
 
 def test_planted_formats_are_found_and_words_left_alone(spark):
@@ -202,9 +234,7 @@ def test_planted_formats_are_found_and_words_left_alone(spark):
     assert hit >= 0.9 * len(planted) and hit >= 0.95 * every, (hit, every, len(planted))
     formats = credentials.fit_formats(df)
     for i, text in rows[:60]:
-        taken = [(a, b) for _, a, b in brute_base(text)]
-        tokens = [m for m in re.finditer("[A-Za-z0-9+/_-]{8,}", text) if not any(a < m.end() and m.start() < b for a, b in taken)]
-        assert added[i] == [m[0] for m in tokens if slow_margin(formats, m[0]) >= 0]
+        assert added[i] == [text[a:b] for a, b in slow_grammar(formats, text)]
 
 
 def test_very_long_tokens_score_alike():
@@ -259,3 +289,60 @@ def test_pii_empty_table_and_clashing_columns(spark):
     assert pii.pseudonymise(spark.createDataFrame([], schema), "key").count() == 0
     rows = pii.pseudonymise(spark.createDataFrame([(1, "to bob@x.org", 7, "z", 9), (1, "to bob@x.org", 7, "z", 9), (None, None, None, None, None)], schema), "key").collect()
     assert len(rows) == 3 and [r.n_email for r in rows if r.text] == [1, 1] and rows[0].text == rows[1].text != "to bob@x.org"
+
+
+def learned_from(labelled, rng):
+    text = " ".join(ordinary(rng) for _ in range(20000)).encode()
+    data = np.frombuffer(text, np.uint8)
+    pairs = credentials.token_pairs(data, *credentials.tokens(data, np.array([0, len(data)])))
+    return credentials.Formats(labelled, pairs.reshape(len(credentials.NAMES) + 1, -1).astype(float))
+
+
+def test_near_formats_are_found_without_labels_of_their_own():
+    """Dotted and padded formats that labels show; other lengths, other prefixes and capitals of formats that they show."""
+    rng = random.Random(35)
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    dotted = lambda: f"eyJ{draw(ALNUM, 17)}.{draw(ALNUM, 30)}.{draw(ALNUM, 27)}"
+    padded = lambda: draw(ALNUM + "+/", 42) + "=="
+    kinds = {"hex": lambda: draw(HEX, 40), "dotted": dotted, "padded": padded, "prefixed": lambda: "ghp_" + draw(ALNUM, 36)}
+    formats = learned_from({k: [make() for _ in range(300)] for k, make in kinds.items()}, rng)
+    near = {
+        **kinds, "capitals": lambda: draw(HEX, 40).upper(), "shorter": lambda: draw(HEX, 37).upper(), "longer": lambda: draw(HEX, 41).upper(),
+        "other prefix": lambda: "xoxb-" + draw(ALNUM, 36), "shorter dotted": lambda: f"eyJ{draw(ALNUM, 16)}.{draw(ALNUM, 30)}.{draw(ALNUM, 26)}", "less padding": lambda: draw(ALNUM + "+/", 43) + "=",
+    }
+    texts, planted = [], []
+    for i in range(600):
+        words = [ordinary(rng) for _ in range(60)]
+        kind = list(near)[i % len(near)]
+        value = near[kind]()
+        words.insert(rng.randrange(60), rng.choice(["{}", "key={}", "{}.", "({})", "é{},"]).format(value))
+        texts.append(" ".join(words))
+        planted.append((kind, value))
+    found = [[s["value"] for s in spans if s["kind"] != "assign"] for spans in credentials.scan(pa.array(texts), formats)]
+    hits = Counter(kind for (kind, value), values in zip(planted, found, strict=True) if value in values)
+    total = Counter(kind for kind, _ in planted)
+    assert all(hits[k] >= 0.9 * total[k] for k in total), hits
+    assert sum(hits.values()) >= 0.95 * sum(map(len, found)), (hits, sum(map(len, found)))
+
+
+def test_tokens_match_brute_force():
+    rng = random.Random(36)
+    for _ in range(200):
+        texts = ["".join(rng.choice(["ab", "c", ".", "=", " ", "é", "x1-", "....", "==", "deadbeef"]) for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(1, 4))]
+        data, offsets = credentials.text_bytes(pa.array(texts))
+        starts, ends = credentials.tokens(data, offsets)
+        got = sorted(data[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True))
+        assert got == sorted(t[a:b] for t in texts for a, b in slow_tokens(t)), texts
+
+
+def test_long_texts_full_of_matches_take_linear_time():
+    rng = random.Random(37)
+    hexes = lambda n: "".join(rng.choice(HEX) for _ in range(n))
+    formats = learned_from({"hex": [hexes(40) for _ in range(300)]}, rng)
+    text = "é\n".join(hexes(40) if i % 2 else hexes(40).upper() for i in range(60000))
+    began = time.monotonic()
+    (found,) = credentials.scan(pa.array([text]), formats)
+    list(credentials._learned(iter([pa.RecordBatch.from_arrays([pa.array([text, "." * 300000 + "=" * 300000])], ["text"])])))
+    assert time.monotonic() - began < 30
+    assert [(s["kind"], s["start"], s["end"]) for s in found if s["kind"] != "grammar"] == brute_base(text) and all(text[s["start"] : s["end"]] == s["value"] for s in found)
+    assert sum(s["kind"] == "grammar" for s in found) >= 0.9 * 30000
