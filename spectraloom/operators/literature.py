@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.functions import scalars
 from spectraloom.operators.tables import latest, top_rows
+from spectraloom.session import running
 
 # Kinds of evidence.
 KINDS = ("measurement", "assignment", "mechanism", "relationship", "limitation", "counterexample")
@@ -27,12 +28,12 @@ def works(raw: DataFrame, column: str = "json") -> DataFrame:
 
 
 def batch_hits(hits: DataFrame, keys: list[str], batch: str, order: str) -> DataFrame:
-    """The first hit of each key in a batch, and its place among the batch's distinct hits."""
-    from pyspark.sql import Window
-
+    """The first hit of each key in a batch, and its place among the batch's distinct hits, without one task holding a batch. `order` tells a batch's hits apart."""
     rest = [c for c in hits.columns if c not in (*keys, batch)]
     firsts = hits.groupBy(batch, *keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("__f")).select(batch, *keys, *[F.col(f"__f.{c}").alias(c) for c in rest])
-    return firsts.withColumn("position", F.row_number().over(Window.partitionBy(batch).orderBy(order)))
+    # a struct, as hits of no batch are a batch too
+    placed = running(firsts.withColumns({"__batch": F.struct(batch), "__one": F.lit(1)}), ["__batch"], [order], "__one", "__before")
+    return placed.withColumn("position", (F.col("__before") + 1).cast("int")).select(*firsts.columns, "position")
 
 
 def arrivals(hits: DataFrame, stored: DataFrame) -> DataFrame:

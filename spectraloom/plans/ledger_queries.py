@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spectraloom.operators import ledger, tables
 from spectraloom.plans.registry import pick, pick_sql, query
 from spectraloom.plans.scalar_queries import SECRETS
-from spectraloom.session import scratch, table
+from spectraloom.session import numbered, scratch, table
 from spectraloom.sources import files
 from spectraloom.streaming import jobs, keyed
 
@@ -113,19 +113,20 @@ def s09_stable_page(spark, sf_dir):
     return page.withColumn("total", F.lit(total).cast("bigint"))
 
 
-@query("SELECT o_orderkey, o_orderstatus = 'O' AS running FROM orders ORDER BY o_orderstatus = 'O' DESC, o_orderdate DESC, o_orderkey LIMIT 200")
+@query("SELECT o_orderkey, o_orderstatus = 'O' AS running, row_number() OVER (ORDER BY o_orderstatus = 'O' DESC, o_orderdate DESC, o_orderkey) - 1 AS place FROM orders")
 def t03_running_first(spark, sf_dir):
-    """The first 200 are the feature."""
+    """Every order's place in the listing; no task ranks the whole table."""
     running = F.col("o_orderstatus") == "O"
-    return table(spark, sf_dir, "orders").orderBy(F.desc(running), F.desc("o_orderdate"), "o_orderkey").limit(200).select("o_orderkey", running.alias("running"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", running.alias("running"))
+    return numbered(rows, [F.desc("running"), F.desc("o_orderdate"), F.asc("o_orderkey")], "place").select("o_orderkey", "running", "place")
 
 
 @query("""
 SELECT conv_id, list(w ORDER BY first) AS words FROM (
-  SELECT conv_id, w, min((turn, i)) AS first FROM (SELECT conv_id, turn, unnest(string_split(lower(text), ' ')) AS w, generate_subscripts(string_split(lower(text), ' '), 1) AS i FROM conversations) WHERE length(w) > 9 GROUP BY ALL) GROUP BY conv_id""")
+  SELECT conv_id, w, min((turn, i)) AS first FROM (SELECT conv_id, turn, unnest(string_split(lower(text), ' ')) AS w, generate_subscripts(string_split(lower(text), ' '), 1) AS i FROM conversations) GROUP BY ALL) GROUP BY conv_id""")
 def u04_distinct_words(spark, sf_dir):
-    """All turns' long words, once each, in the order of their first use; words are told apart before they are gathered."""
-    placed = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.lower("text"), " ")).alias("i", "w")).where(F.length("w") > 9)
+    """All turns' words, once each, in the order of their first use; words are told apart before they are gathered."""
+    placed = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.lower("text"), " ")).alias("i", "w"))
     return tables.distinct_in_order(placed, ["conv_id"], "w", ["turn", "i"], "words")
 
 

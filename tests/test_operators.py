@@ -489,3 +489,13 @@ def test_quantiles_match_numpy(spark):
         own = [v for k, v in rows if k == g]
         assert got[g].n == len(own) and np.allclose(got[g].q, np.quantile(own, [0.0, 0.1, 0.5, 0.9, 1.0]))
     assert set(got) == set("abce")
+
+
+def test_batch_hits_of_no_batch_and_of_none(spark):
+    from spectraloom.operators import literature
+
+    schema = "batch int, doc_key string, seq int"
+    rows = [(1, "a", 5), (1, "a", 3), (1, "b", 4), (2, "a", 9), (None, "c", 8), (None, "a", 7), (None, "c", 2)]
+    got = {tuple(r) for r in literature.batch_hits(spark.createDataFrame(rows, schema), ["doc_key"], "batch", "seq").select("batch", "doc_key", "seq", "position").collect()}
+    assert got == {(1, "a", 3, 1), (1, "b", 4, 2), (2, "a", 9, 1), (None, "c", 2, 1), (None, "a", 7, 2)}
+    assert literature.batch_hits(spark.createDataFrame([], schema), ["doc_key"], "batch", "seq").count() == 0
