@@ -124,8 +124,8 @@ def small_batches(spark) -> None:
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
-    now = spark.conf.get(size).rstrip("b")
-    if not (now.isdigit() and int(now) <= BATCH_BYTES):
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size))
+    if not 0 < now <= BATCH_BYTES:
         spark.conf.set(size, str(BATCH_BYTES))
 
 

@@ -6,7 +6,7 @@ from collections import Counter
 import pyarrow as pa
 import regex
 
-from spectraloom.llm import licenses, quality
+from spectraloom.llm import licenses, quality, textbatch
 
 ODD = [None, "", " ", "\n", "one", "a b", "cc", "by", "CC-BY", "cc  by cc by", "#*$%&|<> x", "é è à", "a b c a b c a b c", "x\nx\n\nx\n \n", "ſtrange ALL rights, Reserved.", "all rights reservedé"]
 LONG = "word " * 3000 + "Licenced under the Apache Licence, Version 2.0. " + "Ünd so weiter\n" * 300
@@ -121,3 +121,13 @@ def test_notices_match_brute_force():
         got = work(pa.array([text]))[2][0]
         for label, start, edits in wanted:
             assert any(x["label"] == label and abs(x["start"] - start) <= 2 and x["errors"] <= edits for x in got), (text, label, got)
+
+
+def test_smaller_arrow_batches_of_a_user_stay(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    for given, kept in (("512k", "512k"), ("64b", "64b"), ("4m", "1048576")):
+        spark.conf.set(name, given)
+        textbatch.small_batches(spark)
+        assert spark.conf.get(name) == kept
+    spark.conf.set(name, before)
