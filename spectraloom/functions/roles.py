@@ -93,6 +93,7 @@ def unit_warning(name: Column | str) -> Column:
     """Whether a flux header is normalised by pressure already, or leaves that open; empty otherwise."""
     lower = F.lower(name)
     flux = lower.contains("flux")
+    # The units and words that tell it.
     return (
         F.when(flux & lower.rlike("bar-1|bar⁻¹|/bar|mpa-1"), "already pressure-normalised")
         .when(flux & ~lower.contains("pressure") & ~lower.contains("permeance"), "flux or permeance")

@@ -18,7 +18,7 @@ OPERATIONS = (*PAIRS, "product", "weighted_sum")
 EPSILON = 1e-12
 #: Finite values that a column must have to be kept.
 LEAST_FINITE = 10
-#: Roles that no descriptor may be made from.
+#: Roles that no descriptor may be made from.
 FORBIDDEN = ("outcome", "performance", "structure_proxy", "test_condition", "identity", "quality", "spectrum_quality")
 
 
