@@ -353,8 +353,8 @@ def s03_file_inventory(spark, sf_dir):
     at = scratch(spark, "inventory")
     k = F.col("s_suppkey")
     rows = table(spark, sf_dir, "supplier").select(k, F.concat(F.when(k % 2 == 0, "NF").otherwise("RO"), F.when(k % 3 == 0, "-N").otherwise("-O")).alias("tag"), F.col("s_name").alias("value"))
-    rows.repartition("s_suppkey").write.partitionBy("s_suppkey", "tag").option("compression", "none").text(f"{at}/in")
-    found = files.inventory(spark, f"{at}/in", "*.txt")
+    files.write_apart(rows, f"{at}/in", "text", ["tag", "s_suppkey"])
+    found = checkpointed(files.inventory(spark, f"{at}/in", "*.txt"))
     gone = table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 7").select(F.concat(F.lit("s_suppkey="), k, F.lit("/gone.csv")).alias("path"))
     every = files.with_missing(found, found.select("path").unionByName(gone))
     stem = F.regexp_extract("path", "s_suppkey=([^/]*)", 1)

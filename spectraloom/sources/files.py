@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectraloom.functions import scalars
+from spectraloom.session import shuffle_width
 
 
 def spectra_files(spark: SparkSession, path: str, pattern: str = "*.{csv,tsv,txt}") -> DataFrame:
@@ -52,6 +53,18 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", by: list[str] |
     getattr(writer.option("header", True) if kind == "csv" else writer, kind)(path)
 
 
+def write_apart(df: DataFrame, path: str, kind: str, by: list[str]) -> None:
+    """A new folder for each value of `by`, with one file in it.
+
+    Making a file costs the same whatever it holds, so keys are dealt to all tasks however few bytes the table has (a width that is
+    given is not lowered), and each task moves its own files into place, instead of the driver moving all. Read it only once it has ended.
+    """
+    spark = df.sparkSession
+    width = max(shuffle_width(spark), 4 * spark.sparkContext.defaultParallelism)
+    writer = df.repartition(width, *by).write.mode("overwrite").partitionBy(*by).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    getattr(writer.option("header", True) if kind == "csv" else writer.option("compression", "none"), kind)(path)
+
+
 def export_sheets(tables: dict[tuple[str, str], DataFrame], path: str) -> None:
     """Source sheets as they are, with their workbook, sheet and row, one partition a sheet; columns that a sheet lacks are null."""
     from functools import reduce
