@@ -374,5 +374,5 @@ def s05_task_journals(spark, sf_dir):
     at = scratch(spark, "journals")
     k = F.col("s_suppkey")
     text = F.when(k % 10 == 0, "{broken").when(k % 10 == 5, '{"status": "running"}').otherwise(F.concat(F.lit('{"task_id": "t'), k, F.lit('", "progress": {"done": '), k % 9, F.lit("}}")))
-    table(spark, sf_dir, "supplier").select(k, text.alias("value")).repartition("s_suppkey").write.partitionBy("s_suppkey").option("compression", "none").text(f"{at}/in")
+    files.write_apart(table(spark, sf_dir, "supplier").select(k, text.alias("value")), f"{at}/in", "text", ["s_suppkey"])
     return files.journals(spark, f"{at}/in", "*.txt").select("task_id", F.col("progress")["done"].cast("bigint").alias("done"))
