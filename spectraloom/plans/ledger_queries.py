@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spectraloom.operators import ledger, tables
 from spectraloom.plans.registry import pick, pick_sql, query
 from spectraloom.plans.scalar_queries import SECRETS
-from spectraloom.session import numbered, scratch, table
+from spectraloom.session import checkpointed, numbered, scratch, table
 from spectraloom.sources import files
 from spectraloom.streaming import jobs, keyed
 
@@ -340,7 +340,7 @@ def s02_s06_spectra_through_files(spark, sf_dir):
     """Events of each user written as a delimited table by user, read back as lines, and summed."""
     at = scratch(spark, "spectra")
     rows = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("x"), F.col("value").alias("y"))
-    files.write_table(rows.repartition("user_id"), at, "csv", ["user_id"])
+    files.write_apart(rows, at, "csv", ["user_id"])
     lines = files.spectra_files(spark, at).withColumn("path", F.regexp_extract("path", r"user_id=([0-9]+)", 1))
     return files.spectrum_points(lines).groupBy("spectrum_id").agg(F.count("*").alias("n"), F.round(F.sum("y"), 4).alias("total"))
 
