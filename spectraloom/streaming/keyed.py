@@ -1,4 +1,4 @@
-"""Streams on keyed state and timers: each key's state is read and written entry by entry, and time alone lets things happen.
+"""Streams on keyed state and timers: a batch adds a key's rows to its state in one call, and time alone lets things happen.
 
 Time is event time: a timer goes off when the stream's watermark passes it, so a run with ``availableNow`` ends, and
 a replay gives the same rows. Rows that come more than `delay` after later ones are dropped, as with any watermark.
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,9 +18,8 @@ from spectraloom.operators.tables import latest
 from spectraloom.streaming.jobs import DONE, HELD
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: A fragment but its number, as the state holds it.
-FRAGMENT = HELD.split(", ", 1)[1]
-NAMES = [c.split()[0] for c in FRAGMENT.split(", ")]
+#: What a fragment says, next to its number.
+NAMES = [c.split()[0] for c in HELD.split(", ")][1:]
 
 
 def prepared(spark: SparkSession) -> None:
@@ -28,20 +27,9 @@ def prepared(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
-def plain(value):
-    """A value of a pandas row, None for what is missing."""
-    if value is None or value is pd.NaT or value != value:
-        return None
-    return value.item() if hasattr(value, "item") else value
-
-
-def millis(at: pd.Timestamp) -> int:
-    return -(-at.value // 1_000_000)
-
-
-def rows_of(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
-    for pdf in batches:
-        yield from ([plain(v) for v in r] for r in zip(*[pdf[c].tolist() for c in columns], strict=True))
+def _millis(ts: str) -> Column:
+    """Event time in whole milliseconds, rounded up, as timers count it; what has no time comes before all."""
+    return F.coalesce(F.ceil(F.unix_micros(ts) / 1000), F.lit(-(1 << 43))).cast("bigint").alias("__at")
 
 
 class _Timed(StatefulProcessor):
@@ -67,21 +55,21 @@ class _Answers(_Timed):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.parts = handle.getMapState("parts", "seq bigint", FRAGMENT)
+        self.parts = handle.getListState("parts", HELD)
         self.until = handle.getValueState("until", "at bigint, closed boolean")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        at, closed = self.until.get() if self.until.exists() else (None, False)
+        at, closed = self.until.get() or (None, False)
         if not closed and at is not None and at <= timerValues.getCurrentWatermarkInMs():  # its time is over, though the timer goes off after these rows
             self.handle.deleteTimer(at)
             return self.closed(key, at)
         if not closed:
-            newest = at
-            for seq, ts, *rest in rows_of(rows, ["seq", "ts", *NAMES]):
-                if not self.parts.containsKey((int(seq),)):
-                    self.parts.updateValue((int(seq),), tuple(int(v) if v is not None and n in ("tool_index", "prompt_tokens", "completion_tokens") else v for n, v in zip(NAMES, rest, strict=True)))
-                newest = max(newest or 0, millis(ts) + self.silence)
+            newest, new = at, {}
+            for _, time, seq, *rest, _ in rows:
+                new.setdefault(seq, (seq, *rest))
+                newest = max(newest or 0, time + self.silence)
             if newest is not None:
+                self.parts.appendList(list(new.values()))  # all in one go
                 self.moved(at, newest)
                 self.until.update((newest, False))
         return iter(())
@@ -93,25 +81,27 @@ class _Answers(_Timed):
             return iter(())
         return self.closed(key, at)
 
-    def closed(self, key, at: int) -> Iterator[pd.DataFrame]:
-        held = sorted((seq, dict(zip(NAMES, part, strict=True))) for (seq,), part in self.parts.iterator())
+    def closed(self, key, at: int) -> Iterator[Row]:
+        held = {}
+        for seq, *part in self.parts.get():
+            held.setdefault(seq, dict(zip(NAMES, part, strict=True)))  # a repeat of another batch counts once
         self.parts.clear()
         self.handle.registerTimer(at + self.remember)
         self.until.update((at + self.remember, True))
-        return iter([_answer(key[0], [r for _, r in held])])
+        return iter([_answer(key[0], [r for _, r in sorted(held.items())])])
 
 
-def _answer(request: int, held: list[dict]) -> pd.DataFrame:
+def _answer(request: int, held: list[dict]) -> Row:
     known = lambda c, rows=held: [r[c] for r in rows if r[c] is not None]
     last = lambda c: (known(c) or [None])[-1]
     calls = []
     for index in sorted(set(known("tool_index"))):
         own = [r for r in held if r["tool_index"] == index]
-        calls.append({"tool_index": index, "id": (known("tool_id", own) or [None])[0], "name": "".join(known("fn_name", own)), "arguments": "".join(known("fn_args", own))})
+        calls.append(Row(tool_index=index, id=(known("tool_id", own) or [None])[0], name="".join(known("fn_name", own)), arguments="".join(known("fn_args", own))))
     done = last("finish_reason") is not None
     made = {"request_id": request, "status": "complete" if done else "incomplete", "content": "".join(known("content")) if done else None, "reasoning": "".join(known("reasoning")) if done else None, "calls": calls if done and calls else None}
     made |= {"finish_reason": last("finish_reason"), "prompt_tokens": last("prompt_tokens"), "completion_tokens": last("completion_tokens"), "n_chunks": len(held)}
-    return pd.DataFrame({k: pd.Series([v], dtype="Int64" if k.endswith("tokens") else None if k in ("request_id", "n_chunks") else object) for k, v in made.items()})
+    return Row(**made)
 
 
 def _ms(interval: str) -> int:
@@ -121,12 +111,12 @@ def _ms(interval: str) -> int:
 def answers(chunks: DataFrame, silence: str = "10 minutes", delay: str = "1 minute", remember: str = "1 day") -> DataFrame:
     """One row (DONE) of each request of a chunk stream (CHUNK and its event time `ts`), when `silence` has passed since its last fragment: complete with a finish marker, else incomplete and without content.
 
-    State holds a fragment an entry, so a batch writes its new ones alone; a repeated fragment (same seq) counts once. A closed request is
+    State is a list of fragments to which a batch adds its own in one call, without reading the others; a repeated fragment (same seq) counts once. A closed request is
     remembered for `remember`, and fragments that come in that time change nothing. Order and files of the input don't matter within `delay`.
     """
     prepared(chunks.sparkSession)
-    timed = chunks.where("request_id is not null and seq is not null").withWatermark("ts", delay)
-    return timed.groupBy("request_id").transformWithStateInPandas(_Answers(_ms(silence), _ms(remember)), DONE, "append", "EventTime")
+    timed = chunks.where("request_id is not null and seq is not null").withWatermark("ts", delay).select("request_id", _millis("ts"), "seq", *NAMES, "ts")
+    return timed.groupBy("request_id").transformWithState(_Answers(_ms(silence), _ms(remember)), DONE, "append", "EventTime")
 
 
 class _Progress(_Timed):
@@ -138,15 +128,15 @@ class _Progress(_Timed):
         self.last = handle.getValueState("last", f"{self.kinds}, timer bigint")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        old = self.last.get() if self.last.exists() else None
-        new = max(rows_of(rows, self.names), key=lambda r: r[0])
+        old = self.last.get()
+        _, time, *new = max(rows, key=lambda r: r[2])
         if old is not None and old[0] >= new[0]:
             return iter(())
         timer, out = old[-1] if old is not None else None, []
         if timer is not None and timer <= timerValues.getCurrentWatermarkInMs():  # overdue, though the timer goes off after these rows
             out.append(self.row(key, old[:-1], "interrupted"))
         if new[self.names.index("status")] == "running":
-            at = millis(new[self.names.index("ts")]) + self.wait + 1
+            at = time + self.wait + 1
             self.moved(timer, at)
         else:
             at = None
@@ -160,8 +150,8 @@ class _Progress(_Timed):
         self.last.update((*held, None))
         return iter([self.row(key, held, "interrupted")])
 
-    def row(self, key, held, shown: str) -> pd.DataFrame:
-        return pd.DataFrame({"task_id": [key[0]], **{n: pd.Series([v], dtype=None if isinstance(v, int) or n == "ts" else object) for n, v in zip(self.names, held, strict=True)}, "shown": [shown]})
+    def row(self, key, held, shown: str) -> Row:
+        return Row(**dict(zip(["task_id", *self.names, "shown"], [key[0], *held, shown], strict=True)))
 
 
 def progress(updates: DataFrame, stale: str = "6 hours", delay: str = "1 hour") -> DataFrame:
@@ -177,9 +167,9 @@ def progress(updates: DataFrame, stale: str = "6 hours", delay: str = "1 hour")
     names = first + [c for c in updates.columns if c not in ("task_id", *first)]
     kinds = dict(updates.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
-    timed = updates.where("task_id is not null and seq is not null").withWatermark("ts", delay)
+    timed = updates.where("task_id is not null and seq is not null").withWatermark("ts", delay).select("task_id", _millis("ts"), *names)
     out = f"task_id {kinds['task_id']}, {schema}, shown string"
-    return timed.groupBy("task_id").transformWithStateInPandas(_Progress(names, schema, _ms(stale), _ms(delay)), out, "append", "EventTime")
+    return timed.groupBy("task_id").transformWithState(_Progress(names, schema, _ms(stale), _ms(delay)), out, "append", "EventTime")
 
 
 def newest_progress(log: DataFrame) -> DataFrame:
@@ -190,39 +180,39 @@ def newest_progress(log: DataFrame) -> DataFrame:
 class _Admission(_Timed):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.waiting = handle.getMapState("waiting", "at bigint, seq bigint", "owner string, digest string")
+        self.waiting = handle.getListState("waiting", "at bigint, seq bigint, owner string, digest string")
         self.first = handle.getValueState("first", "owner string, digest string, at bigint")
         self.timer = handle.getValueState("timer", "at bigint")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        old = self.timer.get()[0] if self.timer.exists() else None
-        soonest = old
-        for seq, ts, owner, digest in rows_of(rows, ["seq", "ts", "owner", "digest"]):
-            at = millis(ts)
-            self.waiting.updateValue((at, int(seq)), (owner, digest))
-            soonest = at if soonest is None else min(soonest, at)
+        old = (self.timer.get() or (None,))[0]
+        new = [tuple(r[1:-1]) for r in rows]  # without the key and `ts`, by which late rows are dropped
+        self.waiting.appendList(new)  # all in one go
+        soonest = min([r[0] for r in new] + ([] if old is None else [old]))
         self.moved(old, soonest)
         self.timer.update((soonest,))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
-        every = sorted((k, v) for k, v in self.waiting.iterator())
+        every = sorted({(at, seq): (owner, digest) for at, seq, owner, digest in self.waiting.get()}.items())
         due, later = [e for e in every if e[0][0] <= now], [e for e in every if e[0][0] > now]
-        out = []
+        first, out = self.first.get(), []
         for (at, seq), said in due:
-            if not self.first.exists():
-                self.first.update((*said, at))
-                verdict = "accepted"
+            if first is None:
+                first, verdict = (*said, at), "accepted"
+                self.first.update(first)
             else:
-                verdict = "duplicate" if tuple(self.first.get()[:2]) == tuple(said) else "conflict"
-            out.append((key[0], seq, verdict))
-            self.waiting.removeKey((at, seq))
-        self.timer.clear()
+                verdict = "duplicate" if tuple(first[:2]) == said else "conflict"
+            out.append(Row(request_id=key[0], seq=seq, verdict=verdict))
         if later:
+            self.waiting.put([(*k, *v) for k, v in later])
             self.handle.registerTimer(later[0][0][0])
             self.timer.update((later[0][0][0],))
-        return iter([pd.DataFrame(out, columns=["request_id", "seq", "verdict"])] if out else ())
+        else:
+            self.waiting.clear()
+            self.timer.clear()
+        return iter(out)
 
 
 def submissions(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -233,5 +223,5 @@ def submissions(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
     """
     prepared(requests.sparkSession)
     digest = F.sha2(F.coalesce("payload", F.lit("")), 256)
-    timed = requests.where("request_id is not null and seq is not null").withWatermark("ts", delay).withColumn("digest", digest)
-    return timed.groupBy("request_id").transformWithStateInPandas(_Admission(), "request_id bigint, seq bigint, verdict string", "append", "EventTime")
+    timed = requests.where("request_id is not null and seq is not null").withWatermark("ts", delay).select("request_id", _millis("ts"), "seq", "owner", digest.alias("digest"), "ts")
+    return timed.groupBy("request_id").transformWithState(_Admission(), "request_id bigint, seq bigint, verdict string", "append", "EventTime")

@@ -88,3 +88,29 @@ def test_submissions_are_labelled_alike_in_any_order_of_files(spark, tmp_path, o
     got, _ = stream(spark, tmp_path, [parts[k] for k in order] + [[(-1, 0, "", "", at(5000))]], schema, lambda s: keyed.submissions(s, "2 hours"))
     want = ledger.submissions(spark.createDataFrame(rows[:60], schema)).select("request_id", "seq", "verdict")
     assert sorted(map(tuple, got.where(F.col("request_id") >= 0).collect())) == sorted(map(tuple, want.collect()))
+
+
+class Counted:
+    """A handle and its states, which count calls and hold nothing."""
+
+    def __init__(self):
+        self.calls = 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            if not name.endswith("State"):
+                self.calls += 1
+            return self if name.endswith("State") else None
+
+        return call
+
+
+@pytest.mark.parametrize(("job", "row"), [(keyed._Answers(1, 1), (1, 5, 0, *[None] * 9, T0)), (keyed._Admission(), (1, 5, 0, "o", "d", T0))])
+def test_calls_of_state_do_not_grow_with_a_batch(job, row):
+    made = []
+    for n in (1, 500):
+        handle = Counted()
+        job.init(handle)
+        assert not list(job.handleInputRows((1,), iter([(*row[:2], i, *row[3:]) for i in range(n)]), Counted()))
+        made.append(handle.calls)
+    assert made[0] == made[1] <= 5
