@@ -279,6 +279,8 @@ def r03_requests_admitted_once_by_stream(spark, sf_dir):
 def _sliced(spark, df, by: str, kind: str, clock=None, slices: int = 4) -> str:
     """The rows as files, written slice by slice in ascending `by` and read two files a batch; a clock's row last."""
     at = scratch(spark, kind)
+    df.write.parquet(f"{at}/rows")  # made once, though they are read for each slice
+    df = spark.read.schema(df.schema).parquet(f"{at}/rows")
     low, high = df.agg(F.min(by), F.max(by)).first()
     step = (high - low) / slices if low is not None else 0
     for i in range(slices):
