@@ -16,9 +16,11 @@ POSTING = "gram bigint, kind string, id string"
 
 def _grams(text: str | Column) -> Column:
     """The distinct trigrams of a text in lower case, as hashes."""
-    lower = F.lower(text)
-    places = F.sequence(F.lit(1), F.length(lower) - 2)
-    return F.when(F.length(lower) >= 3, F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(lower, i, F.lit(3))))))
+    chars = F.split(F.lower(text), "")
+    size = F.size(chars)
+    # characters beside their next two: a substring would look for its place from the text's start
+    near = F.slice(F.arrays_zip(chars.alias("a"), F.slice(chars, F.lit(2), size).alias("b"), F.slice(chars, F.lit(3), size).alias("c")), F.lit(1), size - 2)
+    return F.when(F.length(F.lower(text)) >= 3, F.array_distinct(F.transform(near, lambda n: F.xxhash64(F.concat(n["a"], n["b"], n["c"])))))
 
 
 def _bucket(gram: Column) -> Column:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from spectraloom.operators import literature, search
 
@@ -56,3 +57,17 @@ def test_rows_that_changed_after_they_were_indexed(spark, tmp_path):
 @pytest.mark.parametrize("query,parts", [("a%b_c", ["a", "b", "c"]), ("\\%x\\_", ["%x_"]), ("", []), ("%%", []), ("end\\", ["end\\"])])
 def test_literal_parts(query, parts):
     assert search.literals(query) == parts
+
+
+def test_trigrams_of_long_lines_take_linear_time(spark):
+    import time
+
+    text = "".join(chr(97 + (i * i + i // 7) % 26) if i % 11 else "é😀"[i % 2] for i in range(300_000))
+    df = spark.createDataFrame([(text,), ("aB",), ("",), (None,), ("AbCaB",)], "text string")
+    t0 = time.monotonic()
+    made = [r[0] for r in df.select(F.size(search._grams("text"))).collect()]
+    assert time.monotonic() - t0 < 20
+    assert made[0] == len({text[i : i + 3] for i in range(len(text) - 2)})
+    assert made[4] == 3 and all(n in (-1, None) for n in made[1:4])
+    hashes = df.where("text = 'AbCaB'").select(search._grams("text"), F.array(*[F.xxhash64(F.lit(g)) for g in ("abc", "bca", "cab")])).first()
+    assert hashes[0] == hashes[1]  # the postings of before stay valid
