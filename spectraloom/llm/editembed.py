@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from spectraloom.llm.minhash import components, with_side
+from spectraloom.llm.minhash import components, only_ids, with_side
 from spectraloom.llm.textbatch import mixed, small_batches
 from spectraloom.session import checkpointed, shuffle_width
 
@@ -261,21 +262,65 @@ def neighbour_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 #: Digits of a band: every run of so many samples in an octave, as edits spoil runs of samples too. A key has 2^32 values.
 DIGITS = 8
-#: Members of a key whose texts meet in one task.
-MEMBERS = 128
+#: Members of a key that meet in one task, and a document's pairs with others of its key that are tried at first.
+MEMBERS, FEW = 4096, 256
+
+
+def _band_keys(prints: list[str]) -> list[np.ndarray]:
+    """By print, a number for each band: its octave, its place in it, and its digits (of 17: '.' is one)."""
+    of, octave, parts = [], [], []
+    for i, p in enumerate(prints):
+        last = len(p) // SAMPLES - 1
+        for at in range(max(last - 2, 0), last + 1):
+            part = p[at * SAMPLES : (at + 1) * SAMPLES]
+            if at < last or last == 0 or "." not in part:
+                of.append(i), octave.append(at), parts.append(part)
+    if not parts:
+        return [np.zeros(0, np.int64) for _ in prints]
+    digits = _DIGIT[np.frombuffer("".join(parts).encode(), np.uint8)].reshape(-1, SAMPLES)
+    bands = np.lib.stride_tricks.sliding_window_view(digits, DIGITS, axis=1) @ (17 ** np.arange(DIGITS, dtype=np.int64))
+    keys = (np.array(octave)[:, None] * SAMPLES + np.arange(bands.shape[1])) * 17**DIGITS + bands
+    ends = np.searchsorted(of, np.arange(len(prints) + 1)) * keys.shape[1]
+    return [keys.ravel()[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+
+
+_DIGIT = np.zeros(256, np.int64)
+_DIGIT[np.frombuffer(b"0123456789abcdef.", np.uint8)] = np.arange(17)
 
 
 def band_keys(print_col: str) -> Column:
     """Keys of bands over the three highest full octaves: near copies share one, whichever octave their ends fall in."""
-    octaves = F.col(print_col)
-    last = (F.length(octaves) / SAMPLES - 1).cast("int")
-    keys = []
-    for down in range(3):
-        at = last - down
-        part = F.substring(octaves, at * SAMPLES + 1, F.lit(SAMPLES))
-        for b in range(SAMPLES - DIGITS + 1):
-            keys.append(F.when((at >= 0) & ((down > 0) | (last == 0) | ~part.contains(".")), F.concat_ws(":", at, F.lit(b), F.substring(part, b + 1, DIGITS))))
-    return F.array_compact(F.array(*keys))
+
+    def run(prints: pa.Array) -> pa.Array:
+        return pa.array(_band_keys(prints.to_pylist()), pa.list_(pa.int64()))
+
+    run.__annotations__ = {"prints": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<bigint>")(print_col)
+
+
+#: Hashed counts of neighbouring characters that stand for a text; an edit changes four of them by one at most.
+COUNTS = 256
+
+
+def profiles(texts: list[str]) -> np.ndarray:
+    """(texts × COUNTS): how often each class of character pairs occurs, 65,535 at most: texts d edits apart differ by 4 d at most in all."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    inside = text[1:] == text[:-1]
+    classes = mixed(points[:-1] * np.uint64(0x110000) + points[1:]) % np.uint64(COUNTS)
+    counts = np.bincount(text[1:][inside] * COUNTS + classes[inside].astype(np.int64), minlength=len(texts) * COUNTS)
+    return np.minimum(counts, 65535).astype(np.uint16).reshape(-1, COUNTS)
+
+
+def profile(text: Column | str) -> Column:
+    """A text's `profiles`, as bytes."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([row.tobytes() for part in _parts(batch.to_pylist()) for row in profiles(part)], pa.binary())
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "binary")(text)
 
 
 def edits(a: str, b: str, most: int) -> int | None:
@@ -283,10 +328,23 @@ def edits(a: str, b: str, most: int) -> int | None:
     if abs(len(a) - len(b)) > most:
         return None
     goal, reach = len(b) - len(a), {0: -1}
-    slide = lambda i, k: next((i + n for n in range(min(len(a) - i, len(b) - i - k)) if a[i + n] != b[i + n + k]), min(len(a), len(b) - k))
+
+    def slide(i: int, k: int) -> int:
+        """The first place from i on where a differs from b, k further on: by stretches that double, then halve."""
+        end, step = min(len(a), len(b) - k), 16
+        if i < end and a[i] != b[i + k]:
+            return i
+        while i < end and a[i : min(i + step, end)] == b[i + k : min(i + step, end) + k]:
+            i, step = min(i + step, end), 2 * step
+        while step > 1 and i < end:
+            step //= 2
+            if a[i : min(i + step, end)] == b[i + k : min(i + step, end) + k]:
+                i = min(i + step, end)
+        return i
+
     for d in range(most + 1):
         now = {}
-        for k in range(-d, d + 1):
+        for k in range(max(-d, goal - most + d), min(d, goal + most - d) + 1):  # from others the goal is too far
             i = 0 if d == 0 else max(reach.get(k - 1, -2), reach.get(k, -2) + 1, reach.get(k + 1, -2) + 1)
             if i < 0 or i > len(a) or i + k > len(b) or i + k < 0:
                 continue
@@ -302,30 +360,60 @@ def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
 
     Equal texts go with their smallest id. A band's other documents are compared with its
     first; where that leaves a band in several components, those are compared with each
-    other, in memory. Null texts are empty, and empty texts equal; rows whose id is null are
+    other by size and profile, in memory, and what that leaves by text, in rounds. Null texts are empty, and empty texts equal; rows whose id is null are
     left out; rows that repeat an id count as one document, that of the smallest text. An empty
     table has no pairs. Columns other than the id and the text play no part.
     """
     small_batches(df.sparkSession)
-    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).where("id is not null").groupBy("id").agg(F.min("text").alias("text"))
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).where("id is not null")
+    width = shuffle_width(df.sparkSession)
     # a walk from each end: an edit can leave a walk out of step for long, but only beyond it
-    prints = docs.withColumn("print", fingerprint("text")).withColumn("back", fingerprint(F.reverse("text")))
-    keys = F.concat(band_keys("print"), F.transform(band_keys("back"), lambda k: F.concat(F.lit("-"), k)))
-    marked = checkpointed(prints.select("id", F.sha2("text", 256).alias("digest"), keys.alias("keys")))
+    # a number of partitions that is asked for stays: few texts are much work
+    prints = docs.repartition(width, "id").groupBy("id").agg(F.min("text").alias("text")).withColumn("print", fingerprint("text")).withColumn("back", fingerprint(F.reverse("text")))
+    keys = F.concat(band_keys("print"), F.transform(band_keys("back"), lambda k: -1 - k))
+    marked = checkpointed(prints.select("id", F.sha2("text", 256).alias("digest"), F.length("text").alias("size"), profile("text").alias("profile"), keys.alias("keys")))
     own = marked.groupBy("digest").agg(F.min("id").alias("id_a"))
     copies = marked.join(own, "digest").where("id_a < id").select("id_a", F.col("id").alias("id_b"), F.lit(0).alias("edits"))
-    keyed = checkpointed(marked.join(own.select(F.col("id_a").alias("id")), "id", "left_semi").select("id", F.explode("keys").alias("key")))
-    firsts = keyed.groupBy("key").agg(F.min("id").alias("id_a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = keyed.join(firsts, "key").where("id_a < id").select("id_a", F.col("id").alias("id_b")).distinct()
+    different = checkpointed(marked.join(own.select(F.col("id_a").alias("id")), "id", "left_semi").select("id", "size", "profile", "keys"))
+    facts, keyed = different.select("id", "profile"), different.select("id", "size", F.explode("keys").alias("key"))
+    firsts = keyed.groupBy("key").agg(F.min_by(F.struct("id", "size"), "id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.id").alias("id_a"), F.col("first.size").alias("size_a"))
+    keyed = checkpointed(keyed.join(firsts, "key"))  # a key of one document has no pair
+    pairs = keyed.where((F.col("id_a") < F.col("id")) & (F.abs(F.col("size") - F.col("size_a")) <= most)).select("id_a", F.col("id").alias("id_b")).distinct()
+    links = _verified(pairs, facts, docs, most)
+    keyed, found, tried, cap = keyed.select("id", "size", "key"), [links], [], FEW
+    while True:
+        met = checkpointed(_torn_pairs(keyed, reduce(DataFrame.union, found), facts, most, cap))
+        if not met.limit(1).count():
+            break
+        fresh = met.select("id_a", "id_b").distinct()
+        found.append(_verified(reduce(lambda d, t: d.join(t.select("id_a", "id_b"), ["id_a", "id_b"], "left_anti"), tried, fresh), None, docs, most))
+        tried.append(met)
+        if not met.where("more").limit(1).count():
+            break
+        cap *= 8
+    return copies.union(reduce(DataFrame.union, found).dropDuplicates(["id_a", "id_b"]))
+
+
+def _verified(pairs: DataFrame, facts: DataFrame | None, docs: DataFrame, most: int) -> DataFrame:
+    """(id_a, id_b, edits) of the pairs that are near: profiles rule out most others before texts are fetched."""
+
+    def near(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint16).reshape(-1, COUNTS).astype(np.int32) for v in (a, b))
+        return pa.array(np.abs(x - y).sum(axis=1) <= 4 * most)
 
     def check(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([edits(x, y, most) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
 
-    check.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
+    for f in (near, check):
+        f.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
+    if facts is not None:
+        both = with_side(with_side(checkpointed(pairs), facts, "id_b", "id_a"), facts, "id_a", "id_b")
+        pairs = both.where(F.arrow_udf(near, "boolean")("own_id_a", "own_id_b")).select("id_a", "id_b")
     pairs = checkpointed(pairs)
-    both = with_side(with_side(pairs, docs, "id_b", "id_a"), docs, "id_a", "id_b")
-    links = checkpointed(both.select("id_a", "id_b", F.arrow_udf(check, "int")("own_id_a", "own_id_b").alias("edits")).where("edits is not null"))
-    return copies.union(links).union(_torn_pairs(keyed, links, docs, most))
+    needed = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    texts = only_ids(docs, "id", needed).groupBy("id").agg(F.min("text").alias("text"))
+    both = with_side(with_side(pairs, texts, "id_b", "id_a"), texts, "id_a", "id_b").repartition(shuffle_width(docs.sparkSession))
+    return checkpointed(both.select("id_a", "id_b", F.arrow_udf(check, "int")("own_id_a", "own_id_b").alias("edits")).where("edits is not null"))
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 20) -> DataFrame:
@@ -340,47 +428,52 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     return ids.select(id_col, own.alias("group_id"), own.eqNullSafe(F.col(f"`{id_col}`")).alias("kept"))
 
 
-def _torn_pairs(keyed: DataFrame, links: DataFrame, docs: DataFrame, most: int) -> DataFrame:
-    """(id_a, id_b, edits) that connect near documents of one key which `links` leaves in different components."""
+def _torn_pairs(keyed: DataFrame, links: DataFrame, facts: DataFrame, most: int, cap: int) -> DataFrame:
+    """(id_a, id_b, more): documents of one key that `links` leaves in different components and whose sizes and profiles may be near; of a document the first `cap` that a block holds, `more` where others are left.
+
+    Members meet by size: those of a slot of `most` + 1 sizes with each other and with the next slot's, in blocks. Texts don't move.
+    """
     parts = components(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).withColumnRenamed("node", "id")
-    rows = keyed.join(parts, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
-    torn = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks")).where("x < y")
-    met = rows.join(torn.drop("x", "y"), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "component").join(docs, "id")
-    together = dealt.select("key", "low", "high", "own", "id", "component", "text").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id")
+    slot = F.floor(F.col("size") / (most + 1))
+    rows = keyed.join(parts, "id", "left").select("id", "size", "key", F.coalesce("component", "id").alias("component"), F.explode(F.array(slot, slot - 1)).alias("slot"))
+    torn = rows.groupBy("key", "slot").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks")).where("x < y")
+    met = rows.join(torn.drop("x", "y"), ["key", "slot"])
+    # the same members may meet in many keys: once is enough
+    alike = met.groupBy("key", "slot", "blocks").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("xor"), F.count("*").alias("n"))
+    once = alike.groupBy("slot", "sum", "xor", "n").agg(F.min("key").alias("key"))
+    met = met.join(once.select("key", "slot"), ["key", "slot"])
+    met = met.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = met.select("key", "slot", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "size", "component").join(facts, "id")
+    group = ["key", "slot", "low", "high"]
+    together = dealt.select(*group, "own", "id", "size", "component", "profile").repartition(*group).sortWithinPartitions(*group, "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
+        at, held = None, []
         for batch in batches:
-            for key, low, high, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if held and group != (key, low, high):
-                    yield pa.RecordBatch.from_pylist(_joined(held, group[1] != group[2], most), schema)
+            for *key, own, i, size, component, profile in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and at != key:
+                    yield pa.RecordBatch.from_pylist(_candidates(held, at[1], at[2] != at[3], most, cap), schema)
                     held = []
-                group = (key, low, high)
-                held.append(row)
+                at = key
+                held.append((own, i, size, component, profile))
         if held:
-            yield pa.RecordBatch.from_pylist(_joined(held, group[1] != group[2], most), schema)
-
-    kind = docs.schema["id"].dataType
-    schema = pa.schema([("id_a", to_arrow_type(kind)), ("id_b", to_arrow_type(kind)), ("edits", pa.int32())])
-    return together.mapInArrow(compare, f"id_a {kind.simpleString()}, id_b {kind.simpleString()}, edits int").dropDuplicates(["id_a", "id_b"])
-
-
-def _joined(members: list, across: bool, most: int) -> list[dict]:
-    """Pairs of (block, id, component, text), by ascending id, that join two components; `across`: of different blocks only."""
-    up = {}
-
-    def top(x):
-        while x in up:
-            x = up[x]
-        return x
-
-    out = []
-    for j, (own, b, right, y) in enumerate(members):
-        for block, a, left, x in members[:j]:
-            if (across and block == own) or abs(len(x) - len(y)) > most or top(left) == top(right):
-                continue
-            if (d := edits(x, y, most)) is not None:
-                out.append({"id_a": a, "id_b": b, "edits": d})
-                up[top(right)] = top(left)
+            yield pa.RecordBatch.from_pylist(_candidates(held, at[1], at[2] != at[3], most, cap), schema)
+
+    kind = keyed.schema["id"].dataType
+    schema = pa.schema([("id_a", to_arrow_type(kind)), ("id_b", to_arrow_type(kind)), ("more", pa.bool_())])
+    return together.mapInArrow(compare, f"id_a {kind.simpleString()}, id_b {kind.simpleString()}, more boolean")
+
+
+def _candidates(members: list, slot: int, across: bool, most: int, cap: int) -> list[dict]:
+    """Pairs of (block, id, size, component, profile), by ascending id, in two components, with one in the slot, that sizes and profiles leave a chance; `across`: of different blocks only."""
+    numbers: dict = {}
+    block, size = (np.array([m[c] for m in members], np.int64) for c in (0, 2))
+    component = np.array([numbers.setdefault(m[3], len(numbers)) for m in members])
+    counts = np.frombuffer(b"".join(m[4] for m in members), np.uint16).reshape(-1, COUNTS).astype(np.int32)
+    here, out = size // (most + 1) == slot, []
+    for j in range(1, len(members)):
+        may = (np.abs(size[:j] - size[j]) <= most) & (component[:j] != component[j]) & (here[:j] | here[j])
+        at = np.flatnonzero(may & (block[:j] != block[j]) if across else may)
+        at = at[np.abs(counts[at] - counts[j]).sum(axis=1) <= 4 * most]
+        out += [{"id_a": members[i][1], "id_b": members[j][1], "more": len(at) > cap} for i in at[:cap].tolist()]
     return out
