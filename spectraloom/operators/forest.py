@@ -8,6 +8,8 @@ is the deeper one's top: what each depth of a grid predicts is noted on the way
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -218,3 +220,107 @@ def fitted(rows: DataFrame, fits: list[tuple[int, int]], features: list[str], ga
 
     made = dealt.groupBy("job").applyInArrow(run, "outer int, inner int, leaf int, row bigint, " + ", ".join(f"p_{k} double" for k in range(most)))
     return made.groupBy("outer", "inner", "leaf", "row").agg(*[(F.sum(f"p_{k}") / trees).alias(f"p_{k}") for k in range(most)])
+
+
+#: Rows × trees from which sums by cell, distinct row of features and tree stand for the rows, and how many cells × distinct rows there may be.
+SUMMED_FROM, MOST_SUMS = 1 << 27, 1 << 18
+#: Sums (cells × distinct rows × trees) of a task that grows trees, at most; its trees for all fits are one of BATCHES, at least.
+TASK_SUMS, BATCHES = 1 << 22, 24
+#: How often a row is drawn, by 16 random bits: Poisson's law with mean 1.
+TIMES = np.searchsorted(np.rint(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)]) * 65536), np.arange(65536), side="right").astype(np.uint8)
+
+
+def times(keys: np.ndarray, trees: int, seed: int) -> np.ndarray:
+    """(rows × trees): how often each tree draws the rows of these keys, whatever rows stand beside them."""
+    salts = mixed((np.arange(1, -(-trees // 4) + 1, dtype=np.uint64) + np.uint64(seed % (1 << 63))) * _ODD)
+    return TIMES[mixed(keys[:, None] ^ salts).view(np.uint16)][:, :trees]
+
+
+def batches_of(trees: int, sums: int) -> int:
+    return min(trees, max(BATCHES, -(-sums * trees // TASK_SUMS)))
+
+
+def tree_sums(rows: DataFrame, trees: int, batches: int, seed: int, bootstrap: bool = True, together: int = 512) -> DataFrame:
+    """(batch, cell, entry, rows, times, total): of rows (cell, entry, key, y), what each tree of a batch draws of each cell and entry: different rows, rows with repeats, the sum of their targets.
+
+    Rows go by ranges of (cell, entry, key), so that no entry is one task's. An entry that spans ranges comes in parts. Equal rows are drawn independently.
+    """
+    own = [np.arange(b, trees, batches) for b in range(batches)]
+    schema = pa.schema([("batch", pa.int32()), ("cell", pa.binary()), ("entry", pa.binary()), ("rows", pa.binary()), ("times", pa.binary()), ("total", pa.binary())])
+
+    def made(held: list[tuple]) -> pa.RecordBatch:
+        cell, entry = (np.array([h[i] for h in held], np.int32).tobytes() for i in (0, 1))
+        drawn, counts, totals = (np.stack([h[i] for h in held]) for i in (2, 3, 4))
+        drawn, counts = (v.astype(np.min_scalar_type(int(v.max()))) for v in (drawn, counts))
+        parts = [[b, cell, entry, drawn[:, t].tobytes(), counts[:, t].tobytes(), totals[:, t].tobytes()] for b, t in enumerate(own)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*parts, strict=True), schema, strict=True)], schema=schema)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # the last may go on
+        last, repeat = None, 0
+        for part in parts:
+            for low in range(0, part.num_rows, 4096):
+                cell, entry, key, y = (c.to_numpy() for c in part.slice(low, 4096).columns)
+                new = np.r_[True, (key[1:] != key[:-1]) | (entry[1:] != entry[:-1]) | (cell[1:] != cell[:-1])]
+                first = np.flatnonzero(new)
+                place = np.arange(len(key)) - np.repeat(first, np.diff(np.r_[first, len(key)]))
+                if last == (cell[0], entry[0], key[0]):
+                    place[: first[1] if len(first) > 1 else len(key)] += repeat
+                last, repeat = (cell[-1], entry[-1], key[-1]), place[-1] + 1
+                drawn = times(key.view(np.uint64) + place.astype(np.uint64) * _ODD, trees, seed) if bootstrap else np.ones((len(key), trees), np.uint8)
+                cuts = np.flatnonzero(np.r_[True, (entry[1:] != entry[:-1]) | (cell[1:] != cell[:-1])])
+                sums = [np.add.reduceat(drawn > 0, cuts, axis=0, dtype=np.int64), np.add.reduceat(drawn, cuts, axis=0, dtype=np.int64), np.add.reduceat(drawn * y[:, None], cuts, axis=0)]
+                for i, at in enumerate(cuts):
+                    if held and held[-1][:2] == (cell[at], entry[at]):
+                        held[-1] = (*held[-1][:2], *(a + s[i] for a, s in zip(held[-1][2:], sums, strict=True)))
+                        continue
+                    if len(held) >= together:
+                        yield made(held)
+                        held = []
+                    held.append((cell[at], entry[at], *(s[i] for s in sums)))
+        if held:
+            yield made(held)
+
+    ranged = rows.select("cell", "entry", "key", "y").repartitionByRange("cell", "entry", "key").sortWithinPartitions("cell", "entry", "key")
+    return ranged.mapInArrow(run, "batch int, cell binary, entry binary, rows binary, times binary, total binary")
+
+
+def unpacked(row: dict, trees: int) -> tuple[tuple[np.ndarray, np.ndarray], list[np.ndarray]]:
+    """The (cells, entries) of a row of tree_sums, and for them by its batch's trees: rows, times and totals. Counts have as few bytes as they need."""
+    at = tuple(np.frombuffer(row[c], np.int32) for c in ("cell", "entry"))
+    counts = [np.frombuffer(row[c], f"u{len(row[c]) // (len(at[0]) * trees)}") for c in ("rows", "times")]
+    return at, [v.reshape(-1, trees) for v in (*counts, np.frombuffer(row["total"], np.float64))]
+
+
+def fitted_by_sums(sums: DataFrame, filled: list[np.ndarray], train: list[list[int]], fits: list[tuple[int, int]], cells: int, leaves: list[int], depths: list[int], trees: int, batches: int, choices: int | None, seed: int) -> dict[tuple[int, int], np.ndarray]:
+    """By (place of a fit, leaf), what its forest predicts for each entry, by depth (depths × entries): from tree_sums, the cells that each fit trains on and the entries' features as it fills them."""
+    n = len(filled[0])
+    limits = [None if d >= UNLIMITED else d for d in depths]
+
+    def run(group: pa.Table) -> pa.Table:
+        batch = group.column("batch")[0].as_py()
+        own = list(range(batch, trees, batches))
+        held = np.zeros((3, cells, n, len(own)))
+        for r in sorted(group.drop_columns(["batch"]).to_pylist(), key=lambda r: (r["cell"], r["entry"], r["total"])):  # sums don't hang on the order in which parts came
+            at, values = unpacked(r, len(own))
+            for h, v in zip(held, values, strict=True):
+                h[at] += v
+        out = []
+        for i, (outer, inner) in enumerate(fits):
+            entries = Entries.of(filled[i])
+            stats = np.zeros((3, len(own), n))
+            stats[:, :, entries.of_row] = held[:, train[i]].sum(axis=1).transpose(0, 2, 1)
+            keys = np.array([_seed(seed, outer, inner, t) for t in own])
+            together = max(1, TOGETHER // n)
+            for leaf in leaves:
+                made = sum(grown(entries, stats[:, low : low + together], filled[i], keys[low : low + together], limits, leaf, min(choices or filled[i].shape[1], filled[i].shape[1])).sum(axis=1) for low in range(0, len(own), together))
+                out.append((i, leaf, made.tobytes()))
+        return pa.table([pa.array(c) for c in zip(*out, strict=True)], pa.schema([("fit", pa.int32()), ("leaf", pa.int32()), ("p", pa.binary())]))
+
+    def added(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(p, np.float64) for p in sorted(group.column("p").to_pylist()))
+        return pa.table([group.column("fit")[:1], group.column("leaf")[:1], pa.array([total.tobytes()])], pa.schema([("fit", pa.int32()), ("leaf", pa.int32()), ("p", pa.binary())]))
+
+    kind = "fit int, leaf int, p binary"
+    parts = sums.repartition(8 * batches, "batch").groupBy("batch").applyInArrow(run, kind)
+    return {(r["fit"], r["leaf"]): np.frombuffer(r["p"], np.float64).reshape(len(depths), n) / trees for r in parts.groupBy("fit", "leaf").applyInArrow(added, kind).collect()}

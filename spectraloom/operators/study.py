@@ -29,6 +29,8 @@ from spectraloom.session import checkpointed, small_batches
 MOST_COLUMNS = 512
 #: Cells, at most: folds times inner folds, and more only where groups' inner folds differ by outer fold. A row's level holds numbers for each.
 MOST_CELLS = 4096
+#: Numbers that a task holds for groups before it gives them on.
+MOST_HELD = 1 << 21
 
 
 #: The share of a column's values that must read as numbers for it to be numeric.
@@ -87,7 +89,7 @@ class Splits:
     def train(self, fit: tuple[int, int]) -> list[int]:
         """The cells of a fit's training rows."""
         outer, inner = fit
-        return [i for i, (fold, inners) in enumerate(self.cells) if fold != outer and (inner < 0 or inners[outer] != inner)]
+        return [i for i, (fold, inners) in enumerate(self.cells) if fold != outer and (inner < 0 or inners.get(outer) != inner)]
 
     def training(self) -> list[list[int]]:
         """By cell, the numbers of the fits that train on it."""
@@ -172,10 +174,16 @@ def fit_medians(rows: DataFrame, splits: Splits, numeric: list[str]) -> list[dic
 def _partial_sums(df: DataFrame, keys: list[str], values, to: list[list[int]] | None = None) -> DataFrame:
     """(keys…, v): for each task, the sum over each key's rows of the arrays that `values` makes of (key, x, y) of the rows it is given.
 
-    With `to`, each key is a place in it, and its sum goes to all the keys that are listed there.
+    With `to`, each key is a place in it, and its sum goes to all the keys that are listed there. Without, a task gives what it holds
+    whenever that passes MOST_HELD numbers.
     """
     names = df.columns
 
+    def made(held: dict[tuple, np.ndarray]) -> pa.RecordBatch:
+        columns = [pa.array(list(c), f.type) for c, f in zip(zip(*held, strict=True), schema, strict=False)]
+        ends = np.cumsum([0, *(len(v) for v in held.values())], dtype=np.int32)
+        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(list(held.values())), pa.float64()))], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
         for batch in batches:
@@ -189,15 +197,17 @@ def _partial_sums(df: DataFrame, keys: list[str], values, to: list[list[int]] |
             for key, low, high in zip(unique, [0, *ends[:-1]], ends, strict=True):
                 own = order[low:high]
                 held[key] = held.get(key, 0) + values(key, x[own], y[own])
+            if to is None and held and len(held) * len(next(iter(held.values()))) > MOST_HELD:
+                yield made(held)
+                held = {}
         if to is not None:
             onto: dict[tuple, np.ndarray] = {}
             for (key,), total in held.items():
                 for k in to[key]:
                     onto[(k,)] = onto.get((k,), 0) + total
             held = onto
-        plain = lambda v: v.item() if isinstance(v, np.generic) else v
-        rows = [{**dict(zip(keys, map(plain, key), strict=True)), "v": total.tolist()} for key, total in held.items()]
-        yield pa.RecordBatch.from_pylist(rows, schema)
+        if held:
+            yield made(held)
 
     kinds = df.select(*keys).schema
     schema = to_arrow_schema(StructType(kinds.fields)).append(pa.field("v", pa.list_(pa.float64())))
@@ -338,25 +348,29 @@ def _chosen(arrays: DataFrame, splits: Splits, weights: dict, models: dict, sets
             out.append(np.abs(made - y[:, None]).sum(axis=0))
         return np.append(np.concatenate(out) if out else np.zeros(0), len(y))
 
+    scored = inner_errors(arrays, splits, group, errors, len(sets) * len(grid))
+    best = {}
+    for i, name in enumerate(sets):
+        for o in {o for o, _ in splits.fits}:
+            own = [scored[o, j][i * len(grid) : (i + 1) * len(grid)] for outer, j in splits.fits if outer == o and j >= 0]
+            best[name, o] = int(np.argmin(np.mean(own, axis=0)))
+    return best
+
+
+def inner_errors(arrays: DataFrame, splits: Splits, group: str, errors, count: int) -> dict[tuple[int, int], np.ndarray]:
+    """For each fit with an inner fold, the mean over its validation groups of the mean over rows of the `count` errors that `errors` sums up of (cell, group), x and y: those of all fits that the cell validates, and last the number of rows."""
+    validated = [splits.validated(c) for c in range(len(splits.cells))]
     known = arrays.where(F.col("cell").isin([c for c, fits in enumerate(validated) if fits]))
     totals: dict = {}
-    per_fit = len(sets) * len(grid)
     for r in _total(_sums_of_means(_partial_sums(known, ["cell", group], errors), "cell", group), ["cell"]).collect():
         totals.setdefault(r["cell"], {})[r["at"]] = r["v"]
-    scored: dict = {}
+    out: dict = {}
     for cell, sums in totals.items():
         for f, fit in enumerate(validated[cell]):
-            for i in range(per_fit):
-                own = scored.setdefault((list(sets)[i // len(grid)], *fit, i % len(grid)), [0.0, 0])
-                own[0] += sums[f * per_fit + i]
-                own[1] += sums[len(validated[cell]) * per_fit]
-    best = {}
-    for name in sets:
-        for o in {o for o, _ in splits.fits}:
-            inners = [j for outer, j in splits.fits if outer == o and j >= 0]
-            scores = [np.mean([scored[name, o, j, c][0] / scored[name, o, j, c][1] for j in inners]) for c in range(len(grid))]
-            best[name, o] = int(np.argmin(scores))
-    return best
+            own = out.setdefault(fit, [np.zeros(count), 0])
+            own[0] += [sums[f * count + i] for i in range(count)]
+            own[1] += sums[len(validated[cell]) * count]
+    return {fit: total / groups for fit, (total, groups) in out.items()}
 
 
 def manifest(folds: DataFrame, nested: DataFrame, group: str) -> DataFrame:

@@ -299,14 +299,22 @@ def forest_study(rows: DataFrame, folds: DataFrame, group: str, features: list[s
     Missing features take the median of the fit's training rows, and those that have
     gaps an indicator beside it; a feature without training values raises.
 
-    Where a task can hold the rows (forest.MOST_VALUES), trees are grown side by side and those of all depths at once, with
+    Large tables of few distinct rows of features (forest.SUMMED_FROM, forest.MOST_SUMS) are summed up by cell, distinct row and tree, from which each
+    fit's trees are grown with all values as thresholds; a tree draws each row by Poisson's law there, the same times in all fits. Else, where a task can hold the rows (forest.MOST_VALUES), trees are grown side by side and those of all depths at once, with
     all values as thresholds. Larger tables go to Spark's own learner, which bins values and takes the outer fold's medians. A forest tries the square root
     of the features at a node where inner folds choose; else all of them, or a third in Spark's learner. Trees draw rows with replacement; without `bootstrap`, each takes all. Targets must not be null.
     """
     grid = (grid or FOREST) if nested is not None else [(depth, 1)]
-    held = checkpointed(rows.join(folds.select(group, "fold"), group))
+    splits = _splits(folds, nested, group, len(grid) > 1) if rows.count() * trees >= forest.SUMMED_FROM else None
+    held = checkpointed(rows.join(splits.groups.withColumnRenamed("cell", "__cell") if splits else folds.select(group, "fold"), group))
     gaps = held.agg(F.count("*").alias("__rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in features]).first()
     open_ = [c for c in features if gaps[c]]
+    if splits:
+        most = forest.MOST_SUMS // len(splits.cells)
+        entries = held.select(*[F.col(c).cast("double").alias(c) for c in features]).distinct().limit(most + 1).collect()
+        if len(entries) <= most:
+            return _summed_forests(held, splits, sorted(map(tuple, entries), key=lambda r: [(v is None, v or 0.0) for v in r]), group, features, open_, target, trees, seed, nested is not None, grid, bootstrap)
+        held = held.drop("__cell")
     if gaps["__rows"] * (len(features) + len(open_)) <= forest.MOST_VALUES:
         return _shared_forests(held, group, features, open_, target, trees, seed, nested, grid, gaps["__rows"], bootstrap)
     from pyspark.ml.feature import VectorAssembler
@@ -345,6 +353,55 @@ def forest_study(rows: DataFrame, folds: DataFrame, group: str, features: list[s
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
+def _splits(folds: DataFrame, nested: DataFrame | None, group: str, choose: bool):
+    """The cells of folds and nested folds; None where they are too many."""
+    from spectraloom.operators import study
+
+    try:
+        return study.Splits(checkpointed(folds), nested, group, choose and nested is not None)
+    except ValueError:
+        return None
+
+
+def _summed_forests(held: DataFrame, splits, entries: list[tuple], group: str, features: list[str], gaps: list[str], target: str, trees: int, seed: int, nested: bool, grid: list[tuple[int, int]], bootstrap: bool) -> DataFrame:
+    """forest_study over sums by cell, entry (a distinct row of features) and tree: rows are read for the sums, the errors of the candidates and the predictions."""
+    from spectraloom.operators import study
+
+    spark = held.sparkSession
+    base = held.agg(F.avg(F.col(target).cast("double"))).first()[0]
+    medians = study.fit_medians(held.withColumnRenamed("__cell", "cell"), splits, gaps)
+    raw = np.array([[np.nan if v is None else v for v in e] for e in entries])
+    missing = np.isnan(raw)
+    fill = [np.where(missing, [m.get(c, np.nan) for c in features], raw) for m in medians]
+    filled = [np.column_stack([x, missing[:, [features.index(c) for c in gaps]].astype(float)]) for x in fill]
+    named = spark.createDataFrame([(i, *e) for i, e in enumerate(entries)], ", ".join(["__entry int", *(f"__x_{i} double" for i in range(len(features)))]))
+    same = reduce(and_, [F.col(c).cast("double").eqNullSafe(F.col(f"__x_{i}")) for i, c in enumerate(features)])
+    kept = [c for c in held.columns if c not in ("__cell", "predicted", "depth", "leaf")]
+    key = F.xxhash64(*[c for c, kind in held.dtypes if c not in ("__cell", "fold") and "map<" not in kind])
+    coded = held.join(F.broadcast(named), same)
+    facts = coded.select(F.col("__cell").alias("cell"), group, F.col("__entry").alias("entry"), key.alias("key"), (F.col(target).cast("double") - base).alias("y"))
+    cells, depths, leaves = len(splits.cells), list(dict.fromkeys(d for d, _ in grid)), list(dict.fromkeys(leaf for _, leaf in grid))
+    choices = max(1, int((len(features) + len(gaps)) ** 0.5)) if nested else None
+    batches = forest.batches_of(trees, cells * len(entries))
+    sums = forest.tree_sums(facts, trees, batches, seed, bootstrap)
+    found = forest.fitted_by_sums(sums, filled, [splits.train(f) for f in splits.fits], splits.fits, cells, leaves, depths, trees, batches, choices, seed)
+    outers = [o for o, j in splits.fits if j < 0]
+    best = dict.fromkeys(outers, grid[0])
+    made = lambda fit, c: found[splits.fits.index(fit), c[1]][depths.index(c[0])]
+    if len(grid) > 1 and nested:
+        # candidates × entries of the fits that a cell validates: bounded by MOST_SUMS
+        tried = spark.sparkContext.broadcast([np.concatenate([[made(f, c) for c in grid] for f in splits.validated(cell)]).T if splits.validated(cell) else None for cell in range(cells)])
+
+        def errors(own, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            return np.append(np.abs(tried.value[own[0]][x[:, 0].astype(np.int64)] - y[:, None]).sum(axis=0), len(y))
+
+        scores = study.inner_errors(facts.select("cell", group, F.array(F.col("entry").cast("double")).alias("x"), "y"), splits, group, errors, len(grid))
+        best = {o: grid[int(np.argmin(np.mean([scores[f] for f in splits.fits if f[0] == o and f[1] >= 0], axis=0)))] for o in outers}
+    final = [(o, i, float(v) + base, *best[o]) for o in outers for i, v in enumerate(made((o, -1), best[o]))]
+    sent = spark.createDataFrame(final, "fold int, __entry int, predicted double, depth int, leaf int")
+    return coded.select(*kept, "__entry").join(F.broadcast(sent), ["fold", "__entry"]).select(*kept, "predicted", "depth", "leaf")
+
+
 def _shared_forests(held: DataFrame, group: str, features: list[str], gaps: list[str], target: str, trees: int, seed: int, nested: DataFrame | None, grid: list[tuple[int, int]], n: int, bootstrap: bool) -> DataFrame:
     """forest_study over rows that a task can hold."""
     outers = sorted(r[0] for r in held.select("fold").distinct().collect())

@@ -112,3 +112,49 @@ def test_larger_tables_go_to_sparks_learner(spark, monkeypatch):
         assert sorted(r.i for r in made) == list(range(160))
         both.append(np.mean([(r.y - r.predicted) ** 2 for r in made]))
     assert max(both) < 0.5
+
+
+@pytest.mark.parametrize("bootstrap", [False, True])
+def test_sums_by_tree_against_draws_one_by_one(spark, bootstrap):
+    rng = np.random.default_rng(8)
+    rows = [(int(c), int(e), int(k), float(y)) for c, e, k, y in zip(rng.integers(0, 3, 6000), np.where(rng.random(6000) < 0.7, 2, rng.integers(0, 9, 6000)), rng.integers(-(2**62), 2**62, 6000), rng.normal(size=6000), strict=True)]
+    rows += [(1, 2, 5, 0.5)] * 900  # equal rows, each of which is drawn on its own
+    df = spark.createDataFrame(rows, "cell int, entry int, key bigint, y double").repartition(5)
+    got = np.zeros((3, 3, 9, 10))
+    for r in forest.tree_sums(df, 10, 4, 3, bootstrap, together=2).collect():
+        at, values = forest.unpacked(r.asDict(), len(range(r["batch"], 10, 4)))
+        for t, v in zip(got, values, strict=True):
+            t[(*at, slice(r["batch"], None, 4))] += v
+    want, seen = np.zeros_like(got), {}
+    for c, e, k, y in rows:
+        place = seen[c, e, k] = seen.get((c, e, k), -1) + 1
+        key = np.array([k], np.int64).view(np.uint64) + np.array([place], np.uint64) * forest._ODD
+        drawn = forest.times(key, 10, 3)[0].astype(float) if bootstrap else np.ones(10)
+        for t, v in zip(want, (drawn > 0, drawn, drawn * y), strict=True):
+            t[c, e] += v
+    assert np.allclose(got, want)
+    if bootstrap:
+        assert abs(got[1].sum() / 69_000 - 1) < 0.02 and abs(got[0].sum() / 69_000 - (1 - np.exp(-1))) < 0.01
+        equal = [forest.times(np.array([5], np.uint64) + np.array([i], np.uint64) * forest._ODD, 10, 3)[0].tolist() for i in range(900)]
+        assert len(set(map(tuple, equal))) > 850
+
+
+def test_large_tables_of_few_distinct_rows_move_sums_only(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 9, None if i % 11 == 0 else float(a), float(b), float(a * 3 + np.sin(3 * b) + rng.normal())) for i, (a, b) in enumerate(rng.integers(-3, 4, (240, 2)))]
+    df = spark.createDataFrame(rows, "i int, paper int, a double, b double, y double")
+    folds = validation.rank_folds(df, "paper", 3)
+    nested = validation.nested_folds(folds, "paper", 2)
+    grid = [(30, 1), (2, 1), (30, 4), (2, 4)]
+
+    def study(bootstrap):
+        return {r.i: r for r in validation.forest_study(df, folds, "paper", ["a", "b"], "y", trees=7, nested=nested, grid=grid, bootstrap=bootstrap).collect()}
+
+    whole, drawn = study(False), study(True)
+    monkeypatch.setattr(forest, "SUMMED_FROM", 1)
+    monkeypatch.setattr(forest, "fitted", None)  # no task is sent a fit's rows
+    got, some = study(False), study(True)
+    assert set(got) == set(whole) == set(some)
+    assert all(abs(got[i].predicted - w.predicted) < 1e-9 and (got[i].fold, got[i].depth, got[i].leaf) == (w.fold, w.depth, w.leaf) for i, w in whole.items())
+    miss = lambda made: np.mean([(r.y - r.predicted) ** 2 for r in made.values()])
+    assert miss(some) < 1.15 * miss(drawn)
