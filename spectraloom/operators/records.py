@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectraloom.functions import scalars
-from spectraloom.operators.tables import quantiles, value_counts
+from spectraloom.operators.tables import quantiles, value_counts, with_values
 
 # Words of header cells.
 HEADER_TERMS = ("doi", "sample", "membrane", "flux", "permeance", "rejection", "selectivity", "pressure", "temperature", "xps", "n1s", "o1s", "binding")
@@ -168,12 +168,11 @@ def histogram(df: DataFrame, group: str, value: str, bins: int) -> DataFrame:
     """(group, bin, n): counts in even bins between each group's extremes; the last bin is closed."""
     ends = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     place = F.floor((F.col(value) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins)
-    # one row a group: Spark broadcasts it where it is small
-    return df.join(ends, group).where(F.col(value).isNotNull()).groupBy(group, F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return with_values(df.select(group, value), ends, [group]).where(F.col(value).isNotNull()).groupBy(group, F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def box(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, q1, median, q3, low, high): quartiles and the whiskers, the furthest values within 1.5 times their distance."""
     cuts = quantiles(value_counts(df, [group], [value]).drop("field"), [group], [0.25, 0.5, 0.75]).drop("n")
-    near = df.join(cuts, group).where(F.col(value).between(F.col("q")[0] - 1.5 * (F.col("q")[2] - F.col("q")[0]), F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0])))
+    near = with_values(df.select(group, value), cuts, [group]).where(F.col(value).between(F.col("q")[0] - 1.5 * (F.col("q")[2] - F.col("q")[0]), F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0])))
     return near.groupBy(group, "q").agg(F.min(value).alias("low"), F.max(value).alias("high")).select(group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "low", "high")

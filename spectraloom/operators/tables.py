@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectraloom.session import running
+from spectraloom.session import checkpointed, running
 
 
 def top_rows(df: DataFrame, by: list[str], order: list[Column], k: int, slices: int = 32, salt: list[str] | None = None) -> DataFrame:
@@ -52,6 +52,19 @@ def long_values(df: DataFrame, keep: list[str], columns: list[str]) -> DataFrame
     return df.select(*keep, each.alias("__x")).select(*keep, "__x.*").where("value is not null")
 
 
+#: Groups whose values are sent to all tasks, at most, and the slices of a group where there are more.
+FEW_GROUPS, SLICES = 100_000, 32
+
+
+def with_values(df: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
+    """The rows with the columns of their group's only row in `values`; rows of a group, however many, stay spread over tasks. Groups with a null key are left out."""
+    values = checkpointed(values)
+    if values.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
+        return df.join(F.broadcast(values), by)
+    sliced = df.withColumn("__slice", F.pmod(F.xxhash64(*df.columns), F.lit(SLICES)))
+    return sliced.join(values.withColumn("__slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SLICES - 1).cast("bigint")))), [*by, "__slice"]).drop("__slice")
+
+
 def value_counts(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """(by…, field, value, n): how often each value of each column occurs."""
     return long_values(df, by, columns).groupBy(*by, "field", "value").agg(F.count("*").alias("n"))
@@ -64,9 +77,7 @@ def quantiles(counts: DataFrame, by: list[str], shares: list[float], amounts: li
     it counts nothing. Values are placed by running sums over ranges, so no task holds a group. Groups with a null key are left out.
     """
     named = amounts or ["n"]
-    placed = running(counts, by, ["value"], named, [f"__before_{i}" for i in range(len(named))])
-    total = counts.groupBy(*by).agg(*[F.sum(a).alias(f"__total_{i}") for i, a in enumerate(named)])
-    both = placed.join(total, by)
+    both = running(counts, by, ["value"], named, [f"__before_{i}" for i in range(len(named))], [f"__total_{i}" for i in range(len(named))])
     place = lambda i, share: (F.col(f"__total_{i}") - 1) * F.lit(float(share))
     ends = [F.max(f"__total_{i}").alias(f"__total_{i}") for i in range(len(named))]
     for i, a in enumerate(named):

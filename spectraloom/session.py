@@ -109,18 +109,21 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return ranked.join(F.broadcast(starts), "__part").withColumn(name, F.col("__rank") + F.col("__start")).drop("__part", "__rank", "__start")
 
 
-def running(df: DataFrame, by: list[str], order: list[str], amount: str | list[str], name: str | list[str]) -> DataFrame:
+def running(df: DataFrame, by: list[str], order: list[str], amount: str | list[str], name: str | list[str], total: str | list[str] | None = None) -> DataFrame:
     """Adds the sum of `amount` over the rows before, within `by` and in ascending `order`, without one task holding a group; or those of several amounts.
+    With `total`, also that of all rows of `by`, which a join by few groups would bring to few tasks.
 
     (by, order) must tell rows apart. Only one sum for each range and group in it is ranked in a window.
     """
     amounts, names = ([amount], [name]) if isinstance(amount, str) else (amount, name)
+    totals = [] if total is None else [total] if isinstance(total, str) else total
     ranged = checkpointed(df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
     inside = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))
     sums = ranged.groupBy(*by, "__part").agg(*[F.sum(a).alias(f"__sum_{i}") for i, a in enumerate(amounts)])
-    starts = sums.select(*by, "__part", *[zero(F.sum(f"__sum_{i}").over(before)).alias(f"__start_{i}") for i in range(len(amounts))])
+    all_ = [F.sum(f"__sum_{i}").over(Window.partitionBy(*by)).alias(t) for i, t in enumerate(totals)]
+    starts = sums.select(*by, "__part", *[zero(F.sum(f"__sum_{i}").over(before)).alias(f"__start_{i}") for i in range(len(amounts))], *all_)
     own = ranged.withColumns({f"__own_{i}": zero(F.sum(a).over(inside)) for i, a in enumerate(amounts)}).join(starts, [*by, "__part"])
     made = own.withColumns({n: F.col(f"__own_{i}") + F.col(f"__start_{i}") for i, n in enumerate(names)})
     return made.drop("__part", *[f"__{x}_{i}" for x in ("own", "start") for i in range(len(amounts))])

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -499,3 +500,24 @@ def test_batch_hits_of_no_batch_and_of_none(spark):
     got = {tuple(r) for r in literature.batch_hits(spark.createDataFrame(rows, schema), ["doc_key"], "batch", "seq").select("batch", "doc_key", "seq", "position").collect()}
     assert got == {(1, "a", 3, 1), (1, "b", 4, 2), (2, "a", 9, 1), (None, "c", 2, 1), (None, "a", 7, 2)}
     assert literature.batch_hits(spark.createDataFrame([], schema), ["doc_key"], "batch", "seq").count() == 0
+
+
+def by_group_alone(df, group):
+    """Whether a plan joins rows by nothing but `group`, which brings a group to one task."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return bool(re.search(rf"(SortMerge|ShuffledHash)Join(\(skew=\w+\))? \[{group}#\d+L?\], ", plan))
+
+
+def test_quartiles_keep_groups_spread(spark, monkeypatch):
+    rows = [(g, float(v)) for g in "ab" for v in [*range(101), 500, -400]] + [(None, 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {g: (np.quantile([v for h, v in rows if h == g], 0.25), 0.0, 100.0) for g in "ab"}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cuts = tables.quantiles(tables.value_counts(df, ["g"], ["v"]).drop("field"), ["g"], [0.25])
+        assert not by_group_alone(cuts, "g") and not by_group_alone(records.box(df, "g", "v"), "g") and not by_group_alone(records.histogram(df, "g", "v", 4), "g")
+        for few in (tables.FEW_GROUPS, 1):
+            monkeypatch.setattr(tables, "FEW_GROUPS", few)
+            assert {r.g: (r.q1, r.low, r.high) for r in records.box(df, "g", "v").collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
