@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.functions import scalars
 from spectraloom.operators import descriptors, forest
-from spectraloom.operators.tables import long_values, quantiles
+from spectraloom.operators.tables import long_values, quantiles, with_values
 from spectraloom.session import checkpointed, numbered, running
 
 # Texts that name no group.
@@ -446,25 +446,37 @@ def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFr
 
 def metrics(df: DataFrame, by: list[str], observed: str = "observed", predicted: str = "predicted", rank: bool = True) -> DataFrame:
     """(by…, n, r2, mae, rmse, spearman): R² NULL for fewer than two rows or a constant target, Spearman NULL where either side is constant."""
-    miss = F.col(observed) - F.col(predicted)
-    total = F.var_pop(observed) * F.count("*")
-    made = df.groupBy(*by).agg(
-        F.count("*").alias("n"), F.when((F.count("*") >= 2) & (F.min(observed) < F.max(observed)), 1 - F.sum(miss * miss) / F.nullif(total, F.lit(0.0))).alias("r2"), F.avg(F.abs(miss)).alias("mae"), F.sqrt(F.avg(miss * miss)).alias("rmse")
-    )
     if not rank:
-        return made
-    made = checkpointed(made)  # a row a group, read twice
-    # equal pairs are one row; both sides are ranked in one go
+        miss = F.col(observed) - F.col(predicted)
+        total = F.var_pop(observed) * F.count("*")
+        return df.groupBy(*by).agg(
+            F.count("*").alias("n"), F.when((F.count("*") >= 2) & (F.min(observed) < F.max(observed)), 1 - F.sum(miss * miss) / F.nullif(total, F.lit(0.0))).alias("r2"), F.avg(F.abs(miss)).alias("mae"), F.sqrt(F.avg(miss * miss)).alias("rmse")
+        )
+    # equal pairs are one row, and all is found from them: `df` is read once
     pairs = checkpointed(df.groupBy(*by, F.col(observed).alias("__o"), F.col(predicted).alias("__p")).agg(F.count("*").alias("__k")))
+    o, k, miss = F.col("__o"), F.col("__k"), F.col("__o") - F.col("__p")
+    known, both = F.when(o.isNotNull(), k), F.when(miss.isNotNull(), k)
+    sums = checkpointed(pairs.groupBy(*by).agg(F.sum(k).alias("n"), (F.sum(k * o) / F.sum(known)).alias("__mean"), F.sum(known).alias("__known"), F.min(o).alias("__low"), F.max(o).alias("__high"), F.sum(both).alias("__both"), F.sum(k * F.abs(miss)).alias("__abs"), F.sum(k * miss * miss).alias("__squares")))
+    # squares about the mean, as those of large values lose digits
+    spread = with_values(pairs.select(*by, "__o", "__k"), sums.select(*by, "__mean"), by).groupBy(*by).agg(F.sum(k * (o - F.col("__mean")) * (o - F.col("__mean"))).alias("__spread"))
+    total = F.col("__spread") * F.col("n") / F.col("__known")
+    r2 = F.when((F.col("n") >= 2) & (F.col("__low") < F.col("__high")), 1 - F.col("__squares") / F.nullif(total, F.lit(0.0)))
+    made = sums.join(spread, by).select(*by, "n", r2.alias("r2"), (F.col("__abs") / F.col("__both")).alias("mae"), F.sqrt(F.col("__squares") / F.col("__both")).alias("rmse"))
+    # both sides are ranked in one go
     sides = F.explode(F.array(*[F.struct(F.lit(side).alias("__side"), F.col(c).alias("__v")) for side, c in enumerate(("__o", "__p"))]))
     counts = pairs.select(*by, "__k", sides.alias("__s")).groupBy(*by, "__s.__side", "__s.__v").agg(F.sum("__k").alias("__k"))
-    placed = checkpointed(running(counts, [*by, "__side"], ["__v"], "__k", "__before").select(*by, "__side", "__v", (F.col("__before") + (F.col("__k") + 1) / 2).alias("__rank")))
+    centred = F.col("__before") + (F.col("__k") + 1) / 2 - (F.col("__all") + 1) / 2
+    placed = checkpointed(running(counts, [*by, "__side"], ["__v"], "__k", "__before", "__all").select(*by, "__side", "__v", centred.alias("__rank")))
     side = lambda n, c, name: placed.where(F.col("__side") == n).select(*by, F.col("__v").alias(c), F.col("__rank").alias(name))
-    ranked = pairs.join(side(0, "__o", "__a"), [*by, "__o"]).join(side(1, "__p", "__b"), [*by, "__p"]).join(made.select(*by, ((F.col("n") + 1) / 2).alias("__mid")), by)
-    a, b, k = F.col("__a") - F.col("__mid"), F.col("__b") - F.col("__mid"), F.col("__k")
+    # pairs meet the ranks of the side with more values, and go on as sums by the other's: a value in very many pairs is in no single task
+    found = {r["__side"]: r["count"] for r in placed.where("__v is not null").groupBy("__side").count().collect()}
+    (first, one), (second, other) = sorted(enumerate(("__o", "__p")), key=lambda s: -found.get(s[0], 0))
+    a, b = F.col("__a"), F.col("__b")
+    folded = pairs.join(side(first, one, "__a"), [*by, one]).groupBy(*by, other).agg(F.sum(k * a).alias("__ka"), F.sum(k * a * a).alias("__kaa"), F.sum(k).alias("__k"))
     # a constant side has no spread: NULL, not a division by zero
-    correlation = F.sum(k * a * b) / F.nullif(F.sqrt(F.sum(k * a * a) * F.sum(k * b * b)), F.lit(0.0))
-    return made.join(ranked.groupBy(*by).agg(correlation.alias("spearman")), by)
+    correlation = F.sum(F.col("__ka") * b) / F.nullif(F.sqrt(F.sum("__kaa") * F.sum(k * b * b)), F.lit(0.0))
+    ranked = folded.join(side(second, other, "__b"), [*by, other]).groupBy(*by).agg(correlation.alias("spearman"))
+    return made.join(ranked, by)
 
 
 def group_balanced(df: DataFrame, by: list[str], group: str, observed: str = "observed", predicted: str = "predicted") -> DataFrame:

@@ -521,3 +521,31 @@ def test_quartiles_keep_groups_spread(spark, monkeypatch):
             assert {r.g: (r.q1, r.low, r.high) for r in records.box(df, "g", "v").collect()} == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_metrics_read_rows_once_and_keep_groups_spread(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [("g", 1e7 + rng.randrange(40), float(rng.randrange(3))) for _ in range(400)] + [("h", float(i), 1.0) for i in range(9)] + [("i", None, 1.0), ("i", 2.0, 3.0), ("i", 4.0, None), ("i", 5.0, 2.0)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(rows, "g string, observed double, predicted double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    kept = []
+    monkeypatch.setattr(validation, "checkpointed", lambda made: kept.append(made) or tables.checkpointed(made))
+    try:
+        got = {r.g: r for r in validation.metrics(df.mapInArrow(counted, df.schema), ["g"]).collect()}
+        assert read.value == len(rows)
+        assert not any(by_group_alone(made, "g") for made in kept)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    o, p = (np.array([r[i] for r in rows[:400]]) for i in (1, 2))
+    rank = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    assert (got["g"].n, got["g"].mae, got["g"].rmse) == (400, pytest.approx(np.abs(o - p).mean()), pytest.approx(np.sqrt(((o - p) ** 2).mean())))
+    assert got["g"].r2 == pytest.approx(1 - ((o - p) ** 2).sum() / ((o - o.mean()) ** 2).sum(), rel=1e-9) and got["g"].spearman == pytest.approx(np.corrcoef(rank(o), rank(p))[0, 1])
+    assert got["h"].spearman is None and got["h"].n == 9
+    assert (got["i"].n, got["i"].mae, got["i"].spearman is None) == (4, 2.0, False)
