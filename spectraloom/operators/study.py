@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ from spectraloom.session import checkpointed, small_batches
 MOST_COLUMNS = 512
 #: Cells, at most: folds times inner folds, and more only where groups' inner folds differ by outer fold. A row's level holds numbers for each.
 MOST_CELLS = 4096
+#: Columns of a design, at most, whose products with weights are written out.
+MOST_TERMS = 64
 #: Numbers that a task holds for groups before it gives them on.
 MOST_HELD = 1 << 21
 
@@ -131,12 +134,15 @@ class Design:
     def _level(c: str) -> Column:
         return F.coalesce(F.col(c).cast("string"), F.lit("missing"))
 
-    def row(self) -> Column:
+    def columns(self) -> list[Column]:
         value = lambda c: F.col(c).cast("double")
-        return F.array(
+        return [
             F.lit(1.0), *[F.coalesce(value(c) - self.shift[c], F.lit(0.0)) for c in self.numeric], *[value(c).isNull().cast("double") for c in self.numeric],
             *[(self._level(c) == v).cast("double") for c in self.levels for v in self.levels[c]],
-        )
+        ]
+
+    def row(self) -> Column:
+        return F.array(*self.columns())
 
     def prepared(self, gram: np.ndarray, medians: dict[str, float], features: list[str]) -> np.ndarray:
         """Rows that take raw columns and the shifted target to those of a fit: 1, imputed and standardised numerics, indicators, levels; last the target less its training mean."""
@@ -171,6 +177,16 @@ def fit_medians(rows: DataFrame, splits: Splits, numeric: list[str]) -> list[dic
     return [{c: found[c][i] for c in numeric} for i in range(len(names))]
 
 
+def _numbered(columns: list[pa.Array]) -> tuple[np.ndarray, list[tuple]]:
+    """The rows' keys as numbers, and the key of each number."""
+    codes = np.zeros(len(columns[0]), np.int64)
+    for c in columns:  # numbers of the keys so far with the next column's
+        codes = pd.factorize(codes * (len(c) + 1) + pd.factorize(c.to_pandas(), use_na_sentinel=False)[0])[0]
+    first = np.full(codes.max() + 1, len(codes))
+    np.minimum.at(first, codes, np.arange(len(codes)))
+    return codes, list(zip(*[c.take(pa.array(first)).to_pylist() for c in columns], strict=True))
+
+
 def _partial_sums(df: DataFrame, keys: list[str], values, to: list[list[int]] | None = None) -> DataFrame:
     """(keys…, v): for each task, the sum over each key's rows of the arrays that `values` makes of (key, x, y) of the rows it is given.
 
@@ -190,7 +206,7 @@ def _partial_sums(df: DataFrame, keys: list[str], values, to: list[list[int]] |
             if not batch.num_rows:
                 continue
             column = lambda c, batch=batch: batch.column(names.index(c))
-            codes, unique = pd.MultiIndex.from_arrays([column(k).to_pandas() for k in keys]).factorize()
+            codes, unique = _numbered([column(k) for k in keys])
             x, y = column("x").flatten().to_numpy().reshape(batch.num_rows, -1), column("y").to_numpy()
             order = np.argsort(codes, kind="stable")
             ends = np.cumsum(np.bincount(codes, minlength=len(unique)))
@@ -273,7 +289,8 @@ def compared(rows: DataFrame, sets: dict[str, list[str]], group: str, target: st
     if len(grid) > 1:
         nested = checkpointed(nested)
     splits = Splits(folds, nested, group, len(grid) > 1)
-    held = rows.drop("fold", "cell").join(splits.groups, group)
+    # shuffled once for all passes; rows of a group side by side make few sums of each batch
+    held = checkpointed(rows.drop("fold", "cell").join(splits.groups, group).sortWithinPartitions(group))
     medians = fit_medians(held, splits, numeric)
     design = Design(rows, numeric, categorical, target)
     level = [design._level(design.wide).alias("level")] if design.wide else []
@@ -293,14 +310,18 @@ def compared(rows: DataFrame, sets: dict[str, list[str]], group: str, target: st
     chosen = {name: [(o, *grid[best[name, o]]) for o, j in splits.fits if j < 0] for name, features in sets.items() if features}
     final = [(o, [[float(v) for v in weights[o, -1][name][best[name, o]]] for name in sets]) for o, j in splits.fits if j < 0]
     sent = rows.sparkSession.createDataFrame(final, "fold int, __w array<array<double>>")
-    tested = held.withColumn("__x", design.row()).join(F.broadcast(sent), "fold")
+    # a sum of a few terms is compiled; functions over arrays are not
+    few = design.width <= MOST_TERMS
+    tested = (held if few else held.withColumn("__x", design.row())).join(F.broadcast(sent), "fold")
     more = F.array(*[F.lit(0.0)] * len(sets))
     if sums is not None:
         last = {o: [(models[o, -1][name], weights[o, -1][name, "beta"][[best[name, o]]], np.array([best[name, o]])) if name in models[o, -1] else None for name in sets] for o, j in splits.fits if j < 0}
         small_batches(rows.sparkSession)
         tested = tested.withColumn("level", design._level(design.wide)).join(sums, "level").withColumn("__more", wide.added(last, size, cells)("fold", "s")).drop("level", "s")
         more = F.col("__more")
-    dot = lambda w: F.aggregate(F.zip_with("__x", w, lambda a, b: a * b), F.lit(design.base), lambda s, v: s + v)
+    whole = lambda w: F.aggregate(F.zip_with("__x", w, lambda a, b: a * b), F.lit(design.base), lambda s, v: s + v)
+    terms = lambda w: reduce(lambda s, t: s + t[1] * w[t[0]], enumerate(design.columns()), F.lit(design.base))
+    dot = terms if few else whole
     made = F.array(*[F.struct(F.lit(name).alias("feature_set"), F.lit("linear" if features else "training_mean").alias("model"), (dot(F.col("__w")[i]) + more[i]).alias("predicted")) for i, (name, features) in enumerate(sets.items())])
     tested = tested.drop("cell").withColumn("__p", F.explode(made))
     kept = [c for c in rows.columns if c not in ("fold", "cell", "feature_set", "model", "observed", "predicted")]

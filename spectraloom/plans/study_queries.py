@@ -239,7 +239,8 @@ def predictions(spark, sf_dir):
     """The study's own table: without a penalty, ridge is the least-squares line."""
     sets = validation.feature_sets({"xps": ["l_quantity"]}, [])
     named = {"baseline": sets["training_mean"], "augmented": sets["xps"]}
-    made = study.compared(table(spark, sf_dir, "lineitem"), named, "l_suppkey", "l_extendedprice", K, grid=[("ridge", 0.0, 0.0)])[0]
+    rows = table(spark, sf_dir, "lineitem").select(*KEYS, "l_suppkey", "l_quantity", "l_extendedprice")
+    made = study.compared(rows, named, "l_suppkey", "l_extendedprice", K, grid=[("ridge", 0.0, 0.0)])[0]
     return made.select(*KEYS, "l_suppkey", "fold", "feature_set", "observed", F.round("predicted", 4).alias("predicted"))
 
 
@@ -333,7 +334,7 @@ SELECT {', '.join(KEYS)}, fold, a AS alpha, round(base + b + wz * z + wm * miss,
 @query(RIDGE_SQL)
 def m08_m10_ridge_study(spark, sf_dir):
     """Imputed, standardised and solved inside each fold; the penalty is chosen over inner folds, each group alike."""
-    rows = table(spark, sf_dir, "lineitem").withColumn("q", F.when(F.col("l_partkey") % 7 != 0, F.col("l_quantity")))
+    rows = table(spark, sf_dir, "lineitem").select(*KEYS, "l_suppkey", "l_extendedprice", F.when(F.col("l_partkey") % 7 != 0, F.col("l_quantity")).alias("q"))
     made, _, chosen = study.compared(rows, {"xps": ["q"]}, "l_suppkey", "l_extendedprice", K, 3, [("ridge", a, 0.0) for a in validation.RIDGE])
     alpha = pick_value({outer: c[1] for outer, *c in chosen["xps"]}, F.col("fold"))
     return made.select(*KEYS, "fold", alpha.alias("alpha"), F.round("predicted", 3).alias("predicted"))
@@ -346,7 +347,7 @@ def pick_value(values: dict, key):
 
 def m08_m10_linear_study(spark, sf_dir):
     """Nested selection among all ridge and elastic-net candidates over prepared columns; coordinate descent has no SQL: tests hold it against brute force."""
-    rows = table(spark, sf_dir, "lineitem").withColumn("q", F.when(F.col("l_partkey") % 7 != 0, F.col("l_quantity")))
+    rows = table(spark, sf_dir, "lineitem").select(*KEYS, "l_suppkey", "l_discount", "l_tax", "l_returnflag", "l_extendedprice", F.when(F.col("l_partkey") % 7 != 0, F.col("l_quantity")).alias("q"))
     made = study.compared(rows, {"combined": ["q", "l_discount", "l_tax", "l_returnflag"]}, "l_suppkey", "l_extendedprice", K, 3)[0]
     return made.select(*KEYS, "fold", F.round("predicted", 4).alias("predicted"))
 
@@ -359,7 +360,7 @@ SELECT {', '.join('r.' + k for k in KEYS)}, r.fold, round(b + coalesce((t.s - b
 FROM r JOIN b ON b.fold = r.fold LEFT JOIN t ON t.fold = r.fold AND t.l_partkey = r.l_partkey""")
 def m08_ridge_over_parts(spark, sf_dir):
     """Ridge over a categorical of as many levels as there are parts."""
-    rows = table(spark, sf_dir, "lineitem").withColumn("part", F.concat(F.lit("p"), F.col("l_partkey")))
+    rows = table(spark, sf_dir, "lineitem").select(*KEYS, "l_suppkey", "l_extendedprice", F.concat(F.lit("p"), F.col("l_partkey")).alias("part"))
     made = study.compared(rows, {"preparation": ["part"]}, "l_suppkey", "l_extendedprice", K, grid=[("ridge", 10.0, 0.0)])[0]
     return made.select(*KEYS, "fold", F.round("predicted", 3).alias("predicted"))
 

@@ -549,3 +549,32 @@ def test_metrics_read_rows_once_and_keep_groups_spread(spark, monkeypatch):
     assert got["g"].r2 == pytest.approx(1 - ((o - p) ** 2).sum() / ((o - o.mean()) ** 2).sum(), rel=1e-9) and got["g"].spearman == pytest.approx(np.corrcoef(rank(o), rank(p))[0, 1])
     assert got["h"].spearman is None and got["h"].n == 9
     assert (got["i"].n, got["i"].mae, got["i"].spearman is None) == (4, 2.0, False)
+
+
+def test_linear_study_holds_few_numbers_and_shuffles_rows_once(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, i % 12, None if i % 13 == 0 else rng.gauss(0, 1), rng.choice("xyz"), rng.gauss(0, 1)) for i in range(240)]
+    df = spark.createDataFrame(rows, "i int, paper int, a double, c string, y double")
+    made = []
+
+    def predicted():
+        out, _, chosen = study.compared(df, {"all": ["a", "c"], "none": []}, "paper", "y", 3, 2)
+        made.append(out._jdf.queryExecution().executedPlan().toString())
+        return {(r.i, r.feature_set): r.predicted for r in out.collect()}, chosen
+
+    whole, best = predicted()
+    assert "hashpartitioning(paper" not in made[0]
+    monkeypatch.setattr(study, "MOST_HELD", 1)
+    monkeypatch.setattr(study, "MOST_TERMS", 0)
+    parts, chosen = predicted()
+    assert chosen == best and parts.keys() == whole.keys() and all(abs(parts[k] - v) < 1e-12 for k, v in whole.items())
+    sums = df.where("a is not null").select("paper", F.array("a").alias("x"), "y").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        got = study._partial_sums(sums, ["paper"], lambda key, x, y: np.array([x.sum(), len(y)])).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) > 12  # a task gave its sums more than once
+    for p in range(12):
+        own = [r[2] for r in rows if r[1] == p and r[2] is not None]
+        assert np.allclose(np.sum([r.v for r in got if r.paper == p], axis=0), [sum(own), len(own)])
