@@ -1,8 +1,11 @@
 """Jaccard join of word n-grams by prefixes under several global orders.
 
 Two sets as similar as asked share a token among the first |x| - ceil(t |x|) + 1 of each, under any order
-of all tokens. Three orders are used. The first puts rare tokens first, by counts over all documents; its prefix tokens are
-the keys of the join, split by bands of set sizes. The others are hash orders: a pair that shares a key must share a token
+of all tokens. Three orders are used. The first puts what is rare first, by counts over all documents, and what it orders is cells: the
+tokens' hashes are cut into more intervals than such sets differ in tokens, so that with at most d differing tokens all but d cells have
+the same tokens in both, and the first d + 1 cells of each share one. These are the keys of the join, by bands of set sizes. As a cell
+has several tokens, documents that only have single tokens in common share no key, however many documents there are
+and however little their counts tell. The others are hash orders of tokens: a pair that shares a key must share a token
 of its prefixes under each of them too, and its sizes and a bound on the sets' difference must leave it a
 chance, before full sets are fetched to confirm it. No pair that links fails any of these tests.
 
@@ -29,14 +32,18 @@ from spectraloom.session import checkpointed, compact, tidied
 
 #: Buckets that tokens are counted in, whatever the input: 4 MB a task, of which each order knows a level of one byte. Slots are summed apart, FAN_IN tasks at a time.
 BUCKETS, SLOTS, FAN_IN = 1 << 20, 64, 64
-#: Bits below the level in a token's place of the first order.
+#: Bits below the level in a token's or cell's place of the first order.
 LEVEL = 57
+#: A band of sizes reaches from one size to that of a set that is so many times as large as can link, one after the other: wide bands put few sets in two of them.
+BAND = 8
+#: From this percentage on cells are the keys; below, sets that link may differ in so many tokens that a cell has hardly more than one, and tokens are.
+CELLS_FROM = 75
 SECOND, THIRD = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 #: Buckets of a set's profile: a power of two.
 PROFILE = 128
 
 SKETCH = T.StructType(
-    [T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    [T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("rarest", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))]
     + [T.StructField(name, T.BinaryType()) for name in ("second", "third", "profile")]
 )
 
@@ -80,6 +87,47 @@ def _first(places: np.ndarray, n: int) -> np.ndarray:
     return np.sort(np.partition(places, n - 1)[:n])
 
 
+def most_differing(n: int, m: int, percent: int) -> int:
+    """The most tokens that sets of n and m tokens which link can differ in, those of either that the other lacks."""
+    return (n + m) * (100 - percent) // (100 + percent)
+
+
+def bands(n: int, percent: int) -> list[tuple[int, int]]:
+    """The bands of a set of n tokens, as (band, largest size in it): its own, and up to that of the largest set it can link with. So two sets that link share the band of the larger."""
+    if percent == 100:
+        return [(n, n)]
+    width = BAND * math.log(100 / percent)
+    # a little beyond the bounds, against rounding
+    return [(b, int(math.exp((b + 1) * width) * 1.000001)) for b in range(int(math.log(n) / width), int(math.log(n * 100.000001 / percent) / width) + 1)]
+
+
+def cell_keys(places: np.ndarray, tokens: np.ndarray, percent: int, top: int) -> np.ndarray:
+    """The keys of a set of sorted tokens by their places in the first order: in each band its first cells under that order, the rarest.
+
+    `top` is the highest level of all tokens. A cell is as rare as all its tokens together, as far as six bits tell.
+    """
+    n = len(tokens)
+    if percent < CELLS_FROM:
+        first = _first(places, prefix_length(n, percent))
+        return np.concatenate([mixed(first ^ mixed(np.array([band], np.uint64))) for band, _ in bands(n, percent)])
+    names, rarity = mixed(places), np.int64(top + 1) - (places >> np.uint64(LEVEL)).astype(np.int64)
+    out = []
+    for band, largest in bands(n, percent):
+        most = most_differing(largest, largest, percent)
+        cells = most + 1 + -(-most // 4)
+        cell = ((tokens >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        # a cell without a token is one too, the last of all
+        level, name = np.full(cells, 63, np.uint64), np.zeros(cells, np.uint64)
+        held = cell[starts].astype(np.int64)
+        level[held] = 63 - np.minimum(np.add.reduceat(rarity, starts), 63)
+        name[held] = np.add.reduceat(names, starts)
+        which = mixed((np.uint64(band) << np.uint64(32)) + np.arange(cells, dtype=np.uint64))
+        order = (level << np.uint64(LEVEL)) | (mixed(name + which) >> np.uint64(64 - LEVEL))
+        out.append(_first(order, most_differing(n, min(largest, 100 * n // percent), percent) + 1))
+    return np.concatenate(out)
+
+
 def short(places: np.ndarray) -> bytes:
     """Places of a hash order by their upper 16 bits: tokens that share them count as one, which only weakens the test."""
     return (places >> np.uint64(48)).astype(np.uint16).tobytes()
@@ -97,18 +145,21 @@ def may_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent
 
 
 def _sketcher(width: int, percent: int, levels: np.ndarray):
+    top = int(levels.max())
+
     def work(texts: pa.Array) -> list:
         sets = shingle_sets(texts, width)
         rows = []
         for s in sets:
             if not len(s):
-                rows.append((None,) * 5)
+                rows.append((None,) * 6)
                 continue
             n = prefix_length(len(s), percent)
             others = [short(_first(mixed(s ^ seed), n)) for seed in (SECOND, THIRD)]
             set_id = mixed(s).sum(dtype=np.uint64).tobytes() + mixed(s ^ SECOND).sum(dtype=np.uint64).tobytes()
-            rows.append((set_id, _first(rare_first(s, levels), n).view(np.int64), *others, profile(s)))
-        return [[len(s) for s in sets], *map(list, zip(*rows, strict=True))] if rows else [[]] * 6
+            places = rare_first(s, levels)
+            rows.append((set_id, int(places.min() >> np.uint64(LEVEL)), cell_keys(places, s, percent, top).view(np.int64), *others, profile(s)))
+        return [[len(s) for s in sets], *map(list, zip(*rows, strict=True))] if rows else [[]] * 7
 
     return struct_udf(SKETCH, work)
 
@@ -156,14 +207,6 @@ def block_pairs(group: pa.Table, percent: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def bands(key: str, percent: int) -> Column:
-    """The keys of a row (key, size) by bands of sizes: two sets whose sizes allow a link share one, as the smaller stands in all bands up to the largest such size."""
-    width = 3 * math.log(100 / percent)
-    band = lambda n: F.floor(F.log(n) / width)
-    # a little beyond the bound, against rounding
-    return F.transform(F.sequence(band(F.col("size").cast("double")), band(F.col("size") * (100.000001 / percent))), lambda b: F.xxhash64(key, b))
-
-
 def node_facts(sketched: DataFrame, needed: DataFrame) -> DataFrame:
     """(node, n_shingles, second, third, profile) of the needed nodes."""
     columns = ("n_shingles", "second", "third", "profile")
@@ -196,14 +239,13 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(df.sparkSession)
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     sketched = checkpointed(spread(docs, F.col("text"), "__m", _sketcher(width, percent, token_levels(docs, width))).drop("text"))
-    classes = checkpointed(
-        sketched.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys")).where("node is not null")
-    )
-    keyed = classes.select("node", "size", F.shiftright(F.col("keys")[0], LEVEL).cast("int").alias("rarest"), F.explode("keys").alias("key"))
+    facts_of_set = [F.first(c).alias(name) for c, name in (("n_shingles", "size"), ("rarest", "rarest"), ("keys", "keys"))]
+    classes = checkpointed(sketched.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), *facts_of_set).where("node is not null"))
+    keyed = classes.select("node", "size", "rarest", F.explode("keys").alias("key"))
     held_twice = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    banded = checkpointed(keyed.join(held_twice, "key").withColumn("key", F.explode(bands("key", percent))))
-    shared = banded.groupBy("key").agg(F.max(F.struct("rarest", -F.col("node"), "node", "size")).alias("central"), F.count("*").alias("n")).where("n > 1").drop("n")
-    groups = checkpointed(banded.drop("rarest").join(shared, "key"))
+    shared = checkpointed(keyed.join(held_twice, "key"))
+    central = shared.groupBy("key").agg(F.max(F.struct("rarest", -F.col("node"), "node", "size")).alias("central"))
+    groups = checkpointed(shared.drop("rarest").join(central, "key"))
     facts = checkpointed(node_facts(sketched, groups.select("node").distinct()))
 
     tidied(df.sparkSession)

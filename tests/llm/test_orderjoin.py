@@ -3,7 +3,10 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from spectraloom.llm import orderjoin
+from spectraloom.llm.textbatch import spread
 from tests.llm.test_minhash import brute, rows
 
 
@@ -69,3 +72,33 @@ def test_levels_count_all_documents_whatever_the_partitions(spark):
     df = spark.createDataFrame([(f"same words here n{i}",) for i in range(300)] + [(None,), ("",)], "text string")
     few, many = (orderjoin.token_levels(df.repartition(n), 3) for n in (1, 70))
     assert (few == many).all() and few.max() == 9 and (few > 0).sum() <= 301
+
+
+@pytest.mark.parametrize("percent", [50, 75, 80, 90, 97, 100])
+def test_sets_that_link_share_a_key(percent):
+    rng = np.random.default_rng(percent)
+    levels = rng.integers(0, 9, orderjoin.BUCKETS).astype(np.uint8)
+    keys = lambda s: orderjoin.cell_keys(orderjoin.rare_first(s, levels), s, percent, 8)
+    linked = 0
+    for n in [*range(1, 60), *rng.integers(60, 3000, 60).tolist()]:
+        x = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        fewest = -(-percent * n // 100)
+        swapped = (n - -(-2 * percent * n // (100 + percent))) if percent < 100 else 0
+        subset, other = np.sort(rng.permutation(x)[:fewest]), np.unique(np.r_[rng.permutation(x)[swapped:], rng.integers(0, 1 << 64, swapped, dtype=np.uint64)])
+        for y in (x, subset, other):
+            shared = len(np.intersect1d(x, y))
+            assert 100 * shared >= percent * (len(x) + len(y) - shared)
+            assert len(np.intersect1d(keys(x), keys(y)))
+            linked += 1
+    assert linked == 357
+
+
+def test_single_shared_tokens_make_no_shared_keys(spark):
+    """Five of six shingles are held by three documents and their counts, all alike, don't tell: as in a table of any size whose buckets are crowded."""
+    rng = random.Random(3)
+    lines = [" ".join(f"l{i}x{j}" for j in range(12)) for i in range(1600)]
+    docs = spark.createDataFrame([(i, " ".join(rng.sample(lines, 16))) for i in range(300)], "doc_id long, text string")
+    levels = np.full(orderjoin.BUCKETS, 7, np.uint8)
+    keyed = spread(docs, F.col("text"), "__m", orderjoin._sketcher(3, 90, levels)).select("doc_id", F.explode("keys").alias("key"))
+    held = keyed.groupBy("key").agg(F.countDistinct("doc_id").alias("n")).agg(F.sum("n").alias("all"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("twice")).first()
+    assert held["all"] > 3000 and held["twice"] < 0.01 * held["all"]
