@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spectraloom.llm.textbatch import IS_SPACE, LOWER, mixed, spread, struct_udf, text_bytes, word_hashes, word_spans
-from spectraloom.session import checkpointed, compact, tidied
+from spectraloom.session import checkpointed, compact, removed, scratch, tidied, written
 
 COMPONENTS, MISS = 64, 1e-6
 _odd = mixed(np.arange(1, COMPONENTS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
@@ -224,15 +225,19 @@ def only_ids(df: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of `links` (a, b): the smallest node reachable, by rounds of label passing and pointer jumps."""
-    edges = compact(checkpointed(links.select("a", "b").union(links.select("b", "a")).distinct()))
-    labels = compact(checkpointed(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component"))))
-    while True:
+    spark = links.sparkSession
+    at = scratch(spark, "components")
+    edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{at}/edges")
+    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), f"{at}/0")
+    for turn in count(1):
         near = edges.join(labels.toDF("b", "near"), "b").select(F.col("a").alias("node"), "near", F.lit(None).alias("own"))
         met = near.union(labels.select("node", "component", "component")).groupBy("node").agg(F.min("near").alias("new"), F.min("own").alias("own"))
         beyond = F.least("new", "beyond")
-        moved = checkpointed(met.join(labels.toDF("new", "beyond"), "new").select("node", beyond.alias("component"), (beyond != F.col("own")).alias("changed")))
-        labels = compact(moved.select("node", "component"))
+        moved = written(met.join(labels.toDF("new", "beyond"), "new").select("node", beyond.alias("component"), (beyond != F.col("own")).alias("changed")), f"{at}/{turn}")
+        labels = moved.select("node", "component")
+        removed(spark, f"{at}/{turn - 1}")
         if not moved.where("changed").limit(1).count():
+            removed(spark, f"{at}/edges")
             return labels
 
 

@@ -68,6 +68,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows written to a folder of the shared one and read again, by which plans know their size. A checkpoint hands on its plan's estimate instead, the product of the sizes
+    of all tables joined: where a loop joins its outcome with itself, its digits double each time, until they fill the driver."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """A checkpointed table in no more partitions than its rows need, so that jobs over a small one start few tasks."""
     return df.coalesce(max(1, -(-df.count() // rows)))

@@ -167,3 +167,13 @@ def test_very_long_texts(spark):
     rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far)), (4, "a " * 300_000), (5, "a " * 299_999 + "a")]
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows, 5, 80)
+
+
+def test_components_fed_with_components_keep_plans_small(spark):
+    """Plans' estimates of size, products of those of all joined tables, once grew in digits with each round until they filled the driver."""
+    links, last = spark.range(64).selectExpr("id as a", "id + 1 as b"), None
+    for _ in range(2):
+        last = minhash.components(links)
+        links = links.join(last.toDF("a", "component"), "a").select("a", "b")
+    assert {tuple(r) for r in last.collect()} == {(i, 0) for i in range(65)}
+    assert last._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 64
