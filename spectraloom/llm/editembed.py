@@ -21,13 +21,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from spectraloom.llm.minhash import components, only_ids, with_side
 from spectraloom.llm.textbatch import mixed, small_batches
-from spectraloom.session import checkpointed, shuffle_width
+from spectraloom.session import checkpointed, removed, scratch, shuffle_width, tidied, written
 
 PHASES, BLOCK, SAMPLES = 128, 2048, 32
 #: Blocks whose maps are made side by side, and the characters between two looks at which phases have met.
@@ -298,6 +298,12 @@ def band_keys(print_col: str) -> Column:
     return F.arrow_udf(run, "array<bigint>")(print_col)
 
 
+def _end(print_col: str) -> Column:
+    """A print with zeros for the samples before its three highest octaves, which are in no band."""
+    rest = F.greatest(F.length(print_col) - 3 * SAMPLES, F.lit(0))
+    return F.concat(F.repeat(F.lit("0"), rest), F.substring(print_col, rest + 1, F.lit(3 * SAMPLES)))
+
+
 #: Hashed counts of neighbouring characters that stand for a text; an edit changes four of them by one at most.
 COUNTS = 256
 
@@ -370,14 +376,22 @@ def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     # a walk from each end: an edit can leave a walk out of step for long, but only beyond it
     # a number of partitions that is asked for stays: few texts are much work
     prints = docs.repartition(width, "id").groupBy("id").agg(F.min("text").alias("text")).withColumn("print", fingerprint("text")).withColumn("back", fingerprint(F.reverse("text")))
-    keys = F.concat(band_keys("print"), F.transform(band_keys("back"), lambda k: -1 - k))
-    marked = checkpointed(prints.select("id", F.sha2("text", 256).alias("digest"), F.length("text").alias("size"), profile("text").alias("profile"), keys.alias("keys")))
+    # what is kept is written as files of columns: prints, which are a tenth of their keys, and one shuffle at a time
+    spark, at = df.sparkSession, scratch(df.sparkSession, "bands")
+    marked = written(prints.select("id", F.unhex(F.sha2("text", 256)).alias("digest"), F.length("text").alias("size"), profile("text").alias("profile"), *[_end(p).alias(p) for p in ("print", "back")]), f"{at}/marked")
     own = marked.groupBy("digest").agg(F.min("id").alias("id_a"))
-    copies = marked.join(own, "digest").where("id_a < id").select("id_a", F.col("id").alias("id_b"), F.lit(0).alias("edits"))
-    different = checkpointed(marked.join(own.select(F.col("id_a").alias("id")), "id", "left_semi").select("id", "size", "profile", "keys"))
-    facts, keyed = different.select("id", "profile"), different.select("id", "size", F.explode("keys").alias("key"))
-    firsts = keyed.groupBy("key").agg(F.min_by(F.struct("id", "size"), "id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.id").alias("id_a"), F.col("first.size").alias("size_a"))
-    keyed = checkpointed(keyed.join(firsts, "key"))  # a key of one document has no pair
+    copies = written(marked.select("id", "digest").join(own, "digest").where("id_a < id").select("id_a", F.col("id").alias("id_b"), F.lit(0).alias("edits")), f"{at}/copies")
+    tidied(spark)
+    different = written(marked.join(copies.select(F.col("id_b").alias("id")), "id", "left_anti").drop("digest"), f"{at}/different")
+    removed(spark, f"{at}/marked")
+    tidied(spark)
+    facts = different.select("id", "profile")
+    keys = F.concat(band_keys("print"), F.transform(band_keys("back"), lambda k: -1 - k))
+    of_key = Window.partitionBy("key")
+    keyed = different.select("id", "size", F.explode(keys).alias("key")).select("*", F.min(F.struct("id", "size")).over(of_key).alias("first"), F.max("id").over(of_key).alias("last"))
+    # a key of one document has no pair
+    keyed = written(keyed.where("first.id < last").select("id", "size", "key", F.col("first.id").alias("id_a"), F.col("first.size").alias("size_a")), f"{at}/keyed")
+    tidied(spark)
     pairs = keyed.where((F.col("id_a") < F.col("id")) & (F.abs(F.col("size") - F.col("size_a")) <= most)).select("id_a", F.col("id").alias("id_b")).distinct()
     links = _verified(pairs, facts, docs, most)
     keyed, found, tried, cap = keyed.select("id", "size", "key"), [links], [], FEW

@@ -386,3 +386,10 @@ def test_members_of_a_band_meet_by_size_and_profile():
     assert {(r["id_a"], r["id_b"]) for r in found[True]} == {(i, j) for i, j in near if i % 2 != j % 2}
     alike = [(0, i, 4, i, editembed.profiles(["same"])[0].tobytes()) for i in range(5)]
     assert [(r["id_a"], r["id_b"], r["more"]) for r in editembed._candidates(alike, 0, False, 6, 2)] == [(0, 1, False), (0, 2, False), (1, 2, False), (0, 3, True), (1, 3, True), (0, 4, True), (1, 4, True)]
+
+
+def test_ends_of_prints_have_all_their_bands(spark):
+    prints = editembed.fingerprints(["", "ab", "xy" * 40, "a sentence of some length " * 9, "".join(chr(97 + (i * i + i // 7) % 26) for i in range(9000))])
+    rows = spark.createDataFrame([(p,) for p in prints], "print string").withColumn("end", editembed._end("print"))
+    made = rows.select("print", "end", editembed.band_keys("print").alias("a"), editembed.band_keys("end").alias("b")).collect()
+    assert all(r.a == r.b and len(r.print) == len(r.end) for r in made) and any(r.print != r.end for r in made)
