@@ -71,3 +71,15 @@ def test_trigrams_of_long_lines_take_linear_time(spark):
     assert made[4] == 3 and all(n in (-1, None) for n in made[1:4])
     hashes = df.where("text = 'AbCaB'").select(search._grams("text"), F.array(*[F.xxhash64(F.lit(g)) for g in ("abc", "bca", "cab")])).first()
     assert hashes[0] == hashes[1]  # the postings of before stay valid
+
+
+def test_postings_take_few_bytes(spark, tmp_path):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 7))) for _ in range(400)]
+    texts = spark.createDataFrame([("claim", f"{rng.getrandbits(128):032x}", " ".join(rng.choices(words, k=40))) for _ in range(3000)], "kind string, id string, text string")
+    search.indexed(texts, str(tmp_path), 0)
+    postings = texts.select(F.sum(F.size(search._grams("text")))).first()[0]
+    # with its text's name a posting took over 12
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 6 * postings
+    want = {r.id for r in texts.where("text ilike '%eta%'").collect()}
+    assert want == {r.id for r in search.candidates(spark, str(tmp_path), "eta").collect()}
